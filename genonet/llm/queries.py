@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, linededup, tokencount, tokenorc
+from . import decontaminate, linededup, quality, tokencount, tokenorc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,12 +27,16 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.report(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenorc.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op5_line_dedup, op6_token_counts, op8_token_orc)}
+    return {f.__name__: f for f in (op1_decontamination, op5_line_dedup, op6_token_counts, op7_quality_rules, op8_token_orc)}
 
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
