@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,6 +53,43 @@ def word_array(c: Column, separators: str) -> Column:
     return F.coalesce(F.array_remove(F.split(c, separators), ""), F.array().cast("array<string>"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def no_spans() -> Column:
+    return F.array().cast("array<struct<s:int,k:int,e:int,m:string>>")
+
+
+def match_spans(text: Column, pattern: str | Column, rank: int | Column, block: int = 128) -> Column:
+    """Leftmost non-overlapping matches as structs s, k (the rank), e, m; places count code points.
+
+    What stands between the matches gives their places by running sums. The sums go by blocks, as
+    an array that grows by one is copied each time.
+    """
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    rank = F.lit(rank) if isinstance(rank, int) else rank
+
+    def placed(m: Column, gaps: Column) -> Column:
+        def one(a: Column, i: Column) -> Column:
+            s = a["at"] + F.length(F.get(gaps, i))
+            e = s + F.length(F.get(m, i))
+            span = F.struct(s.alias("s"), rank.alias("k"), e.alias("e"), F.get(m, i).alias("m"))
+            return F.struct(e.alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
+
+        def some(a: Column, b: Column) -> Column:
+            last = F.least(b * block + block - 1, F.size(m) - 1)
+            part = F.aggregate(F.sequence(b * block, last), F.struct(a["at"].alias("at"), no_spans().alias("out")), one)
+            return let(part, lambda p: F.struct(p["at"].alias("at"), F.concat(a["out"], F.array(p["out"])).alias("out")))
+
+        start = F.struct(F.lit(0).alias("at"), F.array(no_spans()).alias("out"))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(m) - 1) / block).cast("int"))
+        return F.when(F.size(m) > 0, F.flatten(F.aggregate(blocks, start, some, lambda a: a["out"]))).otherwise(no_spans())
+
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: let(F.split(text, pattern, -1), lambda g: placed(m, g)))
+
+
 # ---- vectorised word hashing for Arrow batches ----
 
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
