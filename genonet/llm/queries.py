@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, linededup, quality, secrets, tokencount, tokenorc
+from . import decontaminate, htmlmain, licenses, linededup, quality, secrets, tokencount, tokenorc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,8 +43,12 @@ def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenorc.report(table(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op3_secret_scan, op4_license_scan, op5_line_dedup, op6_token_counts, op7_quality_rules, op8_token_orc)}
+    return {f.__name__: f for f in (op1_decontamination, op3_secret_scan, op4_license_scan, op5_line_dedup, op6_token_counts, op7_quality_rules, op8_token_orc, op9_html_text)}
 
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
