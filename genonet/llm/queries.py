@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, htmlmain, jaccard, licenses, linededup, quality, secrets, tokencount, tokenorc
+from . import decontaminate, htmlmain, jaccard, licenses, linededup, pieces, quality, secrets, tokencount, tokenorc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,8 +51,12 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlmain.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op3_secret_scan, op4_license_scan, op5_line_dedup, op6_token_counts, op7_quality_rules, op8_token_orc, op9_html_text)}
+    return {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op3_secret_scan, op4_license_scan, op5_line_dedup, op6_token_counts, op7_quality_rules, op8_token_orc, op9_html_text, op10_sentencepiece)}
 
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -86,9 +90,9 @@ s AS (
   SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ') AS g
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 links AS (
-  SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both >= 75 * (na.n + nb.n - both)),
+  SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 75 * (na.n + nb.n - shared)),
 reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(b) FROM reach r WHERE r.a = d.doc_id) AS component_id
 FROM documents d LEFT JOIN n USING (doc_id)
