@@ -129,23 +129,26 @@ def _power(kind: str, base: int, n: int) -> np.ndarray:
     return _powers[kind]
 
 
-def hash_words(data: np.ndarray, bounds: np.ndarray, alnum: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hash_words(data: np.ndarray, bounds: np.ndarray, alnum: bool = True, flag: np.ndarray | None = None, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of texts that lie end to end in ``data`` (uint8, text k at bounds[k]:bounds[k+1]).
 
     alnum: words of digits, letters and non-ASCII characters, else all but white space.
+    flag: instead, which bytes words have; cuts: where words end besides.
     Returns starts, ends, 64-bit hashes with A-Z lower-cased, and the text of each word.
     """
     n = len(data)
     if n == 0:
         e = np.zeros(0, np.int64)
         return e, e, e.astype(np.uint64), e
-    flag = (_ALNUM if alnum else _PRINTED)[data]
-    edge = np.zeros(n + 1, bool)
-    edge[bounds] = True
+    flag = ((_ALNUM if alnum else _PRINTED) if flag is None else flag)[data]
+    cut = np.zeros(n + 1, bool)
+    cut[bounds] = True
+    if cuts is not None:
+        cut[cuts] = True
     before = np.concatenate(([False], flag[:-1]))
-    starts = np.flatnonzero(flag & (~before | edge[:-1]))
+    starts = np.flatnonzero(flag & (~before | cut[:-1]))
     after = np.concatenate((flag[1:], [False]))
-    ends = np.flatnonzero(flag & (~after | edge[1:])) + 1
+    ends = np.flatnonzero(flag & (~after | cut[1:])) + 1
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUE[data] * _power("p", _P, n)[:n], dtype=np.uint64, out=total[1:])
     h = (total[ends] - total[starts]) * _power("i", _P_INV, n + 1)[starts]

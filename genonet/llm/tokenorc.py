@@ -7,10 +7,11 @@ knows its place (``part``, the range's number), and rows in it ascend by doc_id.
 start in the stream of all ids is worked out from what is read back: sums per part, added up over
 the parts, then running sums inside each part.
 
-Encoding cuts a text into runs of letters and runs of other signs, which the vocabulary's own
-pre-tokenizer separates too, and keeps the ids of each distinct run in a bounded cache
-(``CACHE_RUNS`` per Python worker). Texts with signs where cutting could matter (apostrophes,
-combining marks, odd white space, special tokens) go to the tokenizers library whole.
+Encoding cuts a text at white space, and plain words from their commas and full stops, where the
+vocabulary's own pre-tokenizer separates too. Each distinct run is encoded once by the tokenizers
+library and kept by its 64-bit hash (at most about ``KNOWN_RUNS`` per Python worker); texts are put
+together from the runs' ids by array operations. Texts with special tokens, and all texts of a
+vocabulary that does not cut this way, go to the library whole.
 
 Defined results: null and empty texts hold just the end id. Rows that repeat a doc_id are ordered
 by their text. A null doc_id sorts first and keeps its row. Extra columns are ignored. An empty
@@ -20,7 +21,6 @@ simply run again.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -30,27 +30,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_dir, small_batches
+from .common import hash_words, scratch_dir, small_batches, text_buffers
 
 END_ID = 2
-CACHE_RUNS = 300_000
-CACHE_CHARS = 64
+KNOWN_RUNS = 1_500_000
 STRIPE_BYTES = 64 << 20
 INDEX_ROWS = 1000
 
-#: Texts of these characters only can be cut: printable ASCII but the apostrophe, new lines, Latin letters and signs.
-_PLAIN = re.compile("[^ -&(-~\n¡-˿]")
-_RUNS = re.compile(r"[^\W\d_]+|(?:[^\w\s]|[\d_])+")
-
-
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-class Encoder(dict):
-    """Ids by run of characters, as little-endian unsigned 32-bit bytes."""
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of letters (ASCII and U+00C0 to U+023F, lead and trail bytes), and of the stops that stand alone."""
+    letter = np.zeros(256, bool)
+    letter[65:91] = letter[97:123] = letter[128:192] = letter[0xC3:0xC9] = True
+    return letter, np.isin(np.arange(256), (44, 46))
+
+
+_LETTER, _STOP = _tables()
+
+
+def runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, hashes (A-Z lower-cased) and texts of the runs to encode by themselves.
+
+    Texts are cut at spaces and new lines; what is left between them is cut further around commas
+    and full stops if it has, besides letters, only such signs and no two side by side.
+    """
+    n = len(data)
+    shown = ~np.isin(data, (32, 10))
+    odd = np.zeros(n + 1, np.int64)
+    bad = ~(_LETTER | _STOP)[data]
+    if n > 1:
+        a, b = data[:-1], data[1:]
+        bad[1:] |= (_STOP[a] & _STOP[b]) | ((a == 0xC3) & ((b == 0x97) | (b == 0xB7))) | ((a == 0xC4) & (b == 0xB0))
+    np.cumsum(bad & shown, out=odd[1:])
+    edge = np.zeros(n + 1, bool)
+    edge[bounds] = True
+    starts = np.flatnonzero(shown & (np.concatenate(([True], ~shown[:-1])) | edge[:-1])) if n else np.zeros(0, np.int64)
+    ends = np.flatnonzero(shown & (np.concatenate((~shown[1:], [True])) | edge[1:])) + 1 if n else starts
+    plain = odd[ends] == odd[starts]
+    stops = np.flatnonzero(_STOP[data])
+    stops = stops[plain[np.searchsorted(starts, stops, side="right") - 1]] if len(stops) else stops
+    return hash_words(data, bounds, flag=~np.isin(np.arange(256), (32, 10)), cuts=np.concatenate((stops, stops + 1)))
+
+
+class Encoder:
+    """Ids by hash of a run: sorted hashes, and the ids end to end. Holds KNOWN_RUNS runs at most and then starts anew."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -59,25 +87,71 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.cut = bool(self.library.encode("A b", add_special_tokens=False).ids == self.library.encode("a", add_special_tokens=False).ids + self.library.encode("b", add_special_tokens=False).ids)
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, run: str) -> bytes:
-        ids = self.whole(run)
-        if len(run) <= CACHE_CHARS:
-            if len(self) >= CACHE_RUNS:
-                self.clear()
-            self[run] = ids
-        return ids
-
-    def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.cut or _PLAIN.search(text) or "<|" in text:
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, _RUNS.findall(text.lower())))
+        ends = [i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]
+        self.ends = np.zeros(self.library.get_vocab_size() + 1, bool)
+        self.ends[ends] = True
+        one = lambda t: self.library.encode(t, add_special_tokens=False).ids
+        self.cut = bool(ends) and one("A, b") == one("a") + one(",") + one("b")
+        self.clear()
+
+    def clear(self) -> None:
+        self.h, self.first, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids by the library. Words of letters go side by side, many to a call: each ends with an id that ends a word."""
+        out: dict[int, np.ndarray] = {}
+        words = [k for k, t in enumerate(texts) if t.isalpha()] if self.cut else []
+        if words:
+            lines = [" ".join(texts[k] for k in words[i : i + 100]) for i in range(0, len(words), 100)]
+            ids = np.array([i for e in self.library.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(words) and stops[-1] == len(ids):
+                out = dict(zip(words, np.split(ids, stops[:-1]), strict=True))
+        rest = [k for k in range(len(texts)) if k not in out]
+        for k, e in zip(rest, self.library.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, np.uint32)
+        return [out[k] for k in range(len(texts))]
+
+    def places(self, h: np.ndarray, texts_of) -> np.ndarray:
+        """Places of distinct sorted hashes; texts_of gives the runs of those that are new."""
+        if len(self.h) > KNOWN_RUNS:
+            self.clear()
+        at = np.minimum(np.searchsorted(self.h, h), max(len(self.h) - 1, 0))
+        new = np.flatnonzero(self.h[at] != h) if len(self.h) else np.arange(len(h))
+        if not len(new):
+            return at
+        raw = self.encoded(texts_of(new))
+        size = np.array([len(x) for x in raw], np.int64)
+        first = np.cumsum(size) - size + len(self.ids)
+        self.ids = np.concatenate((self.ids, *raw))
+        all_h = np.concatenate((self.h, h[new]))
+        order = np.argsort(all_h)
+        self.h, self.first, self.size = all_h[order], np.concatenate((self.first, first))[order], np.concatenate((self.size, size))[order]
+        return np.searchsorted(self.h, h)
+
+    def column(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a column's texts end to end, each text's followed by the end id, and their numbers."""
+        flat, sizes, end = [], [], np.array([end_id], np.uint32)
+        for at, rows, data, bounds in text_buffers(column):
+            special = (data[:-1] == 60) & (data[1:] == 124)  # <|, as special tokens begin
+            apart = np.unique(np.searchsorted(bounds, np.flatnonzero(special), side="right") - 1).tolist() if self.cut else range(rows)
+            starts, ends, h, text = runs(data, bounds)
+            if len(apart):
+                keep = ~np.isin(text, apart)
+                starts, ends, h, text = starts[keep], ends[keep], h[keep], text[keep]
+            h, first, back = np.unique(h, return_index=True, return_inverse=True)
+            raw, s, e = data.tobytes(), starts[first], ends[first]
+            place = self.places(h, lambda new, raw=raw, s=s, e=e: [raw[a:b].decode() for a, b in zip(s[new].tolist(), e[new].tolist(), strict=True)])[back]
+            size = self.size[place]
+            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            ids = self.ids[np.repeat(self.first[place], size) + step]
+            n = np.bincount(text, weights=size, minlength=rows).astype(np.int64) if len(text) else np.zeros(rows, np.int64)
+            others = dict(zip(apart, self.encoded([column[at + k].as_py() or "" for k in apart]), strict=True))
+            to = np.cumsum(n)
+            for k in range(rows):
+                flat += [others[k] if k in others else ids[to[k] - n[k] : to[k]], end]
+                sizes.append(len(flat[-2]) + 1)
+        return np.concatenate(flat) if flat else np.zeros(0, np.uint32), np.array(sizes, np.int64)
 
 
 @cache
@@ -90,12 +164,11 @@ def encode(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> Da
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = encoder(path or vocabulary()), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            raw = [own.ids(t) + end for t in batch.column(1).to_pylist()]
-            offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw]))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), ids], names=["doc_id", "part", "ids"])
+            ids, sizes = encoder(path or vocabulary()).column(batch.column(1), end_id)
+            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], names=["doc_id", "part", "ids"])
 
     return docs.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(run, "doc_id long, part int, ids array<int>")
 
