@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from genonet.llm import quality
 
-from .test_decontaminate import brute as brute_hits
-from .test_jaccard import brute as brute_near
-from .test_pieces import brute as brute_pieces
+from tests.llm.test_decontaminate import brute as brute_hits
+from tests.llm.test_jaccard import brute as brute_near
+from tests.llm.test_pieces import brute as brute_pieces
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
