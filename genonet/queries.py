@@ -493,11 +493,11 @@ def bootstrap_pvalue(spark, at):
 
 @query(f"""{_BOOT}, st AS (SELECT avg(m) AS mean, avg(sd) AS sd FROM (SELECT iter, avg(score) AS m, stddev_pop(score) AS sd FROM bs GROUP BY 1)),
 rz AS (SELECT gene, (score - mean) / sd AS z FROM rl, st), bz AS (SELECT (score - mean) / sd AS z FROM bs, st), lv AS (SELECT gene, z, floor(z * 4) / 4 AS t FROM rz)
-SELECT gene, round(z, 6) AS zscore, CASE WHEN z >= 0 THEN (SELECT count(*) FROM rz r WHERE r.z >= lv.t) END AS num_real, CASE WHEN z >= 0 THEN round((SELECT count(*) FROM bz b WHERE b.z >= lv.t) / {_ITERS}, 6) END AS num_random,
+SELECT gene, round(z, 6) AS zscore, CASE WHEN z >= 0 THEN CAST((SELECT count(*) FROM rz r WHERE r.z >= lv.t) AS DOUBLE) END AS num_real, CASE WHEN z >= 0 THEN round((SELECT count(*) FROM bz b WHERE b.z >= lv.t) / {_ITERS}, 6) END AS num_random,
   CASE WHEN z >= 0 THEN round((SELECT count(*) FROM bz b WHERE b.z >= lv.t) / {_ITERS} / (SELECT count(*) FROM rz r WHERE r.z >= lv.t), 6) END AS fdr FROM lv""")
 def fdr_grid(spark, at):
     real, boots = overlap.zscores(*_boot(spark, at))
-    return overlap.fdr_grid(real, boots, _ITERS).select("gene", r6("zscore", "zscore"), "num_real", r6("num_random", "num_random"), r6("fdr", "fdr"))
+    return overlap.fdr_grid(real, boots, _ITERS).select("gene", r6("zscore", "zscore"), F.col("num_real").cast("double").alias("num_real"), r6("num_random", "num_random"), r6("fdr", "fdr"))
 
 
 @query(f"WITH {RESULTS} SELECT term, ontology, method, cob, window_size, flank_limit, count(*) FILTER (WHERE fdr <= 0.3) AS n FROM results WHERE fdr IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6")
