@@ -18,6 +18,7 @@ and passed through by decontaminate(). Empty tables give empty or uncontaminated
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_words, small_batches, text_buffers
+from .common import hash_words, small_batches, text_buffers, written
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -255,14 +256,15 @@ def _merged(parts: DataFrame, key: str, hits: str) -> DataFrame:
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id and struct ``hits`` (n_words, runs of hit words, items, longest match and its place)."""
-    found = [_annotated(docs, ["doc_id"], "hits", b) for b in blocks(benchmark, window, block_bytes)]
-    if len(found) == 1:
-        return found[0]
+    found = blocks(benchmark, window, block_bytes)
+    first, second = next(found), next(found, None)
+    if second is None:
+        return _annotated(docs, ["doc_id"], "hits", first)
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
     rows = keyed.groupBy("k").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     parts = None
-    for b in blocks(benchmark, window, block_bytes):
-        part = _annotated(keyed, ["k"], "hits", b).dropDuplicates(["k"])
+    for b in chain((first, second), found):
+        part = written(_annotated(keyed, ["k"], "hits", b).dropDuplicates(["k"]))  # done with the block before the next is read
         parts = part if parts is None else parts.unionByName(part)
     merged = _merged(parts, "k", "hits").join(rows, "k")
     return merged.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("n")))).select("doc_id", "hits")
@@ -271,8 +273,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents without a hit, with all their columns. Block by block, so no shuffle at all."""
     columns, hits = docs.columns, _free(docs, "hits")
-    for b in blocks(benchmark, window, block_bytes):
+    found = blocks(benchmark, window, block_bytes)
+    b = next(found)
+    while b is not None:
         docs = _annotated(docs, columns, hits, b).where(F.size(f"{hits}.runs") == 0).select(*[F.col(f"`{c}`") for c in columns])
+        if (b := next(found, None)) is not None:
+            docs = written(docs)
     return docs
 
 
