@@ -10,10 +10,15 @@ when 100 * |A & B| >= 75 * |A | B|. The steps, none of which gathers a group in
    First only a few shingles of each prefix are looked at: within a size band, each document
    is paired with one leader of the shingle, and the pairs that pass exact intersection give
    first components. That joins groups of copies along stars, not by all pairs.
-4. Whole prefixes then show which shingles stand in several components. Only those can still hide
-   a link. Their documents meet in size-banded tiles, split further where a shingle is common;
+4. Whole prefixes then show which shingles stand in several components. Mostly these are passages
+   that otherwise different documents share, so the order is refined: a bitmap of those shingles
+   moves them behind all others, and the prefixes they stood in are made anew. Only shingles new
+   in some prefix, or moved and still in one, can now hide a link. Their documents meet in
+   size-banded tiles, split further where a shingle is common;
    pairs of different components are bounded there by hashed bitmap signatures: bits that only
    one side has count shingles that only one side has, which bounds the overlap from above.
+   Before that, stars along these shingles join what they can, so that the tiles mostly hold
+   documents that only share passages.
 5. What the bound lets pass is checked by exact sorted-array intersection; all links found give
    the components.
 
@@ -40,7 +45,10 @@ from .common import hash_words, mix, small_batches, text_buffers, written
 WORDS = 5
 SKETCH = 1 << 16
 KEYS = 4
-TILE = 512
+TILE = 256
+SMALL = 4
+CHUNK = 1 << 20
+BATCH = 256
 ID_BITS = 1 << 26
 MAX_BITS = 1 << 13
 
@@ -50,7 +58,7 @@ SIGS = "doc_id long, n long, d1 long, d2 long, keys array<long>, prefix array<lo
 
 def shingle_sets(column) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    for _, rows, data, bounds in text_buffers(column):
+    for _, rows, data, bounds in text_buffers(column, CHUNK):
         _, _, h, text = hash_words(data, bounds, alnum=False)
         size = np.bincount(text, minlength=rows)
         first = np.concatenate(([0], np.cumsum(size)))
@@ -140,11 +148,9 @@ def _comparable(a: Column, b: Column) -> Column:
 def _bitmap(bits: DataFrame) -> np.ndarray:
     """ID_BITS bits, of which those numbered in column ``bit`` are set."""
     words = bits.select(F.shiftright("bit", 6).alias("w"), F.col("bit").bitwiseAND(F.lit(63)).cast("int").alias("k"))
-    rows = words.groupBy("w").agg(F.expr("bit_or(shiftleft(1L, k))").alias("m")).collect()  # ID_BITS / 64 rows at most
+    rows = words.groupBy("w").agg(F.expr("bit_or(shiftleft(1L, k))").alias("m")).toArrow()  # ID_BITS / 64 rows at most
     out = np.zeros(ID_BITS // 64, np.int64)
-    if rows:
-        at = np.array([(r[0], r[1]) for r in rows], np.int64)
-        out[at[:, 0]] = at[:, 1]
+    out[rows.column("w").to_numpy()] = rows.column("m").to_numpy()
     return out.view(np.uint64)
 
 
@@ -156,46 +162,50 @@ def _id_bit(c: str) -> Column:
     return F.xxhash64(c).bitwiseAND(F.lit(ID_BITS - 1)).alias("bit")
 
 
-def _intersections(a: pa.Array, b: pa.Array) -> list[int]:
-    """Sizes of the intersections of two columns of sorted arrays."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        x, y = x.values.to_numpy(), y.values.to_numpy()
-        small, large = (x, y) if len(x) <= len(y) else (y, x)
-        at = np.searchsorted(large, small)
-        out.append(int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(small) else 0)
-    return out
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(small):
+        return 0
+    return int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
 
 
-def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of documents that link, by exact intersection of their whole sets."""
-    spark = docs.sparkSession
-    pairs = written(pairs)
-    sent = spark.sparkContext.broadcast([_bitmap(pairs.select(_id_bit(c))) for c in ("a", "b")])
+def _texts(docs: DataFrame, ids: DataFrame, name: str, text: str) -> DataFrame:
+    """Ids and texts of the documents whose ids' bits are set: those of ``ids``, and few others."""
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(ids.select(_id_bit(name))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = batch.column(2).to_numpy()
-            here = [_in_bitmap(bit, m) for m in sent.value]
-            some = np.flatnonzero(here[0] | here[1])
-            part = batch.take(pa.array(some))
-            sets = [np.sort(s.view(np.int64)) for s in shingle_sets(part.column(1))]
-            yield pa.RecordBatch.from_arrays([part.column(0), _lists([s.view(np.uint64) for s in sets]), pa.array(here[0][some]), pa.array(here[1][some])], names=["doc_id", "s", "in_a", "in_b"])
-
-    hashed = docs.where("doc_id is not null").select("doc_id", "text", _id_bit("doc_id"))
-    sets = written(hashed.mapInArrow(run, "doc_id long, s array<long>, in_a boolean, in_b boolean"))
-    left = pairs.join(sets.where("in_b").select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    both = left.join(sets.where("in_a").select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
+            here = pa.array(_in_bitmap(batch.column(2).to_numpy(), sent.value))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(here), batch.column(1).filter(here)], names=[name, text])
+
+    return docs.where("doc_id is not null").select("doc_id", "text", _id_bit("doc_id")).mapInArrow(run, f"{name} long, {text} string")
+
+
+def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of documents that link, by exact intersection of their whole sets.
+
+    Texts travel, not sets: they are smaller, and hashing them again is cheap.
+    """
+    pairs = written(pairs)
+    both = pairs.join(_texts(docs, pairs, "b", "tb"), "b").join(_texts(docs, pairs, "a", "ta"), "a")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sa, sb = batch.column(2), batch.column(3)
-            common = np.array(_intersections(sa, sb), np.int64)
-            union = np.array([len(x.values) + len(y.values) for x, y in zip(sa, sb, strict=True)], np.int64) - common
+            _, first, back = np.unique(batch.column(3).to_numpy(), return_index=True, return_inverse=True)
+            # a document that stands for many is hashed once a batch; rows that repeat an id may differ in text
+            tb = batch.column(1)
+            lead = list(shingle_sets(tb.take(pa.array(first))))
+            same = tb.equals(tb.take(pa.array(first[back])))
+            right = [lead[k] for k in back] if same else list(shingle_sets(tb))
+            common, union = np.zeros(len(back), np.int64), np.zeros(len(back), np.int64)
+            for k, (x, y) in enumerate(zip(shingle_sets(batch.column(2)), right, strict=True)):
+                common[k] = _common(x, y)
+                union[k] = len(x) + len(y) - common[k]
             fine = pa.array((100 * common >= 75 * union) & (union > 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(fine), batch.column(1).filter(fine)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(fine), batch.column(3).filter(fine)], names=["a", "b"])
 
-    return written(both.select("a", "b", "sa", "sb").mapInArrow(meet, "a long, b long"))
+    return written(both.select("a", "tb", "ta", "b").mapInArrow(meet, "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -220,105 +230,234 @@ def _first_pairs(reps: DataFrame) -> DataFrame:
     return pairs.select(F.col("doc_id").alias("a"), "b").distinct()
 
 
-def _bound_pairs(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[bytes], side: np.ndarray, main: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of a tile that may link: another component, comparable sizes, and an overlap that the bitmaps allow.
+def _bound_pairs(group: np.ndarray, doc: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[bytes], side: np.ndarray, main: np.ndarray) -> np.ndarray:
+    """Pairs of rows of one tile that may link: another component, comparable sizes, and an overlap that the bitmaps allow.
 
+    Rows come tile by tile (group numbers the tiles), by width of their bitmaps within a tile.
     side: 3 throughout in a tile of one chunk, else 1 or 2 by chunk, and a pair has one row of each.
     main: whether the row is of the tile's own band; a pair has one such row at least.
     """
-    out: list[tuple[int, int]] = []
-    widths = np.array([len(b) // 8 for b in bits])
-    rows = {w: np.flatnonzero(widths == w) for w in np.unique(widths).tolist()}
+    if not len(group):
+        return np.zeros((0, 2), np.int64)
+    last = np.searchsorted(group, group, side="right")
+    ahead = last - np.arange(len(group)) - 1
+    i = np.repeat(np.arange(len(group)), ahead)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(ahead) - ahead, ahead)
+    fine = (comp[i] != comp[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])) & (main[i] | main[j]) & ((side[i] == 3) | (side[i] != side[j]))
+    i, j = i[fine], j[fine]
+    bare = np.array([b is None for b in bits])  # rows of small tiles, whose bitmaps come later
+    loose = np.stack((doc[i[bare[i]]], doc[j[bare[i]]]), axis=1)
+    i, j = i[~bare[i]], j[~bare[i]]
+    width = np.array([0 if b is None else len(b) // 8 for b in bits])
+    swap = width[i] > width[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    keep = np.zeros(len(i), bool)
+    slot = np.zeros(len(bits), np.int64)
     maps = {}
-    for w, at in rows.items():
-        m, narrow = np.frombuffer(b"".join(bits[i] for i in at), np.uint64).reshape(len(at), w), w
+    narrowest = width[~bare].min(initial=1 << 30)
+    for w in np.unique(width[~bare]).tolist():
+        at = np.flatnonzero(width == w)
+        slot[at] = np.arange(len(at))
+        m, narrow = np.frombuffer(b"".join(bits[x] for x in at), np.uint64).reshape(len(at), w), w
         maps[w, w] = m
-        while narrow > min(rows):  # a wide bitmap folds to the narrow one of the same set
+        while narrow > narrowest:  # a wide bitmap folds to the narrow one of the same set
             narrow //= 2
             m = m[:, :narrow] | m[:, narrow:]
             maps[w, narrow] = m
-    for w, at in rows.items():
-        for wide, other in rows.items():
-            if wide < w:
-                continue
-            for k, i in enumerate(at):
-                fine = (comp[other] != comp[i]) & (4 * np.minimum(n[other], n[i]) >= 3 * np.maximum(n[other], n[i])) & (main[other] | main[i])
-                if side[i] != 3:
-                    fine &= side[other] != side[i]
-                if wide == w:
-                    fine[: k + 1] = False
-                near = np.flatnonzero(fine)
-                if not len(near):
-                    continue
-                a, b, j = maps[w, w][k], maps[wide, w][near], other[near]
-                most = np.minimum(n[i] - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), n[j] - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
-                out += [(int(min(doc[i], doc[x])), int(max(doc[i], doc[x]))) for x in j[7 * most >= 3 * (n[i] + n[j])]]
-    return out
-
-
-def _tile_pairs(postings: DataFrame) -> DataFrame:
-    """Pairs (a, b) out of the tiles of postings (k, comp, doc_id, n, bits).
+    for w, wide in np.unique(np.stack((width[i], width[j]), axis=1), axis=0).tolist() if len(i) else ():
+        of = np.flatnonzero((width[i] == w) & (width[j] == wide))
+        for at in np.array_split(of, max(1, len(of) * w // 1_000_000)):
+            a, b = maps[w, w][slot[i[at]]], maps[wide, w][slot[j[at]]]
+            ni, nj = n[i[at]], n[j[at]]
+            most = np.minimum(ni - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), nj - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
+            keep[at] = 7 * most >= 3 * (ni + nj)
+    found = np.concatenate((loose, np.stack((doc[i[keep]], doc[j[keep]]), axis=1)))
+    return np.unique(np.sort(found, axis=1), axis=0)
+
+
+def _tile_pairs(postings: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs (a, b) out of the tiles of postings (k, comp, doc_id, n); bits has doc_id and its bitmap.
 
     A tile is a shingle and a size band, with the next band beside it. Where it has more than
-    TILE rows it is cut into chunks by a hash, and each pair of chunks is a tile of its own.
+    TILE rows it is cut into chunks by a hash, and each pair of chunks is a tile of its own. Tiles
+    are dealt by their keys and stand one after another in a partition, so that small ones share
+    a batch. In tiles of more than SMALL rows bitmaps travel with the rows and bound the pairs on
+    the spot; pairs of smaller ones, many of which are the same, meet their bitmaps once each.
     """
     banded = postings.withColumn("own", _band(F.col("n"))).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") - 1)))
-    size = banded.groupBy("k", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("chunks"), F.max((F.col("own") == F.col("band")).cast("int")).alias("some")).where("some = 1")
-    dealt = banded.join(size, ["k", "band"]).withColumn("c", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")
-    dealt = dealt.select("k", "band", "comp", "doc_id", "n", "bits", "own", "c", other)
+    size = banded.groupBy("k", "band").agg(
+        F.count(F.lit(1)).alias("m"), F.max((F.col("own") == F.col("band")).cast("int")).alias("some"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+    ).where("some = 1 and lo < hi").select("k", "band", "m", F.ceil(F.col("m") / TILE).cast("int").alias("chunks"))
+    dealt = written(banded.join(size, ["k", "band"]).select("k", "band", "m", "chunks", "comp", "doc_id", "n", "own"))
+    large = dealt.where(F.col("m") > SMALL).join(bits.select(F.col("doc_id").alias("bit_id"), "bits"), F.col("doc_id") == F.col("bit_id")).drop("bit_id")
+    small = dealt.where(F.col("m") <= SMALL).withColumn("bits", F.lit(None).cast("binary"))
+    dealt = small.unionByName(large).withColumn("c", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select(
         "k", "band", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), "comp", "doc_id", "n", "bits",
-        (F.col("own") == F.col("band")).alias("main"),
-        F.when(F.col("c") == F.col("o"), 3).when(F.col("c") < F.col("o"), 1).otherwise(2).alias("side"),
+        F.when(F.col("c") == F.col("o"), 3).when(F.col("c") < F.col("o"), 1).otherwise(2).alias("side"), (F.col("own") == F.col("band")).alias("main"),
     )
+    tile = ["k", "band", "c1", "c2"]
 
-    def run(table: pa.Table) -> pa.Table:
+    def pairs(table: pa.Table, tiles: np.ndarray) -> pa.RecordBatch:
+        group = np.concatenate(([0], np.cumsum((tiles[1:] != tiles[:-1]).any(1)))) if len(tiles) else np.zeros(0, np.int64)
         t = {c: table.column(c).to_numpy() for c in ("doc_id", "comp", "n", "side", "main")}
-        pairs = _bound_pairs(t["doc_id"], t["comp"], t["n"], table.column("bits").to_pylist(), t["side"], t["main"])
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+        found = _bound_pairs(group, t["doc_id"], t["comp"], t["n"], table.column("bits").to_pylist(), t["side"], t["main"])
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            tiles = np.stack([table.column(c).to_numpy() for c in tile], axis=1)
+            whole = int(np.flatnonzero((tiles != tiles[-1]).any(1)).max(initial=-1)) + 1  # the last tile may go on
+            rest = table.slice(whole)
+            if whole:
+                yield pairs(table.slice(0, whole), tiles[:whole])
+        if rest is not None and rest.num_rows:
+            yield pairs(rest, np.stack([rest.column(c).to_numpy() for c in tile], axis=1))
+
+    return _bounded(dealt.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(run, "a long, b long").distinct(), bits)
 
-    return dealt.groupBy("k", "band", "c1", "c2").applyInArrow(run, "a long, b long").distinct()
+
+def _bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs whose bitmaps allow a link."""
+    for s in "ab":
+        pairs = pairs.join(bits.select(F.col("doc_id").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits{s}")), s)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
+            both = lambda x, y: np.stack((np.asarray(x), np.asarray(y)), axis=1).ravel()
+            m = batch.num_rows
+            maps = [b for pair in zip(t["bitsa"].to_pylist(), t["bitsb"].to_pylist(), strict=True) for b in pair]
+            found = _bound_pairs(np.repeat(np.arange(m), 2), both(t["a"], t["b"]), np.tile([0, 1], m), both(t["na"], t["nb"]), maps, np.full(2 * m, 3), np.ones(2 * m, bool))
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession, BATCH)
     docs = docs.select("doc_id", "text")
-    sigs = written(_signatures(docs, _sketch(docs)))
+    rank = _sketch(docs)
+    sigs = written(_signatures(docs, rank))
     filled = sigs.where("n > 0 and doc_id is not null")
     classes = written(filled.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
     key = (F.col("doc_id") == F.col("rep")) & (F.col("n") == F.col("rn")) & (F.col("d1") == F.col("r1")) & (F.col("d2") == F.col("r2"))
     reps = filled.join(classes.select("rep", F.col("n").alias("rn"), F.col("d1").alias("r1"), F.col("d2").alias("r2")), key, "left_semi")
     links = _links(docs, _first_pairs(reps))
     found = components(links)
-    labelled = reps.join(found, F.col("doc_id") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    copies = filled.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).where("doc_id <> rep").select("doc_id", F.lit(None).cast("long").alias("comp"))
+    marks = written(found.select(F.col("node").alias("doc_id"), "comp").unionByName(copies.distinct()))
+    labelled = _labelled(filled.select("doc_id", "n", "prefix"), marks)
     spread = labelled.select("comp", F.explode("prefix").alias("k")).groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     spread = written(spread.select("k"))
     if not spread.isEmpty():
-        links = links.unionByName(_links(docs, _tile_pairs(_postings(labelled, spread))))
+        postings, bits = _postings(docs, filled, marks, spread, rank), filled.select("doc_id", "n", "bits")
+        # again along stars first: what is left for the tiles are shingles that unlike documents share
+        links = links.unionByName(_links(docs, _bounded(_star_pairs(postings), bits)))
+        postings = _spread_on(postings, components(links))
+        small_batches(docs.sparkSession, 2048)  # short rows, but a tile's pairs are at hand at once
+        pairs = written(_tile_pairs(postings, bits))
+        small_batches(docs.sparkSession, BATCH)
+        links = links.unionByName(_links(docs, pairs))
         found = components(links)
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("comp", "rep").alias("component"))
     out = sigs.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def _postings(labelled: DataFrame, spread: DataFrame) -> DataFrame:
-    """k, comp, doc_id, n and bits of every document and each shingle of its prefix that is in ``spread``."""
-    sent = labelled.sparkSession.sparkContext.broadcast(_bitmap(spread.select(F.col("k").bitwiseAND(F.lit(ID_BITS - 1)).alias("bit"))))
+def _labelled(sigs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The representatives with their component so far as ``comp``: their own id, or what ``marks`` has; null there drops a copy.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Only documents whose id's bit is set by a mark go through a join; the rest stay where they are.
+    """
+    sent = sigs.sparkSession.sparkContext.broadcast(_bitmap(marks.select(_id_bit("doc_id"))))
+
+    def part(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                here = pa.array(_in_bitmap(batch.column(3).to_numpy(), sent.value) == wanted)
+                yield pa.RecordBatch.from_arrays([c.filter(here) for c in batch.columns[:3]], names=batch.schema.names[:3])
+
+        return sigs.select("doc_id", "n", "prefix", _id_bit("doc_id")).mapInArrow(run, "doc_id long, n long, prefix array<long>")
+
+    marked = part(True).join(marks.select(F.col("doc_id").alias("m_id"), F.col("comp").alias("m")), F.col("doc_id") == F.col("m_id"), "left")
+    marked = marked.where("m_id is null or m is not null").select("doc_id", "n", "prefix", F.coalesce("m", "doc_id").alias("comp"))
+    return part(False).withColumn("comp", F.col("doc_id")).unionByName(marked)
+
+
+def _shingle_bit(c: str) -> Column:
+    return F.col(c).bitwiseAND(F.lit(ID_BITS - 1)).alias("bit")
+
+
+def _postings(docs: DataFrame, sigs: DataFrame, marks: DataFrame, spread: DataFrame, rank: np.ndarray) -> DataFrame:
+    """k, comp, doc_id and n of the shingles that stand in prefixes of several components once those of ``spread`` come last."""
+    context = docs.sparkSession.sparkContext
+    moved = context.broadcast(_bitmap(spread.select(_shingle_bit("k"))))
+    ranks = context.broadcast(rank)
+
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(4)
-            k = lists.flatten().to_numpy()
+            lists = batch.column(1)
             row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            here = _in_bitmap(k & (ID_BITS - 1), sent.value)
-            part = batch.take(pa.array(row[here]))
-            yield pa.RecordBatch.from_arrays([pa.array(k[here]), *[part.column(i) for i in range(4)]], names=["k", "comp", "doc_id", "n", "bits"])
+            some = np.unique(row[_in_bitmap(lists.flatten().to_numpy() & (ID_BITS - 1), moved.value)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some))], names=["a"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, size = [], []
+            for s in shingle_sets(batch.column(1)):
+                s = ordered(s, ranks.value)
+                n, last = len(s), _in_bitmap((s & np.uint64(ID_BITS - 1)).astype(np.int64), moved.value)
+                length = n - (3 * n + 3) // 4 + 1 if n else 0
+                new = np.concatenate((np.flatnonzero(~last), np.flatnonzero(last)))[:length]
+                parts.append(s[new[last[new] | (new >= length)]])  # moved ones, and what was behind the first prefix
+                size.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), _lists(parts)], names=["doc_id", "n", "prefix"])
+
+    ids = written(sigs.select("doc_id", "prefix").mapInArrow(touched, "a long"))
+    remade = written(_texts(docs, ids, "a", "ta").mapInArrow(again, "doc_id long, n long, prefix array<long>"))
+    wanted = context.broadcast(_bitmap(remade.select(F.explode("prefix").alias("k")).select(_shingle_bit("k"))))
+
+    def stayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            k = lists.flatten().to_numpy()
+            bit = k & (ID_BITS - 1)
+            here = _in_bitmap(bit, wanted.value) & ~_in_bitmap(bit, moved.value)
+            size = np.bincount(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[here], minlength=len(lists))
+            kept = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(k[here]))
+            some = pa.array(size > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(some), batch.column(1).filter(some), kept.filter(some)], names=["doc_id", "n", "prefix"])
+
+    old = sigs.select("doc_id", "n", "prefix").mapInArrow(stayed, "doc_id long, n long, prefix array<long>")
+    rows = _labelled(written(old.unionByName(remade)), marks)
+    postings = written(rows.select(F.explode("prefix").alias("k"), "comp", "doc_id", "n"))
+    return _several(postings)
+
+
+def _several(postings: DataFrame) -> DataFrame:
+    """The postings of shingles that stand in more than one component."""
+    several = postings.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k")
+    return written(postings.join(several, "k", "left_semi"))
+
+
+def _star_pairs(postings: DataFrame) -> DataFrame:
+    """Each posting's document with the leader of its shingle and size band, where they are of different components."""
+    banded = postings.withColumn("band", _band(F.col("n")))
+    leaders = banded.groupBy("k", "band").agg(F.min(F.struct("n", "doc_id", "comp")).alias("l")).select("k", "band", F.col("l.doc_id").alias("b"), F.col("l.n").alias("bn"), F.col("l.comp").alias("bc"))
+    pairs = banded.join(leaders, ["k", "band"]).where((F.col("comp") != F.col("bc")) & _comparable(F.col("n"), F.col("bn")))
+    return pairs.select(F.col("doc_id").alias("a"), "b").distinct()
+
 
-    rows = labelled.select("comp", "doc_id", "n", "bits", "prefix").mapInArrow(run, "k long, comp long, doc_id long, n long, bits binary")
-    return written(rows.join(spread, "k", "left_semi"))
+def _spread_on(postings: DataFrame, found: DataFrame) -> DataFrame:
+    """The postings under new components, as far as their shingles still stand in several."""
+    named = postings.join(found.withColumnRenamed("comp", "now"), F.col("doc_id") == F.col("node"), "left")
+    return _several(named.select("k", F.coalesce("now", "doc_id").alias("comp"), "doc_id", "n"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
