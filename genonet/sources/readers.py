@@ -14,7 +14,7 @@ def read_gff(spark: SparkSession, path: str) -> DataFrame:
 
 def _attributes(c: Column, pair: str = "=", sep: str = ";") -> Column:
     """key=value texts to a map; only the first = of a part separates."""
-    parts = F.filter(F.transform(F.split(c, sep), F.trim), lambda x: F.length(x) > 0)
+    parts = F.filter(F.transform(F.split(c, sep), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
     entries = F.transform(parts, lambda x: F.struct(F.trim(F.substring_index(x, pair, 1)).alias("k"), F.trim(F.when(F.instr(x, pair) > 0, F.regexp_replace(x, f"^[^{pair}]*{pair}", "")).otherwise("")).alias("v")))
     return F.map_from_entries(F.array_distinct(entries))
 
