@@ -25,7 +25,7 @@ are ignored; empty tables give empty tables.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -33,10 +33,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _P, _P_INV, _power, mix, small_batches, text_buffers, written
+from .common import _P, _P_INV, _power, let, mix, small_batches, text_buffers, written
 from .tokencount import SPACE, model_path
 
 KNOWN = 1 << 22
+CHUNK = 1 << 20
+SHORT = 40
+BATCH = 128
 FALLBACK = -1e7
 
 
@@ -49,6 +52,9 @@ class Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.pieces = [(sp.id_to_piece(i), i, sp.get_score(i)) for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+        self.scores = [FALLBACK] * n
+        for _, i, score in self.pieces:
+            self.scores[i] = float(score)
         self.longest = max(len(p) for p, _, _ in self.pieces)
         self.first_byte = next(i for i in range(n) if sp.is_byte(i))
         raw = [b""] * n
@@ -109,11 +115,11 @@ def _spaced(docs: DataFrame, *more: Column) -> DataFrame:
 
 
 def distinct_units(docs: DataFrame, path: str) -> DataFrame:
-    """h (hash), unit and tasks (how many tasks saw it) of every distinct unit."""
+    """unit and tasks (how many tasks saw it) of every distinct unit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = vocabulary(path), np.zeros(0, np.uint64)
         for batch in batches:
-            for _, _, data, bounds in text_buffers(batch.column(0)):
+            for _, _, data, bounds in text_buffers(batch.column(0), CHUNK):
                 starts, ends, h = own.units(data, bounds)
                 h, first = np.unique(h, return_index=True)
                 if len(seen):
@@ -123,76 +129,105 @@ def distinct_units(docs: DataFrame, path: str) -> DataFrame:
                     seen = np.zeros(0, np.uint64)
                 seen = np.sort(np.concatenate((seen, h)))
                 raw = data.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], pa.string())], names=["h", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array([raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], pa.string())], names=["unit"])
 
-    seen = _spaced(docs).select("t").mapInArrow(run, "h long, unit string")
-    return seen.groupBy("h").agg(F.min("unit").alias("unit"), F.max("unit").alias("other"), F.count(F.lit(1)).alias("tasks"))
+    return _spaced(docs).select("t").mapInArrow(run, "unit string").groupBy("unit").agg(F.count(F.lit(1)).alias("tasks"))
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.createDataFrame([(p.replace(SPACE, " "), i, float(s)) for p, i, s in vocabulary(path).pieces], "piece string, id int, score double")
+    return spark.createDataFrame([(p.replace(SPACE, " "), i) for p, i, _ in vocabulary(path).pieces], "piece string, id int")
 
 
 def lattice(units: DataFrame, path: str) -> DataFrame:
-    """h and edges of every unit: structs of end, len, score and ids, sorted."""
+    """unit and edges, sorted longs of end, len and piece id (0 where a character falls back to its bytes)."""
     own = vocabulary(path)
+    # one buffer for each unit of a partition; beyond so many Spark sorts instead
+    units.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 100_000)
     n = F.length("unit")
-    starts = units.select("h", "unit", F.explode(F.sequence(F.lit(1), n)).alias("s"))
-    sub = starts.select("h", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(own.longest), n - F.col("s") + 1))).alias("len"), "unit").select("h", "s", "len", F.substr("unit", F.col("s"), F.col("len")).alias("piece"))
+    starts = units.select("unit", F.explode(F.sequence(F.lit(1), n)).alias("s"))
+    sub = starts.select("unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(own.longest), n - F.col("s") + 1))).alias("len"))
+    sub = sub.select("unit", "s", "len", F.substr("unit", F.col("s"), F.col("len")).alias("piece"))
     table = F.broadcast(piece_table(units.sparkSession, path))  # the rows of one fixed file
     met = sub.join(table, "piece", "left").where("id is not null or len = 1")
-    hexed = F.hex(F.encode("piece", "utf-8"))
-    raw = F.transform(F.sequence(F.lit(1), F.length(hexed), F.lit(2)), lambda k: F.conv(F.substr(hexed, k, F.lit(2)), 16, 10).cast("int") + own.first_byte)
-    edge = F.struct((F.col("s") + F.col("len") - 1).alias("end"), "len", F.coalesce("score", F.lit(FALLBACK)).alias("score"), F.when(F.col("id").isNull(), raw).otherwise(F.array("id")).alias("ids"))
-    return met.select("h", edge.alias("e")).groupBy("h").agg(F.array_sort(F.collect_list("e")).alias("edges"))
+    edge = F.shiftleft((F.col("s") + F.col("len") - 1).cast("long"), 32) + F.shiftleft(F.col("len").cast("long"), 24) + F.coalesce("id", F.lit(0))
+    return met.select("unit", edge.alias("e")).groupBy("unit").agg(F.sort_array(F.collect_list("e")).alias("edges"))
 
 
-def viterbi(edges: Column, longest: int) -> Column:
-    """The ids along the best path. Edges come by their ends; the scores of the last ``longest`` ends are at hand."""
-    step_type = "array<struct<len:int,ids:array<int>>>"
-    start = F.struct(F.lit(1).alias("end"), F.array(F.lit(0.0)).alias("near"), F.lit(None).cast("double").alias("best"), F.lit(None).cast("struct<len:int,ids:array<int>>").alias("by"), F.array().cast(step_type).alias("out"))
+def _end(e: Column) -> Column:
+    return F.shiftright(e, 32).cast("int")
 
-    def close(a: Column) -> tuple[Column, Column]:
+
+def _len(e: Column) -> Column:
+    return F.shiftright(e, 24).bitwiseAND(F.lit(255)).cast("int")
+
+
+def _id(e: Column) -> Column:
+    return e.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
+
+
+def viterbi(unit: Column, edges: Column, own: Vocabulary) -> Column:
+    """The ids along the best path.
+
+    Units of up to SHORT characters go end by end, over the edges that stop there. Longer ones go
+    edge by edge in order of ends, with the scores of the last ``longest`` ends at hand, so that
+    the work grows with the edges.
+    """
+    table = F.split(F.lit(",".join(map(repr, own.scores))), ",").cast("array<double>")
+    start = F.struct(F.lit(1).alias("end"), F.array(F.lit(0.0)).alias("near"), F.lit(None).cast("double").alias("best"), F.lit(None).cast("bigint").alias("by"), F.array().cast("array<bigint>").alias("out"))
+
+    def closed(a: Column) -> Column:
         near = F.concat(a["near"], F.array(a["best"]))
-        return F.when(F.size(near) > longest, F.slice(near, F.size(near) - longest + 1, F.lit(longest))).otherwise(near), F.concat(a["out"], F.array(a["by"]))
+        near = F.when(F.size(near) > own.longest, F.slice(near, F.lit(2), F.lit(own.longest))).otherwise(near)
+        return F.struct(near.alias("near"), F.concat(a["out"], F.array(a["by"])).alias("out"))
 
     def step(a: Column, x: Column) -> Column:
-        moved = x["end"] > a["end"]
-        near, out = close(a)
-        near, out = F.when(moved, near).otherwise(a["near"]), F.when(moved, out).otherwise(a["out"])
-        score = F.element_at(near, -x["len"]) + x["score"]
-        better = moved | a["best"].isNull() | (score >= a["best"])
-        by = F.struct(x["len"].alias("len"), x["ids"].alias("ids"))
-        return F.struct(x["end"].alias("end"), near.alias("near"), F.when(better, score).otherwise(a["best"]).alias("best"), F.when(better, by).otherwise(a["by"]).alias("by"), out.alias("out"))
+        moved = _end(x) > a["end"]
 
-    steps = F.aggregate(edges, start, step, lambda a: F.concat(a["out"], F.array(a["by"])))
-    back = F.struct(F.lit(None).cast("int").alias("at"), F.array().cast("array<array<int>>").alias("path"))
+        def put(c: Column) -> Column:
+            score = F.element_at(c["near"], -_len(x)) + table[_id(x)]
+            better = moved | a["best"].isNull() | (score >= a["best"])
+            return F.struct(_end(x).alias("end"), c["near"].alias("near"), F.when(better, score).otherwise(a["best"]).alias("best"), F.when(better, x).otherwise(a["by"]).alias("by"), c["out"].alias("out"))
 
-    def trace(steps: Column) -> Column:
-        def one(a: Column, k: Column) -> Column:
-            here = a["at"].isNull() | (a["at"] == k)
-            x = F.get(steps, k - 1)
-            return F.struct(F.when(here, k - x["len"]).otherwise(a["at"]).alias("at"), F.when(here, F.concat(F.array(x["ids"]), a["path"])).otherwise(a["path"]).alias("path"))
+        return let(F.when(moved, closed(a)).otherwise(F.struct(a["near"].alias("near"), a["out"].alias("out"))), put)
 
-        return F.flatten(F.aggregate(F.sequence(F.size(steps), F.lit(1), F.lit(-1)), back, one, lambda a: a["path"]))
+    def end_by_end(a: Column, e: Column) -> Column:
+        here = F.filter(edges, lambda x: F.shiftright(x, 32) == e)
+        best = F.array_max(F.transform(here, lambda x: F.struct((a["near"][e.cast("int") - _len(x)] + table[_id(x)]).alias("s"), x.alias("x"))))
+        return let(best, lambda b: F.struct(F.concat(a["near"], F.array(b["s"])).alias("near"), F.concat(a["out"], F.array(b["x"])).alias("out")))
 
-    return F.get(F.transform(F.array(steps), trace), F.lit(0))
+    ends = F.sequence(F.lit(1).cast("long"), F.length(unit).cast("long"))
+    short = F.aggregate(ends, F.struct(F.array(F.lit(0.0)).alias("near"), F.array().cast("array<bigint>").alias("out")), end_by_end, lambda a: a["out"])
+    steps = F.when(F.length(unit) <= SHORT, short).otherwise(F.aggregate(edges, start, step, lambda a: F.concat(a["out"], F.array(a["by"]))))
+
+    def one(a: Column, x: Column) -> Column:
+        here = a["at"].isNull() | (a["at"] == _end(x))
+        return F.struct(F.when(here, _end(x) - _len(x)).otherwise(a["at"]).alias("at"), F.when(here, F.concat(F.array(x), a["path"])).otherwise(a["path"]).alias("path"))
+
+    back = F.struct(F.lit(None).cast("int").alias("at"), F.array().cast("array<bigint>").alias("path"))
+    path = F.aggregate(F.reverse(steps), back, one, lambda a: a["path"])
+
+    def spelt(x: Column) -> Column:
+        hexed = F.hex(F.encode(F.substr(unit, _end(x), F.lit(1)), "utf-8"))
+        return F.transform(F.sequence(F.lit(1), F.length(hexed), F.lit(2)), lambda k: F.conv(F.substr(hexed, k, F.lit(2)), 16, 10).cast("int") + own.first_byte)
+
+    return let(path, lambda p: F.when(F.exists(p, lambda x: _id(x) == 0), F.flatten(F.transform(p, lambda x: F.when(_id(x) == 0, spelt(x)).otherwise(F.array(_id(x)))))).otherwise(F.transform(p, _id)))
 
 
 def encode_units(docs: DataFrame, path: str) -> DataFrame:
-    """h, ids and tasks of every distinct unit of the documents, written to the shared folder."""
-    units = distinct_units(docs, path).withColumn("unit", F.when(F.col("unit") == F.col("other"), F.col("unit")).otherwise(F.raise_error(F.lit("two units share a hash"))))
-    ids = lattice(units.select("h", "unit"), path).select("h", viterbi(F.col("edges"), vocabulary(path).longest).alias("ids"))
-    return written(ids)
+    """unit, ids and tasks of every distinct unit of the documents, written to the shared folder."""
+    own = vocabulary(path)
+    return written(lattice(distinct_units(docs, path), path).select("unit", let(F.col("edges"), lambda e: viterbi(F.col("unit"), e, own)).alias("ids")))
 
 
 class Known:
     """Units' hashes, sorted, and their ids end to end."""
 
     def __init__(self, h: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
-        first = np.cumsum(size) - size
-        order = np.argsort(h)
-        self.h, self.size, self.first, self.ids = h[order], size[order].astype(np.int32), first[order].astype(np.int32), ids
+        first = np.cumsum(size, dtype=np.uint32) - size
+        order = np.argsort(h).astype(np.uint32)
+        self.h, self.size, self.first, self.ids = h[order], size[order], first[order], ids
+        if (self.h[1:] == self.h[:-1]).any():
+            raise ValueError("two units share a hash")
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of hashes, and whether they are there."""
@@ -208,54 +243,57 @@ class Known:
         return self.ids[np.repeat(self.first[at].astype(np.int64), size) + step]
 
 
-def _packed(rows: DataFrame) -> Known:
+def _packed(rows: DataFrame, path: str) -> Known:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = vocabulary(path)
         for batch in batches:
+            h = np.concatenate([own.units(data, bounds)[2] for _, _, data, bounds in text_buffers(batch.column(0), CHUNK)])
             ids = batch.column(1)
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().tobytes()], pa.binary()), pa.array([np.diff(ids.offsets.to_numpy()).astype(np.uint32).tobytes()], pa.binary()), pa.array([ids.flatten().to_numpy().astype(np.uint16).tobytes()], pa.binary())], names=["h", "size", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (h, np.diff(ids.offsets.to_numpy()).astype(np.uint32), ids.flatten().to_numpy().astype(np.uint16))], names=["h", "size", "ids"])
 
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100_000)
-    parts = rows.select("h", "ids").mapInArrow(run, "h binary, size binary, ids binary").collect()  # at most KNOWN units
-    small_batches(rows.sparkSession)
-    join = lambda k, t: np.frombuffer(b"".join(r[k] for r in parts), t)
-    return Known(join(0, np.uint64), join(1, np.uint32).astype(np.int64), join(2, np.uint16))
+    small_batches(rows.sparkSession, 50_000)
+    # at most KNOWN units, a partition at a time
+    parts = [[np.frombuffer(x, t) for x, t in zip(r, (np.uint64, np.uint32, np.uint16), strict=True)] for r in rows.select("unit", "ids").mapInArrow(run, "h binary, size binary, ids binary").toLocalIterator()]
+    small_batches(rows.sparkSession, BATCH)
+    h, size, ids = (np.concatenate([p.pop(0) for p in parts]) if parts else np.zeros(0, t) for t in (np.uint64, np.uint32, np.uint16))
+    return Known(h, size, ids)
 
 
 def _missing(docs: DataFrame, path: str, sent) -> DataFrame:
-    """key and h of the units of each document that are not among the known."""
+    """key and unit of the units of each document that are not among the known."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path)
         for batch in batches:
             keys = batch.column(1).to_numpy()
-            for at, rows, data, bounds in text_buffers(batch.column(0)):
-                starts, _, h = own.units(data, bounds)
-                gone = np.flatnonzero(~sent.value.find(h)[1])
+            for at, rows, data, bounds in text_buffers(batch.column(0), CHUNK):
+                starts, ends, h = own.units(data, bounds)
+                gone, raw = np.flatnonzero(~sent.value.find(h)[1]), data.tobytes()
                 key = keys[at : at + rows][np.searchsorted(bounds, starts[gone], side="right") - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h[gone].view(np.int64))], names=["key", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array([raw[a:b].decode() for a, b in zip(starts[gone].tolist(), ends[gone].tolist(), strict=True)], pa.string())], names=["key", "unit"])
 
-    return docs.select("t", "key").mapInArrow(run, "key long, h long").distinct()
+    return docs.select("t", "key").mapInArrow(run, "key long, unit string").distinct()
 
 
-def encode(docs: DataFrame, path: str | None = None, known: int | None = None) -> DataFrame:
-    """doc_id, t (the text as encoded) and ids of every document."""
-    spark, path, known = docs.sparkSession, path or model_path(), KNOWN if known is None else known
-    small_batches(spark)
+def _encoded(docs: DataFrame, path: str, known: int | None, finish: Callable, schema: str) -> DataFrame:
+    """What finish(vocabulary, doc_ids, texts as encoded, ids of each) gives for every batch; one Python stage from text to result."""
+    spark, known = docs.sparkSession, KNOWN if known is None else known
+    small_batches(spark, BATCH)
     docs = docs.select("doc_id", "text")
     units = encode_units(docs, path)
     total = units.count()
-    common = units if total <= known else units.join(distinct_units(docs, path).orderBy(F.desc("tasks"), "h").limit(known).select("h"), "h", "left_semi")
-    sent = spark.sparkContext.broadcast(_packed(common))
+    common = units if total <= known else units.join(distinct_units(docs, path).orderBy(F.desc("tasks"), "unit").limit(known).select("unit"), "unit", "left_semi")
+    sent = spark.sparkContext.broadcast(_packed(common, path))
     rows = _spaced(docs, F.xxhash64("text").alias("key"))
     if total > known:
-        rest = _missing(rows, path, sent).join(units, "h").groupBy("key").agg(F.collect_list("h").alias("hs"), F.collect_list("ids").alias("lists"))
+        rest = _missing(rows, path, sent).join(units, "unit").groupBy("key").agg(F.collect_list("unit").alias("hs"), F.collect_list("ids").alias("lists"))
         rows = rows.join(rest.withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left").select("doc_id", "t", "key", "hs", "lists")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path)
         for batch in batches:
             texts, out = batch.column(1), []
-            for at, n, data, bounds in text_buffers(texts):
-                starts, _, h = own.units(data, bounds)
+            for at, n, data, bounds in text_buffers(texts, CHUNK):
+                starts, ends, h = own.units(data, bounds)
                 place, there = sent.value.find(h)
                 row = np.searchsorted(bounds, starts, side="right") - 1
                 if there.all():
@@ -263,16 +301,25 @@ def encode(docs: DataFrame, path: str | None = None, known: int | None = None) -
                     size = np.bincount(row, weights=sent.value.size[place], minlength=n).astype(np.int64) if len(row) else np.zeros(n, np.int64)
                     out += np.split(ids, np.cumsum(size)[:-1])
                     continue
+                raw = data.tobytes()
                 for k in range(n):  # some units came by the join
                     mine = np.flatnonzero(row == k)
                     extra = dict(zip(batch.column(3)[at + k].as_py() or (), batch.column(4)[at + k].as_py() or (), strict=True))
-                    part = [sent.value.ids[sent.value.first[p] : sent.value.first[p] + sent.value.size[p]] if ok else extra[int(x)] for p, ok, x in zip(place[mine], there[mine], h[mine].view(np.int64), strict=True)]
+                    part = [sent.value.ids[int(sent.value.first[p]) : int(sent.value.first[p]) + int(sent.value.size[p])] if ok else extra[raw[a:b].decode()] for p, ok, a, b in zip(place[mine], there[mine], starts[mine].tolist(), ends[mine].tolist(), strict=True)]
                     out.append(np.concatenate([np.asarray(p, np.uint16) for p in part]) if part else np.zeros(0, np.uint16))
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
-            flat = np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), texts, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "t", "ids"])
+            yield finish(own, batch.column(0), texts, out)
 
-    return rows.mapInArrow(run, "doc_id long, t string, ids array<int>")
+    return rows.mapInArrow(run, schema)
+
+
+def encode(docs: DataFrame, path: str | None = None, known: int | None = None) -> DataFrame:
+    """doc_id, t (the text as encoded) and ids of every document."""
+    def finish(_: Vocabulary, doc: pa.Array, texts: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+        flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+        return pa.RecordBatch.from_arrays([doc, texts, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "t", "ids"])
+
+    return _encoded(docs, path or model_path(), known, finish, "doc_id long, t string, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -288,18 +335,12 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def report(docs: DataFrame, path: str | None = None) -> DataFrame:
+def report(docs: DataFrame, path: str | None = None, known: int | None = None) -> DataFrame:
     """Digests of every document's ids, and whether decoding them gives the text again."""
-    path = path or model_path()
+    def finish(own: Vocabulary, doc: pa.Array, texts: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
+        raw = [x.as_buffer().to_pybytes() if len(x.as_buffer()) else b"" for x in texts]
+        same = [own.decode(x.astype(np.int64)) == t for x, t in zip(ids, raw, strict=True)]
+        sums = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
+        return pa.RecordBatch.from_arrays([doc, pa.array([max(0, len(t) - 1) for t in raw], pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array(sums, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_bytes", "n_pieces", "ids_crc32", "round_trip"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = vocabulary(path)
-        for batch in batches:
-            ids = [x.values.to_numpy() for x in batch.column(2)]
-            texts = [x.as_buffer().to_pybytes() if len(x.as_buffer()) else b"" for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([max(0, len(t) - 1) for t in texts], pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([own.decode(x.astype(np.int64)) == t for x, t in zip(ids, texts, strict=True)], pa.bool_())],
-                names=["doc_id", "n_bytes", "n_pieces", "ids_crc32", "round_trip"],
-            )
-
-    return encode(docs, path).mapInArrow(run, "doc_id long, n_bytes long, n_pieces long, ids_crc32 long, round_trip boolean")
+    return _encoded(docs, path or model_path(), known, finish, "doc_id long, n_bytes long, n_pieces long, ids_crc32 long, round_trip boolean")
