@@ -26,7 +26,7 @@ ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]+"
 #: Kind, pattern, its group whose length counts, least length, and a cheaper test that any match passes.
 BASE = (
-    ("assign", ASSIGN, 1, 6, r"(?i:passw|secret|token|key)[a-z]*[\"']?\x20*[:=]"),
+    ("assign", ASSIGN, 1, 6, r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"),
     ("access", ACCESS, 0, 20, "AKIA"),
     ("hex", HEX, 0, 24, "[0-9a-f]{24}"),
 )

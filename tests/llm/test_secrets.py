@@ -47,3 +47,12 @@ def test_held_out_samples(spark):
     ratios = secrets.log_ratios(all_rows.where("fold < 2"))
     rows = all_rows.where("fold = 2").select("label", (secrets.score(secrets.F.col("s"), ratios) > secrets.THRESHOLD).cast("int").alias("got")).collect()
     assert sum(r.label == r.got for r in rows) >= 0.98 * len(rows)
+
+
+def test_assignments_in_upper_case(spark):
+    """Each text holds one spelling only, so that no other lets it pass the cheap test."""
+    texts = ["PASSWORD=hunter2222", "PASSWD: hunter2222", "PassWORD='hunter2222'", "a passWORD = hunter2222", 'x API_KEY":"hunter2222', "APIKEY=hunter2222", "SECRET = hunter2222", "PASSWORDS=hunter2222", "passwords=hunter2222"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = secrets.report(docs).collect()
+    assert sorted(tuple(r)[:5] for r in rows) == sorted((i, *brute(t)) for i, t in enumerate(texts))
+    assert [r.n_assign for r in sorted(rows)] == [1] * 7 + [0] * 2
