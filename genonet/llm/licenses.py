@@ -1,8 +1,8 @@
 """License scan: ordered signature rules, in DataFrame functions only.
 
 A text becomes its words (A-Z lower-cased) with one space between. A rule is a regular expression
-over that, with a label, a priority and a keyword; it is tried only where the text has its
-keyword. All matches of the rules that are tried are sorted by start and then length; a match
+over that, with a label, a priority and keywords, of which every match holds one as a whole word; it
+is tried only where the text has one of them. All matches of the rules that are tried are sorted by start and then length; a match
 inside an earlier one is suppressed, of two equal or overlapping ones the better priority stays.
 The labels of what stays are the method's. Base phrases are looked for on the words themselves
 and always stay. The score is the best weight of what was found: 1 for a grant or an identifier,
@@ -28,14 +28,14 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 WEIGHTS = {1: 1.0, 2: 0.9, 3: 0.7, 4: 0.4}
 V = "(?:version |v )?"
 L = "licen[cs]e"
-#: Rules by hand: label | priority | keyword | expression. {V} is an optional "version", {L} either spelling of license.
+#: Rules by hand: label | priority | keywords, of which every match holds one | expression. {V} is an optional "version", {L} either spelling of license.
 RULES = """
-mit | 2 | license | (?:the )?(?:mit|expat) {L}
+mit | 2 | license,licence | (?:the )?(?:mit|expat) {L}
 mit | 1 | permission | permission is hereby granted free of charge to any person obtaining a copy of this software
 mit | 3 | substantial | shall be included in all copies or substantial portions of the software
-mit | 1 | license | (?:released|licensed|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?(?:mit|expat) {L}
+mit | 1 | license,licence | (?:released|licensed|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?(?:mit|expat) {L}
 mit-0 | 2 | attribution | mit no attribution(?: {L})?
-x11 | 2 | license | x11 {L}
+x11 | 2 | license,licence | x11 {L}
 x11 | 3 | consortium | except as contained in this notice the name of the x consortium
 apache-2.0 | 1 | apache | (?:released|licensed|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?apache (?:software )?{L} {V}2(?: 0)?
 apache-2.0 | 2 | apache | apache (?:software )?{L} {V}2(?: 0)?
@@ -45,7 +45,7 @@ apache-1.0 | 2 | apache | apache (?:software )?{L} {V}1 0
 apache | 3 | apache | apache (?:software )?{L}
 apache-2.0 | 3 | limitations | see the {L} for the specific language governing permissions and limitations
 apache | 3 | apache | this product includes software developed by the apache software foundation
-bsd-2-clause | 2 | bsd | (?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: {L})?
+bsd-2-clause | 2 | bsd,freebsd | (?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: {L})?
 bsd-2-clause | 2 | freebsd | freebsd {L}
 bsd-3-clause | 2 | bsd | (?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: {L})?
 bsd-4-clause | 2 | bsd | (?:bsd 4 clause|4 clause bsd|original bsd|old bsd)(?: {L})?
@@ -53,22 +53,22 @@ bsd | 3 | bsd | bsd (?:style )?{L}
 bsd | 1 | redistribution | redistribution and use in source and binary forms with or without modification are permitted
 bsd-3-clause | 2 | endorse | neither the name of .{{1,80}}? may be used to endorse or promote products
 bsd-4-clause | 2 | advertising | all advertising materials mentioning features or use of this software must display
-0bsd | 2 | bsd | (?:zero clause bsd|bsd zero clause|0bsd)(?: {L})?
+0bsd | 2 | bsd,0bsd | (?:zero clause bsd|bsd zero clause|0bsd)(?: {L})?
 gpl-2.0 | 1 | gnu | under the (?:terms of the )?gnu (?:general public {L}|gpl) (?:{V}|as published by the free software foundation (?:either )?version )2(?: 0)?
 gpl-3.0 | 1 | gnu | under the (?:terms of the )?gnu (?:general public {L}|gpl) (?:{V}|as published by the free software foundation (?:either )?version )3(?: 0)?
 gpl-1.0 | 2 | gnu | gnu (?:general public {L}|gpl) {V}1(?: 0)?
 gpl-2.0 | 2 | gnu | gnu (?:general public {L}|gpl) {V}2(?: 0)?
 gpl-3.0 | 2 | gnu | gnu (?:general public {L}|gpl) {V}3(?: 0)?
-gpl-2.0 | 2 | gpl | (?:gpl {V}|gpl ?v)2(?: 0)?
-gpl-3.0 | 2 | gpl | (?:gpl {V}|gpl ?v)3(?: 0)?
+gpl-2.0 | 2 | gpl,gplv2 | (?:gpl {V}|gpl ?v)2(?: 0)?
+gpl-3.0 | 2 | gpl,gplv3 | (?:gpl {V}|gpl ?v)3(?: 0)?
 gpl-2.0 | 2 | gplv2 | gplv2
 gpl-3.0 | 2 | gplv3 | gplv3
 gpl | 3 | gnu | (?:the )?gnu (?:general public {L}|gpl)
-gpl | 3 | gpl | gpl(?:ed| {L})?
+gpl | 3 | gpl,gpled | gpl(?:ed| {L})?
 gpl | 4 | public | general public {L}
 gpl | 3 | redistribute | you can redistribute it and or modify it under the terms of the gnu general public {L}
 gpl-linking | 3 | exception | (?:classpath|linking|gcc runtime library|font) exception
-lgpl-2.0 | 2 | lesser | (?:gnu )?(?:lesser|library) general public {L} {V}2(?: 0)?
+lgpl-2.0 | 2 | lesser,library | (?:gnu )?(?:lesser|library) general public {L} {V}2(?: 0)?
 lgpl-2.0 | 2 | library | (?:gnu )?library general public {L} {V}2(?: 0)?
 lgpl-2.1 | 2 | lesser | (?:gnu )?lesser general public {L} {V}2 1
 lgpl-3.0 | 2 | lesser | (?:gnu )?lesser general public {L} {V}3(?: 0)?
@@ -136,7 +136,7 @@ cc-by-nd | 2 | creativecommons | creativecommons org {L}s by nd [1-4] [05]
 cc-by-nc-sa | 2 | creativecommons | creativecommons org {L}s by nc sa [1-4] [05]
 cc-by-nc-nd | 2 | creativecommons | creativecommons org {L}s by nc nd [1-4] [05]
 cc0-1.0 | 2 | creativecommons | creativecommons org publicdomain zero 1 0
-isc | 2 | license | (?:the )?isc {L}
+isc | 2 | license,licence | (?:the )?isc {L}
 isc | 1 | permission | permission to use copy modify and or distribute this software for any purpose with or without fee
 ntp | 2 | permission | permission to use copy modify and distribute this software and its documentation for any purpose
 zlib | 2 | zlib | zlib(?: libpng)? {L}
@@ -181,8 +181,8 @@ ncsa | 2 | ncsa | (?:university of illinois )?ncsa(?: open source)? {L}
 afl-3.0 | 2 | academic | academic free {L}(?: {V}3 0)?
 afl-2.1 | 2 | academic | academic free {L} {V}2 1
 ecl-2.0 | 2 | educational | educational community {L}(?: {V}2 0)?
-osl-3.0 | 2 | license | open software {L}(?: {V}3 0)?
-osl-2.1 | 2 | license | open software {L} {V}2 1
+osl-3.0 | 2 | license,licence | open software {L}(?: {V}3 0)?
+osl-2.1 | 2 | license,licence | open software {L} {V}2 1
 cecill-2.1 | 2 | cecill | cecill(?: {V}2 1)?
 cecill-b | 2 | cecill | cecill b
 cecill-c | 2 | cecill | cecill c
@@ -212,7 +212,7 @@ public-domain | 3 | copyright | no (?:known )?copyright(?: restrictions)?
 proprietary | 2 | proprietary | proprietary and confidential
 proprietary | 3 | proprietary | proprietary (?:software|information|{L})
 proprietary | 3 | confidential | confidential (?:and proprietary|information)
-proprietary | 2 | strictly | unauthori[sz]ed (?:copying|use|reproduction|distribution) .{{1,60}}?strictly prohibited
+proprietary | 2 | prohibited | unauthori[sz]ed (?:copying|use|reproduction|distribution) .{{1,60}}?strictly prohibited
 proprietary | 3 | permission | (?:without|except with) (?:the )?(?:prior |express |prior written |express written |written )permission
 commercial | 3 | commercial | commercial {L}
 evaluation | 3 | evaluation | evaluation {L}
@@ -220,20 +220,20 @@ eula | 2 | end | end user {L} agreement
 eula | 3 | eula | eula
 freeware | 3 | freeware | freeware
 shareware | 3 | shareware | shareware
-dual-license | 3 | dual | dual(?:ly)? licen[cs]ed
+dual-license | 3 | dual,dually | dual(?:ly)? licen[cs]ed
 reserved | 2 | reserved | (?:all|some|no) rights reserved
 reserved | 2 | reservados | (?:todos los )?derechos reservados
 reserved | 2 | vorbehalten | alle rechte vorbehalten
 reserved | 2 | droits | tous droits r.serv.s
-copyright | 3 | copyright | (?:copyright|copr) (?:c )?(?:19|20)[0-9][0-9]
+copyright | 3 | copyright,copr | (?:copyright|copr) (?:c )?(?:19|20)[0-9][0-9]
 copyright | 4 | copyright | copyright (?:holders?|owners?|notice)
-copyright | 4 | copyright | copyrighted|copyright
+copyright | 4 | copyright,copyrighted | copyrighted|copyright
 no-warranty | 3 | warranty | (?:without|no) (?:any )?warranty(?: of any kind)?
 no-warranty | 3 | warranties | without warranties or conditions of any kind
 no-warranty | 3 | merchantability | (?:warranty|warranties) of merchantability
 no-liability | 3 | liable | in no event shall .{{1,120}}? be (?:held )?liable
-unknown | 4 | licensed | (?:licensed|sublicensed) (?:under|to)
-unknown | 4 | license | (?:open source|free|public|software|see|this) {L}
+unknown | 4 | licensed,sublicensed | (?:licensed|sublicensed) (?:under|to)
+unknown | 4 | license,licence | (?:open source|free|public|software|see|this) {L}
 unknown | 4 | licence | (?:open source|free|public|software|see|this) licence
 """
 #: Identifiers that tag lines name; each gives two rules.
@@ -245,26 +245,32 @@ IDENTIFIERS = (
 
 
 @cache
-def rules() -> tuple[tuple[str, int, str, str], ...]:
-    """label, priority, keyword and expression of every rule."""
+def _gated() -> tuple[tuple[str, int, tuple[str, ...], str], ...]:
+    """label, priority, keywords and expression of every rule."""
     out = []
     for line in RULES.strip().split("\n"):
-        label, priority, keyword, expression = line.split(" | ", 3)
-        out.append((label, int(priority), keyword, expression.format(V=V, L=L)))
+        label, priority, keywords, expression = line.split(" | ", 3)
+        out.append((label, int(priority), tuple(keywords.split(",")), expression.format(V=V, L=L)))
     for name in IDENTIFIERS:
         said = name.replace("-", " ").replace(".", " ")
-        out.append((name, 1, "spdx", f"spdx {L} identifier {said}"))
-        out.append((name, 3, "license", f"{L} {said}"))
+        out.append((name, 1, ("spdx",), f"spdx {L} identifier {said}"))
+        out.append((name, 3, ("license", "licence"), f"{L} {said}"))
     return tuple(out)
 
 
+@cache
+def rules() -> tuple[tuple[str, int, str, str], ...]:
+    """label, priority, first keyword and expression of every rule."""
+    return tuple((label, priority, words[0], e) for label, priority, words, e in _gated())
+
+
 def _rule_table() -> Column:
-    return F.array(*[F.struct(F.lit(k).alias("id"), F.lit(w).alias("word"), F.lit(f"(?<= )(?:{e})(?= )").alias("re")) for k, (_, _, w, e) in enumerate(rules())])
+    return F.array(*[F.struct(F.lit(k).alias("id"), F.array(*map(F.lit, words)).alias("words"), F.lit(f"(?<= )(?:{e})(?= )").alias("re")) for k, (_, _, words, e) in enumerate(_gated())])
 
 
 def _detected(text: Column, present: Column) -> Column:
-    """Spans of all rules whose keyword the text has; k is the rule's number."""
-    tried = F.filter(_rule_table(), lambda r: F.array_contains(present, r["word"]))
+    """Spans of all rules one of whose keywords the text has; k is the rule's number."""
+    tried = F.filter(_rule_table(), lambda r: F.arrays_overlap(present, r["words"]))
     return F.flatten(F.transform(tried, lambda r: match_spans(text, r["re"], r["id"])))
 
 
@@ -305,7 +311,7 @@ def _numbered(places: Column, k: int) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, places (of base phrases: word, phrase number) and rules (numbers of the rules that stay)."""
-    keywords = F.array(*map(F.lit, sorted({w for _, _, w, _ in rules()} | {p.split(" ")[-1] for p in PHRASES})))
+    keywords = F.array(*map(F.lit, sorted({w for _, _, words, _ in _gated() for w in words} | {p.split(" ")[-1] for p in PHRASES})))
     none, no_rule = F.array().cast("array<struct<w:int,p:int>>"), F.array().cast("array<int>")
 
     def of_text(words: Column, present: Column) -> Column:

@@ -65,3 +65,32 @@ def test_whole_table(spark):
     for r in licenses.report(docs).collect():
         assert tuple(r)[1:6] == brute(texts[r.doc_id])
         assert set(r.labels.split(",")) - {""} == (set(r.base_labels.split(",")) - {""}) | brute_rules(texts[r.doc_id])
+
+
+def ungated(text):
+    """brute_rules() with every rule tried on every text."""
+    norm = " " + " ".join(WORD.findall((text or "").translate(FOLD))) + " "
+    kept = []
+    for s, n, p, k in sorted((m.start(), -m.end(), r[1], k) for k, r in enumerate(licenses.rules()) for m in re.finditer(f"(?<= )(?:{r[3]})(?= )", norm)):
+        if kept and (-n <= kept[-1][1] or s < kept[-1][1] and p >= kept[-1][2]):
+            continue
+        if kept and s < kept[-1][1]:
+            kept.pop()
+        kept.append((s, -n, p, k))
+    return {licenses.rules()[k][0] for *_, k in kept}
+
+
+def test_rules_are_tried_wherever_they_match(spark):
+    """Each text matches a rule by another word than the rule's first keyword."""
+    texts = [
+        "Released under the MIT licence", "the ISC Licence", "X11 licence", "open software licence 3.0", "open software licence 2.1", "licence: mpl 2.0", "free licence", "0BSD", "FreeBSD", "dually licensed", "dually licenced",
+        "copyrighted", "Copr. 2001", "GPLed", "gplv2.0", "gplv3.0", "GNU library general public licence 2", "sublicensed to", "Unauthorised copying is strictly prohibited", "unauthorized use (un)strictly prohibited",
+        "unauthorized use, unstrictly prohibited",
+    ]
+    got = {r.doc_id: set(r.labels.split(",")) - {""} for r in licenses.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got.values()) and [got[i] for i in (0, 7, 9, 11, 12)] == [{"mit"}, {"0bsd"}, {"dual-license"}, {"copyright"}, {"copyright"}]
+    assert got == {i: ungated(t) for i, t in enumerate(texts)}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in licenses.report(docs).collect():
+        assert set(r.labels.split(",")) - {""} == (set(r.base_labels.split(",")) - {""}) | ungated(texts[r.doc_id])
