@@ -56,7 +56,7 @@ def in_genome(term_loci: DataFrame, genes: DataFrame) -> DataFrame:
     return term_loci.select("term", F.upper("gene").alias("gene")).distinct().join(genes.select(F.upper("id").alias("gene")).distinct(), "gene", "left_semi")
 
 
-def terms_containing(term_loci: DataFrame, genes: DataFrame, low: int = 2, high: int = 300) -> DataFrame:
+def terms_containing(term_loci: DataFrame, genes: DataFrame, low: int = 0, high: int | None = None) -> DataFrame:
     """Terms with any of the listed genes, and their sizes."""
     hit = term_loci.join(genes.select("gene").distinct(), "gene", "left_semi").select("term").distinct()
     return term_sizes(term_loci, low, high).join(hit, "term", "left_semi")

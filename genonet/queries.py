@@ -457,7 +457,7 @@ def ontology_enrichment(spark, at):
 @query(f"{_PAIRS} SELECT source_term, target_term, x AS num_common, round(pval, 6) AS pval, pval <= 0.05 / (10 * 13) AS bonferroni FROM p")
 def adjacency(spark, at):
     n = table(spark, at, "embeddings").count()
-    return ontology.adjacency(labels(spark, at), modulus(spark, at), n).where("source_size <= 300 and target_size <= 300").select("source_term", "target_term", "num_common", r6("pval", "pval"), "bonferroni")
+    return ontology.adjacency(labels(spark, at), modulus(spark, at), n).select("source_term", "target_term", "num_common", r6("pval", "pval"), "bonferroni")
 
 
 # ---- overlap ----

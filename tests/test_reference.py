@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from genonet import queries
 from genonet.functions import stats
 from genonet.operators import coexpression as cx
 from genonet.operators import expression as ex
@@ -244,3 +245,13 @@ def test_streaming_merge(spark, tmp_path):
         rows(v)
         merge_stream(spark.readStream.schema("k string, v int").json(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), ["k"]).awaitTermination()
     assert [r.v for r in spark.read.parquet(str(tmp_path / "out" / "v=1")).collect()] == [2]
+
+
+def test_large_terms_stay(spark, tmp_path):
+    """Terms of more than 300 genes, which only enrichment leaves out."""
+    n = 4030
+    spark.range(n).select(F.col("id").alias("vec_id"), (F.col("id") % 10).alias("label")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    pairs = {(r.source_term, r.target_term): r.num_common for r in queries.adjacency(spark, str(tmp_path)).collect()}
+    assert pairs == {(f"L{a}", f"M{b}"): n // 130 for a in range(10) for b in range(13)}
+    # vec_id % 12 == 5 is odd, so only the odd labels hold one of the listed genes
+    assert {(r.term, r.size) for r in queries.terms_containing(spark, str(tmp_path)).collect()} == {(f"L{a}", n // 10) for a in range(1, 10, 2)}
