@@ -65,3 +65,15 @@ def test_edges(spark):
     got = sorted((r.page_id, r.n_chars) for r in htmlmain.extract(pages).collect())
     assert got == [(1, 0), (2, 0), (3, 3000 * 23 - 1), (4, 0), (4, 0)]
     assert htmlmain.extract(pages.limit(0)).count() == 0
+
+
+def test_self_closed_svg(spark):
+    """An empty svg is skipped like a full one, and takes nothing with it."""
+    page = "<html><body><header>{0}</header><article><p>Some words{0} stand here.</p><p>And some more words here.</p></article>{1}</body></html>"
+    want = htmlmain.blocks(page.format("", ""))
+    icons = ["<svg/>", '<svg class="i"/>', "<svg class='a>b' />", "<SVG WIDTH=10 />", '<svg class="i"><use href="#x"/></svg>']
+    assert len(want) == 2 and all(htmlmain.blocks(page.format(icon, end)) == want for icon in icons for end in ("", "<svg><path/></svg>"))
+    article = "<article>" + "<p>Some words stand here.</p>" * 20 + "</article>"
+    html = [f"<html><body><nav>{icon}<a>x</a></nav>{article}</body></html>" for icon in ("", '<svg class="i"/>')]
+    rows = htmlmain.extract(spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id long, url string, html string")).collect()
+    assert len({r.text for r in rows}) == 1 and [r.n_chars for r in rows] == [20 * 23 - 1] * 2
