@@ -10,7 +10,8 @@ Nothing is shuffled: the benchmark goes to the documents. It is sent in blocks o
 with several blocks each document's hits are merged by an aggregation on its row key.
 
 Defined results: a null or empty text has no words and is never contaminated. A benchmark item
-without words (null, empty, signs only) has no window. Repeated document rows each get a row.
+without words (null, empty, signs only) has no window, and one with a null item_id is not looked
+for. Repeated document rows each get a row.
 Repeated items count each by their own id. Extra columns of either table are ignored by scan()
 and passed through by decontaminate(). Empty tables give empty or uncontaminated results.
 """
