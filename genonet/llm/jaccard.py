@@ -27,7 +27,7 @@ so what goes to the driver and back is bounded; a bit set by another id costs ti
 
 Defined results: null or empty text has an empty set, links with nothing and is its own
 component. Texts of one to four words have one shingle, the whole sequence. Rows that repeat a
-doc_id count as documents with that id. A null doc_id gets n_shingles and a null component.
+doc_id count as documents with that id; where their texts differ, the id links what each links. A null doc_id gets n_shingles and a null component.
 Extra columns are ignored by near_duplicates() and passed through by keep_one().
 """
 
@@ -348,7 +348,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = written(filled.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
     key = (F.col("doc_id") == F.col("rep")) & (F.col("n") == F.col("rn")) & (F.col("d1") == F.col("r1")) & (F.col("d2") == F.col("r2"))
     reps = filled.join(classes.select("rep", F.col("n").alias("rn"), F.col("d1").alias("r1"), F.col("d2").alias("r2")), key, "left_semi")
-    links = _links(docs, _first_pairs(reps))
+    links = _links(docs, _first_pairs(reps)).unionByName(_repeated(filled, classes))
     found = components(links)
     copies = filled.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).where("doc_id <> rep").select("doc_id", F.lit(None).cast("long").alias("comp"))
     marks = written(found.select(F.col("node").alias("doc_id"), "comp").unionByName(copies.distinct()))
@@ -370,6 +370,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
 
 
+def _repeated(filled: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) from each doc_id that stands in several classes to their representatives."""
+    several = filled.groupBy("doc_id").agg(F.min(F.struct("n", "d1", "d2")).alias("lo"), F.max(F.struct("n", "d1", "d2")).alias("hi")).where("lo <> hi").select("doc_id")
+    rows = filled.select("doc_id", "n", "d1", "d2").join(several, "doc_id", "left_semi").join(classes, ["n", "d1", "d2"])
+    return written(rows.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
+
+
 def _labelled(sigs: DataFrame, marks: DataFrame) -> DataFrame:
     """The representatives with their component so far as ``comp``: their own id, or what ``marks`` has; null there drops a copy.
 

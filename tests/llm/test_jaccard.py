@@ -81,3 +81,15 @@ def test_bitmaps_bound_overlaps():
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 70), (80, 80)], "a long, b long")
     assert {r.node: r.comp for r in jaccard.components(links).collect()} == {**{i: 1 for i in range(1, 41)}, 50: 50, 60: 50, 70: 50}
+
+
+def test_repeated_ids_of_several_texts(spark, monkeypatch):
+    """Id 5 has a copy of document 1 and a text of its own, id 7 copies of two documents."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (9, f"{b} more"), (2, c), (3, d), (7, c), (7, d), (8, f"{d} more"), (10, "e f g h i j")]
+    want = sorted(brute(rows))
+    assert {i: top for i, _, top in want} == {1: 1, 5: 1, 9: 1, 2: 2, 3: 2, 7: 2, 8: 2, 10: 10}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.near_duplicates(docs).collect())) == want
+    monkeypatch.setattr(jaccard, "KEYS", 0)  # no first round: links lie outside the first shingles
+    assert sorted(map(tuple, jaccard.near_duplicates(docs).collect())) == want
