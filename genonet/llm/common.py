@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,20 +24,35 @@ _own: dict[str, str] = {}
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder path that the driver and all executors can reach.
 
-    It lies in ``spark.checkpoint.dir``. Where that is unset (tests, one machine),
-    a temporary folder of this process takes its place and is also set for checkpoint().
+    It lies in ``spark.checkpoint.dir``. Where that is unset, a local master (tests, one machine)
+    takes a temporary folder of this process, also for checkpoint(); on a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _own.setdefault("dir", tempfile.mkdtemp(prefix="genonet-"))
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/genonet-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def short_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """Actions inside send Arrow batches of at most ``size`` bytes to Python workers; the session's own bound comes back after."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key)
+    spark.conf.set(key, f"{size}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def written(df: DataFrame, path: str | None = None, mode: str = "errorifexists") -> DataFrame:
     """Writes a table to the shared folder and reads it back, which cuts the lineage."""
     path = path or scratch_dir(df.sparkSession)
-    df.write.mode(mode).parquet(path)
+    with short_batches(df.sparkSession):
+        df.write.mode(mode).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -43,6 +61,29 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def cut(batches: Iterator, rows: int = 512) -> Iterator:
+    """Arrow batches in pieces of at most ``rows`` rows. Spark bounds the bytes of what arrives."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, after whose end the worker gives freed memory back to the machine: it waits for further tasks beside the JVM."""
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow as pa
+
+            _powers.update(p=np.ones(1, np.uint64), i=np.ones(1, np.uint64))
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries do so by themselves
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only. Texts without other letters take the faster built-in way."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
