@@ -33,20 +33,23 @@ Extra columns are ignored by near_duplicates() and passed through by keep_one().
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, small_batches, text_buffers, written
+from .common import cut, hash_words, mix, short_batches, text_buffers, tidy, written
 
 WORDS = 5
 SKETCH = 1 << 16
 KEYS = 4
 TILE = 256
 SMALL = 4
+TILE_ROWS = 2048
+LISTED = 256
+FORESTS = 1
 CHUNK = 1 << 20
 BATCH = 256
 ID_BITS = 1 << 26
@@ -80,16 +83,18 @@ def shingle_sets(column) -> Iterator[np.ndarray]:
 
 def _sketch(docs: DataFrame) -> np.ndarray:
     """The rank of every counter: of how many shingles it holds, fewest first."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(SKETCH, np.int64)
-        for batch in batches:
+        for batch in cut(batches, BATCH):
             sets = list(shingle_sets(batch.column(0)))
             if sets:
                 count += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], names=["b", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect()  # SKETCH rows at most
+    with short_batches(docs.sparkSession):
+        rows = docs.select("text").mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect()  # SKETCH rows at most
     count = np.zeros(SKETCH, np.int64)
     for b, n in rows:
         count[b] = n
@@ -120,8 +125,9 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 def _signatures(docs: DataFrame, rank: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(rank)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches, BATCH):
             sets = [ordered(s, sent.value) for s in shingle_sets(batch.column(1))]
             size = [len(s) for s in sets]
             prefix = [s[: n - (3 * n + 3) // 4 + 1] if n else s for s, n in zip(sets, size, strict=True)]
@@ -170,16 +176,20 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
 
 
-def _texts(docs: DataFrame, ids: DataFrame, name: str, text: str) -> DataFrame:
-    """Ids and texts of the documents whose ids' bits are set: those of ``ids``, and few others."""
-    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(ids.select(_id_bit(name))))
+def _texts(docs: DataFrame, ids: DataFrame, names: list[str], then: Callable | None = None, schema: str = "") -> DataFrame:
+    """Ids (named like the column of ``ids``) and texts of the documents whose ids' bits are set: those of ``ids``, and few others. then: what to make of them in the same task."""
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(ids.select(_id_bit(names[0]))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             here = pa.array(_in_bitmap(batch.column(2).to_numpy(), sent.value))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(here), batch.column(1).filter(here)], names=[name, text])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(here), batch.column(1).filter(here)], names=names)
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from then(picked(batches)) if then else picked(batches)
 
-    return docs.where("doc_id is not null").select("doc_id", "text", _id_bit("doc_id")).mapInArrow(run, f"{name} long, {text} string")
+    return docs.where("doc_id is not null").select("doc_id", "text", _id_bit("doc_id")).mapInArrow(run, schema or f"{names[0]} long, {names[1]} string")
 
 
 def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -188,10 +198,11 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     Texts travel, not sets: they are smaller, and hashing them again is cheap.
     """
     pairs = written(pairs)
-    both = pairs.join(_texts(docs, pairs, "b", "tb"), "b").join(_texts(docs, pairs, "a", "ta"), "a")
+    both = pairs.join(_texts(docs, pairs, ["b", "tb"]), "b").join(_texts(docs, pairs, ["a", "ta"]), "a")
 
+    @tidy
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches, BATCH):
             _, first, back = np.unique(batch.column(3).to_numpy(), return_index=True, return_inverse=True)
             # a document that stands for many is hashed once a batch; rows that repeat an id may differ in text
             tb = batch.column(1)
@@ -226,19 +237,21 @@ def _first_pairs(reps: DataFrame) -> DataFrame:
     """Each document with one leader for each of its first shingles, within a size band."""
     keyed = reps.select("doc_id", "n", _band(F.col("n")).alias("band"), F.explode("keys").alias("k"))
     leaders = keyed.groupBy("k", "band").agg(F.min(F.struct("n", "doc_id")).alias("l"), F.count(F.lit(1)).alias("m")).where("m > 1").select("k", "band", F.col("l.doc_id").alias("b"), F.col("l.n").alias("bn"))
-    pairs = keyed.join(leaders, ["k", "band"]).where((F.col("doc_id") != F.col("b")) & _comparable(F.col("n"), F.col("bn")))
+    pairs = keyed.join(written(leaders), ["k", "band"]).where((F.col("doc_id") != F.col("b")) & _comparable(F.col("n"), F.col("bn")))
     return pairs.select(F.col("doc_id").alias("a"), "b").distinct()
 
 
-def _bound_pairs(group: np.ndarray, doc: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[bytes], side: np.ndarray, main: np.ndarray) -> np.ndarray:
+def _bound_pairs(group: np.ndarray, doc: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: list[bytes], side: np.ndarray, main: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows of one tile that may link: another component, comparable sizes, and an overlap that the bitmaps allow.
 
     Rows come tile by tile (group numbers the tiles), by width of their bitmaps within a tile.
     side: 3 throughout in a tile of one chunk, else 1 or 2 by chunk, and a pair has one row of each.
     main: whether the row is of the tile's own band; a pair has one such row at least.
+    Returns the rows of each pair, and the highest similarity that the bitmaps allow (1 where there are none).
     """
+    none = np.zeros(0, np.int64)
     if not len(group):
-        return np.zeros((0, 2), np.int64)
+        return none, none, none.astype(float)
     last = np.searchsorted(group, group, side="right")
     ahead = last - np.arange(len(group)) - 1
     i = np.repeat(np.arange(len(group)), ahead)
@@ -246,12 +259,12 @@ def _bound_pairs(group: np.ndarray, doc: np.ndarray, comp: np.ndarray, n: np.nda
     fine = (comp[i] != comp[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])) & (main[i] | main[j]) & ((side[i] == 3) | (side[i] != side[j]))
     i, j = i[fine], j[fine]
     bare = np.array([b is None for b in bits])  # rows of small tiles, whose bitmaps come later
-    loose = np.stack((doc[i[bare[i]]], doc[j[bare[i]]]), axis=1)
-    i, j = i[~bare[i]], j[~bare[i]]
+    loose = bare[i]
+    li, lj, i, j = i[loose], j[loose], i[~loose], j[~loose]
     width = np.array([0 if b is None else len(b) // 8 for b in bits])
     swap = width[i] > width[j]
     i, j = np.where(swap, j, i), np.where(swap, i, j)
-    keep = np.zeros(len(i), bool)
+    most = np.zeros(len(i), np.int64)
     slot = np.zeros(len(bits), np.int64)
     maps = {}
     narrowest = width[~bare].min(initial=1 << 30)
@@ -268,14 +281,49 @@ def _bound_pairs(group: np.ndarray, doc: np.ndarray, comp: np.ndarray, n: np.nda
         of = np.flatnonzero((width[i] == w) & (width[j] == wide))
         for at in np.array_split(of, max(1, len(of) * w // 1_000_000)):
             a, b = maps[w, w][slot[i[at]]], maps[wide, w][slot[j[at]]]
-            ni, nj = n[i[at]], n[j[at]]
-            most = np.minimum(ni - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), nj - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
-            keep[at] = 7 * most >= 3 * (ni + nj)
-    found = np.concatenate((loose, np.stack((doc[i[keep]], doc[j[keep]]), axis=1)))
-    return np.unique(np.sort(found, axis=1), axis=0)
+            most[at] = np.minimum(n[i[at]] - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), n[j[at]] - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
+    both = n[i] + n[j]
+    keep = 7 * most >= 3 * both
+    i, j, most = i[keep], j[keep], most[keep]
+    return np.concatenate((li, i)), np.concatenate((lj, j)), np.concatenate((np.ones(len(li)), most / np.maximum(both[keep] - most, 1)))
+
+
+def forest(group: np.ndarray, a: np.ndarray, b: np.ndarray, rank: np.ndarray) -> list[int]:
+    """Of pairs (a, b) of components, those that a spanning forest of each group takes, lowest rank first."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    best = np.lexsort((rank, high, low, group))
+    g, x, y = group[best], low[best], high[best]
+    best = best[np.concatenate(([True], (g[1:] != g[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])))] if len(best) else best
+    best = best[np.lexsort((rank[best], group[best]))]
+    up: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def top(x: tuple[int, int]) -> tuple[int, int]:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
 
+    out = []
+    for k, g, x, y in zip(best.tolist(), group[best].tolist(), a[best].tolist(), b[best].tolist(), strict=True):
+        x, y = top((g, x)), top((g, y))
+        if x != y:
+            up[x] = y
+            out.append(k)
+    return out
 
-def _tile_pairs(postings: DataFrame, bits: DataFrame) -> DataFrame:
+
+def _owned(i: np.ndarray, j: np.ndarray, k: np.ndarray, keys: list[np.ndarray | None]) -> np.ndarray:
+    """Whether the tile's shingle is the smallest that both rows stand under; unknown (too many to send) counts as yes."""
+    sets: dict[int, frozenset | None] = {}
+
+    def below(x: int) -> frozenset | None:
+        if x not in sets:
+            sets[x] = None if keys[x] is None else frozenset(keys[x][keys[x] < k[x]].tolist())
+        return sets[x]
+
+    return np.array([(a := below(x)) is None or (b := below(y)) is None or a.isdisjoint(b) for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+
+
+def _tile_pairs(postings: DataFrame, bits: DataFrame, trees: int | None = None) -> DataFrame:
     """Pairs (a, b) out of the tiles of postings (k, comp, doc_id, n); bits has doc_id and its bitmap.
 
     A tile is a shingle and a size band, with the next band beside it. Where it has more than
@@ -283,18 +331,28 @@ def _tile_pairs(postings: DataFrame, bits: DataFrame) -> DataFrame:
     are dealt by their keys and stand one after another in a partition, so that small ones share
     a batch. In tiles of more than SMALL rows bitmaps travel with the rows and bound the pairs on
     the spot; pairs of smaller ones, many of which are the same, meet their bitmaps once each.
+
+    trees: hand on no more than a spanning forest of each chunk's components (fewer pairs than
+    rows), likeliest pairs first for 0, in another order for each other number. None: every pair,
+    out of one tile each, which the documents' lists of shingles decide.
     """
     banded = postings.withColumn("own", _band(F.col("n"))).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") - 1)))
-    size = banded.groupBy("k", "band").agg(
+    size = written(banded.groupBy("k", "band").agg(
         F.count(F.lit(1)).alias("m"), F.max((F.col("own") == F.col("band")).cast("int")).alias("some"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-    ).where("some = 1 and lo < hi").select("k", "band", "m", F.ceil(F.col("m") / TILE).cast("int").alias("chunks"))
+    ).where("some = 1 and lo < hi").select("k", "band", "m", F.ceil(F.col("m") / TILE).cast("int").alias("chunks")))
     dealt = written(banded.join(size, ["k", "band"]).select("k", "band", "m", "chunks", "comp", "doc_id", "n", "own"))
-    large = dealt.where(F.col("m") > SMALL).join(bits.select(F.col("doc_id").alias("bit_id"), "bits"), F.col("doc_id") == F.col("bit_id")).drop("bit_id")
-    small = dealt.where(F.col("m") <= SMALL).withColumn("bits", F.lit(None).cast("binary"))
+    held = bits.select(F.col("doc_id").alias("bit_id"), "bits")
+    if trees is None:
+        lists = postings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("of"), F.sort_array(F.collect_set("k")).alias("ks")).where(F.col("of") <= LISTED)
+        held = held.join(lists.select(F.col("doc_id").alias("list_id"), "ks"), F.col("bit_id") == F.col("list_id"), "left").drop("list_id")
+    else:
+        held = held.withColumn("ks", F.lit(None).cast("array<bigint>"))
+    large = dealt.where(F.col("m") > SMALL).join(held, F.col("doc_id") == F.col("bit_id")).drop("bit_id")
+    small = dealt.where(F.col("m") <= SMALL).withColumns({"bits": F.lit(None).cast("binary"), "ks": F.lit(None).cast("array<bigint>")})
     dealt = small.unionByName(large).withColumn("c", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1) if trees is None else F.array("c")))
     dealt = dealt.select(
-        "k", "band", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), "comp", "doc_id", "n", "bits",
+        "k", "band", F.least("c", "o").alias("c1"), F.greatest("c", "o").alias("c2"), "comp", "doc_id", "n", "bits", "ks",
         F.when(F.col("c") == F.col("o"), 3).when(F.col("c") < F.col("o"), 1).otherwise(2).alias("side"), (F.col("own") == F.col("band")).alias("main"),
     )
     tile = ["k", "band", "c1", "c2"]
@@ -302,12 +360,21 @@ def _tile_pairs(postings: DataFrame, bits: DataFrame) -> DataFrame:
     def pairs(table: pa.Table, tiles: np.ndarray) -> pa.RecordBatch:
         group = np.concatenate(([0], np.cumsum((tiles[1:] != tiles[:-1]).any(1)))) if len(tiles) else np.zeros(0, np.int64)
         t = {c: table.column(c).to_numpy() for c in ("doc_id", "comp", "n", "side", "main")}
-        found = _bound_pairs(group, t["doc_id"], t["comp"], t["n"], table.column("bits").to_pylist(), t["side"], t["main"])
+        i, j, like = _bound_pairs(group, t["doc_id"], t["comp"], t["n"], table.column("bits").to_pylist(), t["side"], t["main"])
+        if trees is None:
+            some = _owned(i, j, tiles[:, 0], [None if x.as_py() is None else x.values.to_numpy() for x in table.column("ks")])
+        else:
+            low, high = (f(t["doc_id"][i], t["doc_id"][j]) for f in (np.minimum, np.maximum))
+            order = mix(low.astype(np.uint64) * _Q[0] + high.astype(np.uint64) * _Q[1] + np.uint64(trees)) >> np.uint64(24)
+            likely = np.zeros(len(i), np.int64) if trees else ((1 << 20) * (2 - like)).astype(np.int64)
+            some = forest(group[i], t["comp"][i], t["comp"][j], (likely << 40) + order.astype(np.int64))
+        found = np.unique(np.sort(np.stack((t["doc_id"][i[some]], t["doc_id"][j[some]]), axis=1), axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
-        for batch in batches:
+        for batch in cut(batches, TILE_ROWS):
             table = pa.Table.from_batches([batch])
             table = table if rest is None else pa.concat_tables([rest, table])
             tiles = np.stack([table.column(c).to_numpy() for c in tile], axis=1)
@@ -326,21 +393,22 @@ def _bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     for s in "ab":
         pairs = pairs.join(bits.select(F.col("doc_id").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits{s}")), s)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
             both = lambda x, y: np.stack((np.asarray(x), np.asarray(y)), axis=1).ravel()
             m = batch.num_rows
             maps = [b for pair in zip(t["bitsa"].to_pylist(), t["bitsb"].to_pylist(), strict=True) for b in pair]
-            found = _bound_pairs(np.repeat(np.arange(m), 2), both(t["a"], t["b"]), np.tile([0, 1], m), both(t["na"], t["nb"]), maps, np.full(2 * m, 3), np.ones(2 * m, bool))
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+            i, _, _ = _bound_pairs(np.repeat(np.arange(m), 2), both(t["a"], t["b"]), np.tile([0, 1], m), both(t["na"], t["nb"]), maps, np.full(2 * m, 3), np.ones(2 * m, bool))
+            fine = pa.array(np.unique(i // 2))
+            yield pa.RecordBatch.from_arrays([t["a"].take(fine), t["b"].take(fine)], names=["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    small_batches(docs.sparkSession, BATCH)
     docs = docs.select("doc_id", "text")
     rank = _sketch(docs)
     sigs = written(_signatures(docs, rank))
@@ -359,12 +427,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         postings, bits = _postings(docs, filled, marks, spread, rank), filled.select("doc_id", "n", "bits")
         # again along stars first: what is left for the tiles are shingles that unlike documents share
         links = links.unionByName(_links(docs, _bounded(_star_pairs(postings), bits)))
-        postings = _spread_on(postings, components(links))
-        small_batches(docs.sparkSession, 2048)  # short rows, but a tile's pairs are at hand at once
-        pairs = written(_tile_pairs(postings, bits))
-        small_batches(docs.sparkSession, BATCH)
-        links = links.unionByName(_links(docs, pairs))
         found = components(links)
+        # then along spanning forests inside tiles, so that a group of copies hands on as many pairs as rows; last, all that is left
+        for trees in (*range(FORESTS), None):
+            postings = _spread_on(postings, found)
+            if postings.isEmpty():
+                break
+            links = links.unionByName(_links(docs, _tile_pairs(postings, bits, trees)))
+            found = components(links)
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("comp", "rep").alias("component"))
     out = sigs.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
@@ -415,7 +485,7 @@ def _postings(docs: DataFrame, sigs: DataFrame, marks: DataFrame, spread: DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some))], names=["a"])
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches, BATCH):
             parts, size = [], []
             for s in shingle_sets(batch.column(1)):
                 s = ordered(s, ranks.value)
@@ -427,7 +497,7 @@ def _postings(docs: DataFrame, sigs: DataFrame, marks: DataFrame, spread: DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), _lists(parts)], names=["doc_id", "n", "prefix"])
 
     ids = written(sigs.select("doc_id", "prefix").mapInArrow(touched, "a long"))
-    remade = written(_texts(docs, ids, "a", "ta").mapInArrow(again, "doc_id long, n long, prefix array<long>"))
+    remade = written(_texts(docs, ids, ["a", "ta"], again, "doc_id long, n long, prefix array<long>"))
     wanted = context.broadcast(_bitmap(remade.select(F.explode("prefix").alias("k")).select(_shingle_bit("k"))))
 
     def stayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,14 +520,14 @@ def _postings(docs: DataFrame, sigs: DataFrame, marks: DataFrame, spread: DataFr
 def _several(postings: DataFrame) -> DataFrame:
     """The postings of shingles that stand in more than one component."""
     several = postings.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k")
-    return written(postings.join(several, "k", "left_semi"))
+    return written(postings.join(written(several), "k", "left_semi"))
 
 
 def _star_pairs(postings: DataFrame) -> DataFrame:
     """Each posting's document with the leader of its shingle and size band, where they are of different components."""
     banded = postings.withColumn("band", _band(F.col("n")))
     leaders = banded.groupBy("k", "band").agg(F.min(F.struct("n", "doc_id", "comp")).alias("l")).select("k", "band", F.col("l.doc_id").alias("b"), F.col("l.n").alias("bn"), F.col("l.comp").alias("bc"))
-    pairs = banded.join(leaders, ["k", "band"]).where((F.col("comp") != F.col("bc")) & _comparable(F.col("n"), F.col("bn")))
+    pairs = banded.join(written(leaders), ["k", "band"]).where((F.col("comp") != F.col("bc")) & _comparable(F.col("n"), F.col("bn")))
     return pairs.select(F.col("doc_id").alias("a"), "b").distinct()
 
 
