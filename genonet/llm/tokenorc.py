@@ -3,9 +3,9 @@
 Documents are range-partitioned and sorted by doc_id, encoded batch by batch, and written as ORC:
 integer run-length encoding for the ids, row indexes, and Bloom filters on doc_id, so that readers
 take stripes in parallel and skip those whose indexes or filters rule out a document. Each file
-knows its place (``part``, the range's number), and rows in it ascend by doc_id. Where documents
-start in the stream of all ids is worked out from what is read back: sums per part, added up over
-the parts, then running sums inside each part.
+knows its place (``part``, the range's number), and rows in it know theirs (``row``), ascending by
+doc_id. Where documents start in the stream of all ids is worked out from what is read back: sums
+per part, added up over the parts, then running sums in order of rows inside each part.
 
 Encoding cuts a text at white space, and plain words from their commas and full stops, where the
 vocabulary's own pre-tokenizer separates too. Each distinct run is encoded once by the tokenizers
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hash_words, scratch_dir, small_batches, text_buffers
+from .common import cut, hash_words, scratch_dir, text_buffers
 
 END_ID = 2
 KNOWN_RUNS = 1_500_000
@@ -160,31 +160,31 @@ def encoder(path: str) -> Encoder:
 
 
 def encode(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """doc_id, part and ids (with the end id), in the rows' order. Keeps the partitions of docs."""
-    small_batches(docs.sparkSession)
-
+    """doc_id, part, row (from 0 in its part) and ids (with the end id), in the rows' order. Keeps the partitions of docs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        row = 0
+        for batch in cut(batches):
             ids, sizes = encoder(path or vocabulary()).column(batch.column(1), end_id)
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], names=["doc_id", "part", "ids"])
+            rows, row = pa.array(np.arange(row, row + len(sizes), dtype=np.int64)), row + len(sizes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), rows, lists], names=["doc_id", "part", "row", "ids"])
 
-    return docs.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(run, "doc_id long, part int, ids array<int>")
+    return docs.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(run, "doc_id long, part int, row long, ids array<int>")
 
 
-def write_ids(docs: DataFrame, out: str, path: str | None = None) -> None:
+def write_ids(docs: DataFrame, out: str, path: str | None = None, stripe_bytes: int = STRIPE_BYTES) -> None:
     """Writes the ORC files of all documents to folder ``out`` in ascending doc_id order."""
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (encode(ordered, path).write
-        .option("compression", "zstd").option("orc.stripe.size", STRIPE_BYTES).option("orc.row.index.stride", INDEX_ROWS)
+        .option("compression", "zstd").option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", INDEX_ROWS)
         .option("orc.create.index", "true").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
         .orc(out))
 
 
 def read_ids(spark: SparkSession, out: str) -> DataFrame:
-    """The files' rows: doc_id, part, ids. Filters on doc_id use the stripes' statistics and Bloom filters."""
-    return spark.read.schema("doc_id long, part int, ids array<int>").orc(out)
+    """The files' rows: doc_id, part, row, ids. Filters on doc_id use the stripes' statistics and Bloom filters."""
+    return spark.read.schema("doc_id long, part int, row long, ids array<int>").orc(out)
 
 
 def report(docs: DataFrame, path: str | None = None, out: str | None = None) -> DataFrame:
@@ -195,16 +195,16 @@ def report(docs: DataFrame, path: str | None = None, out: str | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(3)
             flat, offs = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy() - lists.offsets[0].as_py()
             sums = [zlib.crc32(flat[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offs).astype(np.int64)), pa.array(sums, pa.int64()), pa.array(range(len(sums)), pa.int64())], names=["doc_id", "part", "n_tokens", "ids_crc32", "k"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offs).astype(np.int64)), pa.array(sums, pa.int64())], names=["doc_id", "part", "row", "n_tokens", "ids_crc32"])
 
-    rows = read_ids(spark, out).mapInArrow(run, "doc_id long, part int, n_tokens long, ids_crc32 long, k long")
+    rows = read_ids(spark, out).mapInArrow(run, "doc_id long, part int, row long, n_tokens long, ids_crc32 long")
     # one row per range: as many as partitions, not documents
     sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("all"))
     base = sums.select("part", F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("part").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(base, "part")
         .select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

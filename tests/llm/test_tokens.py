@@ -7,6 +7,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from genonet.llm import tokencount, tokenorc
@@ -52,15 +53,55 @@ def test_orc_round_trip(spark, tmp_path):
         at += len(ids)
     got = tokenorc.report(docs, out=str(tmp_path / "ids")).collect()
     assert len(got) == len(EDGE)
-    for r in got:
-        if r.doc_id != 9:  # rows that share a doc_id may stand in either order
-            assert (r.start, r.n_tokens, r.ids_crc32) == want[r.doc_id][0]
-    assert {(r.n_tokens, r.ids_crc32) for r in got if r.doc_id == 9} == {x[1:] for x in want[9]}
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == sorted((i, *x) for i, xs in want.items() for x in xs)
+    files = tokenorc.read_ids(spark, str(tmp_path / "ids")).orderBy("part", "row").collect()
+    stream = [i for r in files for i in r.ids]
+    for r in got:  # each place is where the files hold these ids
+        assert zlib.crc32(np.array(stream[r.start : r.start + r.n_tokens], "<u4").tobytes()) == r.ids_crc32
     back = tokenorc.read_ids(spark, str(tmp_path / "ids")).where("doc_id = 2").collect()
     assert back[0].ids == [*HF.encode(EDGE[2][1], add_special_tokens=False).ids, 2]
     assert tokenorc.report(docs.limit(0), out=str(tmp_path / "none")).count() == 0
 
 
+def test_stripes_and_pruning(spark, tmp_path):
+    """Files have several stripes with row indexes and Bloom filters, which tasks share and filters skip by."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        docs = spark.range(24_000).select((F.col("id") * 2).alias("doc_id"), F.concat(F.lit("words and more words "), F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+        out = str(tmp_path / "ids")
+        tokenorc.write_ids(docs.coalesce(1), out, stripe_bytes=1 << 16)
+        jvm, names = spark._jvm, [str(p) for p in (tmp_path / "ids").glob("*.orc")]
+        stripes = 0
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            reader = jvm.org.apache.orc.OrcFile.createReader(path, jvm.org.apache.orc.OrcFile.readerOptions(spark.sparkContext._jsc.hadoopConfiguration()))
+            rows = reader.rows()
+            for s in reader.getStripes():
+                kinds = {str(x.getKind()) for x in rows.readStripeFooter(s).getStreamsList()}
+                assert "ROW_INDEX" in kinds and kinds & {"BLOOM_FILTER", "BLOOM_FILTER_UTF8"}
+                stripes += 1
+            rows.close()
+        assert stripes > len(names)
+
+        def read(where):
+            found = tokenorc.read_ids(spark, out).where(where).select("doc_id")
+            rows = found.collect()
+            scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+            return len(rows), scan.metrics().apply("numOutputRows").value()
+
+        assert read("doc_id >= 0") == (24_000, 24_000)
+        n, seen = read("doc_id = 20000")  # the index rules out all other groups of rows
+        assert n == 1 and seen <= 2 * tokenorc.INDEX_ROWS
+        n, seen = read("doc_id = 20001")  # inside the range of one group: only its Bloom filter rules it out
+        assert n == 0 and seen == 0
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 17)
+        parts = tokenorc.read_ids(spark, out)
+        assert parts.rdd.getNumPartitions() > len(names) and parts.count() == 24_000  # a file is read by several tasks
+    finally:
+        for key in ("spark.sql.adaptive.enabled", "spark.sql.files.maxPartitionBytes"):
+            spark.conf.unset(key)
+
+
 @pytest.mark.parametrize("name", ["documents"])
 def test_whole_table(spark, name):
     docs = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
