@@ -12,7 +12,7 @@ construction, at most ``TRAIN_PAGES`` of them, with a fixed seed: the same weigh
 tasks, in groups of like length; nothing is shuffled.
 
 Defined results: null or empty html, or a page without article blocks, gives an empty text and 0
-characters. Character references are decoded; white space inside a block becomes one space; <br>
+characters. A tag ends at the first > outside a quoted value that is closed. Character references are decoded; white space inside a block becomes one space; <br>
 counts as white space. Broken markup is read as far as it goes: unclosed tags end with their
 container or the page. Equal rows give equal rows; extra columns are ignored.
 """
@@ -29,16 +29,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import cut
 
 PATH_SIZE, WORD_SIZE, EXTRA, HIDDEN = 64, 16, 8, 24
 SIZE = PATH_SIZE + WORD_SIZE + EXTRA
 TRAIN_PAGES, EPOCHS, BATCH, SEED = 640, 10, 16, 7
 
+#: An attribute: a name, and maybe a value. A quote counts only where a value begins, and only if it is closed; elsewhere it is part of a name.
+_ATTRIBUTE = r"""=?[^\s/>=]+(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s>]*+))?"""
+_REST = rf"(?:[\s/]++|{_ATTRIBUTE}|=)*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S | re.I)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<svg(?=[\s/>]){_REST}(?<=/)>|<(script|style|noscript|template|textarea|svg|iframe)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?"
+    rf"|</(?:>|[^a-z>][^>]*>?)|<(/?)([a-z][^\s/>]*)({_REST})(?:>|\Z)", re.S | re.I)
+_NAMES = re.compile(r"""(=?[^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements that end at the next one of their kind.
@@ -91,7 +94,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
             continue
         while stack and (stack[-1][0] in SIBLINGS.get(tag, ()) or (stack[-1][0] == "p")):
             stack.pop()
-        names = [x for n in _NAMES.finditer(m[4]) for x in re.split(r"[\s_-]+", (n[1] or n[2] or n[3] or "").lower()) if x]
+        names = [x for n in _NAMES.finditer(m[4]) if n[1].lower() in ("class", "id", "role") for x in re.split(r"[\s_-]+", (n[2] or n[3] or n[4] or "").lower()) if x]
         stack.append((tag, (tag, *("." + x for x in names))))
     said(page[at:])
     end()
@@ -335,13 +338,11 @@ def texts(pages: list[str | None], own: Labeller) -> list[str]:
 
 def extract(pages: DataFrame, own: Labeller | None = None) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    spark = pages.sparkSession
-    small_batches(spark, 256)
-    sent = spark.sparkContext.broadcast(own or model())
+    sent = pages.sparkSession.sparkContext.broadcast(own or model())
     wanted = pages.select("page_id", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in cut(batches, 256):
             found = texts(batch.column(2).to_pylist(), sent.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
