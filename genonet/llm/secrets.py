@@ -3,9 +3,11 @@
 Base spans are the leftmost non-overlapping matches of three patterns. The method adds spans of
 kind ``random``: tokens of ``MIN_TOKEN`` characters or more, outside all base spans, whose bigrams are
 likelier under a Markov model of random strings than under one of ordinary identifiers, by
-``THRESHOLD`` nats a bigram. Both models are first-order over the printable ASCII characters with
-one count more in each cell. They are trained on labelled samples made here: digests in
-hexadecimal and base64 for random strings, joined words in the usual spellings for identifiers.
+``THRESHOLD`` nats a bigram. Both models are first-order over ASCII characters, backed off to
+single characters. They are trained on labelled samples made here: digests in every alphabet that
+tokens may have for random strings; for ordinary ones joined words in the usual spellings, paths,
+dates and rules of one sign. shapes() makes strings of other shapes, which the threshold is held
+against.
 The table of log ratios has 128 x 128 cells whatever the data, and goes into the plan as a
 literal. The scan is one pass without a shuffle; a text is only cut up where a cheap test finds a
 candidate.
@@ -32,8 +34,9 @@ BASE = (
 )
 MIN_TOKEN = 20
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-THRESHOLD = 0.4
-SAMPLES = 4000
+THRESHOLD = 0.3
+SAMPLES = 7000
+BACK_OFF = 32
 #: What identifiers of the training sample are made of.
 WORDS = (
     "account active address agent alert amount archive array author batch block board buffer build button cache call card case channel "
@@ -51,41 +54,77 @@ WORDS = (
 ).split()
 
 
+def _digest(salt: str) -> Column:
+    return F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 512)
+
+
+def _base64(salt: str) -> Column:
+    return F.translate(F.base64(F.unhex(_digest(salt))), "=\r\n", "")
+
+
+def _words(salt: int, n: int = 4) -> Column:
+    pool = F.split(F.lit(" ".join(WORDS)), " ")
+    return F.array(*[F.get(pool, F.pmod(F.xxhash64("id", F.lit(salt + k)), F.lit(len(WORDS))).cast("int")) for k in range(n)])
+
+
+def _one_of(kinds: list[Column]) -> Column:
+    """Every kind in turn."""
+    return F.get(F.array(*kinds), (F.col("id") % len(kinds)).cast("int"))
+
+
 def samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
-    """n labelled strings of either kind: s, label (1 random, 0 ordinary)."""
+    """n labelled strings of either kind: s, label (1 random, 0 ordinary). Random ones cover every alphabet that TOKEN admits."""
     ids = spark.range(n)
-    digest = F.sha2(F.col("id").cast("string"), 256)
-    long_digest = F.sha2(F.concat(F.lit("b"), F.col("id").cast("string")), 512)
-    random = ids.select(
-        F.when(F.col("id") % 4 == 0, digest)
-        .when(F.col("id") % 4 == 1, F.substr(F.translate(F.base64(F.unhex(long_digest)), "\r\n", ""), F.lit(1), F.lit(64)))
-        .when(F.col("id") % 4 == 2, F.translate(F.base64(F.unhex(long_digest)), "+/=\r\n", ""))
-        .otherwise(F.upper(F.translate(F.base64(F.unhex(long_digest)), "+/=\r\n", ""))).alias("s"), F.lit(1).alias("label"))
-    pool = F.split(F.lit(" ".join(WORDS)), " ")
-    word = lambda k: F.get(pool, F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(WORDS))).cast("int"))
-    parts = F.array(*[word(k) for k in range(4)])
-    title = F.transform(parts, F.initcap)
-    ordinary = ids.select(
-        F.when(F.col("id") % 6 == 0, F.array_join(parts, "_")).when(F.col("id") % 6 == 1, F.array_join(title, ""))
-        .when(F.col("id") % 6 == 2, F.upper(F.array_join(parts, "_"))).when(F.col("id") % 6 == 3, F.array_join(parts, ""))
-        .when(F.col("id") % 6 == 4, F.concat(F.array_join(parts, "-"), F.lit("-"), (F.col("id") % 97).cast("string")))
-        .otherwise(F.concat(F.lit("/"), F.array_join(parts, "/"))).alias("s"), F.lit(0).alias("label"))
+    plain = F.translate(_base64("b"), "+/", "")
+    random = ids.select(_one_of([_digest("a"), F.upper(_digest("a")), _base64("b"), F.translate(_base64("b"), "+/", "-_"), plain, F.lower(plain), F.upper(plain)]).alias("s"), F.lit(1).alias("label"))
+    parts, title = _words(0), F.transform(_words(0), F.initcap)
+    number = (F.col("id") % 97).cast("string")
+    line = F.repeat(F.get(F.split(F.lit("-_=+/"), ""), F.pmod(F.xxhash64("id", F.lit(9)), F.lit(5)).cast("int")), 40)
+    dated = F.concat(F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), (F.col("id") % 15000).cast("int")), "yyyy-MM-dd"), F.lit("-"), F.array_join(parts, "-"))
+    ordinary = ids.select(_one_of([
+        F.array_join(parts, "_"), F.array_join(title, ""), F.upper(F.array_join(parts, "_")), F.array_join(parts, ""), F.concat(F.array_join(parts, "-"), F.lit("-"), number),
+        F.concat(F.lit("/"), F.array_join(parts, "/")), F.concat(F.get(parts, F.lit(0)), F.array_join(F.slice(title, 2, 3), ""), number), F.initcap(F.array_join(parts, "")), line, dated,
+    ]).alias("s"), F.lit(0).alias("label"))
     return random.unionByName(ordinary)
 
 
+def shapes(spark: SparkSession, n: int = 300) -> DataFrame:
+    """Strings of shapes that the training samples lack: s, shape, label. The threshold is held against these."""
+    ids, hexed, plain, url = spark.range(n), _digest("q"), F.translate(_base64("q"), "+/", ""), F.translate(_base64("q"), "+/", "-_")
+    cut = lambda c, at, size: F.substr(c, F.lit(at), F.lit(size))
+    number = F.pmod(F.xxhash64("id"), F.lit(10**12)).cast("string")
+    words, title = _words(70, 5), F.transform(_words(70, 5), F.initcap)
+    rule = F.get(F.split(F.lit("-_=+/"), ""), (F.col("id") % 5).cast("int"))
+    found = {
+        "uuid": (1, F.concat_ws("-", cut(hexed, 1, 8), cut(hexed, 9, 4), cut(hexed, 13, 4), cut(hexed, 17, 4), cut(hexed, 21, 12))),
+        "jwt": (1, F.concat(F.lit("eyJ"), cut(url, 1, 60))), "prefixed": (1, F.concat(F.lit("ghp_"), cut(plain, 1, 36))), "base64": (1, cut(_base64("r"), 1, 40)),
+        "chat": (1, F.concat(F.lit("xoxb-"), number, F.lit("-"), cut(plain, 1, 24))), "short": (1, cut(plain, 1, 24)), "dashed": (1, F.concat_ws("-", cut(plain, 1, 6), cut(plain, 7, 6), cut(plain, 13, 6), cut(plain, 19, 6))),
+        "rule": (0, F.repeat(rule, 20 + 3)), "mixed rule": (0, F.repeat(F.concat(rule, F.lit("-=")), 9)), "path": (0, F.concat(F.lit("/usr/lib/"), F.array_join(words, "/"))),
+        "compound": (0, F.array_join(words, "")), "camel": (0, F.concat(F.get(words, F.lit(0)), F.array_join(F.slice(title, 2, 4), ""))), "constant": (0, F.upper(F.array_join(words, "_"))),
+        "file": (0, F.concat(F.array_join(F.slice(words, 1, 3), "-"), F.lit("_v2_"), F.date_format(F.date_add(F.lit("2001-01-01").cast("date"), F.col("id").cast("int")), "yyyyMMdd"))),
+    }
+    return ids.select(F.explode(F.array(*[F.struct(v.alias("s"), F.lit(k).alias("shape"), F.lit(label).alias("label")) for k, (label, v) in found.items()])).alias("x")).select("x.*")
+
+
 def _bigrams(s: Column) -> Column:
     """Numbers of the bigrams of an ASCII string."""
     return F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.ascii(F.substr(s, i, F.lit(1))) * 128 + F.ascii(F.substr(s, i + 1, F.lit(1))))
 
 
 def log_ratios(labelled: DataFrame) -> list[float]:
-    """log P(b | a, random) - log P(b | a, ordinary) for all characters a, b, by a * 128 + b."""
+    """log P(b | a, random) - log P(b | a, ordinary) for all characters a, b, by a * 128 + b.
+
+    Counts of a pair are backed off to those of its second character, and these to one for each
+    character, so that a character which follows none in a sample speaks by how rare it is there.
+    """
     import math
 
     grams = labelled.where(F.length("s") >= 2).select("label", F.explode(_bigrams(F.col("s"))).alias("g"))
     count = {(r["label"], r["g"]): r["n"] for r in grams.groupBy("label", "g").agg(F.count(F.lit(1)).alias("n")).collect()}  # 2 x 128 x 128 rows at most
     row = {(k, a): sum(count.get((k, a * 128 + b), 0) for b in range(128)) for k in (0, 1) for a in range(128)}
-    log = lambda k, g: math.log((count.get((k, g), 0) + 1) / (row[k, g // 128] + 96))
+    total = [sum(row[k, a] for a in range(128)) for k in (0, 1)]
+    alone = {(k, b): (sum(count.get((k, a * 128 + b), 0) for a in range(128)) + 1) / (total[k] + 128) for k in (0, 1) for b in range(128)}
+    log = lambda k, g: math.log((count.get((k, g), 0) + BACK_OFF * alone[k, g % 128]) / (row[k, g // 128] + BACK_OFF))
     return [log(1, g) - log(0, g) for g in range(128 * 128)]
 
 

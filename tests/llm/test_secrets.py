@@ -1,6 +1,9 @@
 import hashlib
 import re
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from genonet.llm import secrets
 
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -49,6 +52,31 @@ def test_held_out_samples(spark):
     assert sum(r.label == r.got for r in rows) >= 0.98 * len(rows)
 
 
+def test_strings_of_other_shapes(spark):
+    """Recall and false findings on shapes that the training samples lack."""
+    ratios = secrets.log_ratios(secrets.samples(spark))
+    rows = secrets.shapes(spark).select("shape", "label", (secrets.score(secrets.F.col("s"), ratios) > secrets.THRESHOLD).cast("int").alias("got")).groupBy("shape", "label").agg(secrets.F.avg("got").alias("share")).collect()
+    assert len(rows) == 14 and all(r.share >= 0.97 if r.label else r.share == 0 for r in rows), rows
+
+
+def test_rules_of_signs_and_words_are_left_alone(spark):
+    texts = ["_" * 28, "-" * 30, "=" * 40, "/" * 25, "+-" * 20, "-" * 20000, "Donaudampfschifffahrtsgesellschaft", "https://example.org/some/long/path/to/a/page", "z" * 30]
+    found = ["0f8fad5b-d9cb-469f-a165-70867728950e", "ghp_9aF3kLm2Qx7ZpR4tVw8YbN1cD5eG6hJ0iK2l", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzq8Lk3Tm0v"]
+    docs = spark.createDataFrame(list(enumerate(texts + found)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secrets.report(docs).collect()}
+    assert [spans[i] for i in range(len(texts))] == [""] * len(texts)
+    assert [spans[i + len(texts)] for i in range(len(found))] == [f"random:0:{len(x)}" for x in found]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["password", "PASSWD", "Secret", "toKEN", "api_key", "APIKEY", " ", ":", "=", '"', "'", "hunter22", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "x", "\n"]), max_size=12).map("".join))
+def test_cheap_tests_pass_all_that_matches(text):
+    """What a kind's pattern finds, its cheap test lets pass."""
+    for _, pattern, group, least, hint in secrets.BASE:
+        if any(len(m[group]) >= least for m in re.finditer(pattern, text)):
+            assert re.search(hint, text)
+
+
 def test_assignments_in_upper_case(spark):
     """Each text holds one spelling only, so that no other lets it pass the cheap test."""
     texts = ["PASSWORD=hunter2222", "PASSWD: hunter2222", "PassWORD='hunter2222'", "a passWORD = hunter2222", 'x API_KEY":"hunter2222', "APIKEY=hunter2222", "SECRET = hunter2222", "PASSWORDS=hunter2222", "passwords=hunter2222"]
