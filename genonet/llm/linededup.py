@@ -1,9 +1,9 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
 The store of known lines is a set of runs, each a table of 128-bit line hashes and the document
-that keeps the line, written sorted by hash in the shared folder. Documents come in batches of
-ascending doc_id. A batch's line hashes are merge-anti-joined with the runs; what no run holds
-becomes a new run of level 0. When a level has ``fanout`` runs they are merged into one of the
+that keeps the line, bucketed and sorted by hash, its files in the shared folder. Documents come in
+batches of ascending doc_id. A batch's line hashes are merge-joined with the runs, which are read
+as they lie, without an exchange; what no run holds becomes a new run of level 0. When a level has ``fanout`` runs they are merged into one of the
 next level, so that a batch joins a number of runs that grows with the logarithm of the batches.
 Runs never share a hash, as each holds only what the earlier ones lacked.
 
@@ -18,6 +18,9 @@ takes none from others. Shorter keys always stay. Extra columns pass through dro
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,9 +30,9 @@ from .common import ascii_lower, scratch_dir, written
 MIN_CHARS = 10
 BATCHES = 4
 FANOUT = 3
+HOT = 10_000
 
 RUN = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("first_doc", T.LongType())])
-_STRIP = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
 def split_lines(text: Column) -> Column:
@@ -37,7 +40,6 @@ def split_lines(text: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    """Only lines that begin or end with white space pay for the regular expression."""
     edge = F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
     return ascii_lower(edge)
 
@@ -50,43 +52,81 @@ def keyed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 class LineRuns:
-    """Levelled runs of line hashes. levels[k] lists the paths of level k's runs."""
+    """Levelled runs of line hashes. levels[k] names the tables of level k's runs, each bucketed and sorted by hash."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT, root: str | None = None) -> None:
         self.spark, self.fanout, self.root = spark, fanout, root or scratch_dir(spark)
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
         self.count = 0
 
+    def names(self) -> list[str]:
+        return [name for level in self.levels for name in level]
+
     def known(self) -> DataFrame:
-        paths = [p for level in self.levels for p in level]
-        return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
+        """h1, h2 and first_doc of all runs."""
+        runs = [self.spark.table(name) for name in self.names()]
+        return reduce(DataFrame.unionByName, runs) if runs else self.spark.createDataFrame([], RUN)
 
     def _write(self, run: DataFrame) -> str:
-        path, self.count = f"{self.root}/run-{self.count:05d}", self.count + 1
-        run.select(*[F.col(f.name) for f in RUN]).repartition("h1").sortWithinPartitions("h1", "h2").write.parquet(path)
-        return path
+        """A table of one file for each bucket, so that joins read it as it lies: no exchange stands over a run."""
+        name, self.count = f"run_{uuid.uuid4().hex}", self.count + 1
+        rows = run.select(*[F.col(f.name) for f in RUN]).repartition(self.buckets, "h1", "h2")
+        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.root}/run-{self.count:05d}").saveAsTable(name)
+        return name
 
     def add(self, run: DataFrame) -> None:
         """Adds a run of hashes that no run holds, and merges full levels."""
         self._place(self._write(run), 0)
 
-    def _place(self, path: str, level: int) -> None:
+    def _place(self, name: str, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
-            merged = self._write(self.spark.read.schema(RUN).parquet(*self.levels[level]))
+            old = self.levels[level]
+            merged = self._write(reduce(DataFrame.unionByName, map(self.spark.table, old)))
             self.levels[level] = []
+            self._drop(old)
             self._place(merged, level + 1)
 
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def close(self) -> None:
+        """Takes the runs' names out of the session's catalog; their files stay in the scratch folder."""
+        self._drop(self.names())
+        self.levels = []
+
+    def looked_up(self, keys: DataFrame) -> DataFrame:
+        """keys (h1, h2, ...) with kept_doc from the run that holds the hash, else null: one merge join a run."""
+        keys = keys.withColumn("kept_doc", F.lit(None).cast("long"))
+        for name in self.names():
+            run = self.spark.table(name).select("h1", "h2", F.col("first_doc").alias("found"))
+            keys = keys.join(run.hint("merge"), ["h1", "h2"], "left").withColumn("kept_doc", F.coalesce("kept_doc", "found")).drop("found")
+        return keys
+
     def take(self, batch: DataFrame) -> DataFrame:
         """Adds a batch of keyed lines; returns the lines of it that go: doc_id, t, line_no."""
-        keys = batch.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-        known = self.known().withColumnRenamed("first_doc", "kept_doc")
-        keys = written(keys.join(known, ["h1", "h2"], "left"))
+        keys = batch.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("n"))
+        keys = written(self.looked_up(keys))
         self.add(keys.where("kept_doc is null"))
-        shared = keys.where("kept_doc is not null or last_doc > first_doc").select("h1", "h2", F.coalesce("kept_doc", "first_doc").alias("kept_doc"))
-        return written(batch.join(shared, ["h1", "h2"]).where("doc_id <> kept_doc").select("doc_id", "t", "line_no"))
+        shared = keys.where("kept_doc is not null or last_doc > first_doc").select("h1", "h2", F.coalesce("kept_doc", "first_doc").alias("kept_doc"), "n")
+        return written(_met(batch, shared).where("doc_id <> kept_doc").select("doc_id", "t", "line_no"))
+
+
+def _met(batch: DataFrame, shared: DataFrame) -> DataFrame:
+    """batch joined to the shared keys. Keys of more than 1/HOT of the lines, under HOT of them, go out by broadcast, so that no task gets a line that most documents hold."""
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    hot = shared.where(F.col("n") > total / HOT)
+    if total <= HOT or hot.isEmpty():
+        return batch.join(shared, ["h1", "h2"])
+    hot = F.broadcast(hot.select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), F.col("kept_doc").alias("hot_doc")))  # under HOT rows
+    marked = batch.join(hot, (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2")), "left")
+    columns = [*batch.columns, "kept_doc"]
+    rest = marked.where("hot_doc is null").join(shared, ["h1", "h2"]).select(*columns)
+    return marked.where("hot_doc is not null").withColumn("kept_doc", F.col("hot_doc")).select(*columns).unionByName(rest)
 
 
 def _cuts(docs: DataFrame, batches: int) -> list[int]:
@@ -106,6 +146,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BA
             batch = batch.where(F.col("doc_id") <= high)
         gone = runs.take(keyed_lines(batch, min_chars))
         found = gone if found is None else found.unionByName(gone)
+    runs.close()
     return found.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
 
 
