@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_words, small_batches, text_buffers, written
+from .common import cut, hash_words, text_buffers, tidy, written
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
@@ -224,15 +224,14 @@ def _free(df: DataFrame, name: str) -> str:
 
 def _annotated(docs: DataFrame, keep: list[str], hits: str, bench: Benchmark) -> DataFrame:
     """Columns ``keep`` of docs and, as struct ``hits``, what one block of the benchmark finds in the text."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    sent = spark.sparkContext.broadcast(bench)
+    sent = docs.sparkSession.sparkContext.broadcast(bench)
     wanted = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])])
     schema = T.StructType([*[wanted.schema[c] for c in keep], T.StructField(hits, HITS, False)])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("n_words", pa.int64()), ("runs", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("longest", pa.int64()), ("longest_at", pa.int64())])
-        for batch in batches:
+        for batch in cut(batches):
             found = _scan_texts(batch.column(batch.schema.get_field_index("text")), sent.value)
             rows = pa.array([dict(zip(("n_words", "runs", "items", "longest", "longest_at"), x, strict=True)) for x in found], kind)
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in keep], rows], names=[*keep, hits])
@@ -261,7 +260,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     first, second = next(found), next(found, None)
     if second is None:
         return _annotated(docs, ["doc_id"], "hits", first)
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
+    # 256 bits of the text beside the id: rows with the same key are the same document
+    keyed = docs.select("doc_id", "text", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2("text", 256)).alias("k"))
     rows = keyed.groupBy("k").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     parts = None
     for b in chain((first, second), found):
