@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import argparse
+import re
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from genonet.operators import coexpression, ontology
+from genonet.operators import coexpression, expression, ontology, overlap
 from genonet.plans import jobs
 from genonet.sources import readers, writers
 from genonet.sources.catalog import Catalog
+from genonet.sources.shared import materialised
 
 
 def parser() -> argparse.ArgumentParser:
@@ -26,13 +28,13 @@ def parser() -> argparse.ArgumentParser:
     named = [("filename", {}), ("name", {}), ("description", {})]
     force = ("--force", {"action": "store_true"})
     command("build-refgen", *named, ("--chrom-feature", {"default": "chromosome"}), ("--gene-feature", {"default": "gene"}), ("--id-attr", {"default": "ID"}), ("--attr-split", {"default": "="}), force)
-    command("build-cob", *named, ("refgen", {}), ("--rawtype", {"default": "RNASEQ"}), ("--sep", {"default": "\t"}), ("--zscore-cutoff", {"type": float, "default": 3.0}), ("--skip-quality-control", {"action": "store_true"}), ("--skip-normalization", {"action": "store_true"}), ("--skip-quantile", {"action": "store_true"}), ("--min-expr", {"type": float, "default": 0.001}), ("--max-gene-missing-data", {"type": float, "default": 0.3}), ("--max-accession-missing-data", {"type": float, "default": 0.5}), ("--min-single-sample-expr", {"type": float, "default": 0.08}), ("--clusters", {"action": "store_true"}), force)
+    command("build-cob", *named, ("refgen", {}), ("--rawtype", {"default": "RNASEQ"}), ("--sep", {"default": "\t"}), ("--zscore-cutoff", {"type": float, "default": 3.0}), ("--skip-quality-control", {"action": "store_true"}), ("--skip-normalization", {"action": "store_true"}), ("--skip-quantile", {"action": "store_true"}), ("--min-expr", {"type": float, "default": 0.001}), ("--max-gene-missing-data", {"type": float, "default": 0.3}), ("--max-accession-missing-data", {"type": float, "default": 0.5}), ("--min-single-sample-expr", {"type": float, "default": 0.08}), ("--max-val", {"type": float}), ("--index-col", {}), ("--allow-non-membership", {"action": "store_true"}), ("--dry-run", {"action": "store_true"}), ("--clusters", {"action": "store_true"}), force)
     command("build-go", *named, ("obo", {}), ("refgen", {}), ("--go-col", {"type": int, "default": 1}), ("--id-col", {"type": int, "default": 0}), force)
     command("build-gwas", *named, ("refgen", {}), ("--trait-col", {"default": "Trait"}), ("--chrom-col", {"default": "CHR"}), ("--pos-col", {"default": "POS"}), ("--sep", {"default": "\t"}), ("--add-trait", {}), ("--skip-traits", {"nargs": "*", "default": []}), ("--query", {}), force)
     command("list ls".split()[0], ("--type", {}), ("--name", {"default": "%"}))
     command("rm", ("type", {}), ("name", {}))
     command("snp2gene", ("gwas", {}), ("refgen", {}), ("--terms", {"nargs": "*"}), ("--candidate-window-size", {"type": int, "nargs": "+", "default": [1]}), ("--candidate-flank-limit", {"type": int, "nargs": "+", "default": [0]}), ("--strongest", {}), ("--strongest-higher", {"action": "store_true"}), ("--gene-info", {"nargs": "*", "default": []}), ("--out", {"required": True}))
-    command("overlap", ("cob", {}), ("method", {"choices": ["density", "locality"]}), ("--gwas", {"required": True}), ("--terms", {"nargs": "+", "required": True}), ("--candidate-window-size", {"type": int, "default": 50_000}), ("--candidate-flank-limit", {"type": int, "default": 2}), ("--num-bootstraps", {"type": int, "default": 100}), ("--seed", {"type": int, "default": 1}), ("--out", {"required": True}), force)
+    command("overlap", ("cob", {}), ("method", {"choices": ["density", "locality"]}), ("--gwas", {}), ("--go", {}), ("--genes", {"nargs": "*"}), ("--terms", {"nargs": "+", "default": ["all"]}), ("--skip-terms", {"nargs": "*", "default": []}), ("--candidate-window-size", {"type": int, "default": 50_000}), ("--candidate-flank-limit", {"type": int, "default": 2}), ("--num-bootstraps", {"default": "auto"}), ("--min-term-size", {"type": int, "default": 2}), ("--max-term-size", {"type": int}), ("--snp2gene", {"choices": ["effective", "strongest"], "default": "effective"}), ("--strongest-attr", {}), ("--strongest-higher", {"action": "store_true"}), ("--dry-run", {"action": "store_true"}), ("--seed", {"type": int, "default": 1}), ("--out", {"required": True}), force)
     command("neighbors", ("cob", {}), ("genes", {"nargs": "+"}), ("--num", {"type": int, "default": 10}), ("--out", {"required": True}))
     command("health", ("cob", {}), ("--go", {}), ("--num-bootstraps", {"type": int, "default": 50}), ("--min-term-size", {"type": int, "default": 10}), ("--max-term-size", {"type": int, "default": 300}), ("--out", {"required": True}))
     return p
@@ -43,6 +45,35 @@ def _network(catalog: Catalog, name: str) -> jobs.Network:
     return jobs.Network(**t)
 
 
+def _overlap(catalog: Catalog, a: argparse.Namespace) -> None:
+    """Scores a gene list, a gene ontology's or a GWAS's terms, writes the rows and merges them into the results kept of this source."""
+    net, window, flank = _network(catalog, a.cob), a.candidate_window_size, a.candidate_flank_limit
+    if a.genes:
+        names = [g for x in a.genes for g in re.split("[,; ]", x) if g]
+        name, rows, window, flank = "GeneList", jobs.gene_list(net.genes, names), 1, 0
+    elif a.go:
+        name, rows, window, flank = a.go, jobs.term_genes(catalog.load("GOnt", a.go, "term_loci"), net.genes), 1, 0
+    elif a.gwas:
+        name, rows = a.gwas, catalog.load("GWAS", a.gwas, "snps")
+    else:
+        raise SystemExit("give --genes, --go or --gwas")
+    if not a.genes and "all" not in a.terms:
+        rows = rows.where(F.col("term").isin(a.terms))
+    if a.skip_terms:
+        rows = rows.where(~F.col("term").isin(a.skip_terms))
+    if a.dry_run:
+        mapped, _ = jobs.mapped_loci(rows, window, flank, a.snp2gene, a.strongest_attr, a.strongest_higher)
+        mapped.groupBy("term").agg(F.count(F.lit(1)).alias("loci")).orderBy("term").show(10_000, truncate=False)
+        return
+    count = a.num_bootstraps if a.num_bootstraps == "auto" else int(a.num_bootstraps)
+    out = materialised(jobs.run_overlap(net, rows, a.method, window, flank, count, a.seed, a.snp2gene, a.strongest_attr, a.strongest_higher, a.min_term_size, a.max_term_size, a.cob, name))
+    writers.write_tsv(out.orderBy("term", F.desc("zscore"), "gene"), a.out, a.force)
+    out = out.withColumns({c: F.lit(None).cast("double") for c in ("local", "global", "fitted") if c not in out.columns})
+    if catalog.exists("Overlap", name):
+        out = materialised(overlap.upsert(catalog.load("Overlap", name, "results").select(out.columns), out))
+    catalog.save("Overlap", name, "overlap results", {"results": out}, force=True)
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(args)
     spark = spark or SparkSession.builder.appName("genonet").getOrCreate()
@@ -51,10 +82,13 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         genes, attrs, chromosomes = readers.genome_from_gff(readers.read_gff(spark, a.filename), a.chrom_feature, a.gene_feature, a.id_attr, a.attr_split)
         catalog.save("RefGen", a.name, a.description, {"genes": genes, "gene_attrs": attrs, "chromosomes": chromosomes}, force=a.force)
     elif a.command == "build-cob":
-        raw = readers.read_matrix(spark, a.filename, a.sep)
+        raw = expression.cleaned(readers.read_matrix(spark, a.filename, a.sep, a.index_col))
         qc = {"min_expr": a.min_expr, "max_gene_missing": a.max_gene_missing_data, "max_accession_missing": a.max_accession_missing_data, "min_single_sample": a.min_single_sample_expr}
         own = {} if a.skip_quality_control else qc
-        net = jobs.build_network(raw, catalog.load("RefGen", a.refgen, "genes"), a.rawtype, a.zscore_cutoff, not a.skip_normalization, None, None, not a.skip_quantile, not a.skip_quality_control, a.clusters, **own)
+        net = jobs.build_network(raw, catalog.load("RefGen", a.refgen, "genes"), a.rawtype, a.zscore_cutoff, not a.skip_normalization, None, a.max_val, not a.skip_quantile, not a.skip_quality_control, a.clusters, not a.allow_non_membership, **own)
+        if a.dry_run:
+            print(net.log, jobs.summary(net))
+            return
         tables = {"expr": net.expr, "genes": net.genes, "edges": net.edges, "degree": net.degree}
         tables |= {"qc_gene": net.qc_gene, "qc_accession": net.qc_accession} if net.qc_gene is not None else {"qc_gene": net.genes.select(F.col("id").alias("gene"), F.lit(True).alias("pass_all")), "qc_accession": net.expr.select("accession", F.lit(True).alias("pass_all")).distinct()}
         if net.clusters is not None:
@@ -83,10 +117,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         info = [spark.read.csv(p, sep="\t", header=True) for p in a.gene_info]
         writers.write_tsv(jobs.snp2gene(snps, catalog.load(kind, a.refgen, "genes"), a.candidate_window_size, a.candidate_flank_limit, a.strongest, not a.strongest_higher, info), a.out, True)
     elif a.command == "overlap":
-        net, snps = _network(catalog, a.cob), catalog.load("GWAS", a.gwas, "snps")
-        for term in a.terms:
-            rows = jobs.run_overlap(net, snps.where(F.col("term") == term), a.method, a.candidate_window_size, a.candidate_flank_limit, a.num_bootstraps, a.seed)
-            writers.write_tsv(rows.withColumn("term", F.lit(term)).withColumn("cob", F.lit(a.cob)).withColumn("ontology", F.lit(a.gwas)), f"{a.out}/{term}.overlap.tsv", a.force)
+        _overlap(catalog, a)
     elif a.command == "neighbors":
         net = _network(catalog, a.cob)
         top = coexpression.top_neighbors(net.edges, a.num)

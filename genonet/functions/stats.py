@@ -71,6 +71,18 @@ def mann_whitney(rows: DataFrame, group: str, value: str) -> DataFrame:
     return total.withColumn("u", u).withColumn("z", z).select("n1", "n2", "u", "z")
 
 
+def dense_index(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with ``idx``, dense from 0 in the given order, by ranges: each range is numbered by itself, after the sizes of those before."""
+    from genonet.sources.shared import materialised
+
+    dealt = materialised(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # a row for each range
+    base = sizes.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("idx", inside).join(F.broadcast(base), F.col("_range") == F.col("_r")).withColumn("idx", F.col("idx") - 1 + F.col("_base")).drop("_range", "_r", "_base")
+
+
 def running_total(rows: DataFrame, order: str, value: str, name: str, cells: int = 64) -> DataFrame:
     """rows with the running sum of ``value`` by ``order``, without one window over everything.
 

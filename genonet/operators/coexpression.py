@@ -10,7 +10,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -249,14 +248,20 @@ def concordance(vectors: DataFrame, edges: DataFrame, mean: float, std: float) -
     side = lambda s: vectors.select(F.col("gene").alias(f"gene_{s}"), F.col("values").alias(f"v{s}"))
     both = edges.join(side("a"), "gene_a").join(side("b"), "gene_b")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            r = [float(correlate(np.array([x], float), np.array([y], float))[0, 0]) for x, y in zip(f.va, f.vb, strict=True)]
-            f["again"] = (np.arctanh(np.clip(r, -CLIP, CLIP)) - mean) / std
-            yield f[["gene_a", "gene_b", "score", "again"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.array([[math.nan if v is None else v for v in x] for x in batch.column(k).to_pylist()], float).reshape(batch.num_rows, -1) for k in (3, 4))
+            both = ~(np.isnan(a) | np.isnan(b))
+            n = both.sum(1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                x = np.where(both, a - (np.where(both, a, 0).sum(1) / n)[:, None], 0)
+                y = np.where(both, b - (np.where(both, b, 0).sum(1) / n)[:, None], 0)
+                r = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+            again = (np.arctanh(np.clip(np.where(n >= MIN_SHARED, r, np.nan), -CLIP, CLIP)) - mean) / std
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(again, mask=np.isnan(again))], names=["gene_a", "gene_b", "score", "again"])
 
     kind = edges.schema["gene_a"].dataType.simpleString()
-    return both.select("gene_a", "gene_b", "score", "va", "vb").mapInPandas(run, f"gene_a {kind}, gene_b {kind}, score double, again double")
+    return both.select("gene_a", "gene_b", "score", "va", "vb").mapInArrow(run, f"gene_a {kind}, gene_b {kind}, score double, again double")
 
 
 def cluster_expression(expr: DataFrame, clusters: DataFrame, min_size: int = 10, max_size: int | None = None, normalize: bool = True) -> DataFrame:

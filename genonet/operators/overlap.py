@@ -7,51 +7,70 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from genonet.functions.stats import dense_index
+from genonet.operators import loci
 from genonet.operators.coexpression import density_of, regressed, symmetric
+from genonet.sources.shared import materialised
 
 STEP = 0.25
 KEY = ["cob", "ontology", "term", "gene", "window_size", "flank_limit", "snp2gene", "method"]
 
 
 def gene_index(genes: DataFrame) -> DataFrame:
-    """gene and idx, dense from 0 in order of ids; one row for each gene of a genome."""
-    return genes.select(F.row_number().over(Window.orderBy("gene")).alias("n"), "gene").select("gene", (F.col("n") - 1).alias("idx"))
+    """gene and idx, dense from 0 in order of ids."""
+    return dense_index(genes.select("gene"), "gene")
 
 
 def random_genes(genes: DataFrame, n: int, iterations: int, seed: int = 1) -> DataFrame:
     """iter and gene: n genes without replacement for each iteration, the same for the same seed."""
-    iters = genes.sparkSession.range(iterations).select(F.col("id").cast("int").alias("iter"))
     drawn = genes.select("gene").distinct().withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
     order = Window.partitionBy("iter").orderBy(F.xxhash64(F.lit(seed), "iter", "gene"), "gene")
-    return drawn.join(F.broadcast(iters), "iter", "left_semi").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).select("iter", "gene")
+    return drawn.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).select("iter", "gene")
 
 
 def random_loci(chromosomes: DataFrame, n: int, length: int, seed: int = 1) -> DataFrame:
     """n random intervals; the chromosome is chosen uniformly, not by its length."""
     spark, count = chromosomes.sparkSession, chromosomes.count()
-    numbered = chromosomes.withColumn("_c", F.row_number().over(Window.orderBy("id")) - 1)
-    picks = spark.range(n).select(F.col("id").alias("n"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(count)).cast("int").alias("_c"), F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(1 << 30)).alias("_r"))
+    numbered = dense_index(chromosomes.select("id", "length"), "id").withColumnRenamed("idx", "_c")
+    picks = spark.range(n).select(F.col("id").alias("n"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(count)).alias("_c"), F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(1 << 30)).alias("_r"))
     start = (F.col("_r") / (1 << 30) * F.greatest(F.col("length") - length, F.lit(1))).cast("long")
-    return picks.join(F.broadcast(numbered), "_c").select("n", F.col("id").alias("chrom"), start.alias("start"), (start + length).alias("end"))
+    return picks.join(numbered, "_c").select("n", F.col("id").alias("chrom"), start.alias("start"), (start + length).alias("end"))
 
 
-def bootstrap_candidates(sizes: DataFrame, genes: DataFrame, iterations: int, seed: int = 1) -> DataFrame:
-    """Random stand-ins for candidate genes: for each iteration and locus (locus, n), n neighbours of a random anchor.
+def bootstrap_candidates(sizes: DataFrame, genes: DataFrame, iterations: int, seed: int = 1, by: tuple[str, ...] = (), most: int = 50, first: int = 0) -> DataFrame:
+    """Random stand-ins for candidate genes: for each iteration and locus (by, locus, n) the n genes right before a random gene of its chromosome.
 
-    Genes have a dense rank along each chromosome; the anchor is one with at least n genes before
-    it, and the block is the n genes right before. Blocks are drawn on their own, so two of one
-    iteration may overlap; a gene then counts once, with its first locus.
+    A gene with fewer before it is drawn again, and so is a block that shares a gene with one of
+    an earlier locus of the iteration, so that a random set is as large as the real one. Each
+    round draws only what failed, for all terms and iterations at once. After ``most`` rounds (a
+    genome hardly larger than the set) a block that still shares genes keeps the rest of them.
+    Iterations are numbered from ``first``.
     """
-    ranked = genes.select(F.col("id").alias("gene"), "chrom", F.row_number().over(Window.partitionBy("chrom").orderBy("start", "id")).alias("r"))
-    room = ranked.groupBy("chrom").agg(F.max("r").alias("top"))
-    grid = sizes.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    draw = F.xxhash64(F.lit(seed), "iter", "locus")
-    fits = grid.join(F.broadcast(room), F.col("top") > F.col("n"))  # a row for each chromosome of the genome
-    pick = fits.groupBy("iter", "locus", "n").agg(F.min_by(F.struct("chrom", "top"), F.xxhash64(draw, "chrom")).alias("c"))
-    anchor = (F.pmod(F.xxhash64(draw, F.lit(2)), F.col("c.top") - F.col("n")) + F.col("n") + 1).cast("int")
-    block = pick.select("iter", "locus", F.col("c.chrom").alias("chrom"), F.explode(F.sequence(anchor - F.col("n"), anchor - 1)).alias("r"))
-    first = Window.partitionBy("iter", "gene").orderBy("locus")
-    return block.join(ranked, ["chrom", "r"]).withColumn("_n", F.row_number().over(first)).where("_n = 1").select("iter", F.col("locus").alias("parent_locus"), "gene")
+    index = materialised(dense_index(genes.select(F.col("id").alias("gene"), "chrom", "start"), "chrom", "start", "gene"))
+    places = index.groupBy("chrom").agg(F.min("idx").alias("low"))
+    index = materialised(index.join(places, "chrom").select("gene", "idx", (F.col("idx") - F.col("low")).alias("before")))
+    total, keys = index.count(), [*by, "iter"]
+    if not total:
+        raise ValueError("no genes to draw from")
+    open_ = sizes.where("n > 0").select(*by, "locus", "n", F.explode(F.sequence(F.lit(first), F.lit(first + iterations - 1))).alias("iter"))
+    done = None
+    for k in range(most):
+        draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(k), *by, "iter", "locus"), F.lit(total))
+        drawn = open_.withColumn("idx", draw).join(index.select("idx", "before"), "idx")
+        block = drawn.where(F.col("before") >= F.col("n")).select(*keys, "locus", "n", F.explode(F.sequence(F.col("idx") - F.col("n"), F.col("idx") - 1)).alias("g"))
+        block = materialised(block)
+        # a locus waits if a gene of its block is taken, by those done before or by an earlier locus of this round
+        rival = block.groupBy(*keys, "g").agg(F.min("locus").alias("winner"))
+        lost = block.join(rival, [*keys, "g"]).where("locus <> winner").select(*keys, "locus")
+        if done is not None:
+            lost = lost.union(block.join(done.select(*keys, "g"), [*keys, "g"], "left_semi").select(*keys, "locus"))
+        fine = block if k == most - 1 else block.join(lost.distinct(), [*keys, "locus"], "left_anti")
+        done = materialised(fine if done is None else done.unionByName(fine))
+        open_ = materialised(open_.join(fine.select(*keys, "locus").distinct(), [*keys, "locus"], "left_anti"))
+        if open_.isEmpty():
+            break
+    one = Window.partitionBy(*keys, "g").orderBy("locus")
+    return done.withColumn("_n", F.row_number().over(one)).where("_n = 1").join(index.select(F.col("idx").alias("g"), "gene"), "g").select(*keys, F.col("locus").alias("parent_locus"), "gene")
 
 
 def sets_subnetwork(edges: DataFrame, sets: DataFrame, by: list[str]) -> DataFrame:
@@ -59,7 +78,10 @@ def sets_subnetwork(edges: DataFrame, sets: DataFrame, by: list[str]) -> DataFra
     parent = ["parent_locus"] if "parent_locus" in sets.columns else []
     a = sets.select(*by, F.col("gene").alias("gene_a"), *[F.col(p).alias("parent_a") for p in parent])
     b = sets.select(*by, F.col("gene").alias("gene_b"), *[F.col(p).alias("parent_b") for p in parent])
-    both = edges.join(a, "gene_a").join(b, ["gene_b", *by])
+    # edges that touch no set, or one with a single end, go before sets multiply the rest
+    some = sets.select("gene").distinct()
+    inside = edges.join(some.withColumnRenamed("gene", "gene_a"), "gene_a", "left_semi").join(some.withColumnRenamed("gene", "gene_b"), "gene_b", "left_semi")
+    both = inside.join(a, "gene_a").join(b, ["gene_b", *by])
     return both.withColumn("trans", F.col("parent_a") != F.col("parent_b")) if parent else both
 
 
@@ -91,35 +113,50 @@ def set_locality(edges: DataFrame, degrees: DataFrame, sets: DataFrame, by: list
 
 def empirical_pvalue(real: DataFrame, bootstraps: DataFrame) -> DataFrame:
     """Share of iterations whose mean score reaches the real mean: pvalue."""
-    each = bootstraps.groupBy("iter").agg(F.avg("score").alias("m"))
-    mean = real.agg(F.avg("score")).first()[0]
-    return each.agg((F.sum((F.col("m") >= F.lit(mean)).cast("double")) / F.count(F.lit(1))).alias("pvalue"), F.count(F.lit(1)).alias("iterations"))
+    return term_pvalues(real.withColumn("term", F.lit("")), bootstraps.withColumn("term", F.lit(""))).select("pvalue", "iterations")
+
+
+def term_pvalues(real: DataFrame, bootstraps: DataFrame) -> DataFrame:
+    """term, pvalue and iterations of every term."""
+    each = bootstraps.groupBy("term", "iter").agg(F.avg("score").alias("m"))
+    mean = real.groupBy("term").agg(F.avg("score").alias("real"))
+    reached = (F.col("m") >= F.col("real")).cast("double")
+    return each.join(mean, "term").groupBy("term").agg((F.sum(reached) / F.count(F.lit(1))).alias("pvalue"), F.count(F.lit(1)).alias("iterations"))
 
 
 def zscores(real: DataFrame, bootstraps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables with zscore, by the mean and the population deviation of scores averaged over iterations; 0 without spread."""
-    each = bootstraps.groupBy("iter").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s"))
-    mean, std = each.agg(F.avg("m"), F.avg("s")).first()
-    z = (F.col("score") - mean) / std if std else F.lit(0.0)
-    add = lambda df: df.withColumn("zscore", z).withColumn("bs_mean", F.lit(mean)).withColumn("bs_std", F.lit(std))
+    add = lambda df: term_zscores(df.withColumn("term", F.lit("")), bootstraps.withColumn("term", F.lit(""))).drop("term")
     return add(real), add(bootstraps)
 
 
+def term_zscores(rows: DataFrame, bootstraps: DataFrame) -> DataFrame:
+    """rows (term, score, ...) with zscore, bs_mean and bs_std of their term."""
+    each = bootstraps.groupBy("term", "iter").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s"))
+    spread = each.groupBy("term").agg(F.avg("m").alias("bs_mean"), F.avg("s").alias("bs_std"))
+    return rows.join(spread, "term").withColumn("zscore", F.when(F.col("bs_std") != 0, (F.col("score") - F.col("bs_mean")) / F.col("bs_std")).otherwise(0.0))
+
+
 def fdr_grid(real: DataFrame, bootstraps: DataFrame, iterations: int) -> DataFrame:
-    """real with num_real, num_random and fdr at the largest threshold of the grid (0, .25, ...) that its zscore reaches.
+    """term_fdr() of one term."""
+    return term_fdr(real.withColumn("term", F.lit("")), bootstraps.withColumn("term", F.lit("")), F.lit(iterations)).drop("term")
+
+
+def term_fdr(real: DataFrame, bootstraps: DataFrame, iterations: Column) -> DataFrame:
+    """real with num_real, num_random and fdr at the largest threshold of the grid (0, .25, ...) that its zscore reaches, by term.
 
     Thresholds under the largest real score's next whole number count. Suffix sums over the grid,
     which has a few rows for each unit of z, replace a loop of scans. Scores under 0 stay null.
     """
     level = F.floor(F.col("zscore") / STEP)
-    own = real.where("zscore >= 0").groupBy(level.alias("t")).agg(F.count(F.lit(1)).alias("a"))
-    rand = bootstraps.where("zscore >= 0").groupBy(level.alias("t")).agg(F.count(F.lit(1)).alias("b"))
-    from_here = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    grid = own.join(rand, "t", "full").select("t", F.sum(F.coalesce("a", F.lit(0))).over(from_here).alias("num_real"), (F.sum(F.coalesce("b", F.lit(0))).over(from_here) / F.lit(iterations)).alias("num_random"))
+    own = real.where("zscore >= 0").groupBy("term", level.alias("t")).agg(F.count(F.lit(1)).alias("a"))
+    rand = bootstraps.where("zscore >= 0").groupBy("term", level.alias("t")).agg(F.count(F.lit(1)).alias("b"))
+    from_here = Window.partitionBy("term").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    grid = own.join(rand, ["term", "t"], "full").select("term", "t", F.sum(F.coalesce("a", F.lit(0))).over(from_here).alias("num_real"), (F.sum(F.coalesce("b", F.lit(0))).over(from_here) / iterations).alias("num_random"))
     fdr = F.when(F.col("num_real") == 0, 1.0).otherwise(F.col("num_random") / F.col("num_real"))
     # the real side has a row in the grid at each of its own levels, so a join on the level is enough
     rows = real.withColumn("t", F.when(F.col("zscore") >= 0, level))
-    return rows.join(grid.withColumn("fdr", fdr), "t", "left").drop("t")
+    return rows.join(grid.withColumn("fdr", fdr), ["term", "t"], "left").drop("t")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str] = KEY) -> DataFrame:
@@ -166,18 +203,31 @@ def num_hpo(results: DataFrame, cutoff: float = 0.3, min_obs: int = 2) -> DataFr
     return by_term.unionByName(total)
 
 
-def breakdown(results: DataFrame) -> DataFrame:
-    """For each term and mapping: mean number of loci, of collapsed loci, and distinct candidate genes."""
-    return results.groupBy("term", "window_size", "flank_limit").agg(F.avg("term_loci").alias("term_loci"), F.avg("term_collapsed_loci").alias("collapsed_loci"), F.countDistinct("gene").alias("candidate_genes"))
+def breakdown(results: DataFrame, snps: DataFrame | None = None) -> DataFrame:
+    """For each term and mapping: mean number of loci, of collapsed loci, and distinct candidate genes. With the terms' loci, a Total of all of them as one term besides."""
+    sizes = lambda rows, *by: rows.groupBy(*by, "window_size", "flank_limit").agg(F.avg("term_loci").alias("term_loci"), F.avg("term_collapsed_loci").alias("collapsed_loci"), F.countDistinct("gene").alias("candidate_genes"))
+    parts = sizes(results, "term")
+    if snps is None:
+        return parts
+    union = materialised(snps.select(F.lit("Total").alias("term"), F.concat_ws(":", "chrom", "start", "end").alias("id"), "chrom", "start", "end").distinct())
+    windows = [r[0] for r in results.select("window_size").distinct().collect()]  # the windows that were tried
+    islands = [loci.effective_loci(union, w).groupBy().agg(F.count(F.lit(1)).cast("double").alias("_i")).withColumn("_w", F.lit(w)) for w in windows]
+    total = sizes(results).join(F.broadcast(reduce(DataFrame.unionByName, islands)), F.col("window_size") == F.col("_w"))  # a row for each window
+    return parts.unionByName(total.select(F.lit("Total").alias("term"), "window_size", "flank_limit", F.lit(float(union.count())).alias("term_loci"), F.col("_i").alias("collapsed_loci"), "candidate_genes"))
 
 
 def grouped_fdr(rows: DataFrame, by: list[str], cutoffs: tuple[float, ...] = (0.10, 0.35, 0.50)) -> DataFrame:
-    """For each group and cutoff: sum and largest num_real and the smallest zscore among rows at the cutoff or under; 0 for none."""
+    """For each group the sum of num_real over all its rows (tot); and for each cutoff the largest num_real and the smallest zscore among rows at it or under, 0 for none."""
     def at(c: float) -> list[Column]:
-        ok, name = F.col("fdr") <= c, f"{round(c * 100)}"
-        return [F.coalesce(F.sum(F.when(ok, F.col("num_real"))), F.lit(0)).alias(f"sum_{name}"), F.coalesce(F.max(F.when(ok, F.col("num_real"))), F.lit(0)).alias(f"max_{name}"), F.coalesce(F.min(F.when(ok, F.col("zscore"))), F.lit(0.0)).alias(f"z_{name}")]
+        ok, name = F.col("fdr") <= c, f"fdr{round(c * 100)}"
+        return [F.coalesce(F.max(F.when(ok, F.col("num_real"))), F.lit(0)).alias(name), F.coalesce(F.min(F.when(ok, F.col("zscore"))), F.lit(0.0)).alias(f"{name}_z")]
+
+    return rows.groupBy(*by).agg(F.sum("num_real").alias("tot"), *[c for cut in cutoffs for c in at(cut)])
+
 
-    return rows.groupBy(*by).agg(*[c for cut in cutoffs for c in at(cut)])
+def wide(counts: DataFrame, rows: list[str], columns: list[str], value: str = "n") -> DataFrame:
+    """Counts as a table: one row for each value of ``rows``, one column for each of ``columns`` (joined by /), 0 for none."""
+    return counts.withColumn("_c", F.concat_ws("/", *columns)).groupBy(*rows).pivot("_c").agg(F.first(value)).na.fill(0).orderBy(*rows)
 
 
 def simulated_terms(term_loci: DataFrame, genes: DataFrame, missing_rate: float = 0.0, false_rate: float = 0.0, seed: int = 1) -> DataFrame:
@@ -188,7 +238,7 @@ def simulated_terms(term_loci: DataFrame, genes: DataFrame, missing_rate: float
     more = sized.select("term", F.ceil(F.col("_n") * false_rate / 100).cast("int").alias("k")).distinct().where("k > 0")
     index = gene_index(genes.select(F.col("id").alias("gene")))
     total = index.count()
-    drawn = more.select("term", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("i")).select("term", F.pmod(F.xxhash64(F.lit(seed), "term", "i"), F.lit(total)).cast("int").alias("idx"))
+    drawn = more.select("term", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("i")).select("term", F.pmod(F.xxhash64(F.lit(seed), "term", "i"), F.lit(total)).alias("idx"))
     return kept.union(drawn.join(index, "idx").select("term", "gene")).distinct()
 
 

@@ -28,12 +28,12 @@ class Network:
     log: list[str] = field(default_factory=list)
 
 
-def build_network(raw: DataFrame, genes: DataFrame, rawtype: str = "RNASEQ", zscore_cutoff: float = 3.0, normalize: bool = True, norm_method=None, max_val: float | None = None, quantile: bool = False, quality_control: bool = True, clusters: bool = False, **qc) -> Network:
+def build_network(raw: DataFrame, genes: DataFrame, rawtype: str = "RNASEQ", zscore_cutoff: float = 3.0, normalize: bool = True, norm_method=None, max_val: float | None = None, quantile: bool = False, quality_control: bool = True, clusters: bool = False, membership: bool = True, **qc) -> Network:
     """raw is long-form expression; genes has id, chrom, start, end. Every flag reaches its stage."""
     log, flags = ["raw"], (None, None)
     expr = raw
     if quality_control:
-        members = genes.select(F.col("id").alias("gene"))
+        members = genes.select(F.col("id").alias("gene")) if membership else None
         expr, *flags = ex.quality_control(raw, members, **qc)
         log.append("quality_control")
     if normalize:
@@ -66,35 +66,83 @@ def snp2gene(snps: DataFrame, genes: DataFrame, windows: list[int], flanks: list
     return out
 
 
-def run_overlap(network: Network, loci_of_term: DataFrame, method: str = "density", window: int = 50_000, flank: int = 2, iterations: int = 100, seed: int = 1) -> DataFrame:
-    """Scores of one term's candidate genes against bootstraps: score, zscore, fdr, num_real, num_random, p of the term.
+def mapped_loci(term_loci: DataFrame, window: int, flank: int, snp2gene: str = "effective", strongest_attr: str | None = None, higher: bool = False) -> tuple[DataFrame, int]:
+    """Loci of every term as candidates are sought around them, and the window for that: as they are (window 1) without flanks, else collapsed, as islands or as each island's strongest."""
+    if flank <= 0:
+        return term_loci.select("term", "chrom", "start", "end", F.col("id").cast("string").alias("id")).distinct(), 1
+    if snp2gene == "strongest":
+        if not strongest_attr:
+            raise ValueError("strongest loci need an attribute")
+        best = loci.strongest_loci(term_loci, F.col("attr")[strongest_attr], window, not higher)
+        return best.select("term", "chrom", "start", "end", "id"), window
+    return loci.effective_loci(term_loci, window).drop("sub_ids"), window
 
-    All iterations are one job keyed by ``iter``.
-    """
-    islands = loci.effective_loci(loci_of_term, window)
-    found = ranges.candidate_genes(islands, network.genes, window, flank, ("term",))
-    own = materialised(ranges.chained(found, islands, ("term",)).select("gene", "parent_locus").withColumn("iter", F.lit(-1)))
-    sizes = found.groupBy(F.col("parent_locus").alias("locus")).agg(F.count(F.lit(1)).cast("int").alias("n"))
-    drawn = materialised(overlap.bootstrap_candidates(sizes, network.genes, iterations, seed).select("gene", "parent_locus", "iter"))
-    sets = own.unionByName(drawn)
+
+def _set_scores(network: Network, sets: DataFrame, method: str) -> DataFrame:
+    by = ["term", "iter"]
     if method == "density":
-        scores = overlap.set_gene_scores(network.edges, sets, ["iter"])
-    else:
-        scores = overlap.set_locality(network.edges, network.degree, sets, ["iter"]).withColumn("score", F.col("resid"))
-    scores = materialised(scores)
-    real, boots = scores.where("iter = -1").drop("iter"), scores.where("iter >= 0")
-    p = overlap.empirical_pvalue(real, boots).first()["pvalue"]
-    real, boots = overlap.zscores(real, boots)
-    return overlap.fdr_grid(real, boots, iterations).withColumn("method", F.lit(method)).withColumn("term_pvalue", F.lit(p)).withColumn("num_bootstraps", F.lit(iterations))
+        return overlap.set_gene_scores(network.edges, sets, by)
+    return overlap.set_locality(network.edges, network.degree, sets, by).withColumn("score", F.col("resid"))
 
 
-def adaptive_iterations(count_extreme, batch: int = 50, most: int = 1000, enough: int = 50) -> int:
-    """Batches of iterations until more than ``enough`` are as extreme as the real score, or ``most`` are done."""
-    done = extreme = 0
-    while done < most and extreme <= enough:
-        extreme += count_extreme(done, batch)
-        done += batch
-    return done
+def run_overlap(
+    network: Network, term_loci: DataFrame, method: str = "density", window: int = 50_000, flank: int = 2, iterations: int | str = 100, seed: int = 1,
+    snp2gene: str = "effective", strongest_attr: str | None = None, higher: bool = False, min_size: int = 2, max_size: int | None = None, cob: str = "", name: str = "",
+) -> DataFrame:
+    """Result rows of all terms of term_loci (term, id, chrom, start, end, maybe attr): scores of candidate genes against bootstraps.
+
+    All terms and iterations are one job keyed by term and ``iter``. iterations "auto": rounds of
+    50, in which only terms take part that have had 50 iterations at most as extreme as the real
+    score, up to 1,000. Terms with fewer loci than min_size (2 at least) or more than max_size are
+    left out, as are terms without a scored gene.
+    """
+    islands, wide = mapped_loci(term_loci, window, flank, snp2gene, strongest_attr, higher)
+    n = islands.groupBy("term").agg(F.count(F.lit(1)).alias("term_collapsed_loci")).where(F.col("term_collapsed_loci") >= max(2, min_size))
+    n = materialised(n if max_size is None else n.where(F.col("term_collapsed_loci") <= max_size))
+    islands = materialised(islands.join(n.select("term"), "term", "left_semi"))
+    found = materialised(ranges.candidate_genes(islands, network.genes, wide, flank, ("term",)))
+    own = ranges.chained(found, islands, ("term",)).select("term", "gene", "parent_locus", F.lit(-1).alias("iter"))
+    sizes = found.groupBy("term", F.col("parent_locus").alias("locus")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    own = materialised(own)
+    real = materialised(_set_scores(network, own, method)).drop("iter")
+    mean = real.groupBy("term").agg(F.avg("score").alias("real"))
+    sizes, auto = materialised(sizes.join(mean.select("term"), "term", "left_semi")), iterations == "auto"
+    boots, extreme, done, batch = None, None, 0, 50 if auto else int(iterations)
+    while done == 0 or (auto and done < 1000):
+        drawn = overlap.bootstrap_candidates(sizes, network.genes, batch, seed, ("term",), first=done)
+        scores = materialised(_set_scores(network, drawn, method))
+        boots, done = scores if boots is None else boots.unionByName(scores), done + batch
+        if auto:
+            more = scores.groupBy("term", "iter").agg(F.avg("score").alias("m")).join(mean, "term").groupBy("term").agg(F.sum((F.col("m") >= F.col("real")).cast("long")).alias("k"))
+            extreme = materialised(more if extreme is None else extreme.union(more).groupBy("term").agg(F.sum("k").alias("k")))
+            sizes = materialised(sizes.join(extreme.where("k > 50").select("term"), "term", "left_anti"))
+            if sizes.isEmpty():
+                break
+    p = materialised(overlap.term_pvalues(real, boots))
+    count = p.select(F.col("term").alias("_t"), "iterations")
+    real, boots = overlap.term_zscores(real, boots), overlap.term_zscores(boots, boots)
+    real = real.join(count, F.col("term") == F.col("_t")).drop("_t")
+    rows = overlap.term_fdr(real.drop("iterations"), boots, F.lit(1.0)).join(p, "term").withColumn("num_random", F.col("num_random") / F.col("iterations"))
+    rows = rows.withColumn("fdr", F.when(F.col("num_real") > 0, F.col("num_random") / F.col("num_real")))
+    size = term_loci.groupBy("term").agg(F.countDistinct("chrom", "start", "end").alias("term_loci"))
+    edges = overlap.set_density(network.edges, own, ["term"]).select("term", F.col("num_edges").alias("num_trans_edges"))
+    rows = rows.join(size, "term").join(n, "term").join(edges, "term", "left")
+    extra = [c for c in ("local", "global", "fitted") if c in rows.columns]
+    return rows.select(
+        F.lit(cob).alias("cob"), F.lit(name).alias("ontology"), "term", "gene", F.lit(window if flank > 0 else 1).alias("window_size"), F.lit(max(flank, 0)).alias("flank_limit"), F.lit(snp2gene).alias("snp2gene"), F.lit(method).alias("method"),
+        "score", "zscore", "fdr", "num_real", "num_random", "bs_mean", "bs_std", F.col("pvalue").alias("term_pvalue"), F.col("iterations").alias("num_bootstraps"), "term_loci", "term_collapsed_loci", "num_trans_edges", *extra,
+    )
+
+
+def gene_list(genes: DataFrame, names: list[str], term: str = "CustomTerm") -> DataFrame:
+    """The genes of that name as loci of one term."""
+    wanted = genes.sparkSession.createDataFrame([(n.upper(),) for n in names], "id string").distinct()
+    return genes.join(wanted, "id", "left_semi").select(F.lit(term).alias("term"), "id", "chrom", "start", "end")
+
+
+def term_genes(term_loci: DataFrame, genes: DataFrame) -> DataFrame:
+    """An ontology's genes (term, gene) as loci."""
+    return term_loci.join(genes.select(F.col("id").alias("gene"), "chrom", "start", "end"), "gene").select("term", F.col("gene").alias("id"), "chrom", "start", "end")
 
 
 def go_health(network: Network, term_loci: DataFrame, low: int = 10, high: int = 300, iterations: int = 50, two_tailed: bool = True, seed: int = 1) -> DataFrame:
@@ -106,7 +154,10 @@ def go_health(network: Network, term_loci: DataFrame, low: int = 10, high: int =
     widest = sizes.agg(F.max("size")).first()[0] or 0
     drawn = overlap.random_genes(own, widest, iterations, seed)
     order = F.row_number().over(overlap.Window.partitionBy("iter").orderBy(F.xxhash64("iter", "gene"))).alias("nth")
-    sets = drawn.select("iter", "gene", order).join(F.broadcast(sizes), F.col("nth") <= F.col("size"))  # terms between two sizes
+    # sets are nested: what a term needs are the first ``size`` genes of an iteration, so they meet by equal sizes
+    distinct = materialised(sizes.select("size").distinct())
+    per_size = distinct.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("size").cast("int"))))
+    sets = drawn.select("iter", "gene", order).join(per_size, "nth").join(sizes, "size")
     boots = overlap.set_density(network.edges, sets.select("term", "iter", "gene"), ["term", "iter"])
     extreme = F.when(F.col("score") > 0, F.col("density") >= F.col("score")).otherwise(F.col("density") <= F.col("score"))
     out = real.join(boots, "term").groupBy("term", "score").agg((F.sum(extreme.cast("double")) / F.lit(iterations)).alias("pvalue"))

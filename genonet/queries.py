@@ -16,7 +16,9 @@ from genonet.functions import stats
 from genonet.operators import coexpression as cx
 from genonet.operators import expression as ex
 from genonet.operators import graph, loci, ontology, overlap, ranges
-from genonet.sources import writers
+from genonet.plans import jobs
+from genonet.sources import records, writers
+from genonet.sources.shared import materialised
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,9 +78,9 @@ def network(spark: SparkSession, at: str) -> DataFrame:
 
 
 def listed(spark: SparkSession, at: str) -> DataFrame:
-    """Forty or so genes with a parent locus each."""
+    """A gene list: the genes of term L0, with a parent locus each."""
     v = F.col("vec_id")
-    return table(spark, at, "embeddings").where(v % 12 == 5).select(v.alias("gene"), F.floor(v / 36).alias("parent_locus"))
+    return table(spark, at, "embeddings").where("label = 0").select(v.alias("gene"), F.floor(v / 36).alias("parent_locus"))
 
 
 def labels(spark: SparkSession, at: str) -> DataFrame:
@@ -109,7 +111,7 @@ net AS (SELECT gene_a, gene_b, r, score, score >= {Z} AS sig, CASE WHEN a.chrom
         FROM scored JOIN vg a ON a.id = gene_a JOIN vg b ON b.id = gene_b),
 sym AS (SELECT gene_a AS gene, gene_b AS neighbor, score, sig, distance FROM net UNION ALL SELECT gene_b, gene_a, score, sig, distance FROM net),
 deg AS (SELECT id AS gene, count(neighbor) AS degree FROM vg LEFT JOIN sym ON gene = id AND sig GROUP BY 1),
-listed AS (SELECT vec_id AS gene, vec_id // 36 AS p FROM embeddings WHERE vec_id % 12 = 5),
+listed AS (SELECT vec_id AS gene, vec_id // 36 AS p FROM embeddings WHERE label = 0),
 sub AS (SELECT n.*, a.p AS pa, b.p AS pb, a.p <> b.p AS trans FROM net n JOIN listed a ON a.gene = gene_a JOIN listed b ON b.gene = gene_b),
 subsym AS (SELECT gene_a AS gene, score, sig, trans, distance FROM sub UNION ALL SELECT gene_b, score, sig, trans, distance FROM sub)"""
 LABELS = "labels_t AS (SELECT 'L' || label AS term, vec_id AS gene FROM embeddings), mods AS (SELECT 'M' || (vec_id % 13) AS term, vec_id AS gene FROM embeddings)"
@@ -178,6 +180,16 @@ def strongest_loci(spark, at):
     return loci.strongest_loci(snps(spark, at), F.col("pval"), 5000).select("term", "chrom", "island_start", "id", r6("strength", "strength"))
 
 
+_NEAR = "SELECT snp, gene, nth, '@side' AS side FROM (SELECT s.id AS snp, g.id AS gene, row_number() OVER (PARTITION BY s.id ORDER BY @order, g.id) AS nth FROM snps s JOIN genes g ON s.chrom = g.chrom AND @on)"
+_UP = _NEAR.replace("@side", "up").replace("@order", "g.s DESC").replace("@on", f"g.s >= s.s - {WINDOW} AND g.s < s.s")
+_DOWN = _NEAR.replace("@side", "down").replace("@order", "g.s").replace("@on", f"g.s > s.e AND g.s <= s.e + {WINDOW}")
+
+
+@query(f"WITH {GENES}, {SNPS} SELECT * FROM ({_UP} UNION ALL {_DOWN}) WHERE nth <= {FLANK}")
+def flanking_genes(spark, at):
+    return ranges.flanking_genes(snps(spark, at), genes(spark, at), WINDOW, FLANK).select(F.col("id").alias("snp"), "gene", "nth", "side")
+
+
 @query(f"WITH {SNPS} SELECT term, id, s AS pos FROM snps WHERE chrom = 'Brand#3' AND CASE WHEN s > 50000 THEN s - 50001 WHEN s < 50000 THEN 49999 - s ELSE 0 END <= 40000")
 def flanking_loci(spark, at):
     return loci.flanking_loci(snps(spark, at), "Brand#3", 50_000, 40_000).select("term", "id", F.col("start").alias("pos"))
@@ -356,6 +368,22 @@ def compare_degree(spark, at):
     return cx.compare_degree(cx.degree(edges), cx.degree(cx.with_cutoff(edges, 1.5))).select(r6("pcc", "pcc"), r6("mean_diff", "mean_diff"), r6("std_diff", "std_diff"), "n")
 
 
+@query(f"WITH {NET}, d2 AS (SELECT id AS gene, count(neighbor) AS degree FROM vg LEFT JOIN sym ON gene = id AND score >= 1.5 GROUP BY 1) SELECT gene, a.degree AS a, b.degree AS b, a.degree - b.degree AS diff FROM deg a JOIN d2 b USING (gene) WHERE a.degree > 0 AND b.degree > 0 ORDER BY diff DESC, gene LIMIT 10")
+def degree_differences(spark, at):
+    """The ten genes whose degree falls least between two cutoffs."""
+    edges = network(spark, at)
+    return cx.degree_differences(cx.degree(edges), cx.degree(cx.with_cutoff(edges, 1.5)), 10)
+
+
+@query(f"WITH {NET} SELECT gene_a, gene_b, round(r, 6) AS r, round(score, 6) AS again FROM net")
+def concordance(spark, at):
+    """Scores worked out again from the vectors, and correlations from the scores."""
+    edges = network(spark, at)
+    mean, std = edges.agg(F.avg(cx.fisher(F.col("r"))), F.stddev_pop(cx.fisher(F.col("r")))).first()
+    vectors = table(spark, at, "embeddings").select(F.col("vec_id").alias("gene"), F.col("embedding").cast("array<double>").alias("values"))
+    return cx.concordance(vectors, edges, mean, std).select("gene_a", "gene_b", r6(cx.inverse_score(F.col("score"), mean, std), "r"), r6("again", "again"))
+
+
 @query(f"WITH {EXPR}, m AS (SELECT label AS cluster, accession, avg(value) AS value FROM expr JOIN embeddings ON gene = vec_id GROUP BY 1, 2) SELECT cluster, accession, round((value - avg(value) OVER c) / stddev_samp(value) OVER c, 6) AS value FROM m WINDOW c AS (PARTITION BY cluster)")
 def cluster_expression(spark, at):
     clusters = table(spark, at, "embeddings").select(F.col("vec_id").alias("gene"), F.col("label").alias("cluster"))
@@ -374,9 +402,9 @@ def cis_trans(spark, at):
     return stats.mann_whitney(cx.cis_trans(network(spark, at), 100_000), "cis", "score").select("n1", "n2", F.round("u", 3).alias("u"))
 
 
-@query(f"WITH RECURSIVE {NET}, lab AS (SELECT gene, neighbor FROM sym WHERE score >= 3.2), reach(a, b) AS (SELECT gene, gene FROM lab UNION SELECT r.a, l.neighbor FROM reach r JOIN lab l ON r.b = l.gene) SELECT a AS node, min(b) AS component FROM reach GROUP BY 1")
+@query(f"WITH RECURSIVE {NET}, lab AS (SELECT gene, neighbor FROM sym WHERE sig), reach(a, b) AS (SELECT gene, gene FROM lab UNION SELECT r.a, l.neighbor FROM reach r JOIN lab l ON r.b = l.gene) SELECT a AS node, min(b) AS component FROM reach GROUP BY 1")
 def components(spark, at):
-    return graph.components(network(spark, at).where("score >= 3.2"))
+    return graph.components(network(spark, at).where("significant"))
 
 
 @query(f"WITH {NET} SELECT gene AS i, neighbor AS j, round(score, 6) AS score FROM sym WHERE sig")
@@ -387,7 +415,7 @@ def sparse_matrix(spark, at):
 
 @query()
 def markov_clusters(spark, at):
-    return graph.markov_clusters(cx.with_cutoff(network(spark, at), 3.2))
+    return graph.markov_clusters(network(spark, at))
 
 
 @query()
@@ -416,6 +444,16 @@ def go_closure(spark, at):
     return ontology.ancestors(_go(spark, at)[0])
 
 
+@query(f"WITH {_RELS} SELECT parent AS term, count(DISTINCT child) AS children FROM rels GROUP BY 1")
+def num_children(spark, at):
+    return ontology.num_children(_go(spark, at)[0])
+
+
+@query(f"{_CLOSE} SELECT ancestor AS term FROM up WHERE term = (SELECT min(n_name) FROM nation)")
+def parents(spark, at):
+    return ontology.parents(_go(spark, at)[0], table(spark, at, "nation").agg(F.min("n_name")).first()[0])
+
+
 @query(f"{_CLOSE} SELECT term, gene FROM tl UNION SELECT ancestor, gene FROM tl JOIN up USING (term)")
 def go_propagate(spark, at):
     rels, own = _go(spark, at)
@@ -428,9 +466,9 @@ def term_sizes(spark, at):
     return ontology.term_sizes(ontology.propagate(own, rels), 2, 100_000)
 
 
-@query(f"WITH {LABELS} SELECT term, count(*) AS size FROM labels_t GROUP BY 1 HAVING count(*) BETWEEN 2 AND 300 AND count(*) FILTER (WHERE gene % 12 = 5) > 0")
+@query(f"WITH {LABELS} SELECT term, count(*) AS size FROM mods GROUP BY 1 HAVING count(*) FILTER (WHERE gene IN (SELECT vec_id FROM embeddings WHERE label = 0)) > 0")
 def terms_containing(spark, at):
-    return ontology.terms_containing(labels(spark, at), listed(spark, at))
+    return ontology.terms_containing(modulus(spark, at), listed(spark, at))
 
 
 _LF = "(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
@@ -441,9 +479,9 @@ def hyper_sql(x: str, u: str, m: str, d: str) -> str:
     return _HYPER.format(x=x, u=u, m=m, d=d, a=_LF.format(n=m, k="i"), b=_LF.format(n=f"({u} - {m})", k=f"({d} - i)"), c=_LF.format(n=u, k=d))
 
 
-@query(f"WITH {LABELS}, q AS (SELECT term, count(*) AS m, count(*) FILTER (WHERE gene % 12 = 5) AS x FROM labels_t GROUP BY 1), z AS (SELECT *, (SELECT count(*) FROM embeddings) AS u, (SELECT count(*) FROM embeddings WHERE vec_id % 12 = 5) AS d FROM q WHERE x > 0 AND m BETWEEN 2 AND 300) SELECT term, round({hyper_sql('x', 'u', 'm', 'd')}, 6) AS pval, x AS num_common, m AS source_term_size FROM z")
+@query(f"WITH {LABELS}, q AS (SELECT term, count(*) AS m, count(*) FILTER (WHERE gene IN (SELECT vec_id FROM embeddings WHERE label = 0)) AS x FROM mods GROUP BY 1), z AS (SELECT *, (SELECT count(*) FROM embeddings) AS u, (SELECT count(*) FROM embeddings WHERE label = 0) AS d FROM q WHERE x > 0 AND m BETWEEN 2 AND 300) SELECT term, round({hyper_sql('x', 'u', 'm', 'd')}, 6) AS pval, x AS num_common, m AS source_term_size FROM z")
 def enrichment(spark, at):
-    return ontology.enrichment(labels(spark, at), listed(spark, at), pval_cutoff=1.0).select("term", r6("pval", "pval"), "num_common", F.col("source_term_size"))
+    return ontology.enrichment(modulus(spark, at), listed(spark, at), pval_cutoff=1.0).select("term", r6("pval", "pval"), "num_common", F.col("source_term_size"))
 
 
 _PAIRS = f"WITH {LABELS}, a AS (SELECT *, count(*) OVER (PARTITION BY term) AS m FROM labels_t), b AS (SELECT *, count(*) OVER (PARTITION BY term) AS d FROM mods), j AS (SELECT a.term AS source_term, b.term AS target_term, m, d, count(*) AS x, (SELECT count(*) FROM embeddings) AS u FROM a JOIN b ON a.gene = b.gene WHERE m BETWEEN 2 AND 300 AND d BETWEEN 2 AND 300 GROUP BY 1, 2, 3, 4), p AS (SELECT *, {hyper_sql('x', 'u', 'm', 'd')} AS pval FROM j)"
@@ -526,10 +564,36 @@ def breakdown(spark, at):
     return overlap.breakdown(results(spark, at)).select("term", "window_size", "flank_limit", r6("term_loci", "term_loci"), r6("collapsed_loci", "collapsed_loci"), "candidate_genes")
 
 
-@query(f"WITH {RESULTS} SELECT cob, method, " + ", ".join(f"coalesce(sum(num_real) FILTER (WHERE fdr <= {c / 100}), 0) AS sum_{c}, coalesce(max(num_real) FILTER (WHERE fdr <= {c / 100}), 0) AS max_{c}, round(coalesce(min(zscore) FILTER (WHERE fdr <= {c / 100}), 0), 6) AS z_{c}" for c in (10, 35, 50)) + " FROM results GROUP BY 1, 2")
+@query(f"WITH {RESULTS} SELECT cob, method, sum(num_real) AS tot, " + ", ".join(f"coalesce(max(num_real) FILTER (WHERE fdr <= {c / 100}), 0) AS fdr{c}, round(coalesce(min(zscore) FILTER (WHERE fdr <= {c / 100}), 0), 6) AS fdr{c}_z" for c in (10, 35, 50)) + " FROM results GROUP BY 1, 2")
 def grouped_fdr(spark, at):
     out = overlap.grouped_fdr(results(spark, at), ["cob", "method"])
-    return out.select("cob", "method", *[F.col(f"{k}_{c}") for c in (10, 35, 50) for k in ("sum", "max")], *[r6(f"z_{c}", f"z_{c}") for c in (10, 35, 50)])
+    return out.select("cob", "method", "tot", *[F.col(f"fdr{c}") for c in (10, 35, 50)], *[r6(f"fdr{c}_z", f"fdr{c}_z") for c in (10, 35, 50)])
+
+
+@query("SELECT l_suppkey AS supp, l_returnflag AS flag, arg_max(l_quantity, (l_orderkey, l_linenumber)) AS quantity FROM lineitem GROUP BY 1, 2")
+def keep_last(spark, at):
+    rows = table(spark, at, "lineitem").select(F.col("l_suppkey").alias("supp"), F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("quantity"), F.struct("l_orderkey", "l_linenumber").alias("at"))
+    return overlap.keep_last(rows, ["supp", "flag"], "at").select("supp", "flag", "quantity")
+
+
+@query("SELECT l_returnflag AS flag, round(avg(l_quantity), 6) AS mean, round(1.96 * stddev_samp(l_quantity) / sqrt(count(l_quantity)), 6) AS interval FROM lineitem GROUP BY 1")
+def mean_confidence(spark, at):
+    return table(spark, at, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(*stats.mean_confidence("l_quantity")).select("flag", r6("mean", "mean"), r6("interval", "interval"))
+
+
+_OVERLAP = f"""WITH {NET}, t AS (SELECT 'L' || label AS term, vec_id AS gene FROM embeddings), e AS (SELECT a.term, gene_a, gene_b, score FROM net JOIN t a ON a.gene = gene_a JOIN t b ON b.gene = gene_b AND a.term = b.term),
+g AS (SELECT term, gene, avg(score) AS score FROM (SELECT term, gene_a AS gene, score FROM e UNION ALL SELECT term, gene_b, score FROM e) GROUP BY 1, 2)
+SELECT 'net' AS cob, 'labels' AS ontology, term, CAST(gene AS VARCHAR) AS gene, 1 AS window_size, 0 AS flank_limit, 'density' AS method, round(score, 6) AS score, (SELECT count(*) FROM t WHERE t.term = g.term) AS term_loci, (SELECT count(*) FROM e WHERE e.term = g.term) AS num_trans_edges, 10 AS num_bootstraps FROM g"""
+
+
+@query(_OVERLAP)
+def overlap_results(spark, at):
+    """The whole overlap job for all terms; the columns that do not hang on random draws."""
+    own = vector_genes(spark, at)
+    edges = materialised(network(spark, at))
+    net = jobs.Network(None, None, None, own, edges, materialised(cx.degree(edges, own.select(F.col("id").alias("gene")))))
+    rows = jobs.run_overlap(net, jobs.term_genes(labels(spark, at), own), window=1, flank=0, iterations=10, cob="net", name="labels")
+    return rows.select("cob", "ontology", "term", F.col("gene").cast("string").alias("gene"), "window_size", "flank_limit", "method", r6("score", "score"), "term_loci", "num_trans_edges", "num_bootstraps")
 
 
 @query("SELECT event_type AS term, key, count(*) AS n FROM (SELECT event_type, unnest(json_keys(props)) AS key FROM events) GROUP BY 1, 2")
@@ -538,6 +602,15 @@ def attribute_keys(spark, at):
     return table(spark, at, "events").select(F.col("event_type").alias("term"), attrs).groupBy("term", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT p_name AS name, CAST(min(p_partkey) AS VARCHAR) AS gene FROM part GROUP BY 1 UNION ALL SELECT CAST(p_partkey AS VARCHAR), CAST(p_partkey AS VARCHAR) FROM part")
+def from_ids(spark, at):
+    """Genes by id and by alias; names of no gene are left out."""
+    part = table(spark, at, "part")
+    own = part.groupBy(F.col("p_name").alias("alias")).agg(F.min("p_partkey").cast("string").alias("id"))
+    names = part.select(F.col("p_partkey").cast("string").alias("name")).union(part.select("p_name")).union(part.select(F.concat(F.lit("none"), "p_partkey"))).distinct()
+    return records.from_ids(names, genes(spark, at), own).select("name", "gene")
+
+
 @query()
 def random_gene_sets(spark, at):
     return overlap.random_genes(genes(spark, at).select(F.col("id").alias("gene")), 10, 20)
@@ -545,5 +618,7 @@ def random_gene_sets(spark, at):
 
 @query()
 def bootstrap_candidates(spark, at):
-    sizes = _candidates(spark, at)[0].where("term = 'click'").groupBy(F.col("parent_locus").alias("locus")).agg(F.count(F.lit(1)).cast("int").alias("n"))
-    return overlap.bootstrap_candidates(sizes, genes(spark, at), 5)
+    """Stand-ins for the genes of every label, locus by locus."""
+    v = table(spark, at, "embeddings").select(F.col("label").alias("term"), F.floor(F.col("vec_id") / 36).alias("locus"))
+    sizes = v.groupBy("term", "locus").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return overlap.bootstrap_candidates(sizes, genes(spark, at), 5, by=("term",))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from genonet.operators.expression import AccessionNameError
+
 GFF = "seqid string, source string, feature string, start long, end long, score string, strand string, frame string, attributes string"
 
 
@@ -39,11 +41,10 @@ def genome_from_dataframe(df: DataFrame, chrom: str, start: str, end: str, id_co
     return genes, attrs
 
 
-def read_aliases(spark: SparkSession, path: str, genes: DataFrame, id_col: int = 0, alias_col: int = 1, header: bool = True) -> DataFrame:
-    """alias and id of lines cut at commas or tabs, for ids of the genome."""
+def read_aliases(spark: SparkSession, path: str, genes: DataFrame, id_col: int = 0, alias_col: int = 1) -> DataFrame:
+    """alias and id of lines cut at commas or tabs, for ids of the genome; a header names no gene of it and so drops out."""
     parts = spark.read.text(path).select(F.split("value", "[,\t]").alias("p"))
     rows = parts.select(F.get("p", F.lit(alias_col)).alias("alias"), F.upper(F.get("p", F.lit(id_col))).alias("id"))
-    del header  # a header names no gene of the genome, so the join drops it
     return rows.join(genes.select("id"), "id", "left_semi").dropDuplicates(["alias"])
 
 
@@ -70,14 +71,18 @@ def _resolved(found: DataFrame, genes: DataFrame) -> DataFrame:
     return direct.unionByName(other).select("name", F.col("id").alias("gene")).distinct()
 
 
-def read_matrix(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """gene, accession and value of a matrix whose header may lack the name of the gene column."""
+def read_matrix(spark: SparkSession, path: str, sep: str = "\t", index_col: str | None = None) -> DataFrame:
+    """gene, accession and value of a matrix whose header may lack the name of the gene column; index_col names it where it is not the first."""
     lines = [r[0] for r in spark.read.text(path).limit(2).collect()]
     head, width = lines[0].split(sep), len(lines[-1].split(sep))
-    names = ["gene", *head] if width > len(head) else ["gene", *head[1:]]
+    names = ["gene", *head] if width > len(head) else head
+    at = names.index(index_col) if index_col else 0
+    own = names[:at] + names[at + 1 :]
+    if len(set(own)) < len(own):
+        raise AccessionNameError("accession names must be unique")
     rows = spark.read.text(path).where(F.col("value") != sep.join(head)).select(F.split("value", sep).alias("p"))
-    values = F.explode(F.transform(F.array(*[F.struct(F.lit(n).alias("a"), F.lit(k).alias("k")) for k, n in enumerate(names) if k]), lambda x: F.struct(x["a"].alias("accession"), F.get(F.col("p"), x["k"]).alias("raw"))))
-    long = rows.select(F.upper(F.col("p")[0]).alias("gene"), values.alias("v")).select("gene", "v.accession", F.expr("try_cast(v.raw as double)").alias("value"))
+    values = F.explode(F.transform(F.array(*[F.struct(F.lit(n).alias("a"), F.lit(k).alias("k")) for k, n in enumerate(names) if k != at]), lambda x: F.struct(x["a"].alias("accession"), F.get(F.col("p"), x["k"]).alias("raw"))))
+    long = rows.select(F.upper(F.col("p")[at]).alias("gene"), values.alias("v")).select("gene", "v.accession", F.expr("try_cast(v.raw as double)").alias("value"))
     return long.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where that is unset (tests, one machine), a temporary folder."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own.setdefault("dir", tempfile.mkdtemp(prefix="genonet-"))
+    """spark.checkpoint.dir; where that is unset, a local master takes a temporary folder, and a cluster raises."""
+    if base := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return base
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own.setdefault("dir", tempfile.mkdtemp(prefix="genonet-"))
 
 
 def materialised(df: DataFrame) -> DataFrame:

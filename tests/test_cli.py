@@ -1,6 +1,7 @@
 import numpy as np
 
 from genonet import cli
+from genonet.operators.overlap import KEY
 from genonet.sources.catalog import Catalog
 
 
@@ -19,16 +20,24 @@ def test_build_map_and_score(spark, tmp_path):
     run("build-gwas", str(tmp_path / "s.tsv"), "gwas", "snps", "ref", "--skip-traits", "skip", "--query", "pval < 0.5")
     run("snp2gene", "gwas", "net", "--candidate-window-size", "1500", "--candidate-flank-limit", "1", "--out", str(tmp_path / "genes"))
     run("overlap", "net", "density", "--gwas", "gwas", "--terms", "t", "--candidate-window-size", "1500", "--candidate-flank-limit", "1", "--num-bootstraps", "10", "--out", str(tmp_path / "out"))
+    run("overlap", "net", "locality", "--gwas", "gwas", "--candidate-window-size", "1500", "--candidate-flank-limit", "1", "--num-bootstraps", "5", "--snp2gene", "strongest", "--strongest-attr", "pval", "--out", str(tmp_path / "out2"))
+    run("overlap", "net", "density", "--genes", "g00,g04 g08", "g12", "nosuch", "--num-bootstraps", "auto", "--out", str(tmp_path / "out3"))
+    run("overlap", "net", "density", "--gwas", "gwas", "--candidate-window-size", "1500", "--candidate-flank-limit", "1", "--dry-run", "--out", str(tmp_path / "none"))
     run("neighbors", "net", "g00", "--out", str(tmp_path / "near"))
     run("health", "net", "--out", str(tmp_path / "health"))
     run("list")
     catalog = Catalog(spark, root)
-    assert {(r.type, r.name) for r in catalog.datasets().collect()} == {("RefGen", "ref"), ("COB", "net"), ("GWAS", "gwas")}
+    assert {(r.type, r.name) for r in catalog.datasets().collect()} == {("RefGen", "ref"), ("COB", "net"), ("GWAS", "gwas"), ("Overlap", "gwas"), ("Overlap", "GeneList")}
+    kept = catalog.load("Overlap", "gwas", "results")
+    assert {(r.method, r.snp2gene, r.num_bootstraps) for r in kept.select("method", "snp2gene", "num_bootstraps").distinct().collect()} == {("density", "effective", 10), ("locality", "strongest", 5)}
+    assert kept.count() == kept.select(*KEY).distinct().count() and not (tmp_path / "none").exists()
+    own = catalog.load("Overlap", "GeneList", "results")
+    assert own.count() == 4 and own.first().num_bootstraps in range(50, 1001, 50) and own.first().term_pvalue < 0.2
     assert catalog.load("COB", "net", "edges").count() == 24 * 23 // 2
     assert {r.term for r in catalog.load("GWAS", "gwas", "snps").collect()} == {"t"}
     read = lambda p: spark.read.csv(str(tmp_path / p), sep="\t", header=True)
     assert read("genes").count() > 0 and read("near").select("gene").distinct().count() <= 1
-    assert read("out/t.overlap.tsv").where("term = 't'").count() > 0
+    assert read("out").where("term = 't'").count() > 0
     assert read("health_qc_gene").where("chrom = 'TOTAL'").count() == 1
     run("rm", "COB", "net")
     assert not catalog.exists("COB", "net")

@@ -1,4 +1,5 @@
 import math
+from xml.etree import ElementTree
 
 import numpy as np
 import pytest
@@ -10,8 +11,8 @@ from genonet.operators import coexpression as cx
 from genonet.operators import expression as ex
 from genonet.operators import graph, loci, ontology, overlap, ranges
 from genonet.plans import jobs
-from genonet.sources import readers, writers
-from genonet.sources.catalog import Catalog, DatasetExistsError
+from genonet.sources import readers, records, writers
+from genonet.sources.catalog import Catalog, DatasetExistsError, GeneAbsentError
 
 LOCI = [("1", 100, 500, 0, 0), ("1", 400, 700, 0, 5), ("2", 100, 200, 100, 0), ("2", 300, 500, 100, 5), ("3", 100, 100, 50, 5), ("3", 200, 200, 50, 0), ("4", 100, 100, 80, 1), ("4", 200, 200, 80, 2), ("4", 300, 300, 80, 3), ("4", 400, 400, 10, 4)]
 
@@ -232,7 +233,11 @@ def test_jobs(spark, network, tmp_path):
     terms = genes.select(F.concat(F.lit("T"), (F.substring("id", 2, 2).cast("int") % 6).cast("string")).alias("term"), F.col("id").alias("gene"))
     health = jobs.go_health(net, terms, 5, 20, 20).collect()
     assert len(health) == 6 and all(r.pvalue == 0 and r.significant for r in health)
-    writers.write_graphml(edges.where("significant").limit(5), str(tmp_path / "n.graphml"))
+    kept = edges.where("significant").limit(5).withColumn("gene_b", F.concat(F.col("gene_b"), F.lit("<&\"")))
+    writers.write_graphml(kept, str(tmp_path / "n.graphml"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "n.graphml").glob("part-*.txt")))
+    root = ElementTree.fromstring(text.encode())
+    assert [x.tag.split("}")[1] for x in root[1]] == ["node"] * len({x for r in kept.collect() for x in (r.gene_a, r.gene_b)}) + ["edge"] * 5
     nodes, links = writers.network_json(edges.where("significant"), genes.select(F.col("id").alias("gene")), max_edges=20, remove_orphans=True)
     assert links.count() == 20 and nodes.count() <= 40
 
@@ -253,5 +258,140 @@ def test_large_terms_stay(spark, tmp_path):
     spark.range(n).select(F.col("id").alias("vec_id"), (F.col("id") % 10).alias("label")).write.parquet(f"{tmp_path}/embeddings.parquet")
     pairs = {(r.source_term, r.target_term): r.num_common for r in queries.adjacency(spark, str(tmp_path)).collect()}
     assert pairs == {(f"L{a}", f"M{b}"): n // 130 for a in range(10) for b in range(13)}
-    # vec_id % 12 == 5 is odd, so only the odd labels hold one of the listed genes
-    assert {(r.term, r.size) for r in queries.terms_containing(spark, str(tmp_path)).collect()} == {(f"L{a}", n // 10) for a in range(1, 10, 2)}
+    assert {(r.term, r.size) for r in queries.terms_containing(spark, str(tmp_path)).collect()} == {(f"M{b}", n // 13) for b in range(13)}
+
+
+def test_names(spark):
+    name = "A" * 89 + "middle of a long name" + "0123456789"
+    rows = spark.createDataFrame([(name,), ("1 day-old*",), ("_x.y_",), ("ok_1",)], "n string").select("n", ex.clean_accession(F.col("n")).alias("c"), ex.clean_accession(F.col("n"), False).alias("raw")).collect()
+    assert [r.c for r in rows] == ["A" * 89 + "___" + "012345678", "Exp_1_day_old", "x_y", "ok_1"] and len(rows[0].raw) == len(name)
+    expr = lambda rows: spark.createDataFrame(rows, "gene string, accession string, value double")
+    assert {(r.gene, r.accession) for r in ex.cleaned(expr([("g/1", "a b", 1.0), ("g/1", "2", 1.0)])).collect()} == {("G1", "a_b"), ("G1", "Exp_2")}
+    with pytest.raises(ex.GeneNameError):
+        ex.cleaned(expr([("g1", "a", 1.0), ("G1", "a", 2.0)]))
+    with pytest.raises(ex.GeneNameError):
+        ex.cleaned(expr([("g1", "a", 1.0), ("g1", "a", 2.0)]))
+    with pytest.raises(ex.AccessionNameError):
+        ex.cleaned(expr([("g1", "a b", 1.0), ("g1", "a.b", 2.0)]))
+    assert ex.without_missing_accessions(expr([("g", "a", 1.0), ("h", "a", None), ("g", "b", 1.0)])).count() == 1
+
+
+def test_matrix_index_and_repeated_accessions(spark, tmp_path):
+    (tmp_path / "m.tsv").write_text("A1\tid\tA2\n1\tg\t2\n")
+    assert {tuple(r) for r in readers.read_matrix(spark, str(tmp_path / "m.tsv"), index_col="id").collect()} == {("G", "A1", 1.0), ("G", "A2", 2.0)}
+    (tmp_path / "n.tsv").write_text("id\tA1\tA1\ng\t1\t2\n")
+    with pytest.raises(ex.AccessionNameError):
+        readers.read_matrix(spark, str(tmp_path / "n.tsv"))
+
+
+def test_records(spark):
+    genes = spark.createDataFrame([("A", "1", 1, 5), ("B", "1", 7, 9)], "id string, chrom string, start long, end long")
+    attrs = spark.createDataFrame([("A", "k", "v"), ("B", "k", "w")], "id string, key string, val string")
+    aliases = spark.createDataFrame([("al", "A")], "alias string, id string")
+    new = spark.createDataFrame([("b", "2", 1, 2), ("c", "1", 3, 4)], "id string, chrom string, start long, end long")
+    other = spark.createDataFrame([("al", "C"), ("be", "B"), ("no", "A")], "alias string, id string")
+    g, a, al = records.add_genes(genes, attrs, new, spark.createDataFrame([("b", "k", "x")], "id string, key string, val string"), aliases, other)
+    assert {tuple(r) for r in g.collect()} == {("A", "1", 1, 5), ("B", "2", 1, 2), ("C", "1", 3, 4)}
+    assert {tuple(r) for r in a.collect()} == {("A", "k", "v"), ("B", "k", "x")} and {tuple(r) for r in al.collect()} == {("al", "A"), ("be", "B")}
+    assert {tuple(r) for r in records.add_chromosomes(spark.createDataFrame([("1", 5)], "id string, length long"), spark.createDataFrame([("1", 9), ("2", 3)], "id string, length long")).collect()} == {("1", 9), ("2", 3)}
+    terms, own = spark.createDataFrame([("t", "old")], "id string, desc string"), spark.createDataFrame([("t", "A")], "term string, gene string")
+    more, more_loci = spark.createDataFrame([("t", "new")], "id string, desc string"), spark.createDataFrame([("t", "B"), ("t", "B")], "term string, gene string")
+    with pytest.raises(records.RecordExistsError):
+        records.add_terms(terms, own, more, more_loci)
+    t, l = records.add_terms(terms, own, more, more_loci, overwrite=True)
+    assert [tuple(r) for r in t.collect()] == [("t", "new")] and [tuple(r) for r in l.collect()] == [("t", "B")]
+    t, l = records.del_terms(t, l, terms)
+    assert t.count() == l.count() == 0
+    names = spark.createDataFrame([("a",), ("AL",), ("zz",)], "name string")
+    assert {(r.name, r.gene) for r in records.from_ids(names, genes, aliases).collect()} == {("a", "A"), ("AL", "A")}
+    with pytest.raises(GeneAbsentError):
+        records.from_ids(names, genes, aliases, check_shape=True)
+    both = spark.createDataFrame([("a",), ("b",)], "gene string")
+    assert [tuple(r) for r in records.aliases_of(both, aliases).collect()] == [("A", ["al"])]
+    assert {(r.gene, *r.desc) for r in records.annotations_of(both, spark.createDataFrame([("A", "y"), ("A", "x"), ("C", "z")], "id string, desc string")).collect()} == {("A", "x", "y")}
+    assert records.random_terms(terms, 3).count() == 1
+
+
+def test_components_and_trees_of_odd_graphs(spark):
+    """A path in order of names, a hub, a cycle, loops and lone nodes."""
+    rng = np.random.default_rng(8)
+    edges = [(i, i + 1) for i in range(200)] + [(300, i) for i in range(301, 380)] + [(400, 401), (401, 402), (402, 400), (500, 500)] + [tuple(map(int, rng.integers(600, 700, 2))) for _ in range(60)]
+    df = spark.createDataFrame([(a, b, float((a * 7 + b * 13) % 11)) for a, b in edges], "gene_a long, gene_b long, score double")
+    top = {}
+    find = lambda x: x if top.setdefault(x, x) == x else find(top[x])
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        top[y] = x
+    want = {x: find(x) for x in list(top)} | {999: 999}
+    assert {r.node: r.component for r in graph.components(df, spark.createDataFrame([(999,), (5,)], "node long")).collect()} == want
+    tree = graph.spanning_tree(df).collect()
+    top.clear()
+    weight = count = 0
+    for w, a, b in sorted((((a * 7 + b * 13) % 11, a, b) for a, b in edges if a != b), reverse=True):
+        if find(a) != find(b):
+            top[find(a)] = find(b)
+            weight, count = weight + w, count + 1
+    assert len(tree) == count and sum(r.w for r in tree) == weight
+    assert graph.components(df.limit(0)).count() == graph.spanning_tree(df.limit(0)).count() == 0
+
+
+def test_markov_clusters_against_dense_matrices(spark):
+    rng = np.random.default_rng(11)
+    n = 30
+    pairs = {(i, j): float(rng.uniform(1, 3)) for i in range(n) for j in range(i + 1, n) if (i % 3 == j % 3 and rng.random() < 0.7) or rng.random() < 0.05}
+    df = spark.createDataFrame([(f"g{i:02d}", f"g{j:02d}", w, True) for (i, j), w in pairs.items()], "gene_a string, gene_b string, score double, significant boolean")
+    m = np.eye(n)
+    for (i, j), w in pairs.items():
+        m[i, j] = m[j, i] = w
+    m /= m.sum(0)
+    for _ in range(60):
+        m = (m @ m) ** 2
+        m[m < 1e-4] = 0
+        m /= m.sum(0)
+    want = {frozenset(f"g{k:02d}" for k in range(n) if find == tuple(np.flatnonzero(m[:, k] > 1e-6))) for find in {tuple(np.flatnonzero(m[:, k] > 1e-6)) for k in range(n)}}
+    found = {}
+    for r in graph.markov_clusters(df).collect():
+        found.setdefault(r.cluster, set()).add(r.gene)
+    assert {frozenset(x) for x in found.values()} == want
+
+
+def test_random_sets(spark):
+    """Sets of one size without repeats; blocks stand side by side on a chromosome, are as many as asked for, and share no gene."""
+    genes = spark.createDataFrame([(f"g{i:03d}", str(i % 4), i * 10, i * 10 + 5) for i in range(400)], "id string, chrom string, start long, end long")
+    own = genes.select(F.col("id").alias("gene"))
+    sets = overlap.random_genes(own, 15, 6).collect()
+    assert all(len({r.gene for r in sets if r.iter == k}) == 15 for k in range(6)) and len(sets) == 90 and len({frozenset(r.gene for r in sets if r.iter == k) for k in range(6)}) == 6
+    sizes = spark.createDataFrame([("t", f"l{i:02d}", 1 + i % 5) for i in range(25)] + [("u", "l00", 30), ("u", "none", 0)], "term string, locus string, n int")
+    rows = overlap.bootstrap_candidates(sizes, genes, 4, by=("term",)).collect()
+    wanted = {(r.term, r.locus): r.n for r in sizes.collect() if r.n}
+    blocks = {}
+    for r in rows:
+        blocks.setdefault((r.term, r.iter, r.parent_locus), []).append(int(r.gene[1:]))
+    assert {k: len(v) for k, v in blocks.items()} == {(t, i, x): n for (t, x), n in wanted.items() for i in range(4)}
+    assert all(sorted(b) == list(range(min(b), min(b) + 4 * len(b), 4)) for b in blocks.values())
+    for t in "tu":
+        for i in range(4):
+            inside = [g for (a, b, _), v in blocks.items() if (a, b) == (t, i) for g in v]
+            assert len(inside) == len(set(inside))
+    loci_ = overlap.random_loci(spark.createDataFrame([("1", 1000), ("2", 50)], "id string, length long"), 40, 100).collect()
+    assert len(loci_) == 40 and {r.chrom for r in loci_} == {"1", "2"} and all(r.end - r.start == 100 and r.start >= 0 for r in loci_)
+    terms = overlap.simulated_terms(spark.createDataFrame([("t", f"g{i:03d}") for i in range(20)], "term string, gene string"), genes, 50, 25)
+    got = {r.gene for r in terms.collect()}
+    assert 10 <= len(got) <= 15 and len(got & {f"g{i:03d}" for i in range(20)}) >= 10
+
+
+def test_breakdown_total_and_wide_tables(spark):
+    results = spark.createDataFrame([("a", "g1", 10, 1, 2, 2), ("a", "g2", 10, 1, 2, 2), ("b", "g1", 10, 1, 1, 1)], "term string, gene string, window_size int, flank_limit int, term_loci int, term_collapsed_loci int")
+    snps = spark.createDataFrame([("a", "s1", "1", 5, 5), ("a", "s2", "1", 100, 100), ("b", "s3", "1", 12, 12)], "term string, id string, chrom string, start long, end long")
+    rows = {r.term: (r.term_loci, r.collapsed_loci, r.candidate_genes) for r in overlap.breakdown(results, snps).collect()}
+    assert rows == {"a": (2.0, 2.0, 2), "b": (1.0, 1.0, 1), "Total": (3.0, 2.0, 2)}
+    counts = spark.createDataFrame([("a", "density", "x", 2), ("b", "density", "y", 1)], "term string, method string, cob string, n long")
+    assert [tuple(r) for r in overlap.wide(counts, ["term"], ["method", "cob"]).collect()] == [("a", 2, 0), ("b", 0, 1)]
+
+
+def test_parent_attributes(spark):
+    snps = spark.createDataFrame([("t", "s1", "1", 100, 100, 2.0), ("t", "s2", "1", 110, 110, 5.0), ("t", "s3", "1", 900, 900, 1.0)], "term string, id string, chrom string, start long, end long, score double")
+    genes = spark.createDataFrame([("A", "1", 105, 108), ("B", "1", 905, 950)], "id string, chrom string, start long, end long")
+    islands = loci.effective_loci(snps, 20)
+    found = ranges.with_parent_attrs(ranges.candidate_genes(islands, genes, 20, 1, ("term",)), islands, snps, ["score"], ("term",))
+    assert {r.gene: r.parent_score for r in found.collect()} == {"A": 5.0, "B": 1.0}
