@@ -33,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
     command("build-gwas", *named, ("refgen", {}), ("--trait-col", {"default": "Trait"}), ("--chrom-col", {"default": "CHR"}), ("--pos-col", {"default": "POS"}), ("--sep", {"default": "\t"}), ("--add-trait", {}), ("--skip-traits", {"nargs": "*", "default": []}), ("--query", {}), force)
     command("list ls".split()[0], ("--type", {}), ("--name", {"default": "%"}))
     command("rm", ("type", {}), ("name", {}))
-    command("snp2gene", ("gwas", {}), ("refgen", {}), ("--terms", {"nargs": "*"}), ("--candidate-window-size", {"type": int, "nargs": "+", "default": [1]}), ("--candidate-flank-limit", {"type": int, "nargs": "+", "default": [0]}), ("--strongest", {}), ("--strongest-higher", {"action": "store_true"}), ("--gene-info", {"nargs": "*", "default": []}), ("--out", {"required": True}))
+    command("snp2gene", ("gwas", {}), ("refgen", {}), ("--terms", {"nargs": "*"}), ("--candidate-window-size", {"type": int, "nargs": "+", "default": [1]}), ("--candidate-flank-limit", {"type": int, "nargs": "+", "default": [0]}), ("--strongest", {}), ("--strongest-higher", {"action": "store_true"}), ("--include-parent-attrs", {"nargs": "*", "default": []}), ("--gene-info", {"nargs": "*", "default": []}), ("--out", {"required": True}))
     command("overlap", ("cob", {}), ("method", {"choices": ["density", "locality"]}), ("--gwas", {}), ("--go", {}), ("--genes", {"nargs": "*"}), ("--terms", {"nargs": "+", "default": ["all"]}), ("--skip-terms", {"nargs": "*", "default": []}), ("--candidate-window-size", {"type": int, "default": 50_000}), ("--candidate-flank-limit", {"type": int, "default": 2}), ("--num-bootstraps", {"default": "auto"}), ("--min-term-size", {"type": int, "default": 2}), ("--max-term-size", {"type": int}), ("--snp2gene", {"choices": ["effective", "strongest"], "default": "effective"}), ("--strongest-attr", {}), ("--strongest-higher", {"action": "store_true"}), ("--dry-run", {"action": "store_true"}), ("--seed", {"type": int, "default": 1}), ("--out", {"required": True}), force)
     command("neighbors", ("cob", {}), ("genes", {"nargs": "+"}), ("--num", {"type": int, "default": 10}), ("--out", {"required": True}))
     command("health", ("cob", {}), ("--go", {}), ("--num-bootstraps", {"type": int, "default": 50}), ("--min-term-size", {"type": int, "default": 10}), ("--max-term-size", {"type": int, "default": 300}), ("--out", {"required": True}))
@@ -115,7 +115,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         snps = snps.where(F.col("term").isin(a.terms)) if a.terms else snps
         snps = snps.withColumn(a.strongest, F.col("attr")[a.strongest]) if a.strongest else snps
         info = [spark.read.csv(p, sep="\t", header=True) for p in a.gene_info]
-        writers.write_tsv(jobs.snp2gene(snps, catalog.load(kind, a.refgen, "genes"), a.candidate_window_size, a.candidate_flank_limit, a.strongest, not a.strongest_higher, info), a.out, True)
+        writers.write_tsv(jobs.snp2gene(snps, catalog.load(kind, a.refgen, "genes"), a.candidate_window_size, a.candidate_flank_limit, a.strongest, not a.strongest_higher, info, a.include_parent_attrs), a.out, True)
     elif a.command == "overlap":
         _overlap(catalog, a)
     elif a.command == "neighbors":

@@ -13,15 +13,13 @@ from genonet.sources.shared import materialised
 
 
 def ancestors(rels: DataFrame) -> DataFrame:
-    """term and ancestor for every path up the graph, each pair once. Doubles the length of known paths each round."""
-    paths = materialised(rels.select(F.col("child").alias("term"), F.col("parent").alias("ancestor")).distinct())
-    count = paths.count()
-    while True:
-        longer = paths.alias("a").join(paths.alias("b"), F.col("a.ancestor") == F.col("b.term")).select("a.term", "b.ancestor")
-        paths = materialised(paths.union(longer).distinct())
-        if (now := paths.count()) == count:
-            return paths
-        count = now
+    """term and ancestor for every path up the graph, each pair once. Doubles the length of known paths each round, going on from the paths found last."""
+    paths = new = materialised(rels.select(F.col("child").alias("term"), F.col("parent").alias("ancestor")).distinct())
+    while not new.isEmpty():
+        longer = new.alias("a").join(paths.alias("b"), F.col("a.ancestor") == F.col("b.term")).select("a.term", "b.ancestor").distinct()
+        new = materialised(longer.join(paths, ["term", "ancestor"], "left_anti"))
+        paths = paths.unionByName(new)
+    return paths
 
 
 def children(rels: DataFrame, term: str) -> DataFrame:

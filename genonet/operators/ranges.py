@@ -75,13 +75,24 @@ def candidate_genes(loci: DataFrame, genes: DataFrame, window: int, flank_limit:
     snp_distance, intervening_rank (ties at their mean), num_intervening (from 0 on each side by
     distance; -1 where the windowed locus lies in the gene). One range join serves all three kinds.
     """
+    return candidates_within(near_genes(loci, genes, window, flank_limit, by), window, flank_limit, by)
+
+
+def near_genes(loci: DataFrame, genes: DataFrame, window: int, flank_limit: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
+    """The genes that start inside each locus, and on either side the nearest inside the window, numbered ``nth`` up to the limit: what candidates_within() takes, for any smaller limit too."""
     if window <= 0 and flank_limit > 0:
         raise ZeroWindowError("flanking genes need a window over 0")
     keys = [*by, "id"]
     side = F.when(F.col("g_start") < F.col("start"), "up").when(F.col("g_start") > F.col("end"), "down").otherwise("within")
     found = starts_in(loci, genes, F.col("start") - window, F.col("end") + window).withColumn("side", side)
     nearest = Window.partitionBy(*keys, "side").orderBy(F.when(F.col("side") == "up", -F.col("g_start")).otherwise(F.col("g_start")), "gene")
-    kept = found.withColumn("nth", F.row_number().over(nearest)).where((F.col("side") == "within") | (F.col("nth") <= flank_limit))
+    return found.withColumn("nth", F.row_number().over(nearest)).where((F.col("side") == "within") | (F.col("nth") <= flank_limit))
+
+
+def candidates_within(near: DataFrame, window: int, flank_limit: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """candidate_genes() out of near_genes() of the same window and at least this limit."""
+    keys = [*by, "id"]
+    kept = near.where((F.col("side") == "within") | (F.col("nth") <= flank_limit))
     middle, own = (F.col("g_start") + F.col("g_end")) / 2, (F.col("start") + F.col("end")) / 2
     kept = kept.withColumn("snp_distance", F.abs(middle - own)).withColumn("_down", middle >= own)
     kept = kept.withColumn("_in", (F.col("start") - window >= F.col("g_start")) & (F.col("end") + window <= F.col("g_end")))

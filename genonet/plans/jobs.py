@@ -49,17 +49,22 @@ def build_network(raw: DataFrame, genes: DataFrame, rawtype: str = "RNASEQ", zsc
     return Network(expr, *flags, kept, edges, materialised(cx.degree(edges, kept.select(F.col("id").alias("gene")))), found, log)
 
 
-def snp2gene(snps: DataFrame, genes: DataFrame, windows: list[int], flanks: list[int], strongest: str | None = None, lowest: bool = True, info: list[DataFrame] | None = None) -> DataFrame:
-    """Candidate genes of every term for each window and flank limit; info tables join on the columns they share."""
+def snp2gene(snps: DataFrame, genes: DataFrame, windows: list[int], flanks: list[int], strongest: str | None = None, lowest: bool = True, info: list[DataFrame] | None = None, parent_attrs: list[str] | None = None) -> DataFrame:
+    """Candidate genes of every term for each window and flank limit; info tables join on the columns they share. parent_attrs: keys of the loci's attr, which come as parent_<attr>."""
     parts = []
     for w in windows:
         if strongest:
             best = loci.strongest_loci(snps, F.col(strongest), w, lowest)
-            islands = materialised(best.select("term", "chrom", "start", "end", "id"))
+            islands = materialised(best.select("term", "chrom", "start", "end", "id", F.array("id").alias("sub_ids")))
         else:
-            islands = materialised(loci.effective_loci(snps, w).drop("sub_ids"))
+            islands = materialised(loci.effective_loci(snps, w))
+        near = materialised(ranges.near_genes(islands, genes, w, max(flanks), ("term",)))  # one range join serves all flank limits
         for f in flanks:
-            parts.append(ranges.candidate_genes(islands, genes, w, f, ("term",)).withColumn("window_size", F.lit(w)).withColumn("flank_limit", F.lit(f)))
+            found = ranges.candidates_within(near, w, f, ("term",))
+            if parent_attrs:
+                own = snps.select("term", "id", *[F.col("attr")[a].alias(a) for a in parent_attrs])
+                found = ranges.with_parent_attrs(found, islands, own, parent_attrs, ("term",))
+            parts.append(found.withColumn("window_size", F.lit(w)).withColumn("flank_limit", F.lit(f)))
     out = reduce(DataFrame.unionByName, parts)
     for table in info or []:
         out = out.join(table, [c for c in table.columns if c in out.columns], "left")
@@ -91,9 +96,9 @@ def run_overlap(
 ) -> DataFrame:
     """Result rows of all terms of term_loci (term, id, chrom, start, end, maybe attr): scores of candidate genes against bootstraps.
 
-    All terms and iterations are one job keyed by term and ``iter``. iterations "auto": rounds of
-    50, in which only terms take part that have had 50 iterations at most as extreme as the real
-    score, up to 1,000. Terms with fewer loci than min_size (2 at least) or more than max_size are
+    All terms and iterations are one job keyed by term and ``iter``. iterations "auto": 50, then in
+    rounds that double what is done up to 1,000, with the terms only that have had 50 iterations
+    at most as extreme as the real score. Terms with fewer loci than min_size (2 at least) or more than max_size are
     left out, as are terms without a scored gene.
     """
     islands, wide = mapped_loci(term_loci, window, flank, snp2gene, strongest_attr, higher)
@@ -113,6 +118,7 @@ def run_overlap(
         scores = materialised(_set_scores(network, drawn, method))
         boots, done = scores if boots is None else boots.unionByName(scores), done + batch
         if auto:
+            batch = min(done, 1000 - done)
             more = scores.groupBy("term", "iter").agg(F.avg("score").alias("m")).join(mean, "term").groupBy("term").agg(F.sum((F.col("m") >= F.col("real")).cast("long")).alias("k"))
             extreme = materialised(more if extreme is None else extreme.union(more).groupBy("term").agg(F.sum("k").alias("k")))
             sizes = materialised(sizes.join(extreme.where("k > 50").select("term"), "term", "left_anti"))

@@ -217,11 +217,8 @@ _GRID = [(w, f) for w in (5000, 20_000) for f in (1, 2)]
 
 @query("WITH " + ", ".join([GENES, SNPS, islands_sql(5000, "isl5000"), islands_sql(20_000, "isl20000"), *(candidates_sql(w, f, f"isl{w}", f"c{w}_{f}") for w, f in _GRID)]) + " " + " UNION ALL ".join(f"SELECT term, {w} AS window_size, {f} AS flank_limit, count(DISTINCT gene) AS candidates, count(DISTINCT parent_locus) AS hit_loci FROM c{w}_{f} GROUP BY term" for w, f in _GRID))
 def snp2gene_grid(spark, at):
-    parts = [_candidates(spark, at, w, f)[0].groupBy("term").agg(F.countDistinct("gene").alias("candidates"), F.countDistinct("parent_locus").alias("hit_loci")).withColumn("window_size", F.lit(w)).withColumn("flank_limit", F.lit(f)) for w, f in _GRID]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    found = jobs.snp2gene(snps(spark, at), genes(spark, at), sorted({w for w, _ in _GRID}), sorted({f for _, f in _GRID}))
+    return found.groupBy("term", "window_size", "flank_limit").agg(F.countDistinct("gene").alias("candidates"), F.countDistinct("parent_locus").alias("hit_loci"))
 
 
 # ---- expression ----

@@ -32,7 +32,7 @@ def test_build_map_and_score(spark, tmp_path):
     assert {(r.method, r.snp2gene, r.num_bootstraps) for r in kept.select("method", "snp2gene", "num_bootstraps").distinct().collect()} == {("density", "effective", 10), ("locality", "strongest", 5)}
     assert kept.count() == kept.select(*KEY).distinct().count() and not (tmp_path / "none").exists()
     own = catalog.load("Overlap", "GeneList", "results")
-    assert own.count() == 4 and own.first().num_bootstraps in range(50, 1001, 50) and own.first().term_pvalue < 0.2
+    assert own.count() == 4 and own.first().num_bootstraps in (50, 100, 200, 400, 800, 1000) and own.first().term_pvalue < 0.2
     assert catalog.load("COB", "net", "edges").count() == 24 * 23 // 2
     assert {r.term for r in catalog.load("GWAS", "gwas", "snps").collect()} == {"t"}
     read = lambda p: spark.read.csv(str(tmp_path / p), sep="\t", header=True)

@@ -243,13 +243,14 @@ def test_jobs(spark, network, tmp_path):
 
 
 def test_streaming_merge(spark, tmp_path):
-    from genonet.streaming import merge_stream
+    from genonet.streaming import latest, merge_stream
 
     rows = lambda v: spark.createDataFrame([("k", v)], "k string, v int").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    for v in (1, 2):
+    for v in (1, 2, 3):
         rows(v)
         merge_stream(spark.readStream.schema("k string, v int").json(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), ["k"]).awaitTermination()
-    assert [r.v for r in spark.read.parquet(str(tmp_path / "out" / "v=1")).collect()] == [2]
+    assert [r.v for r in latest(spark, str(tmp_path / "out")).collect()] == [3]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["v=1", "v=2"]
 
 
 def test_large_terms_stay(spark, tmp_path):
@@ -312,7 +313,7 @@ def test_records(spark):
     assert records.random_terms(terms, 3).count() == 1
 
 
-def test_components_and_trees_of_odd_graphs(spark):
+def test_components_and_trees_of_odd_graphs(spark, monkeypatch):
     """A path in order of names, a hub, a cycle, loops and lone nodes."""
     rng = np.random.default_rng(8)
     edges = [(i, i + 1) for i in range(200)] + [(300, i) for i in range(301, 380)] + [(400, 401), (401, 402), (402, 400), (500, 500)] + [tuple(map(int, rng.integers(600, 700, 2))) for _ in range(60)]
@@ -324,7 +325,12 @@ def test_components_and_trees_of_odd_graphs(spark):
         top[y] = x
     want = {x: find(x) for x in list(top)} | {999: 999}
     assert {r.node: r.component for r in graph.components(df, spark.createDataFrame([(999,), (5,)], "node long")).collect()} == want
+    monkeypatch.setattr(graph, "LOCAL", 5)  # the way of large graphs
+    assert {r.node: r.component for r in graph.components(df, spark.createDataFrame([(999,), (5,)], "node long")).collect()} == want
+    shrunk = {tuple(r) for r in graph.spanning_tree(df).collect()}
+    monkeypatch.undo()
     tree = graph.spanning_tree(df).collect()
+    assert shrunk == {tuple(r) for r in tree}
     top.clear()
     weight = count = 0
     for w, a, b in sorted((((a * 7 + b * 13) % 11, a, b) for a, b in edges if a != b), reverse=True):
