@@ -36,7 +36,7 @@ def parser() -> argparse.ArgumentParser:
     command("snp2gene", ("gwas", {}), ("refgen", {}), ("--terms", {"nargs": "*"}), ("--candidate-window-size", {"type": int, "nargs": "+", "default": [1]}), ("--candidate-flank-limit", {"type": int, "nargs": "+", "default": [0]}), ("--strongest", {}), ("--strongest-higher", {"action": "store_true"}), ("--include-parent-attrs", {"nargs": "*", "default": []}), ("--gene-info", {"nargs": "*", "default": []}), ("--out", {"required": True}))
     command("overlap", ("cob", {}), ("method", {"choices": ["density", "locality"]}), ("--gwas", {}), ("--go", {}), ("--genes", {"nargs": "*"}), ("--terms", {"nargs": "+", "default": ["all"]}), ("--skip-terms", {"nargs": "*", "default": []}), ("--candidate-window-size", {"type": int, "default": 50_000}), ("--candidate-flank-limit", {"type": int, "default": 2}), ("--num-bootstraps", {"default": "auto"}), ("--min-term-size", {"type": int, "default": 2}), ("--max-term-size", {"type": int}), ("--snp2gene", {"choices": ["effective", "strongest"], "default": "effective"}), ("--strongest-attr", {}), ("--strongest-higher", {"action": "store_true"}), ("--dry-run", {"action": "store_true"}), ("--seed", {"type": int, "default": 1}), ("--out", {"required": True}), force)
     command("neighbors", ("cob", {}), ("genes", {"nargs": "+"}), ("--num", {"type": int, "default": 10}), ("--out", {"required": True}))
-    command("health", ("cob", {}), ("--go", {}), ("--num-bootstraps", {"type": int, "default": 50}), ("--min-term-size", {"type": int, "default": 10}), ("--max-term-size", {"type": int, "default": 300}), ("--out", {"required": True}))
+    command("health", ("cob", {}), ("--go", {}), ("--num-bootstraps", {"type": int, "default": 50}), ("--min-term-size", {"type": int, "default": 10}), ("--max-term-size", {"type": int, "default": 300}), ("--max-terms", {"type": int}), ("--edge-zscore-cutoff", {"type": float}), ("--two-tailed", {"action": "store_true"}), ("--out", {"required": True}))
     return p
 
 
@@ -54,7 +54,11 @@ def _overlap(catalog: Catalog, a: argparse.Namespace) -> None:
     elif a.go:
         name, rows, window, flank = a.go, jobs.term_genes(catalog.load("GOnt", a.go, "term_loci"), net.genes), 1, 0
     elif a.gwas:
-        name, rows = a.gwas, catalog.load("GWAS", a.gwas, "snps")
+        name, rows, kept = a.gwas, catalog.load("GWAS", a.gwas, "snps"), catalog.params("GWAS", a.gwas)
+        if a.snp2gene == "strongest":
+            # what was chosen last holds until another is given
+            catalog.set_params("GWAS", a.gwas, strongest_attr=a.strongest_attr, strongest_higher=a.strongest_higher or None)
+            a.strongest_attr, a.strongest_higher = a.strongest_attr or kept.get("strongest_attr"), a.strongest_higher or kept.get("strongest_higher", False)
     else:
         raise SystemExit("give --genes, --go or --gwas")
     if not a.genes and "all" not in a.terms:
@@ -93,6 +97,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         tables |= {"qc_gene": net.qc_gene, "qc_accession": net.qc_accession} if net.qc_gene is not None else {"qc_gene": net.genes.select(F.col("id").alias("gene"), F.lit(True).alias("pass_all")), "qc_accession": net.expr.select("accession", F.lit(True).alias("pass_all")).distinct()}
         if net.clusters is not None:
             tables["clusters"] = net.clusters
+            terms, own = jobs.cluster_ontology(net.clusters, a.name)
+            catalog.save("Ontology", f"{a.name}MCL", f"{a.name} MCL Clusters", {"terms": terms, "term_loci": own}, {"refgen": a.refgen}, a.force)
         catalog.save("COB", a.name, a.description, tables, {"log": net.log, "zscore_cutoff": a.zscore_cutoff, "refgen": a.refgen}, a.force)
     elif a.command == "build-go":
         terms, rels, alts = readers.read_obo(spark, a.obo)
@@ -124,10 +130,15 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         writers.write_tsv(top.where(F.col("gene").isin([g.upper() for g in a.genes])).select("gene", "neighbor", "score", "distance", "significant"), a.out, True)
     elif a.command == "health":
         net = _network(catalog, a.cob)
+        if a.edge_zscore_cutoff is not None:
+            net.edges = coexpression.with_cutoff(net.edges, a.edge_zscore_cutoff)
+            net.degree = materialised(coexpression.degree(net.edges, net.genes.select(F.col("id").alias("gene"))))
         writers.write_tsv(jobs.qc_report(net), f"{a.out}_qc_gene", True)
         spark.createDataFrame([(k, str(v)) for k, v in (jobs.summary(net) | jobs.degree_fit(net.degree)).items()], "name string, value string").coalesce(1).write.mode("overwrite").csv(f"{a.out}_summary", sep="\t")
         if a.go:
-            writers.write_tsv(jobs.go_health(net, catalog.load("GOnt", a.go, "term_loci"), a.min_term_size, a.max_term_size, a.num_bootstraps), f"{a.out}_GO", True)
+            health = materialised(jobs.go_health(net, catalog.load("GOnt", a.go, "term_loci"), a.min_term_size, a.max_term_size, a.num_bootstraps, a.two_tailed, max_terms=a.max_terms))
+            writers.write_tsv(health, f"{a.out}_GO", True)
+            writers.write_tsv(jobs.fold_enrichment(health), f"{a.out}_GO_fold", True)
 
 
 if __name__ == "__main__":

@@ -151,24 +151,41 @@ def term_genes(term_loci: DataFrame, genes: DataFrame) -> DataFrame:
     return term_loci.join(genes.select(F.col("id").alias("gene"), "chrom", "start", "end"), "gene").select("term", F.col("gene").alias("id"), "chrom", "start", "end")
 
 
-def go_health(network: Network, term_loci: DataFrame, low: int = 10, high: int = 300, iterations: int = 50, two_tailed: bool = True, seed: int = 1) -> DataFrame:
-    """For each term: density, its p against random sets of the same size, and the Bonferroni flag. All terms and iterations are one job."""
+def go_health(network: Network, term_loci: DataFrame, low: int = 10, high: int = 300, iterations: int = 50, two_tailed: bool = True, seed: int = 1, max_terms: int | None = None) -> DataFrame:
+    """For each term: density and locality (mean residual), their p against random sets of the same size, and Bonferroni flags. All terms and iterations are one job; max_terms takes a random choice of terms."""
     own = network.genes.select(F.col("id").alias("gene"))
     inside = term_loci.join(own, "gene", "left_semi").select("term", "gene").distinct()
-    sizes = materialised(ontology.term_sizes(inside, low, high))
-    real = overlap.set_density(network.edges, inside.join(sizes, "term", "left_semi"), ["term"]).select("term", F.col("density").alias("score"))
+    sizes = ontology.term_sizes(inside, low, high)
+    sizes = materialised(sizes if max_terms is None else sizes.orderBy(F.xxhash64(F.lit(seed), "term"), "term").limit(max_terms))
     widest = sizes.agg(F.max("size")).first()[0] or 0
     drawn = overlap.random_genes(own, widest, iterations, seed)
     order = F.row_number().over(overlap.Window.partitionBy("iter").orderBy(F.xxhash64("iter", "gene"))).alias("nth")
     # sets are nested: what a term needs are the first ``size`` genes of an iteration, so they meet by equal sizes
     distinct = materialised(sizes.select("size").distinct())
     per_size = distinct.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("size").cast("int"))))
-    sets = drawn.select("iter", "gene", order).join(per_size, "nth").join(sizes, "size")
-    boots = overlap.set_density(network.edges, sets.select("term", "iter", "gene"), ["term", "iter"])
-    extreme = F.when(F.col("score") > 0, F.col("density") >= F.col("score")).otherwise(F.col("density") <= F.col("score"))
-    out = real.join(boots, "term").groupBy("term", "score").agg((F.sum(extreme.cast("double")) / F.lit(iterations)).alias("pvalue"))
+    sets = materialised(drawn.select("iter", "gene", order).join(per_size, "nth").join(sizes, "size").select("term", "iter", "gene"))
+    real_sets = materialised(inside.join(sizes, "term", "left_semi"))
+
+    def scored(genes: DataFrame, by: list[str]) -> DataFrame:
+        density = overlap.set_density(network.edges, genes, by).select(*by, "density")
+        locality = overlap.set_locality(network.edges, network.degree, genes, by).groupBy(*by).agg(F.avg("resid").alias("locality"))
+        return density.join(locality, by, "full")
+
+    real = scored(real_sets, ["term"]).select("term", F.col("density").alias("score"), "locality")
+    boots = scored(sets, ["term", "iter"]).select("term", F.col("density").alias("d"), F.col("locality").alias("l"))
+    extreme = lambda real, boot: F.when(F.col(real) > 0, F.col(boot) >= F.col(real)).otherwise(F.col(boot) <= F.col(real)).cast("double")
+    out = real.join(boots, "term").groupBy("term", "score", "locality").agg((F.sum(extreme("score", "d")) / F.lit(iterations)).alias("pvalue"), (F.sum(extreme("locality", "l")) / F.lit(iterations)).alias("locality_pvalue"))
     alpha = 0.025 if two_tailed else 0.05
-    return out.join(sizes, "term").withColumn("significant", F.col("pvalue") < alpha).withColumn("bonferroni", F.col("pvalue") < alpha / F.greatest(F.lit(1), F.lit(sizes.count())))
+    tested = F.greatest(F.lit(1), F.lit(sizes.count()))
+    out = out.join(sizes, "term").withColumn("significant", F.col("pvalue") < alpha).withColumn("bonferroni", F.col("pvalue") < alpha / tested)
+    return out.withColumn("locality_significant", F.col("locality_pvalue") < alpha).withColumn("locality_bonferroni", F.col("locality_pvalue") < alpha / tested)
+
+
+def cluster_ontology(clusters: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Clusters as terms MCL0, MCL1, ...: terms (id, desc) and term_loci (term, gene)."""
+    term = F.concat(F.lit("MCL"), F.col("cluster").cast("string"))
+    terms = clusters.select(term.alias("id"), F.concat(F.lit(f"{name} MCL Cluster "), F.col("cluster").cast("string")).alias("desc")).distinct()
+    return terms, clusters.select(term.alias("term"), "gene")
 
 
 def fold_enrichment(health: DataFrame, alpha: float = 0.05) -> DataFrame:

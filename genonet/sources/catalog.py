@@ -45,6 +45,18 @@ class Catalog:
         entry = self.spark.createDataFrame([(description, sorted(tables), json.dumps(params or {}))], "description string, tables array<string>, params string").withColumn("added", F.current_timestamp())
         entry.coalesce(1).write.mode("overwrite").parquet(self._entry(kind, name))
 
+    def params(self, kind: str, name: str) -> dict:
+        return json.loads(self.spark.read.parquet(self._entry(kind, name)).first()["params"])
+
+    def set_params(self, kind: str, name: str, **values) -> None:
+        """Sets parameters kept with a dataset, such as strongest_attr and strongest_higher; None leaves one as it is."""
+        entry = self.spark.read.parquet(self._entry(kind, name)).collect()[0]
+        kept = json.loads(entry["params"]) | {k: v for k, v in values.items() if v is not None}
+        self._write_entry(kind, name, (entry["description"], entry["tables"], json.dumps(kept), entry["added"]))
+
+    def _write_entry(self, kind: str, name: str, row: tuple) -> None:
+        self.spark.createDataFrame([row], "description string, tables array<string>, params string, added timestamp").coalesce(1).write.mode("overwrite").parquet(self._entry(kind, name))
+
     def exists(self, kind: str, name: str) -> bool:
         fs, p = self._fs(self._entry(kind, name))
         return bool(fs.exists(p))
@@ -79,4 +91,4 @@ class Catalog:
 
     def redescribe(self, kind: str, name: str, description: str) -> None:
         entry = self.spark.read.parquet(self._entry(kind, name)).collect()
-        self.spark.createDataFrame([(description, entry[0]["tables"], entry[0]["params"], entry[0]["added"])], "description string, tables array<string>, params string, added timestamp").coalesce(1).write.mode("overwrite").parquet(self._entry(kind, name))
+        self._write_entry(kind, name, (description, entry[0]["tables"], entry[0]["params"], entry[0]["added"]))

@@ -401,3 +401,54 @@ def test_parent_attributes(spark):
     islands = loci.effective_loci(snps, 20)
     found = ranges.with_parent_attrs(ranges.candidate_genes(islands, genes, 20, 1, ("term",)), islands, snps, ["score"], ("term",))
     assert {r.gene: r.parent_score for r in found.collect()} == {"A": 5.0, "B": 1.0}
+
+
+def test_hierarchy_and_cluster_terms(spark):
+    """Merges nearest first, leaves of a merge side by side."""
+    tree = spark.createDataFrame([("a", "b", 2.0), ("c", "d", 1.0), ("b", "c", 0.5), ("e", "f", 3.0)], "gene_a string, gene_b string, w double")
+    merges, leaves = graph.dendrogram(tree, 0.1, 0.5)
+    rows = merges.orderBy("step").collect()
+    assert [(r.a, r.b, r.size) for r in rows] == [("e", "f", 2), ("a", "b", 2), ("c", "d", 2), ("b", "c", 4)]
+    assert [r.height for r in rows] == pytest.approx([1 - math.tanh(w * 0.5 + 0.1) for w in (3, 2, 1, 0.5)])
+    order = "".join(r.gene for r in leaves.orderBy("place").collect())
+    assert sorted(order) == list("abcdef") and all(any(p in order for p in (x, x[::-1])) for x in ("ab", "cd", "ef"))
+    terms, own = jobs.cluster_ontology(spark.createDataFrame([("g", 0), ("h", 0), ("i", 1)], "gene string, cluster int"), "net")
+    assert {tuple(r) for r in terms.collect()} == {("MCL0", "net MCL Cluster 0"), ("MCL1", "net MCL Cluster 1")} and own.count() == 3
+
+
+def test_small_helpers(spark, tmp_path):
+    row = spark.range(1).select(
+        loci.center(F.lit(1), F.lit(4)).alias("c"), loci.upstream(F.lit(9), F.lit(4)).alias("u"), loci.overlaps((F.lit(1), F.lit(5)), (F.lit(5), F.lit(9))).alias("o"), loci.within((F.lit(2), F.lit(3)), (F.lit(1), F.lit(3))).alias("w"),
+        stats.bp_to_kb(F.lit(50_000)).alias("kb"), cx.inverse_score(F.lit(2.0), 0.1, 0.5).alias("i"),
+    ).first()
+    assert (row.c, row.u, row.o, row.w, row.kb) == (2.5, 5, True, True, "50KB") and row.i == pytest.approx(math.tanh(1.1))
+    places = spark.createDataFrame([("t", "1", 5, 9), ("t", "1", 1, 3), ("t", "2", 4, 4)], "term string, chrom string, start long, end long")
+    assert {(r.chrom, r.start, r.end, r.n_sub) for r in loci.merged_locus(places).collect()} == {("1", 1, 9, 2), ("2", 4, 4, 1)}
+    labels = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c")], "node string, component string")
+    assert {r.node for r in graph.largest_component(labels).collect()} == {"a", "b"}
+    wide = spark.createDataFrame([("g", 1.0, float("nan"))], "id string, A double, B double")
+    assert {(r.gene, r.accession, r.value) for r in ex.long_form(wide, "id").collect()} == {("g", "A", 1.0), ("g", "B", None)}
+    table = spark.createDataFrame([("g1", 1, 5, 9, "x"), ("g2", 2, 6, 8, None)], "gene string, chr int, s int, e int, note string")
+    genes, attrs = readers.genome_from_dataframe(table, "chr", "s", "e", "gene")
+    assert {tuple(r) for r in genes.collect()} == {("G1", "1", 5, 9), ("G2", "2", 6, 8)} and ("G1", "note", "x") in {tuple(r) for r in attrs.collect()}
+    (tmp_path / "al.csv").write_text("id,alias\ng1,one\nzz,no\n")
+    assert [tuple(r) for r in readers.read_aliases(spark, str(tmp_path / "al.csv"), genes).select("alias", "id").collect()] == [("one", "G1")]
+    (tmp_path / "func.tsv").write_text("g1\tfirst\tsecond\ng9\tx\ty\n")
+    assert {tuple(r) for r in readers.read_annotations(spark, str(tmp_path / "func.tsv"), genes).collect()} == {("G1", "first"), ("G1", "second")}
+    (tmp_path / "n.cyjs").write_text('{"elements": {"nodes": [{"data": {"id": "g1"}, "position": {"x": 1.5, "y": 2.0}}]}}')
+    assert [tuple(r) for r in readers.read_coordinates(spark, str(tmp_path / "n.cyjs")).collect()] == [("g1", 1.5, -2.0)]
+    (tmp_path / "o").mkdir()
+    (tmp_path / "o" / "a.overlap.tsv").write_text("Term\tfdr\nLogZn\t0.1\nZn\t0.2\n")
+    assert {r.Term: r.trait_type for r in readers.with_trait_type(readers.read_overlaps(spark, str(tmp_path / "o"))).collect()} == {"LogZn": "Log", "Zn": "Element"}
+    edges = spark.createDataFrame([("a", "b", 3.0, 5.0, True), ("a", "c", 1.0, 5.0, False)], "gene_a string, gene_b string, score double, distance double, significant boolean")
+    writers.write_dat(edges, str(tmp_path / "dat"), sig_only=True)
+    assert [r.value for r in spark.read.text(str(tmp_path / "dat")).collect()] == ["a\tb\t3.0"]
+    rels = spark.createDataFrame([("c", "p"), ("p", "r")], "child string, parent string")
+    terms = spark.createDataFrame([(x, x.upper()) for x in "cprz"], "id string, name string")
+    nodes, links = writers.ontology_json(terms, ontology.ancestors(rels), rels, spark.createDataFrame([("c",)], "term string"))
+    assert nodes.count() == 3 and links.count() == 2
+    place = graph.spring_layout([("a", "b"), ("b", "c"), ("c", "a")])
+    assert set(place) == set("abc") and all(math.isfinite(v) for p in place.values() for v in p)
+    health = spark.createDataFrame([(0.01,), (0.5,)], "pvalue double")
+    assert jobs.fold_enrichment(health).first()[0] == pytest.approx(10)
+    assert overlap.upsert(overlap.empty_results(spark), overlap.empty_results(spark)).count() == 0
