@@ -56,11 +56,6 @@ def written(df: DataFrame, path: str | None = None, mode: str = "errorifexists")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds the rows of an Arrow batch, so that long texts cannot fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-
-
 def cut(batches: Iterator, rows: int = 512) -> Iterator:
     """Arrow batches in pieces of at most ``rows`` rows. Spark bounds the bytes of what arrives."""
     for batch in batches:

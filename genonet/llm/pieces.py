@@ -8,8 +8,9 @@ characters without a piece fall back to their bytes' pieces, edges are grouped b
 higher-order aggregate folds them by Viterbi to the path with the highest sum of scores. Of equal
 sums the longer last piece wins.
 
-Texts are then put together from their units' ids. The ``KNOWN`` most widespread units go out as
-sorted arrays of at most about 20 bytes each; a unit beyond them reaches its documents by a join.
+Texts are then put together from their units' ids. The most widespread units of up to ``KNOWN_BYTES``
+bytes, ``KNOWN`` of them at most, go out as sorted arrays, mostly of about 20 bytes each; a unit
+beyond them, or a longer one, reaches its documents by a join.
 Decoding turns ids into their pieces' bytes and drops the leading space.
 
 The model file may hold a byte-pair model, whose own library merges pairs in order of rank instead
@@ -33,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _P, _P_INV, _power, let, mix, small_batches, text_buffers, written
+from .common import _P, _P_INV, _power, cut, let, mix, short_batches, text_buffers, tidy, written
 from .tokencount import SPACE, model_path
 
 KNOWN = 1 << 22
+KNOWN_BYTES = 64
+UNITS = 32_000
 CHUNK = 1 << 20
 SHORT = 40
 BATCH = 128
@@ -51,11 +54,14 @@ class Vocabulary:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
+        self.ids = np.uint16 if n <= 1 << 16 else np.uint32
         self.pieces = [(sp.id_to_piece(i), i, sp.get_score(i)) for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.scores = [FALLBACK] * n
         for _, i, score in self.pieces:
             self.scores[i] = float(score)
         self.longest = max(len(p) for p, _, _ in self.pieces)
+        if self.longest > 255 or n > 1 << 24:
+            raise ValueError("edges hold pieces of up to 255 characters and 2^24 pieces")
         self.first_byte = next(i for i in range(n) if sp.is_byte(i))
         raw = [b""] * n
         for p, i, _ in self.pieces:
@@ -116,9 +122,10 @@ def _spaced(docs: DataFrame, *more: Column) -> DataFrame:
 
 def distinct_units(docs: DataFrame, path: str) -> DataFrame:
     """unit and tasks (how many tasks saw it) of every distinct unit."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = vocabulary(path), np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in cut(batches, BATCH):
             for _, _, data, bounds in text_buffers(batch.column(0), CHUNK):
                 starts, ends, h = own.units(data, bounds)
                 h, first = np.unique(h, return_index=True)
@@ -139,18 +146,16 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lattice(units: DataFrame, path: str) -> DataFrame:
-    """unit and edges, sorted longs of end, len and piece id (0 where a character falls back to its bytes)."""
+    """unit, tasks and edges, sorted longs of end, len and piece id (0 where a character falls back to its bytes)."""
     own = vocabulary(path)
-    # one buffer for each unit of a partition; beyond so many Spark sorts instead
-    units.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 100_000)
     n = F.length("unit")
-    starts = units.select("unit", F.explode(F.sequence(F.lit(1), n)).alias("s"))
-    sub = starts.select("unit", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(own.longest), n - F.col("s") + 1))).alias("len"))
-    sub = sub.select("unit", "s", "len", F.substr("unit", F.col("s"), F.col("len")).alias("piece"))
+    starts = units.select("unit", "tasks", F.explode(F.sequence(F.lit(1), n)).alias("s"))
+    sub = starts.select("unit", "tasks", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(own.longest), n - F.col("s") + 1))).alias("len"))
+    sub = sub.select("unit", "tasks", "s", "len", F.substr("unit", F.col("s"), F.col("len")).alias("piece"))
     table = F.broadcast(piece_table(units.sparkSession, path))  # the rows of one fixed file
     met = sub.join(table, "piece", "left").where("id is not null or len = 1")
     edge = F.shiftleft((F.col("s") + F.col("len") - 1).cast("long"), 32) + F.shiftleft(F.col("len").cast("long"), 24) + F.coalesce("id", F.lit(0))
-    return met.select("unit", edge.alias("e")).groupBy("unit").agg(F.sort_array(F.collect_list("e")).alias("edges"))
+    return met.select("unit", "tasks", edge.alias("e")).groupBy("unit", "tasks").agg(F.sort_array(F.collect_list("e")).alias("edges"))
 
 
 def _end(e: Column) -> Column:
@@ -215,8 +220,10 @@ def viterbi(unit: Column, edges: Column, own: Vocabulary) -> Column:
 
 def encode_units(docs: DataFrame, path: str) -> DataFrame:
     """unit, ids and tasks of every distinct unit of the documents, written to the shared folder."""
-    own = vocabulary(path)
-    return written(lattice(distinct_units(docs, path), path).select("unit", let(F.col("edges"), lambda e: viterbi(F.col("unit"), e, own)).alias("ids")))
+    own, units = vocabulary(path), written(distinct_units(docs, path))
+    # few units a task, as the grouping sorts all their edges at once
+    units = units.repartition(max(1, -(-units.count() // UNITS)), "unit")
+    return written(lattice(units, path).select("unit", "tasks", let(F.col("edges"), lambda e: viterbi(F.col("unit"), e, own)).alias("ids")))
 
 
 class Known:
@@ -244,23 +251,37 @@ class Known:
 
 
 def _packed(rows: DataFrame, path: str) -> Known:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path)
         for batch in batches:
             h = np.concatenate([own.units(data, bounds)[2] for _, _, data, bounds in text_buffers(batch.column(0), CHUNK)])
             ids = batch.column(1)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (h, np.diff(ids.offsets.to_numpy()).astype(np.uint32), ids.flatten().to_numpy().astype(np.uint16))], names=["h", "size", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (h, np.diff(ids.offsets.to_numpy()).astype(np.uint32), ids.flatten().to_numpy().astype(own.ids))], names=["h", "size", "ids"])
 
-    small_batches(rows.sparkSession, 50_000)
-    # at most KNOWN units, a partition at a time
-    parts = [[np.frombuffer(x, t) for x, t in zip(r, (np.uint64, np.uint32, np.uint16), strict=True)] for r in rows.select("unit", "ids").mapInArrow(run, "h binary, size binary, ids binary").toLocalIterator()]
-    small_batches(rows.sparkSession, BATCH)
-    h, size, ids = (np.concatenate([p.pop(0) for p in parts]) if parts else np.zeros(0, t) for t in (np.uint64, np.uint32, np.uint16))
+    kinds = np.uint64, np.uint32, vocabulary(path).ids
+    # at most KNOWN units of KNOWN_BYTES bytes, a partition at a time
+    with short_batches(rows.sparkSession):
+        parts = [[np.frombuffer(x, t) for x, t in zip(r, kinds, strict=True)] for r in rows.select("unit", "ids").mapInArrow(run, "h binary, size binary, ids binary").toLocalIterator()]
+    h, size, ids = (np.concatenate([p.pop(0) for p in parts]) if parts else np.zeros(0, t) for t in kinds)
     return Known(h, size, ids)
 
 
+def _common(units: DataFrame, known: int) -> tuple[DataFrame, bool]:
+    """The most widespread units of at most KNOWN_BYTES bytes, ``known`` at most, and whether others are left."""
+    short = F.octet_length("unit") <= KNOWN_BYTES
+    counts = units.groupBy(F.when(short, F.col("tasks")).alias("tasks")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each number of tasks
+    total, least = 0, None
+    for r in sorted((r for r in counts if r.tasks is not None), key=lambda r: -r.tasks):
+        if total + r.n > known:
+            break
+        total, least = total + r.n, r.tasks
+    return units.where(short & (F.col("tasks") >= least) if least else F.lit(False)), sum(r.n for r in counts) > total
+
+
 def _missing(docs: DataFrame, path: str, sent) -> DataFrame:
     """key and unit of the units of each document that are not among the known."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path)
         for batch in batches:
@@ -277,20 +298,19 @@ def _missing(docs: DataFrame, path: str, sent) -> DataFrame:
 def _encoded(docs: DataFrame, path: str, known: int | None, finish: Callable, schema: str) -> DataFrame:
     """What finish(vocabulary, doc_ids, texts as encoded, ids of each) gives for every batch; one Python stage from text to result."""
     spark, known = docs.sparkSession, KNOWN if known is None else known
-    small_batches(spark, BATCH)
     docs = docs.select("doc_id", "text")
     units = encode_units(docs, path)
-    total = units.count()
-    common = units if total <= known else units.join(distinct_units(docs, path).orderBy(F.desc("tasks"), "unit").limit(known).select("unit"), "unit", "left_semi")
+    common, rare = _common(units, known)
     sent = spark.sparkContext.broadcast(_packed(common, path))
     rows = _spaced(docs, F.xxhash64("text").alias("key"))
-    if total > known:
+    if rare:
         rest = _missing(rows, path, sent).join(units, "unit").groupBy("key").agg(F.collect_list("unit").alias("hs"), F.collect_list("ids").alias("lists"))
         rows = rows.join(rest.withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left").select("doc_id", "t", "key", "hs", "lists")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path)
-        for batch in batches:
+        for batch in cut(batches, BATCH):
             texts, out = batch.column(1), []
             for at, n, data, bounds in text_buffers(texts, CHUNK):
                 starts, ends, h = own.units(data, bounds)
@@ -306,7 +326,7 @@ def _encoded(docs: DataFrame, path: str, known: int | None, finish: Callable, sc
                     mine = np.flatnonzero(row == k)
                     extra = dict(zip(batch.column(3)[at + k].as_py() or (), batch.column(4)[at + k].as_py() or (), strict=True))
                     part = [sent.value.ids[int(sent.value.first[p]) : int(sent.value.first[p]) + int(sent.value.size[p])] if ok else extra[raw[a:b].decode()] for p, ok, a, b in zip(place[mine], there[mine], starts[mine].tolist(), ends[mine].tolist(), strict=True)]
-                    out.append(np.concatenate([np.asarray(p, np.uint16) for p in part]) if part else np.zeros(0, np.uint16))
+                    out.append(np.concatenate([np.asarray(p, own.ids) for p in part]) if part else np.zeros(0, own.ids))
             yield finish(own, batch.column(0), texts, out)
 
     return rows.mapInArrow(run, schema)
@@ -326,6 +346,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and text of rows of ids."""
     path = path or model_path()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path)
         for batch in batches:
@@ -343,4 +364,4 @@ def report(docs: DataFrame, path: str | None = None, known: int | None = None) -
         sums = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
         return pa.RecordBatch.from_arrays([doc, pa.array([max(0, len(t) - 1) for t in raw], pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array(sums, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_bytes", "n_pieces", "ids_crc32", "round_trip"])
 
-    return _encoded(docs, path or model_path(), known, finish, "doc_id long, n_bytes long, n_pieces long, ids_crc32 long, round_trip boolean")
+    return written(_encoded(docs, path or model_path(), known, finish, "doc_id long, n_bytes long, n_pieces long, ids_crc32 long, round_trip boolean"))
