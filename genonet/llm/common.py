@@ -51,6 +51,7 @@ def short_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
 def written(df: DataFrame, path: str | None = None, mode: str = "errorifexists") -> DataFrame:
     """Writes a table to the shared folder and reads it back, which cuts the lineage."""
     path = path or scratch_dir(df.sparkSession)
+    give_back()  # the driver's Python waits beside its JVM, too
     with short_batches(df.sparkSession):
         df.write.mode(mode).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -63,18 +64,23 @@ def cut(batches: Iterator, rows: int = 512) -> Iterator:
             yield batch.slice(at, rows)
 
 
+def give_back() -> None:
+    """Hands freed memory of this process back to the machine."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do so by themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run, after whose end the worker gives freed memory back to the machine: it waits for further tasks beside the JVM."""
     def wrapped(batches: Iterator) -> Iterator:
         try:
             yield from run(batches)
         finally:
-            import pyarrow as pa
-
             _powers.update(p=np.ones(1, np.uint64), i=np.ones(1, np.uint64))
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # other C libraries do so by themselves
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
 
     return wrapped
 

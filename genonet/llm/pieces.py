@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _P, _P_INV, _power, cut, let, mix, short_batches, text_buffers, tidy, written
+from .common import _P, _P_INV, _power, cut, give_back, let, mix, short_batches, text_buffers, tidy, written
 from .tokencount import SPACE, model_path
 
 KNOWN = 1 << 22
@@ -177,7 +177,12 @@ def viterbi(unit: Column, edges: Column, own: Vocabulary) -> Column:
     edge by edge in order of ends, with the scores of the last ``longest`` ends at hand, so that
     the work grows with the edges.
     """
-    table = F.split(F.lit(",".join(map(repr, own.scores))), ",").cast("array<double>")
+    scores = F.split(F.lit(",".join(map(repr, own.scores))), ",").cast("array<double>")
+    # bound once, so that the plan, which the driver keeps as text too, holds the table once
+    return let(scores, lambda table: _best_path(unit, edges, own, table))
+
+
+def _best_path(unit: Column, edges: Column, own: Vocabulary, table: Column) -> Column:
     start = F.struct(F.lit(1).alias("end"), F.array(F.lit(0.0)).alias("near"), F.lit(None).cast("double").alias("best"), F.lit(None).cast("bigint").alias("by"), F.array().cast("array<bigint>").alias("out"))
 
     def closed(a: Column) -> Column:
@@ -263,6 +268,7 @@ def _packed(rows: DataFrame, path: str) -> Known:
     # at most KNOWN units of KNOWN_BYTES bytes, a partition at a time
     with short_batches(rows.sparkSession):
         parts = [[np.frombuffer(x, t) for x, t in zip(r, kinds, strict=True)] for r in rows.select("unit", "ids").mapInArrow(run, "h binary, size binary, ids binary").toLocalIterator()]
+    give_back()
     h, size, ids = (np.concatenate([p.pop(0) for p in parts]) if parts else np.zeros(0, t) for t in kinds)
     return Known(h, size, ids)
 
