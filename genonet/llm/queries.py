@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, htmlmain, jaccard, licenses, linededup, pieces, quality, secrets, tokencount, tokenorc
+from . import decontaminate, divergence, exactdedup, htmlmain, jaccard, licenses, linededup, pieces, quality, runs, secrets, tokencount, tokenorc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,8 +55,20 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.report(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(runs.repeated(table(spark, sf_dir, "documents")))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op3_secret_scan, op4_license_scan, op5_line_dedup, op6_token_counts, op7_quality_rules, op8_token_orc, op9_html_text, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_decontamination, op2_ngram_jaccard, op3_secret_scan, op4_license_scan, op5_line_dedup, op6_token_counts, op7_quality_rules, op8_token_orc, op9_html_text, op10_sentencepiece, op11_exact_dedup, op12_periodic_runs, op13_source_divergence)}
 
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -110,5 +122,53 @@ FROM marked GROUP BY doc_id
 """
 
 
+OP11_SQL = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
+#: CRC-32 as a fold over a list: a number joins as a byte, -1 shifts by one bit.
+_CRC = "xor(list_reduce(flatten(list_concat([[4294967295]], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295)"
+
+OP12_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS o, {_CRC} AS h FROM documents),
+g AS (SELECT *, h // 10 AS g, len(o) AS n FROM d),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM g),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+t AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN o ELSE list_transform(range(n), lambda i: o[CAST(CASE WHEN i < a THEN i ELSE a + (i - a) % p END AS BIGINT) + 1]) END AS w FROM p),
+words AS (SELECT doc_id, i - 1 AS i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, n + 1)) AS i FROM t)),
+same AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i),
+islands AS (SELECT doc_id, q, min(i) AS s, max(i) + 1 + q - min(i) AS size FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM same) GROUP BY doc_id, q, k),
+long AS (SELECT * FROM islands WHERE size >= 24 AND size >= 3 * q),
+run AS (SELECT * FROM long l WHERE NOT EXISTS (SELECT 1 FROM long x WHERE x.doc_id = l.doc_id AND x.q < l.q AND x.s <= l.s AND x.s + x.size >= l.s + l.size)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + size)) AS i FROM run),
+stay AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+top AS (SELECT * FROM run r WHERE NOT EXISTS (SELECT 1 FROM run x WHERE x.doc_id = r.doc_id AND (x.size * r.q > r.size * x.q OR x.size * r.q = r.size * x.q AND (x.s < r.s OR x.s = r.s AND x.q < r.q)))),
+listed AS (SELECT doc_id, count(*) AS n, string_agg(s || ',' || size || ',' || q || chr(10), '' ORDER BY s, q) AS l FROM run GROUP BY doc_id)
+SELECT t.doc_id, coalesce(listed.n, 0) AS n_runs, s AS start, size AS length, q AS period, 1000 * size // q AS exponent_milli, sha256(coalesce(l, '')) AS runs_sha256, sha256(coalesce(stay.t, '')) AS collapsed_sha256
+FROM t LEFT JOIN listed USING (doc_id) LEFT JOIN top USING (doc_id) LEFT JOIN stay USING (doc_id)
+"""
+
+_SHARE = "1 + (1000000000::HUGEINT * (coalesce({c}, 0) + 1)) // ({n} + v)"
+
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM o GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+grp AS (SELECT DISTINCT lang, source FROM d),
+cnt AS (SELECT lang, source, term, count(*) AS c FROM o SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+size AS (SELECT lang, count(*) AS v, sum(c) AS nl FROM kept GROUP BY lang),
+ns AS (SELECT lang, source, sum(c) AS n FROM cnt GROUP BY ALL),
+g AS (SELECT grp.lang, grp.source, coalesce(n, 0) AS n, coalesce(v, 0) AS v, coalesce(nl, 0) AS nl FROM grp LEFT JOIN ns USING (lang, source) LEFT JOIN size USING (lang)),
+p AS (SELECT g.lang, g.source, term, coalesce(cnt.c, 0) AS c, {_SHARE.format(c="cnt.c", n="n")} AS p, {_SHARE.format(c="kept.c", n="nl")} AS q FROM g JOIN kept USING (lang) LEFT JOIN cnt USING (lang, source, term)),
+pairs AS (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // q AS BIGINT) FROM p WHERE c > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM parts) WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op2_ngram_jaccard": OP2_SQL, "op5_line_dedup": OP5_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_ngram_jaccard": OP2_SQL, "op5_line_dedup": OP5_SQL, "op11_exact_dedup": OP11_SQL, "op12_periodic_runs": OP12_SQL, "op13_source_divergence": OP13_SQL}
