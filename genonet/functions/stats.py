@@ -83,6 +83,18 @@ def dense_index(rows: DataFrame, *order: str) -> DataFrame:
     return dealt.withColumn("idx", inside).join(F.broadcast(base), F.col("_range") == F.col("_r")).withColumn("idx", F.col("idx") - 1 + F.col("_base")).drop("_range", "_r", "_base")
 
 
+def cumulative(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """rows with the running sum of ``value`` in the given order, by ranges: each range is summed up by itself, after the sums of those before."""
+    from genonet.sources.shared import materialised
+
+    dealt = materialised(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sums = dealt.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    # a row for each range
+    base = sums.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inside = F.sum(value).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn(name, inside).join(F.broadcast(base), F.col("_range") == F.col("_r")).withColumn(name, F.col(name) + F.col("_base")).drop("_range", "_r", "_base")
+
+
 def running_total(rows: DataFrame, order: str, value: str, name: str, cells: int = 64) -> DataFrame:
     """rows with the running sum of ``value`` by ``order``, without one window over everything.
 

@@ -102,13 +102,18 @@ def set_gene_scores(edges: DataFrame, sets: DataFrame, by: list[str]) -> DataFra
 
 
 def set_locality(edges: DataFrame, degrees: DataFrame, sets: DataFrame, by: list[str]) -> DataFrame:
-    """local, global, fitted and resid of each gene in each set."""
+    """local, global, fitted and resid of each gene in each set.
+
+    Where sets have parent loci, edges inside a locus count neither for the local nor for the global
+    degree of a gene.
+    """
     sub = sets_subnetwork(edges.where("significant").select("gene_a", "gene_b"), sets, by)
-    if "trans" in sub.columns:
-        sub = sub.where("trans")
-    local = symmetric(sub.select("gene_a", "gene_b", *by)).groupBy(*by, "gene").agg(F.count(F.lit(1)).alias("local"))
-    rows = sets.select(*by, "gene").distinct().join(local, [*by, "gene"], "left").join(degrees.withColumnRenamed("degree", "global"), "gene", "left")
-    return regressed(rows.select(*by, "gene", F.coalesce("local", F.lit(0)).alias("local"), F.coalesce("global", F.lit(0)).alias("global")), by)
+    trans = F.col("trans") if "trans" in sub.columns else F.lit(True)
+    sub = sub.select("gene_a", "gene_b", *by, F.coalesce(trans, F.lit(False)).alias("trans"))
+    counts = symmetric(sub).groupBy(*by, "gene").agg(F.sum(F.col("trans").cast("long")).alias("local"), F.sum((~F.col("trans")).cast("long")).alias("cis"))
+    rows = sets.select(*by, "gene").distinct().join(counts, [*by, "gene"], "left").join(degrees.withColumnRenamed("degree", "whole"), "gene", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return regressed(rows.select(*by, "gene", zero("local").alias("local"), (zero("whole") - zero("cis")).alias("global")), by)
 
 
 def empirical_pvalue(real: DataFrame, bootstraps: DataFrame) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from genonet.functions import fits, stats
+from genonet.functions.ordered import with_previous
 from genonet.operators import coexpression as cx
 from genonet.operators import expression as ex
 from genonet.operators import graph, loci, ontology, overlap, ranges
+from genonet.operators.density import kernel_density
 from genonet.sources.shared import materialised
 
 
@@ -25,10 +29,12 @@ class Network:
     edges: DataFrame
     degree: DataFrame
     clusters: DataFrame | None = None
+    merges: DataFrame | None = None
+    leaves: DataFrame | None = None
     log: list[str] = field(default_factory=list)
 
 
-def build_network(raw: DataFrame, genes: DataFrame, rawtype: str = "RNASEQ", zscore_cutoff: float = 3.0, normalize: bool = True, norm_method=None, max_val: float | None = None, quantile: bool = False, quality_control: bool = True, clusters: bool = False, membership: bool = True, **qc) -> Network:
+def build_network(raw: DataFrame, genes: DataFrame, rawtype: str = "RNASEQ", zscore_cutoff: float = 3.0, normalize: bool = True, norm_method=None, max_val: float | None = None, quantile: bool = False, quality_control: bool = True, clusters: bool = False, membership: bool = True, hierarchy: bool = False, **qc) -> Network:
     """raw is long-form expression; genes has id, chrom, start, end. Every flag reaches its stage."""
     log, flags = ["raw"], (None, None)
     expr = raw
@@ -46,7 +52,19 @@ def build_network(raw: DataFrame, genes: DataFrame, rawtype: str = "RNASEQ", zsc
     kept = genes.join(expr.select(F.col("gene").alias("id")).distinct(), "id", "left_semi")
     edges = materialised(cx.with_distance(cx.score_edges(cx.pair_correlation(ex.vectors(expr)), zscore_cutoff), kept))
     found = graph.markov_clusters(edges) if clusters else None
-    return Network(expr, *flags, kept, edges, materialised(cx.degree(edges, kept.select(F.col("id").alias("gene")))), found, log)
+    merges, leaves = gene_hierarchy(edges) if hierarchy else (None, None)
+    return Network(expr, *flags, kept, edges, materialised(cx.degree(edges, kept.select(F.col("id").alias("gene")))), found, merges, leaves, log)
+
+
+def gene_hierarchy(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Single-linkage merges (heights are 1 - r) and leaf places of a network's genes, over all of its edges.
+
+    The tree comes from the scores; mean and deviation of Fisher's transform, which turn scores
+    back to correlations, are worked out of the edges themselves. Edges without a score join nothing.
+    """
+    mean, std = edges.agg(F.avg(cx.fisher(F.col("r"))), F.stddev_pop(cx.fisher(F.col("r")))).first()
+    merges, leaves = graph.dendrogram(graph.spanning_tree(edges), mean or 0.0, std or 1.0)
+    return materialised(merges), materialised(leaves)
 
 
 def snp2gene(snps: DataFrame, genes: DataFrame, windows: list[int], flanks: list[int], strongest: str | None = None, lowest: bool = True, info: list[DataFrame] | None = None, parent_attrs: list[str] | None = None) -> DataFrame:
@@ -92,14 +110,14 @@ def _set_scores(network: Network, sets: DataFrame, method: str) -> DataFrame:
 
 def run_overlap(
     network: Network, term_loci: DataFrame, method: str = "density", window: int = 50_000, flank: int = 2, iterations: int | str = 100, seed: int = 1,
-    snp2gene: str = "effective", strongest_attr: str | None = None, higher: bool = False, min_size: int = 2, max_size: int | None = None, cob: str = "", name: str = "",
+    snp2gene: str = "effective", strongest_attr: str | None = None, higher: bool = False, min_size: int = 2, max_size: int | None = None, cob: str = "", name: str = "", draws: DataFrame | None = None,
 ) -> DataFrame:
     """Result rows of all terms of term_loci (term, id, chrom, start, end, maybe attr): scores of candidate genes against bootstraps.
 
-    All terms and iterations are one job keyed by term and ``iter``. iterations "auto": 50, then in
-    rounds that double what is done up to 1,000, with the terms only that have had 50 iterations
-    at most as extreme as the real score. Terms with fewer loci than min_size (2 at least) or more than max_size are
-    left out, as are terms without a scored gene.
+    All terms and iterations are one job keyed by term and ``iter``. iterations "auto": 50 at a time up
+    to 1,000, each time with the terms only of which at most 50 iterations reached the real score so
+    far. draws (term, iter, gene, parent_locus), where given, are the random sets, in place of drawn ones. Terms with fewer loci
+    than min_size (2 at least) or more than max_size are left out, as are terms without a scored gene.
     """
     islands, wide = mapped_loci(term_loci, window, flank, snp2gene, strongest_attr, higher)
     n = islands.groupBy("term").agg(F.count(F.lit(1)).alias("term_collapsed_loci")).where(F.col("term_collapsed_loci") >= max(2, min_size))
@@ -114,11 +132,13 @@ def run_overlap(
     sizes, auto = materialised(sizes.join(mean.select("term"), "term", "left_semi")), iterations == "auto"
     boots, extreme, done, batch = None, None, 0, 50 if auto else int(iterations)
     while done == 0 or (auto and done < 1000):
-        drawn = overlap.bootstrap_candidates(sizes, network.genes, batch, seed, ("term",), first=done)
+        if draws is None:
+            drawn = overlap.bootstrap_candidates(sizes, network.genes, batch, seed, ("term",), first=done)
+        else:
+            drawn = draws.where(F.col("iter").between(done, done + batch - 1)).join(sizes.select("term").distinct(), "term", "left_semi")
         scores = materialised(_set_scores(network, drawn, method))
         boots, done = scores if boots is None else boots.unionByName(scores), done + batch
         if auto:
-            batch = min(done, 1000 - done)
             more = scores.groupBy("term", "iter").agg(F.avg("score").alias("m")).join(mean, "term").groupBy("term").agg(F.sum((F.col("m") >= F.col("real")).cast("long")).alias("k"))
             extreme = materialised(more if extreme is None else extreme.union(more).groupBy("term").agg(F.sum("k").alias("k")))
             sizes = materialised(sizes.join(extreme.where("k > 50").select("term"), "term", "left_anti"))
@@ -206,15 +226,24 @@ def summary(network: Network) -> dict[str, int]:
 
 
 def degree_fit(degree: DataFrame) -> dict[str, float]:
-    """Maximum-likelihood power and exponential fits to the histogram of degrees from 1 up, with their log likelihoods."""
-    import math
-
-    histogram = degree.where("degree >= 1").groupBy("degree").count().collect()  # a row for each degree that occurs
-    n = sum(r["count"] for r in histogram)
-    if not n:
-        return {}
-    logs, total = sum(r["count"] * math.log(r["degree"] / 0.5) for r in histogram), sum(r["count"] * r["degree"] for r in histogram)
-    alpha, lam = 1 + n / logs, math.log(1 + n / max(total - n, 1))
-    power = sum(r["count"] * (math.log((alpha - 1) / 0.5) - alpha * math.log(r["degree"] / 0.5)) for r in histogram)
-    exponential = sum(r["count"] * (math.log(1 - math.exp(-lam)) - lam * (r["degree"] - 1)) for r in histogram)
-    return {"alpha": alpha, "lambda": lam, "power": power, "exponential": exponential}
+    """Parameters and log likelihoods of power law, exponential and truncated power law fits to degrees from 1 up, and the ratio and p of each two."""
+    found, pairs = fits.comparison(degree, "degree")
+    return found | {f"{a} to {b} {what}": v for a, b, *both in pairs for what, v in zip(("ratio", "p"), both, strict=True)}
+
+
+def cis_trans_report(edges: DataFrame, cis_distance: float, bandwidth: float = 0.2, points: int = 1000) -> tuple[DataFrame, dict[str, float]]:
+    """x, cis and trans: densities of the scores of near edges and of those across chromosomes; and their numbers, U and two-sided p."""
+    rows = materialised(cx.cis_trans(edges, cis_distance).where("score is not null"))
+    dense = kernel_density(rows, ["cis"], "score", bandwidth, points=points)
+    table = dense.groupBy("x").agg(F.max(F.when(F.col("cis"), F.col("density"))).alias("cis"), F.max(F.when(~F.col("cis"), F.col("density"))).alias("trans"))
+    test = stats.mann_whitney(rows, "cis", "score").first().asDict()
+    return table, {"n_cis": test["n1"], "n_trans": test["n2"], "u": test["u"], "p": None if test["z"] is None else math.erfc(abs(test["z"]) / math.sqrt(2))}
+
+
+def flanking_scores(network_edges: DataFrame, genes: DataFrame) -> DataFrame:
+    """kind and score: ``flanking`` for each gene and the one before it on its chromosome, ``inter`` for genes across chromosomes."""
+    ordered = with_previous(genes.select("chrom", "start", "end", "id"), ["chrom", "start", "end", "id"], ["chrom", "id"])
+    near = ordered.where("chrom = previous_chrom").select(F.least("id", "previous_id").alias("gene_a"), F.greatest("id", "previous_id").alias("gene_b"))
+    scored = network_edges.where("score is not null")
+    flanking = scored.join(near, ["gene_a", "gene_b"]).select(F.lit("flanking").alias("kind"), "score")
+    return flanking.unionByName(scored.where("distance = double('Infinity')").select(F.lit("inter").alias("kind"), "score"))
