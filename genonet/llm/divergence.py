@@ -47,7 +47,7 @@ WIDEST = 1 << 26
 #: Cells of a packed part of the sketch.
 CELLS = 1 << 16
 FAN = 64
-FLUSH = 400_000
+FLUSH = 1_000_000
 #: Sources of a block of the pair join.
 BLOCK = 512
 
@@ -180,22 +180,24 @@ def distance(p: Column, q: Column) -> Column:
     return _div((p - q) * (p - q), q)
 
 
-def kept_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """cells (lang, source, term, n), kept (lang, term, n of the language, sources) and groups (lang, source, total, terms)."""
-    rows = written(counted(docs).withColumn("h", F.xxhash64("lang", "term")))
-    terms = rows.where(F.col("term").isNotNull())
+def kept_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """cells (lang, source, term, n, and of the term n_lang and sources) and groups (lang, source, total, terms)."""
+    rows = written(counted(docs))
+    terms = rows.where(F.col("term").isNotNull()).withColumn("h", F.xxhash64("lang", "term"))
     found = terms.agg(F.approx_count_distinct("h", 0.05)).first()[0]
     width = min(WIDEST, max(1 << 12, 1 << (4 * found).bit_length()))
     likely = possible(terms, width, rows.rdd.getNumPartitions())
-    each = written(likely.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-    kept = written(each.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("sources")).where(F.col("docs") >= LEAST_DOCS).select("lang", "term", "n_lang", "sources"))
-    cells = written(each.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "n_lang", "sources"))
-    size = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
-    total = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    # rows are summed up by task already: one shuffle by term serves the sources' sums and the term's
+    each = likely.select("lang", "term", "source", "n", "docs").repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    term = Window.partitionBy("lang", "term")  # a row for each source
+    cells = each.select("lang", "source", "term", "n", F.sum("n").over(term).alias("n_lang"), F.count(F.lit(1)).over(term).alias("sources"), (F.row_number().over(term.orderBy("source")) == 1).alias("head"), F.sum("docs").over(term).alias("docs"))
+    cells = written(cells.where(F.col("docs") >= LEAST_DOCS).drop("docs"))
+    total = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.sum(F.col("head").cast("long")).alias("heads"))
+    size = total.groupBy("lang").agg(F.sum("heads").alias("terms"))
     groups = rows.where(F.col("term").isNull()).select("lang", "source").distinct()
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     groups = written(groups.join(total, ["lang", "source"], "left").join(size, ["lang"], "left").select("lang", "source", zero("total"), zero("terms")))
-    return cells, kept, groups
+    return cells.drop("head"), groups
 
 
 def term_part(cells: DataFrame, groups: DataFrame, top: int = TOP) -> DataFrame:
@@ -248,5 +250,5 @@ def pair_part(cells: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataFr
 
 def audit(docs: DataFrame, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value and rank of both parts."""
-    cells, _, groups = kept_counts(docs)
+    cells, groups = kept_counts(docs)
     return pair_part(cells, groups).unionByName(term_part(cells, groups, top))
