@@ -3,14 +3,16 @@
 Base spans are the leftmost non-overlapping matches of three patterns. The method adds spans of
 kind ``random``: tokens of ``MIN_TOKEN`` characters or more, outside all base spans, whose bigrams are
 likelier under a Markov model of random strings than under one of ordinary identifiers, by
-``THRESHOLD`` nats a bigram. Both models are first-order over ASCII characters, backed off to
-single characters. They are trained on labelled samples made here: digests in every alphabet that
-tokens may have for random strings; for ordinary ones joined words in the usual spellings, paths,
-dates and rules of one sign. shapes() makes strings of other shapes, which the threshold is held
-against.
+``THRESHOLD`` nats a bigram. Both models are first-order over ASCII characters, backed off to the
+classes of characters (lower case, upper case, digits, signs): how often one class follows another, and how
+frequent a character is in its class, or how often one comes again. So letters after letters speak little for a random
+string in whatever language, and changes between classes much. The models are trained on labelled samples made here: digests in every
+alphabet that tokens may have for random strings; for ordinary ones joined words in the usual
+spellings, paths, dates, numbers, and runs of one character, of an alphabet and of a keyboard's row.
+shapes() makes strings of other shapes, which the threshold is held against.
 The table of log ratios has 128 x 128 cells whatever the data, and goes into the plan as a
 literal. The scan is one pass without a shuffle; a text is only cut up where a cheap test finds a
-candidate.
+candidate. A token is split into its characters once, so that time goes with its length.
 
 Positions count code points; ends are exclusive. Defined results: null and empty texts have no
 span. Equal rows give equal rows; extra columns are ignored; an empty table gives an empty table.
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, match_spans, no_spans
+from .common import LOWER, UPPER, let, match_spans, no_spans
 
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]+"
@@ -36,7 +38,8 @@ MIN_TOKEN = 20
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 THRESHOLD = 0.3
 SAMPLES = 7000
-BACK_OFF = 32
+#: Share of the classes' estimate in that of a pair of characters.
+BACK_OFF = 0.3
 #: What identifiers of the training sample are made of.
 WORDS = (
     "account active address agent alert amount archive array author batch block board buffer build button cache call card case channel "
@@ -54,6 +57,14 @@ WORDS = (
 ).split()
 
 
+#: Rows of alphabets and keyboards, forwards and backwards.
+RUNS = [r for row in (LOWER, UPPER, "0123456789", "qwertyuiop", "asdfghjkl", "zxcvbnm", "QWERTYUIOP", "ASDFGHJKL", "ZXCVBNM", "qwertyuiopasdfghjklzxcvbnm") for r in (row, row[::-1])]
+
+
+def _char(pool: str, number: Column) -> Column:
+    return F.substr(F.lit(pool), 1 + F.pmod(number, F.lit(len(pool))).cast("int"), F.lit(1))
+
+
 def _digest(salt: str) -> Column:
     return F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 512)
 
@@ -79,11 +90,18 @@ def samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     random = ids.select(_one_of([_digest("a"), F.upper(_digest("a")), _base64("b"), F.translate(_base64("b"), "+/", "-_"), plain, F.lower(plain), F.upper(plain)]).alias("s"), F.lit(1).alias("label"))
     parts, title = _words(0), F.transform(_words(0), F.initcap)
     number = (F.col("id") % 97).cast("string")
-    line = F.repeat(F.get(F.split(F.lit("-_=+/"), ""), F.pmod(F.xxhash64("id", F.lit(9)), F.lit(5)).cast("int")), 40)
+    signs = "-_=+/" + LOWER + UPPER + "0123456789"
+    line = F.repeat(_char(signs, F.xxhash64("id", F.lit(9))), 40)
+    rows = F.split(F.lit(" ".join(RUNS)), " ")
+    row = F.get(rows, F.pmod(F.xxhash64("id", F.lit(11)), F.lit(len(RUNS))).cast("int"))
+    row = F.substr(F.repeat(row, 3), 1 + F.pmod(F.xxhash64("id", F.lit(12)), F.length(row)).cast("int"), F.lit(30))
+    long_number = F.translate(F.substr(F.repeat(F.abs(F.xxhash64("id", F.lit(13))).cast("string"), F.lit(2)), F.lit(1), F.lit(26)), "-", "")
+    stamp = F.concat(F.date_format(F.timestamp_seconds(F.pmod(F.xxhash64("id", F.lit(14)), F.lit(2_000_000_000))), "yyyy-MM-dd_HH-mm-ss"), F.lit("-"), number)
+    twice = F.repeat(F.substr(F.get(parts, F.lit(1)), F.lit(1), 2 + (F.col("id") % 3).cast("int")), 8)
     dated = F.concat(F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), (F.col("id") % 15000).cast("int")), "yyyy-MM-dd"), F.lit("-"), F.array_join(parts, "-"))
     ordinary = ids.select(_one_of([
         F.array_join(parts, "_"), F.array_join(title, ""), F.upper(F.array_join(parts, "_")), F.array_join(parts, ""), F.concat(F.array_join(parts, "-"), F.lit("-"), number),
-        F.concat(F.lit("/"), F.array_join(parts, "/")), F.concat(F.get(parts, F.lit(0)), F.array_join(F.slice(title, 2, 3), ""), number), F.initcap(F.array_join(parts, "")), line, dated,
+        F.concat(F.lit("/"), F.array_join(parts, "/")), F.concat(F.get(parts, F.lit(0)), F.array_join(F.slice(title, 2, 3), ""), number), F.initcap(F.array_join(parts, "")), line, dated, row, long_number, stamp, twice,
     ]).alias("s"), F.lit(0).alias("label"))
     return random.unionByName(ordinary)
 
@@ -107,25 +125,44 @@ def shapes(spark: SparkSession, n: int = 300) -> DataFrame:
 
 
 def _bigrams(s: Column) -> Column:
-    """Numbers of the bigrams of an ASCII string."""
-    return F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.ascii(F.substr(s, i, F.lit(1))) * 128 + F.ascii(F.substr(s, i + 1, F.lit(1))))
+    """Numbers of the bigrams of an ASCII string of two characters or more."""
+    codes = F.transform(F.split(s, ""), lambda x: F.ascii(x))
+    return let(codes, lambda c: F.zip_with(F.slice(c, 1, F.length(s) - 1), F.slice(c, 2, F.length(s) - 1), lambda x, y: x * 128 + y))
+
+
+def class_of(a: int) -> int:
+    """0 lower case, 1 upper case, 2 digits, 3 all else."""
+    return 0 if 97 <= a <= 122 else 1 if 65 <= a <= 90 else 2 if 48 <= a <= 57 else 3
 
 
 def log_ratios(labelled: DataFrame) -> list[float]:
     """log P(b | a, random) - log P(b | a, ordinary) for all characters a, b, by a * 128 + b.
 
-    Counts of a pair are backed off to those of its second character, and these to one for each
-    character, so that a character which follows none in a sample speaks by how rare it is there.
+    A pair's share is mixed, to the part BACK_OFF, with how often the class of b follows that of a
+    times the share of b in its class; for the same character again, with how often characters of
+    its class come again (signs apart). These are counted from one up.
     """
     import math
 
     grams = labelled.where(F.length("s") >= 2).select("label", F.explode(_bigrams(F.col("s"))).alias("g"))
     count = {(r["label"], r["g"]): r["n"] for r in grams.groupBy("label", "g").agg(F.count(F.lit(1)).alias("n")).collect()}  # 2 x 128 x 128 rows at most
-    row = {(k, a): sum(count.get((k, a * 128 + b), 0) for b in range(128)) for k in (0, 1) for a in range(128)}
-    total = [sum(row[k, a] for a in range(128)) for k in (0, 1)]
-    alone = {(k, b): (sum(count.get((k, a * 128 + b), 0) for a in range(128)) + 1) / (total[k] + 128) for k in (0, 1) for b in range(128)}
-    log = lambda k, g: math.log((count.get((k, g), 0) + BACK_OFF * alone[k, g % 128]) / (row[k, g // 128] + BACK_OFF))
-    return [log(1, g) - log(0, g) for g in range(128 * 128)]
+    kind = [class_of(a) for a in range(128)]
+    size = sorted(set(kind))
+    of = lambda k, a, b: count.get((k, a * 128 + b), 0)
+    logs = []
+    for k in (0, 1):
+        row = [sum(of(k, a, b) for b in range(128)) for a in range(128)]
+        second = [sum(of(k, a, b) for a in range(128)) + 1 for b in range(128)]
+        again, same = len(size), lambda a, b: a == b and kind[a] < 3
+        steps = {(c, d): 1 for c in size for d in (*size, again)}
+        for a in range(128):
+            for b in range(128):
+                steps[kind[a], again if same(a, b) else kind[b]] += of(k, a, b)
+        out = {c: sum(steps[c, d] for d in (*size, again)) for c in size}
+        share = {c: sum(second[b] for b in range(128) if kind[b] == c) for c in size}
+        back = lambda a, b: (steps[kind[a], again] if same(a, b) else steps[kind[a], kind[b]] * second[b] / share[kind[b]]) / out[kind[a]]  # noqa: B023, E731
+        logs.append([math.log((1 - BACK_OFF) * of(k, a, b) / max(row[a], 1) + BACK_OFF * back(a, b)) for a in range(128) for b in range(128)])
+    return [x - y for x, y in zip(logs[1], logs[0], strict=True)]
 
 
 def score(s: Column, ratios: list[float]) -> Column:
