@@ -130,7 +130,13 @@ def subnetwork(edges: DataFrame, genes: DataFrame, sig_only: bool = True, min_di
     return edges.withColumn("trans", F.col("parent_a") != F.col("parent_b")) if located else edges
 
 
-def coexpression(edges: DataFrame, a, b) -> DataFrame:
+def coexpression(edges: DataFrame, a, b, mean: float | None = None, std: float | None = None) -> DataFrame:
+    """The edge of two genes. A gene with itself is no edge: its row has distance 0, is not significant, and its score is that of r = 1, clipped as all r are, where mean and deviation of the network are given."""
+    if a == b:
+        known = edges.where((F.col("gene_a") == a) | (F.col("gene_b") == a)).limit(1)
+        score = F.lit(None).cast("double") if mean is None or not std else F.lit((math.atanh(CLIP) - mean) / std)
+        own = {"gene_a": F.lit(a), "gene_b": F.lit(a), "score": score, "distance": F.lit(0.0), "significant": F.lit(False), "r": F.lit(1.0)}
+        return known.select(*[own[c].cast(known.schema[c].dataType).alias(c) if c in own else F.lit(None).cast(known.schema[c].dataType).alias(c) for c in known.columns])
     low, high = sorted((a, b))
     return edges.where((F.col("gene_a") == low) & (F.col("gene_b") == high))
 

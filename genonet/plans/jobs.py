@@ -89,6 +89,25 @@ def snp2gene(snps: DataFrame, genes: DataFrame, windows: list[int], flanks: list
     return out
 
 
+def parent_snp_info(snps: DataFrame, genomes: dict[str, DataFrame], windows: list[int], flanks: list[int], strongest: str = "numIterations") -> DataFrame:
+    """The parent SNPs of candidate genes for networks (by name, each with its genes), terms, windows and flank limits of a finished overlap.
+
+    Islands are led by their strongest locus, the one with the largest ``strongest`` (a key of the
+    loci's attr); a gene that several loci reach counts for the first. Rows have cob, term, gene, parent_locus,
+    num_siblings, num_intervening, snp_distance, window_size and flank_limit.
+    """
+    parts = []
+    for w in windows:
+        best = loci.strongest_loci(snps, F.col("attr")[strongest].cast("double"), w, lowest=False)
+        islands = materialised(best.select("term", "chrom", "start", "end", "id", F.array("id").alias("sub_ids")))
+        for cob, genes in genomes.items():
+            near = materialised(ranges.near_genes(islands, genes, w, max(flanks), ("term",)))
+            for f in flanks:
+                found = ranges.chained(ranges.candidates_within(near, w, f, ("term",)), islands, ("term",))
+                parts.append(found.select(F.lit(cob).alias("cob"), "term", "gene", "parent_locus", "num_siblings", "num_intervening", "snp_distance", F.lit(w).alias("window_size"), F.lit(f).alias("flank_limit")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def mapped_loci(term_loci: DataFrame, window: int, flank: int, snp2gene: str = "effective", strongest_attr: str | None = None, higher: bool = False) -> tuple[DataFrame, int]:
     """Loci of every term as candidates are sought around them, and the window for that: as they are (window 1) without flanks, else collapsed, as islands or as each island's strongest."""
     if flank <= 0:

@@ -12,10 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genonet.functions import stats
+from genonet.functions import fits, ordered, stats
 from genonet.operators import coexpression as cx
 from genonet.operators import expression as ex
-from genonet.operators import graph, loci, ontology, overlap, ranges
+from genonet.operators import graph, layout, loci, ontology, overlap, ranges
 from genonet.plans import jobs
 from genonet.sources import records, writers
 from genonet.sources.shared import materialised
@@ -415,9 +415,80 @@ def markov_clusters(spark, at):
     return graph.markov_clusters(network(spark, at))
 
 
-@query()
+def widest_sql(rounds: int = 9) -> str:
+    """w9: for each two genes that significant edges join, the largest score that every edge of some path reaches; paths double each round, to 2^rounds edges."""
+    step = "w{n} AS MATERIALIZED (SELECT a, b, max(w) AS w FROM (SELECT * FROM w{k} UNION ALL SELECT x.a, y.b, least(x.w, y.w) FROM w{k} x JOIN w{k} y ON x.b = y.a AND x.a <> y.b) GROUP BY 1, 2)"
+    return "w0 AS (SELECT gene AS a, neighbor AS b, score AS w FROM sym WHERE sig), " + ", ".join(step.format(n=k + 1, k=k) for k in range(rounds)) + f", tree AS (SELECT gene_a, gene_b, n.r, n.score FROM net n JOIN w{rounds} ON a = gene_a AND b = gene_b WHERE sig AND score >= w)"
+
+
+@query(f"WITH {NET}, {widest_sql()} SELECT gene_a, gene_b, round(score, 6) AS w FROM tree")
 def spanning_tree(spark, at):
-    return graph.spanning_tree(network(spark, at).where("significant"))
+    return graph.spanning_tree(network(spark, at).where("significant")).select("gene_a", "gene_b", r6("w", "w"))
+
+
+@query(f"WITH {NET}, {widest_sql()} SELECT gene_a, gene_b, round(1 - r, 6) AS height, (SELECT count(*) FROM w9 WHERE a = gene_a AND w >= score) + 1 AS size FROM tree")
+def gene_hierarchy(spark, at):
+    """Merges of the significant edges' tree; a merge's genes are those that paths of stronger edges join."""
+    edges = materialised(network(spark, at))
+    mean, std = edges.agg(F.avg(cx.fisher(F.col("r"))), F.stddev_pop(cx.fisher(F.col("r")))).first()
+    merges, _ = graph.dendrogram(graph.spanning_tree(edges.where("significant")), mean, std)
+    return merges.select(F.col("a").alias("gene_a"), F.col("b").alias("gene_b"), r6("height", "height"), "size")
+
+
+@query()
+def gene_leaves(spark, at):
+    """Genes in the order of their hierarchy; orders are many, so tests hold them against the merges."""
+    return graph.dendrogram(graph.spanning_tree(network(spark, at)))[1]
+
+
+_TRI = "tri AS (SELECT a.gene_a AS u, a.gene_b AS v, b.gene_b AS t, a.score AS uv, b.score AS vt, c.score AS ut FROM net a JOIN net b ON a.gene_b = b.gene_a AND b.sig JOIN net c ON c.gene_a = a.gene_a AND c.gene_b = b.gene_b AND c.sig WHERE a.sig)"
+
+
+@query(f"WITH {NET}, {_TRI}, corner AS (SELECT u AS gene, uv + ut AS w FROM tri UNION ALL SELECT v, uv + vt FROM tri UNION ALL SELECT t, ut + vt FROM tri), c AS (SELECT gene, count(*) AS n, sum(w) AS w FROM corner GROUP BY 1), d AS (SELECT gene, count(*) AS k, sum(score) AS s FROM sym WHERE sig GROUP BY 1) SELECT gene, k AS degree, round(s, 6) AS strength, coalesce(n, 0) AS triangles, CASE WHEN k >= 2 THEN round(2 * coalesce(n, 0) / (k * (k - 1)), 6) END AS coefficient, CASE WHEN k >= 2 THEN round(coalesce(w, 0) / (s * (k - 1)), 6) END AS weighted FROM d LEFT JOIN c USING (gene)")
+def clustering_coefficient(spark, at):
+    out = graph.clustering_coefficients(network(spark, at).where("significant"))
+    return out.select("gene", "degree", r6("strength", "strength"), "triangles", r6("coefficient", "coefficient"), r6("weighted", "weighted"))
+
+
+@query()
+def network_layout(spark, at):
+    """Places of the largest component's genes after ten iterations."""
+    return layout.layout(network(spark, at).where("significant"), iterations=10)
+
+
+@query()
+def degree_comparison(spark, at):
+    """Likelihood ratios of the three laws fitted to the degrees; tests hold them against long sums."""
+    pairs = fits.comparison(cx.degree(network(spark, at)), "degree")[1]
+    return spark.createDataFrame([(a, b, float(ratio), float(p)) for a, b, ratio, p in pairs], "first string, second string, ratio double, p double")
+
+
+_KDE = "bins AS (SELECT cis, CAST(round(score / 0.01) AS BIGINT) AS bin, count(*) AS m FROM c GROUP BY 1, 2), grid AS (SELECT -10 + i * (20.0::DOUBLE / 200) AS x FROM range(201) t(i)), k AS (SELECT x, cis, sum(m * exp(-power((x - bin * 0.01::DOUBLE) / 0.2, 2) / 2)) / (sum(m) * 0.2 * sqrt(2 * pi())) AS d FROM grid CROSS JOIN bins GROUP BY 1, 2)"
+
+
+@query(f"WITH {NET}, c AS (SELECT score, distance <= 100000 AS cis FROM net WHERE distance <= 100000 OR distance = 'Infinity'), {_KDE} SELECT round(x, 6) AS x, round(max(d) FILTER (WHERE cis), 6) AS cis, round(max(d) FILTER (WHERE NOT cis), 6) AS trans FROM k GROUP BY x")
+def cis_trans_density(spark, at):
+    return jobs.cis_trans_report(network(spark, at), 100_000, points=201)[0].select(r6("x", "x"), r6("cis", "cis"), r6("trans", "trans"))
+
+
+@query(f"WITH {NET}, o AS (SELECT id, chrom, lag(id) OVER (ORDER BY chrom, s, e, id) AS b, lag(chrom) OVER (ORDER BY chrom, s, e, id) AS bc FROM vg), f AS (SELECT 'flanking' AS kind, score FROM net JOIN o ON gene_a = least(id, b) AND gene_b = greatest(id, b) WHERE chrom = bc UNION ALL SELECT 'inter', score FROM net WHERE distance = 'Infinity') SELECT kind, count(*) AS n, round(avg(score), 6) AS mean, round(median(score), 6) AS median FROM f GROUP BY 1")
+def flanking_against_inter(spark, at):
+    rows = jobs.flanking_scores(network(spark, at), vector_genes(spark, at))
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.median("score"), 6).alias("median"))
+
+
+@query(f"WITH {GENES}, {SNPS}, k AS (SELECT DISTINCT s FROM genes), b AS (SELECT snps.id, snps.s, k.s AS lo FROM snps ASOF LEFT JOIN k ON snps.s >= k.s), a AS (SELECT snps.id, k.s AS hi FROM snps ASOF LEFT JOIN k ON snps.s <= k.s) SELECT id AS snp, CASE WHEN lo IS NULL OR hi - s < s - lo THEN hi ELSE lo END AS nearest FROM b JOIN a USING (id)")
+def nearest_key(spark, at):
+    """The gene start nearest to each SNP's position, whatever the chromosome; the smaller of two as near."""
+    own = snps(spark, at).select(F.col("id").alias("snp"), F.col("start").alias("at"))
+    return ordered.nearest(own, genes(spark, at).select(F.col("start").alias("at")), "at").select("snp", "nearest")
+
+
+@query(f"WITH {EXPR}, z AS (SELECT gene, accession, greatest(-3.5, least(3.5, (value - avg(value) OVER g) / stddev_samp(value) OVER g)) AS v FROM expr WINDOW g AS (PARTITION BY gene)), n AS (SELECT vec_id AS gene, row_number() OVER (ORDER BY label, vec_id) - 1 AS k, count(*) OVER () AS t FROM embeddings) SELECT CAST(floor(k * 100 / t) AS INTEGER) AS i, CAST(floor(accession * 32 / 64) AS INTEGER) AS j, round(avg(v), 6) AS value, count(v) AS n FROM z JOIN n USING (gene) GROUP BY 1, 2")
+def expression_heat_map(spark, at):
+    """Genes by cluster, on a grid of 100 x 32 cells."""
+    places = table(spark, at, "embeddings").select(F.col("vec_id").alias("gene"), F.col("label").alias("place"))
+    return ex.heat_map(dense(spark, at), places, rows=100, columns=32).select("i", "j", r6("value", "value"), "n")
 
 
 # ---- ontologies ----
@@ -495,6 +566,30 @@ def adjacency(spark, at):
     return ontology.adjacency(labels(spark, at), modulus(spark, at), n).select("source_term", "target_term", "num_common", r6("pval", "pval"), "bonferroni")
 
 
+@query(f"{_CLOSE}, w AS (SELECT n_name AS term FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'), k AS (SELECT term FROM w UNION SELECT ancestor FROM up SEMI JOIN w USING (term)), p AS (SELECT term, gene FROM tl UNION SELECT ancestor, gene FROM tl JOIN up USING (term)) SELECT k.term, rels.parent, (SELECT count(*) FROM p WHERE p.term = k.term) AS size FROM k LEFT JOIN rels ON child = term")
+def term_graph(spark, at):
+    """The terms of a region and all above them: nodes with sizes, each with its edges."""
+    rels, own = _go(spark, at)
+    nation, region = table(spark, at, "nation"), table(spark, at, "region")
+    wanted = nation.join(region.where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("term"))
+    terms = rels.select(F.explode(F.array("child", "parent")).alias("id")).distinct()
+    nodes, edges = ontology.term_graph(rels, terms, wanted, True, ontology.propagate(own, rels))
+    return nodes.select(F.col("id").alias("term"), "size").join(edges, "term", "left").select("term", "parent", "size")
+
+
+@query(f"WITH {_RELS}, t AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS k FROM (SELECT child AS term FROM rels UNION SELECT parent FROM rels)), c AS (SELECT a.k AS i, b.k AS j FROM rels JOIN t a ON a.term = child JOIN t b ON b.term = parent) SELECT i, j, 1 AS value FROM c UNION ALL SELECT j, i, 1 FROM c")
+def term_matrix(spark, at):
+    rels, _ = _go(spark, at)
+    cells, _ = ontology.term_matrix(rels, rels.select(F.explode(F.array("child", "parent")).alias("id")).distinct())
+    return cells.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "value")
+
+
+@query(f"{_PAIRS} SELECT source_term AS term, round(min(pval), 6) AS pval, string_agg(target_term, ',' ORDER BY target_term) AS label FROM p WHERE pval <= 0.3 GROUP BY 1")
+def enriched_terms(spark, at):
+    """Every list of ``modulus`` against every label, one node for each label that any of them enriches."""
+    return ontology.enriched_terms(labels(spark, at), modulus(spark, at), pval_cutoff=0.3).select("term", r6("pval", "pval"), "label")
+
+
 # ---- overlap ----
 
 _ITERS, _DRAW = 20, 25
@@ -593,6 +688,74 @@ def overlap_results(spark, at):
     return rows.select("cob", "ontology", "term", F.col("gene").cast("string").alias("gene"), "window_size", "flank_limit", "method", r6("score", "score"), "term_loci", "num_trans_edges", "num_bootstraps")
 
 
+def located(spark, at):
+    """The genes of every label, with a parent locus each."""
+    v = F.col("vec_id")
+    return table(spark, at, "embeddings").select(F.concat(F.lit("L"), F.col("label").cast("string")).alias("term"), v.alias("gene"), F.floor(v / 36).alias("parent_locus"))
+
+
+_SETS = "sets AS (SELECT 'L' || label AS term, vec_id AS gene, vec_id // 36 AS p FROM embeddings), ssub AS (SELECT a.term, gene_a, gene_b, score, sig, a.p <> b.p AS trans FROM net JOIN sets a ON a.gene = gene_a JOIN sets b ON b.gene = gene_b AND a.term = b.term), ssym AS (SELECT term, gene_a AS gene, score, sig, trans FROM ssub UNION ALL SELECT term, gene_b, score, sig, trans FROM ssub)"
+
+
+@query(f"WITH {NET}, {_SETS} SELECT term, round(avg(score) * sqrt(count(*)), 6) AS density, count(*) AS num_edges FROM ssub WHERE trans GROUP BY 1")
+def set_density(spark, at):
+    return overlap.set_density(network(spark, at), located(spark, at), ["term"]).select("term", r6("density", "density"), "num_edges")
+
+
+@query(f"WITH {NET}, {_SETS} SELECT term, gene, round(avg(score), 6) AS score FROM ssym WHERE trans GROUP BY 1, 2")
+def set_gene_scores(spark, at):
+    return overlap.set_gene_scores(network(spark, at), located(spark, at), ["term"]).select("term", "gene", r6("score", "score"))
+
+
+@query(f'WITH {NET}, {_SETS}, c AS (SELECT term, gene, count(*) FILTER (WHERE sig AND trans) AS l, count(*) FILTER (WHERE sig AND NOT trans) AS c FROM ssym GROUP BY 1, 2), j AS (SELECT s.term, s.gene, coalesce(l, 0) AS l, deg.degree - coalesce(c, 0) AS g FROM sets s JOIN deg USING (gene) LEFT JOIN c USING (term, gene)), b AS (SELECT term, sum(l * g) / sum(g * g) AS b FROM j GROUP BY 1) SELECT term, gene, l AS "local", g AS "global", round(b * g, 6) AS fitted, round(l - b * g, 6) AS resid FROM j JOIN b USING (term)')
+def set_locality(spark, at):
+    """Locality of every label's genes; edges inside a parent locus count for neither degree."""
+    edges = materialised(network(spark, at))
+    return overlap.set_locality(edges, cx.degree(edges, vector_genes(spark, at).select(F.col("id").alias("gene"))), located(spark, at), ["term"]).select("term", "gene", "local", "global", r6("fitted", "fitted"), r6("resid", "resid"))
+
+
+_TERM_DRAWS = f"t AS (SELECT 'L' || label AS term, vec_id AS gene FROM embeddings), draws AS (SELECT 'L' || k AS term, i AS iter, vec_id AS gene FROM embeddings, range(10) r(i), (SELECT DISTINCT label AS k FROM embeddings) WHERE (vec_id * 48271 + i * 7919 + k * 104729) % (SELECT count(*) FROM embeddings) < {_DRAW})"
+_BS = f"""WITH {NET}, {_TERM_DRAWS},
+be AS (SELECT a.term, a.iter, gene_a, gene_b, score, sig FROM net JOIN draws a ON a.gene = gene_a JOIN draws b ON b.gene = gene_b AND a.iter = b.iter AND a.term = b.term),
+re AS (SELECT a.term, gene_a, gene_b, score, sig FROM net JOIN t a ON a.gene = gene_a JOIN t b ON b.gene = gene_b AND a.term = b.term),
+"""
+_BS_DENSITY = """bg AS (SELECT term, iter, gene, avg(score) AS score FROM (SELECT term, iter, gene_a AS gene, score FROM be UNION ALL SELECT term, iter, gene_b, score FROM be) GROUP BY 1, 2, 3),
+rg AS (SELECT term, gene, avg(score) AS score FROM (SELECT term, gene_a AS gene, score FROM re UNION ALL SELECT term, gene_b, score FROM re) GROUP BY 1, 2), """
+_BS_LOCALITY = """bc AS (SELECT term, iter, gene, count(*) AS l FROM (SELECT term, iter, gene_a AS gene FROM be WHERE sig UNION ALL SELECT term, iter, gene_b FROM be WHERE sig) GROUP BY 1, 2, 3),
+bj AS (SELECT term, iter, gene, coalesce(l, 0) AS l, degree AS g FROM draws JOIN deg USING (gene) LEFT JOIN bc USING (term, iter, gene)), bb AS (SELECT term, iter, sum(l * g) / sum(g * g) AS b FROM bj GROUP BY 1, 2), bg AS (SELECT term, iter, gene, l - b * g AS score FROM bj JOIN bb USING (term, iter)),
+rc AS (SELECT term, gene, count(*) AS l FROM (SELECT term, gene_a AS gene FROM re WHERE sig UNION ALL SELECT term, gene_b FROM re WHERE sig) GROUP BY 1, 2),
+rj AS (SELECT term, gene, coalesce(l, 0) AS l, degree AS g FROM t JOIN deg USING (gene) LEFT JOIN rc USING (term, gene)), rb AS (SELECT term, sum(l * g) / sum(g * g) AS b FROM rj GROUP BY 1), rg AS (SELECT term, gene, l, g, b * g AS fitted, l - b * g AS score FROM rj JOIN rb USING (term)), """
+_BS_REST = """it AS (SELECT term, iter, avg(score) AS m, stddev_pop(score) AS s FROM bg GROUP BY 1, 2), st AS (SELECT term, avg(m) AS mean, avg(s) AS sd FROM it GROUP BY 1),
+pv AS (SELECT it.term, avg(CASE WHEN m >= r THEN 1.0 ELSE 0 END) AS p FROM it JOIN (SELECT term, avg(score) AS r FROM rg GROUP BY 1) USING (term) GROUP BY 1),
+rz AS (SELECT rg.*, (score - mean) / sd AS z, mean, sd FROM rg JOIN st USING (term)), bz AS (SELECT term, (score - mean) / sd AS z FROM bg JOIN st USING (term)), lv AS (SELECT *, floor(z * 4) / 4 AS lev FROM rz),
+nn AS (SELECT *, CASE WHEN z >= 0 THEN CAST((SELECT count(*) FROM rz r WHERE r.term = lv.term AND r.z >= lv.lev) AS DOUBLE) END AS nr, CASE WHEN z >= 0 THEN (SELECT count(*) FROM bz b WHERE b.term = lv.term AND b.z >= lv.lev) / 10 END AS nb FROM lv)
+SELECT term, CAST(gene AS VARCHAR) AS gene, round(score, 6) AS score, round(z, 6) AS zscore, nr AS num_real, round(nb, 6) AS num_random, round(nb / nr, 6) AS fdr, round(mean, 6) AS bs_mean, round(sd, 6) AS bs_std, round(p, 6) AS term_pvalue"""
+
+
+def _bootstrapped(spark, at, method):
+    """The overlap job for all labels with random sets that SQL can draw too."""
+    own, v = vector_genes(spark, at), F.col("gene")
+    n = own.count()
+    terms = table(spark, at, "embeddings").select("label").distinct().select(F.collect_list("label").alias("label"))  # the labels that occur, in one row
+    each = own.select(F.col("id").alias("gene")).join(F.broadcast(terms)).withColumn("label", F.explode("label")).withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    drawn = each.where(F.pmod(v * 48271 + F.col("iter") * 7919 + F.col("label") * 104729, F.lit(n)) < _DRAW).select(F.concat(F.lit("L"), F.col("label").cast("string")).alias("term"), "iter", "gene", v.cast("string").alias("parent_locus"))
+    edges = materialised(network(spark, at))
+    net = jobs.Network(None, None, None, own, edges, materialised(cx.degree(edges, own.select(F.col("id").alias("gene")))))
+    rows = jobs.run_overlap(net, jobs.term_genes(labels(spark, at), own), method, window=1, flank=0, iterations=10, cob="net", name="labels", draws=materialised(drawn))
+    columns = ["score", "zscore", "num_random", "fdr", "bs_mean", "bs_std", "term_pvalue", *(["fitted"] if method == "locality" else [])]
+    return rows.select("term", v.cast("string").alias("gene"), F.col("num_real").cast("double").alias("num_real"), *[r6(c, c) for c in columns], *(["local", "global"] if method == "locality" else []))
+
+
+@query(_BS + _BS_DENSITY + _BS_REST + " FROM nn JOIN pv USING (term)")
+def overlap_bootstraps(spark, at):
+    return _bootstrapped(spark, at, "density")
+
+
+@query(_BS + _BS_LOCALITY + _BS_REST + ', round(fitted, 6) AS fitted, l AS "local", g AS "global" FROM nn JOIN pv USING (term)')
+def overlap_locality(spark, at):
+    return _bootstrapped(spark, at, "locality")
+
+
 @query("SELECT event_type AS term, key, count(*) AS n FROM (SELECT event_type, unnest(json_keys(props)) AS key FROM events) GROUP BY 1, 2")
 def attribute_keys(spark, at):
     attrs = F.explode(F.from_json("props", "map<string,string>")).alias("key", "value")

@@ -17,14 +17,23 @@ class RecordExistsError(ValueError):
     """A record with this key is there already."""
 
 
-def replaced(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """old with new rows in place of those of the same key; of equal keys in ``new`` one stays."""
-    return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new.dropDuplicates(key), allowMissingColumns=True)
+def one_each(rows: DataFrame, key: list[str], order: str | None = None, last: bool = True) -> DataFrame:
+    """One row for each key: the last (or first) by the column ``order``, else by all other columns, so that the result does not hang on how rows are dealt."""
+    by = [order] if order else [c for c in rows.columns if c not in key]
+    top = F.struct(*by, *[c for c in rows.columns if c not in key and c not in by], F.lit(0)).alias("_by")
+    best = (F.max_by if last else F.min_by)(F.struct(*rows.columns), top)
+    return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(best.alias("_row")).select("_row.*")
 
 
-def kept_first(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """old and those new rows whose key it lacks."""
-    return old.unionByName(new.dropDuplicates(key).join(old.select(*key).distinct(), key, "left_anti"), allowMissingColumns=True)
+def replaced(old: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """old with new rows in place of those of the same key; of equal keys in ``new`` the last by ``order`` stays."""
+    return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(one_each(new, key, order).select(*[c for c in new.columns if c != order or c in old.columns]), allowMissingColumns=True)
+
+
+def kept_first(old: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """old and those new rows whose key it lacks; of equal keys in ``new`` the first by ``order`` stays."""
+    new = one_each(new, key, order, last=False).select(*[c for c in new.columns if c != order or c in old.columns])
+    return old.unionByName(new.join(old.select(*key).distinct(), key, "left_anti"), allowMissingColumns=True)
 
 
 def inserted(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -43,6 +52,31 @@ def add_genes(genes: DataFrame, attrs: DataFrame, new: DataFrame, new_attrs: Dat
     return replaced(genes, new, ["id"]), attrs if new_attrs is None else replaced(attrs, new_attrs.withColumn("id", F.upper("id")), ["id", "key"]), aliases
 
 
+def remove_aliases(aliases: DataFrame, genes: DataFrame | None = None) -> DataFrame:
+    """aliases without those of the given genes (gene), or without any."""
+    return aliases.limit(0) if genes is None else aliases.join(genes.select(F.upper("gene").alias("id")).distinct(), "id", "left_anti").select(*aliases.columns)
+
+
+def remove_annotations(annotations: DataFrame, genes: DataFrame | None = None) -> DataFrame:
+    """annotations without those of the given genes (gene), or without any."""
+    return annotations.limit(0) if genes is None else annotations.join(genes.select(F.upper("gene").alias("id")).distinct(), "id", "left_anti").select(*annotations.columns)
+
+
+def genome_of(tables: dict[str, DataFrame], wanted: DataFrame | None = None) -> dict[str, DataFrame]:
+    """A genome's tables (genes, gene_attrs, chromosomes, aliases, annotations, as far as they are there) with the wanted genes (gene) alone, or all: a copy or a filtered genome.
+
+    Aliases, attributes and annotations follow their genes; chromosomes stay. Wanted names that are aliases
+    stand for their gene; unknown ones are left out.
+    """
+    if wanted is None:
+        return dict(tables)
+    genes = tables["genes"]
+    names = wanted.select(F.col("gene").alias("name"))
+    ids = resolve(names, genes, tables["aliases"]).select(F.col("gene").alias("id")) if "aliases" in tables else names.select(F.upper("name").alias("id"))
+    ids = ids.distinct()
+    return {k: t if k == "chromosomes" else t.join(ids, "id", "left_semi").select(*t.columns) for k, t in tables.items()}
+
+
 def add_chromosomes(chromosomes: DataFrame, new: DataFrame) -> DataFrame:
     return replaced(chromosomes, new, ["id"])
 

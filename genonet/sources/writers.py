@@ -77,6 +77,18 @@ def sparse_matrix(edges: DataFrame, index: DataFrame) -> DataFrame:
 def ontology_json(terms: DataFrame, closure: DataFrame, rels: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the wanted terms and all their ancestors, one JSON object a row."""
     up = wanted.select("term").union(closure.join(wanted, "term", "left_semi").select("ancestor")).distinct()
-    nodes = terms.join(up, terms.id == up.term, "left_semi").select(F.to_json(F.struct(F.struct("id", "name").alias("data"))).alias("value"))
-    edges = rels.join(up, rels.child == up.term, "left_semi").select(F.to_json(F.struct(F.struct(F.col("child").alias("source"), F.col("parent").alias("target")).alias("data"))).alias("value")).distinct()
-    return nodes, edges
+    nodes = terms.join(up, terms.id == up.term, "left_semi")
+    edges = rels.join(up, rels.child == up.term, "left_semi").select(F.col("child").alias("term"), "parent").distinct()
+    return graph_json(nodes.select("id", "name"), edges)
+
+
+def graph_json(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id and whatever else they have; entries of a map ``attr`` become fields) and edges (term, parent), one JSON object a row."""
+    fields = [c for c in nodes.columns if c != "attr"]
+    data = F.to_json(F.struct(*fields))
+    if "attr" in nodes.columns:
+        extra = F.to_json(F.col("attr"))
+        data = F.when(F.size("attr") > 0, F.concat(F.substr(data, F.lit(1), F.length(data) - 1), F.lit(","), F.substr(extra, F.lit(2)))).otherwise(data)
+    node_rows = nodes.select(F.concat(F.lit('{"data":'), data, F.lit("}")).alias("value"))
+    edge_rows = edges.select(F.to_json(F.struct(F.struct(F.col("term").alias("source"), F.col("parent").alias("target")).alias("data"))).alias("value"))
+    return node_rows, edge_rows
