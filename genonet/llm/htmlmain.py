@@ -22,7 +22,8 @@ from __future__ import annotations
 import html as references
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from functools import cache, lru_cache
 
 import numpy as np
@@ -49,18 +50,59 @@ SIBLINGS = {"p": {"p"}, "li": {"li"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"
 _WORD = re.compile(r"\w+")
 
 
-def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
+class Path(Sequence):
+    """Tags and .names from the root to an open element. It holds its own names, the path above and the running sum of their vectors, so that depth costs neither time nor memory."""
+
+    __slots__ = ("above", "names", "size", "sum", "tag")
+
+    def __init__(self, above: Path | None, tag: str, names: list[str]) -> None:
+        self.above, self.tag, self.names = above, tag, (tag, *("." + x for x in names))
+        self.size, total = (above.size, above.sum) if above else (0, np.zeros(PATH_SIZE, np.float32))
+        self.size += len(self.names)
+        for x in self.names:
+            total = total + _path_vector(x)
+        self.sum = total
+
+    def __len__(self) -> int:
+        return self.size
+
+    def whole(self) -> tuple[str, ...]:
+        parts, here = [], self
+        while here:
+            parts.append(here.names)
+            here = here.above
+        return tuple(x for names in reversed(parts) for x in names)
+
+    def __getitem__(self, k):
+        return self.whole()[k]
+
+    def __eq__(self, other) -> bool:
+        return tuple(self) == tuple(other)
+
+    def __hash__(self) -> int:
+        return hash(self.whole())
+
+    def __bool__(self) -> bool:
+        return True
+
+
+def blocks(page: str | None) -> list[tuple[str, Sequence[str], float]]:
     """Text, tag path (tags and .names) and share of linked characters of every leaf block."""
-    out: list[tuple[str, tuple[str, ...], float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    out: list[tuple[str, Sequence[str], float]] = []
+    stack: list[Path] = []
+    open_: Counter = Counter()
     parts: list[str] = []
     linked = inside = 0
 
+    def pop() -> str:
+        tag = stack.pop().tag
+        open_[tag] -= 1
+        return tag
+
     def end() -> None:
         nonlocal linked
         if parts and (text := " ".join(references.unescape("".join(parts)).split())):
-            path = tuple(x for _, names in stack for x in names)
-            out.append((text, path, min(1.0, linked / len(text))))
+            out.append((text, stack[-1] if stack else (), min(1.0, linked / len(text))))
         parts.clear()
         linked = 0
 
@@ -86,16 +128,17 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
         end()
         inside = 0
         if m[2]:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
+            if open_[tag]:
+                while pop() != tag:
                     pass
             continue
         if tag in VOID or m[4].rstrip().endswith("/"):
             continue
-        while stack and (stack[-1][0] in SIBLINGS.get(tag, ()) or (stack[-1][0] == "p")):
-            stack.pop()
+        while stack and (stack[-1].tag in SIBLINGS.get(tag, ()) or stack[-1].tag == "p"):
+            pop()
         names = [x for n in _NAMES.finditer(m[4]) if n[1].lower() in ("class", "id", "role") for x in re.split(r"[\s_-]+", (n[2] or n[3] or n[4] or "").lower()) if x]
-        stack.append((tag, (tag, *("." + x for x in names))))
+        stack.append(Path(stack[-1] if stack else None, tag, names))
+        open_[tag] += 1
     said(page[at:])
     end()
     return out
@@ -111,17 +154,13 @@ def _word_table() -> np.ndarray:
     return np.random.default_rng(11).standard_normal((4096, WORD_SIZE)).astype(np.float32)
 
 
-@lru_cache(8192)
-def _path(path: tuple[str, ...]) -> np.ndarray:
-    return np.clip(sum((_path_vector(x) for x in path), np.zeros(PATH_SIZE, np.float32)), -3, 3)
-
-
-def features(page: list[tuple[str, tuple[str, ...], float]]) -> np.ndarray:
+def features(page: list[tuple[str, Sequence[str], float]]) -> np.ndarray:
     """One vector for each block."""
     x = np.zeros((len(page), SIZE), np.float32)
     table, n = _word_table(), max(1, len(page) - 1)
     for k, (text, path, linked) in enumerate(page):
-        x[k, :PATH_SIZE] = _path(path)
+        if path:
+            x[k, :PATH_SIZE] = np.clip(path.sum, -3, 3)
         words = _WORD.findall(text.lower())
         if words:
             x[k, PATH_SIZE : PATH_SIZE + WORD_SIZE] = table[[zlib.crc32(w.encode()) & 4095 for w in words]].mean(0)

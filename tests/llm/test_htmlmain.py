@@ -1,3 +1,4 @@
+import time
 import html
 import re
 
@@ -99,3 +100,20 @@ def test_self_closed_svg(spark):
     html = [f"<html><body><nav>{icon}<a>x</a></nav>{article}</body></html>" for icon in ("", '<svg class="i"/>')]
     rows = htmlmain.extract(spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id long, url string, html string")).collect()
     assert len({r.text for r in rows}) == 1 and [r.n_chars for r in rows] == [20 * 23 - 1] * 2
+
+
+def test_deep_markup_takes_time_in_proportion():
+    """Containers that never end, and end tags of none that is open: time and memory go with the page's length."""
+    took = []
+    for n in (5_000, 50_000):
+        page = "<div class=a>x </b></i></section>" * n
+        began = time.process_time()
+        found = htmlmain.blocks(page)
+        x = htmlmain.features(found)
+        took.append(time.process_time() - began)
+        assert len(found) == n and len(found[-1][1]) == 2 * n and x.shape[0] == n
+    assert took[1] < 30 * took[0] + 1 and took[1] < 30
+    path = htmlmain.blocks("<main><div id=q>a<p class='x y'>b")[1][1]
+    assert path == ("main", "div", ".q", "p", ".x", ".y") and path[-1] == ".y" and len(path) == 6
+    vector = np.clip(sum((htmlmain._path_vector(v) for v in path), np.zeros(htmlmain.PATH_SIZE, np.float32)), -3, 3)
+    assert (htmlmain.features([("b", path, 0.0)])[0, : htmlmain.PATH_SIZE] == vector).all()
