@@ -76,7 +76,7 @@ class Vocabulary:
             p = p.replace(SPACE, " ")
             used |= set(p)
             beside |= set(zip(p, p[1:], strict=False))
-        #: Whether a text may be cut between two bytes. Bytes of other than ASCII characters count as side by side with all that is used.
+        #: Whether a text may be cut between two bytes. Bytes of other than ASCII characters count as side by side with all that is used; see wide for two of them.
         self.safe = np.zeros((256, 256), bool)
         wide = any(ord(a) > 127 for a in used)
         spaced = any(b == " " and a != " " for a, b in beside)
@@ -87,6 +87,8 @@ class Vocabulary:
                 elif a < 128 or b < 128:
                     one = chr(min(a, b))
                     self.safe[a, b] = not wide or one not in used or (b == 32 and not spaced)
+        #: Neighbours in pieces of which neither is ASCII. Texts may be cut between any others.
+        self.wide = np.array(sorted((ord(a) << 21) + ord(b) for a, b in beside if ord(a) > 127 and ord(b) > 127), np.int64)
         self._value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
     def units(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,6 +98,7 @@ class Vocabulary:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         cut = np.zeros(n + 1, bool)
         cut[1:-1] = self.safe[data[:-1], data[1:]]
+        cut[self._wide_cuts(data)] = True
         cut[bounds] = True
         edges = np.flatnonzero(cut)
         total = np.zeros(n + 1, np.uint64)
@@ -104,6 +107,21 @@ class Vocabulary:
         h = (total[ends] - total[starts]) * _power("i", _P_INV, n + 1)[starts]
         return starts, ends, mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
+    def _wide_cuts(self, data: np.ndarray) -> np.ndarray:
+        """Where a character that is not ASCII follows another that no piece has before it."""
+        lead = np.flatnonzero(data >= 0xC0)
+        after = np.flatnonzero(data[lead - 1] >= 0x80) if len(lead) else lead
+        after = after[lead[after] > 0]
+        if not len(after):
+            return after
+        d = np.concatenate((data, np.zeros(3, np.uint8))).astype(np.int64)
+        first = d[lead]
+        code = np.where(first < 0xE0, (first & 31) << 6 | d[lead + 1] & 63, np.where(first < 0xF0, (first & 15) << 12 | (d[lead + 1] & 63) << 6 | d[lead + 2] & 63, (first & 7) << 18 | (d[lead + 1] & 63) << 12 | (d[lead + 2] & 63) << 6 | d[lead + 3] & 63))
+        pair = (code[after - 1] << 21) + code[after]
+        at = np.minimum(np.searchsorted(self.wide, pair), max(0, len(self.wide) - 1))
+        known = self.wide[at] == pair if len(self.wide) else np.zeros(len(pair), bool)
+        return lead[after[~known]]
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of a text's ids, with the leading space."""
         size = self.sizes[ids]
