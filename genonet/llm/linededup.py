@@ -3,7 +3,7 @@
 The store of known lines is a set of runs, each a table of 128-bit line hashes and the document
 that keeps the line, bucketed and sorted by hash, its files in the shared folder. Documents come in
 batches of ascending doc_id. A batch's line hashes are merge-joined with the runs, which are read
-as they lie, without an exchange; what no run holds becomes a new run of level 0. When a level has ``fanout`` runs they are merged into one of the
+as they lie, without an exchange or a sort; what no run holds becomes a new run of level 0. When a level has ``fanout`` runs they are merged into one of the
 next level, so that a batch joins a number of runs that grows with the logarithm of the batches.
 Runs never share a hash, as each holds only what the earlier ones lacked.
 
@@ -18,7 +18,9 @@ takes none from others. Shorter keys always stay. Extra columns pass through dro
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +53,18 @@ def keyed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return keyed.select("doc_id", "t", "line_no", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(77), F.col("key")).alias("h2"))
 
 
+@contextlib.contextmanager
+def sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside take the order of a bucketed table's files, one for each bucket, as it is written; the session's own setting comes back after."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    own = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 class LineRuns:
     """Levelled runs of line hashes. levels[k] names the tables of level k's runs, each bucketed and sorted by hash."""
 
@@ -58,7 +72,10 @@ class LineRuns:
         self.spark, self.fanout, self.root = spark, fanout, root or scratch_dir(spark)
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
         self.count = 0
+        self.home = f"genonet_runs_{uuid.uuid4().hex}"  # a database of its own, so that no name meets the user's tables
+        spark.sql(f"CREATE DATABASE {self.home} LOCATION '{self.root}/home'")
 
     def names(self) -> list[str]:
         return [name for level in self.levels for name in level]
@@ -70,9 +87,10 @@ class LineRuns:
 
     def _write(self, run: DataFrame) -> str:
         """A table of one file for each bucket, so that joins read it as it lies: no exchange stands over a run."""
-        name, self.count = f"run_{uuid.uuid4().hex}", self.count + 1
+        name, self.count = f"{self.home}.run_{uuid.uuid4().hex}", self.count + 1
         rows = run.select(*[F.col(f.name) for f in RUN]).repartition(self.buckets, "h1", "h2")
-        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.root}/run-{self.count:05d}").saveAsTable(name)
+        self.paths[name] = f"{self.root}/run-{self.count:05d}"
+        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.paths[name]).saveAsTable(name)
         return name
 
     def add(self, run: DataFrame) -> None:
@@ -85,7 +103,8 @@ class LineRuns:
         self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
             old = self.levels[level]
-            merged = self._write(reduce(DataFrame.unionByName, map(self.spark.table, old)))
+            # read as plain files: taken as buckets, their union would be written in as many files a bucket as it has runs
+            merged = self._write(self.spark.read.schema(RUN).parquet(*[self.paths.pop(x) for x in old]))
             self.levels[level] = []
             self._drop(old)
             self._place(merged, level + 1)
@@ -96,7 +115,7 @@ class LineRuns:
 
     def close(self) -> None:
         """Takes the runs' names out of the session's catalog; their files stay in the scratch folder."""
-        self._drop(self.names())
+        self.spark.sql(f"DROP DATABASE IF EXISTS {self.home} CASCADE")
         self.levels = []
 
     def looked_up(self, keys: DataFrame) -> DataFrame:
@@ -110,7 +129,8 @@ class LineRuns:
     def take(self, batch: DataFrame) -> DataFrame:
         """Adds a batch of keyed lines; returns the lines of it that go: doc_id, t, line_no."""
         keys = batch.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("n"))
-        keys = written(self.looked_up(keys))
+        with sorted_scans(self.spark):
+            keys = written(self.looked_up(keys))
         self.add(keys.where("kept_doc is null"))
         shared = keys.where("kept_doc is not null or last_doc > first_doc").select("h1", "h2", F.coalesce("kept_doc", "first_doc").alias("kept_doc"), "n")
         return written(_met(batch, shared).where("doc_id <> kept_doc").select("doc_id", "t", "line_no"))
@@ -138,15 +158,17 @@ def _cuts(docs: DataFrame, batches: int) -> list[int]:
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """doc_id, t (hash of the row's text) and gone, the sorted numbers of the lines that go."""
     runs, cuts, found = LineRuns(docs.sparkSession, fanout), _cuts(docs, batches), None
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        batch = docs
-        if low is not None:
-            batch = batch.where(F.col("doc_id") > low)
-        if high is not None:
-            batch = batch.where(F.col("doc_id") <= high)
-        gone = runs.take(keyed_lines(batch, min_chars))
-        found = gone if found is None else found.unionByName(gone)
-    runs.close()
+    try:
+        for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+            batch = docs
+            if low is not None:
+                batch = batch.where(F.col("doc_id") > low)
+            if high is not None:
+                batch = batch.where(F.col("doc_id") <= high)
+            gone = runs.take(keyed_lines(batch, min_chars))
+            found = gone if found is None else found.unionByName(gone)
+    finally:
+        runs.close()
     return found.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
 
 

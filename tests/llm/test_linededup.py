@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from genonet.llm import linededup
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -57,9 +59,29 @@ def test_levels_and_plan(spark):
         runs.add(rows)
     assert [len(x) for x in runs.levels] == [1, 0, 1] and runs.known().count() == 50
     keys = spark.createDataFrame([(3, 21), (44, 308), (3, 22)], "h1 long, h2 long")
-    found = runs.looked_up(keys)
+    with linededup.sorted_scans(spark):
+        found = runs.looked_up(keys)
+        found._jdf.queryExecution().executedPlan()
     assert {(r.h1, r.h2): r.kept_doc for r in found.collect()} == {(3, 21): 3, (44, 308): 44, (3, 22): None}
     plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange hashpartitioning") == 1  # the keys' own; none over a run
     assert plan.count("Bucketed: true") == 2
+    assert plan.count("Sort [") == 1  # the keys' own as well; the runs come sorted
     runs.close()
+
+
+def test_a_failure_leaves_no_tables(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"some line number {k % 7}\nanother line") for k in range(60)], "doc_id long, text string")
+    take, calls = linededup.LineRuns.take, []
+
+    def failing(self, batch):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return take(self, batch)
+
+    monkeypatch.setattr(linededup.LineRuns, "take", failing)
+    with pytest.raises(RuntimeError, match="lost"):
+        linededup.drop_lines(docs)
+    assert not [d for d in spark.catalog.listDatabases() if d.name.startswith("genonet_runs")]
+    assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"
