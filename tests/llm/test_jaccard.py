@@ -139,3 +139,28 @@ def test_repeated_ids_of_several_texts(spark, monkeypatch):
     assert sorted(map(tuple, jaccard.near_duplicates(docs).collect())) == want
     monkeypatch.setattr(jaccard, "KEYS", 0)  # no first round: links lie outside the first shingles
     assert sorted(map(tuple, jaccard.near_duplicates(docs).collect())) == want
+
+
+def test_near_misses_do_not_hand_on_their_pairs(spark):
+    """Four hundred texts any two of which share about 0.68: no link, and far fewer pairs for the exact step than their 79,800; a few true links among them are found."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(9000)}" for _ in range(340)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for k in range(7):
+            words[rng.randrange(40) + 5 + 47 * k] = f"x{i}-{k}"
+        rows.append((i, " ".join(words)))
+    for i in range(0, 400, 50):
+        rows.append((1000 + i, rows[i][1].replace(f"x{i}-0", "other")))
+    handed = []
+    links = jaccard._links
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    jaccard._links = lambda d, p: handed.append((p := jaccard.written(p)).count()) or links(d, p)
+    try:
+        got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    finally:
+        jaccard._links = links
+    assert got == {i: top for i, _, top in brute(rows)}
+    assert got[1050] == 50 and got[7] == 7
+    assert sum(handed) < 20 * len(rows), handed
