@@ -8,9 +8,9 @@ import re
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from genonet.operators import coexpression, expression, ontology, overlap
+from genonet.operators import coexpression, expression, layout, ontology, overlap
 from genonet.plans import jobs
-from genonet.sources import readers, writers
+from genonet.sources import readers, records, writers
 from genonet.sources.catalog import Catalog
 from genonet.sources.shared import materialised
 
@@ -28,18 +28,28 @@ def parser() -> argparse.ArgumentParser:
     named = [("filename", {}), ("name", {}), ("description", {})]
     force = ("--force", {"action": "store_true"})
     command("build-refgen", *named, ("--chrom-feature", {"default": "chromosome"}), ("--gene-feature", {"default": "gene"}), ("--id-attr", {"default": "ID"}), ("--attr-split", {"default": "="}), force)
-    command("build-cob", *named, ("refgen", {}), ("--rawtype", {"default": "RNASEQ"}), ("--sep", {"default": "\t"}), ("--zscore-cutoff", {"type": float, "default": 3.0}), ("--skip-quality-control", {"action": "store_true"}), ("--skip-normalization", {"action": "store_true"}), ("--skip-quantile", {"action": "store_true"}), ("--min-expr", {"type": float, "default": 0.001}), ("--max-gene-missing-data", {"type": float, "default": 0.3}), ("--max-accession-missing-data", {"type": float, "default": 0.5}), ("--min-single-sample-expr", {"type": float, "default": 0.08}), ("--max-val", {"type": float}), ("--index-col", {}), ("--allow-non-membership", {"action": "store_true"}), ("--dry-run", {"action": "store_true"}), ("--clusters", {"action": "store_true"}), force)
+    command("build-cob", *named, ("refgen", {}), ("--rawtype", {"default": "RNASEQ"}), ("--sep", {"default": "\t"}), ("--zscore-cutoff", {"type": float, "default": 3.0}), ("--skip-quality-control", {"action": "store_true"}), ("--skip-normalization", {"action": "store_true"}), ("--skip-quantile", {"action": "store_true"}), ("--min-expr", {"type": float, "default": 0.001}), ("--max-gene-missing-data", {"type": float, "default": 0.3}), ("--max-accession-missing-data", {"type": float, "default": 0.5}), ("--min-single-sample-expr", {"type": float, "default": 0.08}), ("--max-val", {"type": float}), ("--index-col", {}), ("--allow-non-membership", {"action": "store_true"}), ("--dry-run", {"action": "store_true"}), ("--clusters", {"action": "store_true"}), ("--skip-hierarchy", {"action": "store_true"}), force)
     command("build-go", *named, ("obo", {}), ("refgen", {}), ("--go-col", {"type": int, "default": 1}), ("--id-col", {"type": int, "default": 0}), force)
     command("build-gwas", *named, ("refgen", {}), ("--trait-col", {"default": "Trait"}), ("--chrom-col", {"default": "CHR"}), ("--pos-col", {"default": "POS"}), ("--sep", {"default": "\t"}), ("--add-trait", {}), ("--skip-traits", {"nargs": "*", "default": []}), ("--query", {}), force)
     command("list ls".split()[0], ("--type", {}), ("--name", {"default": "%"}))
     command("rm", ("type", {}), ("name", {}))
     command("snp2gene", ("gwas", {}), ("refgen", {}), ("--terms", {"nargs": "*"}), ("--candidate-window-size", {"type": int, "nargs": "+", "default": [1]}), ("--candidate-flank-limit", {"type": int, "nargs": "+", "default": [0]}), ("--strongest", {}), ("--strongest-higher", {"action": "store_true"}), ("--include-parent-attrs", {"nargs": "*", "default": []}), ("--gene-info", {"nargs": "*", "default": []}), ("--out", {"required": True}))
-    command("overlap", ("cob", {}), ("method", {"choices": ["density", "locality"]}), ("--gwas", {}), ("--go", {}), ("--genes", {"nargs": "*"}), ("--terms", {"nargs": "+", "default": ["all"]}), ("--skip-terms", {"nargs": "*", "default": []}), ("--candidate-window-size", {"type": int, "default": 50_000}), ("--candidate-flank-limit", {"type": int, "default": 2}), ("--num-bootstraps", {"default": "auto"}), ("--min-term-size", {"type": int, "default": 2}), ("--max-term-size", {"type": int}), ("--snp2gene", {"choices": ["effective", "strongest"], "default": "effective"}), ("--strongest-attr", {}), ("--strongest-higher", {"action": "store_true"}), ("--dry-run", {"action": "store_true"}), ("--seed", {"type": int, "default": 1}), ("--out", {"required": True}), force)
+    scored = ( ("--gwas", {}), ("--go", {}), ("--genes", {"nargs": "*"}), ("--terms", {"nargs": "+", "default": ["all"]}), ("--skip-terms", {"nargs": "*", "default": []}), ("--candidate-window-size", {"type": int, "default": 50_000}), ("--candidate-flank-limit", {"type": int, "default": 2}), ("--num-bootstraps", {"default": "auto"}), ("--min-term-size", {"type": int, "default": 2}), ("--max-term-size", {"type": int}), ("--snp2gene", {"choices": ["effective", "strongest"], "default": "effective"}), ("--strongest-attr", {}), ("--strongest-higher", {"action": "store_true"}), ("--dry-run", {"action": "store_true"}), ("--seed", {"type": int, "default": 1}), ("--out", {"required": True}), force)
+    command("overlap", ("cob", {}), ("method", {"choices": ["density", "locality"]}), *scored)
+    command("locality", ("cob", {}), *scored)
+    command("cistrans", ("cob", {}), ("--cis-distance", {"type": float, "default": 100_000}), ("--bandwidth", {"type": float, "default": 0.2}), ("--points", {"type": int, "default": 1000}), ("--out", {"required": True}))
+    command("simulate-gwas", ("go", {}), ("refgen", {}), ("--missing-rate", {"type": float, "default": 0.0}), ("--false-rate", {"type": float, "default": 0.0}), ("--seed", {"type": int, "default": 1}), ("--out", {"required": True}))
+    command("layout", ("cob", {}), ("--iterations", {"type": int, "default": 50}), ("--all-components", {"action": "store_true"}), ("--seed", {"type": int, "default": 0}), ("--out", {"required": True}))
+    command("filter-refgen", ("refgen", {}), ("name", {}), ("description", {}), ("--genes", {"nargs": "*"}), force)
     command("neighbors", ("cob", {}), ("genes", {"nargs": "+"}), ("--num", {"type": int, "default": 10}), ("--out", {"required": True}))
     command("health", ("cob", {}), ("--go", {}), ("--num-bootstraps", {"type": int, "default": 50}), ("--min-term-size", {"type": int, "default": 10}), ("--max-term-size", {"type": int, "default": 300}), ("--max-terms", {"type": int}), ("--edge-zscore-cutoff", {"type": float}), ("--two-tailed", {"action": "store_true"}), ("--out", {"required": True}))
     return p
 
 
+def _named(spark: SparkSession, values: dict, path: str) -> None:
+    spark.createDataFrame([(k, str(v)) for k, v in values.items()], "name string, value string").coalesce(1).write.mode("overwrite").csv(path, sep="\t")
+
+
 def _network(catalog: Catalog, name: str) -> jobs.Network:
     t = {k: catalog.load("COB", name, k) for k in ("expr", "qc_gene", "qc_accession", "genes", "edges", "degree")}
     return jobs.Network(**t)
@@ -89,12 +99,16 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         raw = expression.cleaned(readers.read_matrix(spark, a.filename, a.sep, a.index_col))
         qc = {"min_expr": a.min_expr, "max_gene_missing": a.max_gene_missing_data, "max_accession_missing": a.max_accession_missing_data, "min_single_sample": a.min_single_sample_expr}
         own = {} if a.skip_quality_control else qc
-        net = jobs.build_network(raw, catalog.load("RefGen", a.refgen, "genes"), a.rawtype, a.zscore_cutoff, not a.skip_normalization, None, a.max_val, not a.skip_quantile, not a.skip_quality_control, a.clusters, not a.allow_non_membership, **own)
-        if a.dry_run:
-            print(net.log, jobs.summary(net))
+        if a.dry_run:  # what quality control would keep; no pair of genes is looked at
+            kept = raw if a.skip_quality_control else expression.quality_control(raw, None if a.allow_non_membership else catalog.load("RefGen", a.refgen, "genes").select(F.col("id").alias("gene")), **qc)[0]
+            raw.groupBy().agg(F.countDistinct("gene").alias("genes"), F.countDistinct("accession").alias("accessions")).show()
+            kept.groupBy().agg(F.countDistinct("gene").alias("kept_genes"), F.countDistinct("accession").alias("kept_accessions")).show()
             return
+        net = jobs.build_network(raw, catalog.load("RefGen", a.refgen, "genes"), a.rawtype, a.zscore_cutoff, not a.skip_normalization, None, a.max_val, not a.skip_quantile, not a.skip_quality_control, a.clusters, not a.allow_non_membership, not a.skip_hierarchy, **own)
         tables = {"expr": net.expr, "genes": net.genes, "edges": net.edges, "degree": net.degree}
         tables |= {"qc_gene": net.qc_gene, "qc_accession": net.qc_accession} if net.qc_gene is not None else {"qc_gene": net.genes.select(F.col("id").alias("gene"), F.lit(True).alias("pass_all")), "qc_accession": net.expr.select("accession", F.lit(True).alias("pass_all")).distinct()}
+        if net.merges is not None:
+            tables |= {"merges": net.merges, "leaves": net.leaves}
         if net.clusters is not None:
             tables["clusters"] = net.clusters
             terms, own = jobs.cluster_ontology(net.clusters, a.name)
@@ -122,8 +136,25 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         snps = snps.withColumn(a.strongest, F.col("attr")[a.strongest]) if a.strongest else snps
         info = [spark.read.csv(p, sep="\t", header=True) for p in a.gene_info]
         writers.write_tsv(jobs.snp2gene(snps, catalog.load(kind, a.refgen, "genes"), a.candidate_window_size, a.candidate_flank_limit, a.strongest, not a.strongest_higher, info, a.include_parent_attrs), a.out, True)
-    elif a.command == "overlap":
+    elif a.command in ("overlap", "locality"):
+        a.method = getattr(a, "method", "locality")
         _overlap(catalog, a)
+    elif a.command == "cistrans":
+        dense, test = jobs.cis_trans_report(_network(catalog, a.cob).edges, a.cis_distance, a.bandwidth, a.points)
+        writers.write_tsv(dense.orderBy("x"), a.out, True)
+        _named(spark, test, f"{a.out}_summary")
+    elif a.command == "simulate-gwas":
+        terms = overlap.simulated_terms(catalog.load("GOnt", a.go, "term_loci"), catalog.load("RefGen", a.refgen, "genes"), a.missing_rate, a.false_rate, a.seed)
+        writers.write_tsv(terms, a.out, True)
+    elif a.command == "layout":
+        net = _network(catalog, a.cob)
+        places = materialised(layout.layout(net.edges.where("significant"), a.iterations, a.seed, not a.all_components))
+        catalog.save("Coordinates", a.cob, f"places of {a.cob}", {"coordinates": places}, force=True)
+        writers.write_tsv(places, a.out, True)
+    elif a.command == "filter-refgen":
+        tables = {t: catalog.load("RefGen", a.refgen, t) for t in catalog.tables("RefGen", a.refgen)}
+        wanted = spark.createDataFrame([(g,) for g in a.genes], "gene string") if a.genes is not None else None
+        catalog.save("RefGen", a.name, a.description, records.genome_of(tables, wanted), force=a.force)
     elif a.command == "neighbors":
         net = _network(catalog, a.cob)
         top = coexpression.top_neighbors(net.edges, a.num)
@@ -134,7 +165,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
             net.edges = coexpression.with_cutoff(net.edges, a.edge_zscore_cutoff)
             net.degree = materialised(coexpression.degree(net.edges, net.genes.select(F.col("id").alias("gene"))))
         writers.write_tsv(jobs.qc_report(net), f"{a.out}_qc_gene", True)
-        spark.createDataFrame([(k, str(v)) for k, v in (jobs.summary(net) | jobs.degree_fit(net.degree)).items()], "name string, value string").coalesce(1).write.mode("overwrite").csv(f"{a.out}_summary", sep="\t")
+        _named(spark, jobs.summary(net) | jobs.degree_fit(net.degree), f"{a.out}_summary")
+        writers.write_tsv(jobs.score_table(net.edges), f"{a.out}_scores", True)
+        leaves = catalog.load("COB", a.cob, "leaves") if "leaves" in catalog.tables("COB", a.cob) else None
+        writers.write_tsv(expression.heat_map(net.expr, leaves), f"{a.out}_heat_map", True)
         if a.go:
             health = materialised(jobs.go_health(net, catalog.load("GOnt", a.go, "term_loci"), a.min_term_size, a.max_term_size, a.num_bootstraps, a.two_tailed, max_terms=a.max_terms))
             writers.write_tsv(health, f"{a.out}_GO", True)

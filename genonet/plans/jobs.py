@@ -250,6 +250,24 @@ def degree_fit(degree: DataFrame) -> dict[str, float]:
     return found | {f"{a} to {b} {what}": v for a, b, *both in pairs for what, v in zip(("ratio", "p"), both, strict=True)}
 
 
+def score_table(edges: DataFrame, width: float = 0.05) -> DataFrame:
+    """kind (r, or score: its standardised transform), bin (the lower end) and n: how correlations and scores are spread."""
+    both = edges.select(F.explode(F.array(F.struct(F.lit("r").alias("kind"), F.col("r").alias("v")), F.struct(F.lit("score").alias("kind"), F.col("score").alias("v")))).alias("e")).select("e.*").where("v is not null")
+    return both.groupBy("kind", F.floor(F.col("v") / width).alias("b")).agg(F.count(F.lit(1)).alias("n")).select("kind", (F.col("b") * width).alias("bin"), "n").orderBy("kind", "bin")
+
+
+def refgen_summary(tables: dict[str, DataFrame]) -> dict[str, int]:
+    """Counts of a genome's tables, and of genes that have an alias or an annotation."""
+    found = {name: t.count() for name, t in tables.items()}
+    return found | {f"genes with {k}": tables[k].select("id").distinct().count() for k in ("aliases", "annotations") if k in tables}
+
+
+def ontology_summary(terms: DataFrame, term_loci: DataFrame) -> dict[str, float]:
+    """Numbers of terms, of genes in any, and of genes in a term: least, mean and most."""
+    row = ontology.term_sizes(term_loci).agg(F.min("size"), F.avg("size"), F.max("size")).first()
+    return {"terms": terms.count(), "genes": term_loci.select("gene").distinct().count(), "smallest": row[0], "mean size": row[1], "largest": row[2]}
+
+
 def cis_trans_report(edges: DataFrame, cis_distance: float, bandwidth: float = 0.2, points: int = 1000) -> tuple[DataFrame, dict[str, float]]:
     """x, cis and trans: densities of the scores of near edges and of those across chromosomes; and their numbers, U and two-sided p."""
     rows = materialised(cx.cis_trans(edges, cis_distance).where("score is not null"))

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from genonet.sources.shared import latest, write_version
+
 FIELDS = "name string, type string, description string, tables array<string>, params string, added timestamp"
 
 
@@ -41,7 +43,7 @@ class Catalog:
         if not force and self.exists(kind, name):
             raise DatasetExistsError(f"{kind} {name}")
         for table, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self._home(kind, name)}/{table}")
+            write_version(df, f"{self._home(kind, name)}/{table}")
         entry = self.spark.createDataFrame([(description, sorted(tables), json.dumps(params or {}))], "description string, tables array<string>, params string").withColumn("added", F.current_timestamp())
         entry.coalesce(1).write.mode("overwrite").parquet(self._entry(kind, name))
 
@@ -61,8 +63,11 @@ class Catalog:
         fs, p = self._fs(self._entry(kind, name))
         return bool(fs.exists(p))
 
+    def tables(self, kind: str, name: str) -> list[str]:
+        return list(self.spark.read.parquet(self._entry(kind, name)).first()["tables"])
+
     def load(self, kind: str, name: str, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._home(kind, name)}/{table}")
+        return latest(self.spark, f"{self._home(kind, name)}/{table}")
 
     def datasets(self, kind: str | None = None, like: str = "%") -> DataFrame:
         fs, p = self._fs(f"{self.root}/catalog")

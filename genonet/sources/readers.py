@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from genonet.functions.ordered import one_each
 from genonet.operators.expression import AccessionNameError
 
 GFF = "seqid string, source string, feature string, start long, end long, score string, strand string, frame string, attributes string"
 
 
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", comment="#", schema=GFF)
+    """The rows of GFF files, with their order as ``line``."""
+    rows = spark.read.csv(path, sep="\t", comment="#", schema=GFF)
+    return rows.withColumn("line", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")))
 
 
 def _attributes(c: Column, pair: str = "=", sep: str = ";") -> Column:
@@ -22,10 +25,12 @@ def _attributes(c: Column, pair: str = "=", sep: str = ";") -> Column:
 
 
 def genome_from_gff(gff: DataFrame, chrom_feature: str = "chromosome", gene_feature: str = "gene", id_attr: str = "ID", attr_split: str = "=") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Genes (id upper-cased), their attributes (id, key, val) and chromosomes. A declared length wins over the last gene's end."""
+    """Genes (id upper-cased), their attributes (id, key, val) and chromosomes. A declared length wins over the last gene's end; of genes of one id the last line wins."""
     rows = gff.withColumn("attr", _attributes(F.col("attributes"), attr_split))
     own = rows.where(F.col("feature") == gene_feature).withColumn("id", F.upper(F.regexp_replace(F.element_at("attr", id_attr), '"', "")))
-    genes = own.select("id", F.col("seqid").alias("chrom"), "start", "end").dropDuplicates(["id"])
+    ordered = "line" in gff.columns
+    genes = own.select("id", F.col("seqid").alias("chrom"), "start", "end", *(["line"] if ordered else []))
+    genes = one_each(genes, ["id"], "line" if ordered else None).select("id", "chrom", "start", "end")
     attrs = own.select("id", F.explode(F.map_concat("attr", F.create_map(F.lit("strand"), "strand"))).alias("key", "val"))
     declared = rows.where(F.col("feature") == chrom_feature).groupBy(F.coalesce(F.element_at("attr", id_attr), "seqid").alias("id")).agg(F.max("end").alias("declared"))
     inferred = genes.groupBy(F.col("chrom").alias("id")).agg(F.max("end").alias("inferred"))

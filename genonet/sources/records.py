@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from genonet.functions.ordered import one_each
 from genonet.sources.catalog import GeneAbsentError
 from genonet.sources.readers import resolve
 
@@ -17,14 +18,6 @@ class RecordExistsError(ValueError):
     """A record with this key is there already."""
 
 
-def one_each(rows: DataFrame, key: list[str], order: str | None = None, last: bool = True) -> DataFrame:
-    """One row for each key: the last (or first) by the column ``order``, else by all other columns, so that the result does not hang on how rows are dealt."""
-    by = [order] if order else [c for c in rows.columns if c not in key]
-    top = F.struct(*by, *[c for c in rows.columns if c not in key and c not in by], F.lit(0)).alias("_by")
-    best = (F.max_by if last else F.min_by)(F.struct(*rows.columns), top)
-    return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(best.alias("_row")).select("_row.*")
-
-
 def replaced(old: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
     """old with new rows in place of those of the same key; of equal keys in ``new`` the last by ``order`` stays."""
     return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(one_each(new, key, order).select(*[c for c in new.columns if c != order or c in old.columns]), allowMissingColumns=True)

@@ -39,5 +39,29 @@ def test_build_map_and_score(spark, tmp_path):
     assert read("genes").count() > 0 and read("near").select("gene").distinct().count() <= 1
     assert read("out").where("term = 't'").count() > 0
     assert read("health_qc_gene").where("chrom = 'TOTAL'").count() == 1
+    merges, leaves = catalog.load("COB", "net", "merges"), catalog.load("COB", "net", "leaves")
+    assert merges.count() == 23 and merges.agg({"size": "max"}).first()[0] == 24 and sorted(r.place for r in leaves.collect()) == list(range(24))
+    summary = {r._c0: r._c1 for r in spark.read.csv(str(tmp_path / "health_summary"), sep="\t").collect()}
+    assert {f"{a} to {b} {w}" for a, b in (("truncated_power_law", "power_law"), ("truncated_power_law", "exponential"), ("power_law", "exponential")) for w in ("ratio", "p")} <= set(summary)
+    assert read("health_heat_map").count() == 24 * 24 and read("health_scores").where("kind = 'r'").count() > 3
+    run("cistrans", "net", "--cis-distance", "5000", "--points", "50", "--out", str(tmp_path / "cis"))
+    assert read("cis").count() == 50 and {r._c0 for r in spark.read.csv(str(tmp_path / "cis_summary"), sep="\t").collect()} == {"n_cis", "n_trans", "u", "p"}
+    run("locality", "net", "--genes", "g00,g04,g08", "--num-bootstraps", "5", "--out", str(tmp_path / "loc"))
+    assert read("loc").count() == 3 and set(read("loc").columns) >= {"local", "global", "fitted"}
+    run("layout", "net", "--iterations", "2", "--out", str(tmp_path / "places"))
+    assert read("places").count() == catalog.load("Coordinates", "net", "coordinates").count() > 3
+    run("filter-refgen", "ref", "some", "three genes", "--genes", "g00", "G05", "nosuch")
+    assert catalog.load("RefGen", "some", "genes").count() == 2 and catalog.load("RefGen", "some", "chromosomes").count() == 3
+    run("build-cob", str(tmp_path / "m.tsv"), "dry", "network", "ref", "--dry-run")
+    assert not catalog.exists("COB", "dry")
+    (tmp_path / "go.obo").write_text("[Term]\nid: T1\nname: one\n\n[Term]\nid: T2\nname: two\nis_a: T1 ! one\n")
+    (tmp_path / "go.tsv").write_text("".join(f"{n}\tT{1 + i % 2}\n" for i, n in enumerate(names)))
+    run("build-go", str(tmp_path / "go.tsv"), "go", "terms", str(tmp_path / "go.obo"), "ref")
+    run("overlap", "net", "density", "--go", "go", "--num-bootstraps", "5", "--out", str(tmp_path / "out4"))
+    assert {r.term for r in read("out4").select("term").distinct().collect()} == {"T1", "T2"}
+    run("simulate-gwas", "go", "ref", "--missing-rate", "50", "--out", str(tmp_path / "sim"))
+    assert read("sim").where("term = 'T2'").count() == 6
+    run("health", "net", "--go", "go", "--num-bootstraps", "3", "--min-term-size", "2", "--out", str(tmp_path / "health2"))
+    assert read("health2_GO").count() == 2
     run("rm", "COB", "net")
     assert not catalog.exists("COB", "net")

@@ -1,14 +1,19 @@
 """Hierarchies, layouts, triangles, fits, densities and ordered lookups against brute force."""
 
+import json
 import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from genonet.functions import fits, ordered, stats
-from genonet.operators import density, graph, hierarchy, layout
+from genonet.operators import coexpression, density, expression, graph, hierarchy, layout, ontology
 from genonet.operators import overlap as ov
+from genonet.plans import jobs
+from genonet.sources import readers, records, writers
+from genonet.sources.catalog import Catalog
 
 
 def merged(edges):
@@ -209,3 +214,92 @@ def test_set_locality_leaves_out_edges_inside_a_locus(spark):
     assert got["t", "a"][2] == pytest.approx(2 * slope)
     whole = {(r.term, r.gene): (r.local, r["global"]) for r in ov.set_locality(edges, degrees, sets.drop("parent_locus"), ["term"]).collect()}
     assert whole["t", "a"] == (2, 3) and whole["u", "c"] == (1, 3)
+
+
+def test_term_graphs_and_json(spark):
+    rels = spark.createDataFrame([("c", "p"), ("p", "r"), ("q", "r"), ("c", "q"), ("z", "r")], "child string, parent string")
+    terms = spark.createDataFrame([(x, x.upper()) for x in "cpqrzy"], "id string, name string")
+    wanted = spark.createDataFrame([("c",)], "term string")
+    own = spark.createDataFrame([("p", "g1"), ("p", "g2"), ("p", "g2")], "term string, gene string")
+    attrs = spark.createDataFrame([("p", "color", '"b'), ("p", "color", "a"), ("q", "w", "1")], "term string, key string, val string")
+    assert {r.term for r in ontology.reached(rels, wanted).collect()} == set("pqr") and ontology.reached(rels, wanted.limit(0)).count() == 0
+    nodes, edges = ontology.term_graph(rels, terms, wanted)
+    assert {r.id for r in nodes.collect()} == set("pqr") and {tuple(r) for r in edges.collect()} == {("p", "r"), ("q", "r")}
+    nodes, edges = ontology.term_graph(rels, terms, wanted, True, own, attrs)
+    assert {(r.id, r.size, tuple(sorted((r.attr or {}).items()))) for r in nodes.collect()} == {("c", 0, ()), ("p", 2, (("color", "a"),)), ("q", 0, (("w", "1"),)), ("r", 0, ())}
+    rows, links = writers.graph_json(nodes, edges)
+    data = {d["id"]: d for d in (json.loads(r.value)["data"] for r in rows.collect())}
+    assert data["p"] == {"id": "p", "name": "P", "size": 2, "color": "a"} and data["c"] == {"id": "c", "name": "C", "size": 0}
+    assert {tuple(json.loads(r.value)["data"].values()) for r in links.collect()} == {("c", "p"), ("c", "q"), ("p", "r"), ("q", "r")}
+    whole, _ = ontology.term_graph(rels, terms)
+    assert whole.count() == 6
+    cells, index = ontology.term_matrix(rels, terms)
+    at = {r.term: r.idx for r in index.collect()}
+    assert [at[x] for x in "cpqryz"] == list(range(6))
+    assert sorted((r.i, r.j) for r in cells.collect()) == sorted(x for a, b in (("c", "p"), ("p", "r"), ("q", "r"), ("c", "q"), ("z", "r")) for x in ((at[a], at[b]), (at[b], at[a])))
+
+
+def test_heat_map_in_leaf_order(spark):
+    rng = np.random.default_rng(2)
+    values = rng.normal(0, 3, (7, 4))
+    values[2, 1] = 90.0
+    rows = [(f"g{i}", f"a{j}", None if (i, j) == (5, 0) else float(values[i, j])) for i in range(7) for j in range(4)]
+    expr = spark.createDataFrame(rows, "gene string, accession string, value double")
+    places = spark.createDataFrame([("g3", 0), ("g1", 1), ("g0", 2), ("g2", 3), ("g6", 4)], "gene string, place long")
+    order = [3, 1, 0, 2, 6, 4, 5]
+    got = {(r.i, r.j): (r.value, r.n) for r in expression.heat_map(expr, places, normalized=False).collect()}
+    assert got[6, 0] == (None, 0) and got[3, 1] == (3.5, 1)
+    assert all(got[k, j][0] == pytest.approx(max(-3.5, min(3.5, values[i, j]))) for k, i in enumerate(order) for j in range(4) if (i, j) != (5, 0))
+    small = {(r.i, r.j): (r.value, r.n) for r in expression.heat_map(expr, places, rows=3, columns=2, normalized=False).collect()}
+    own = [min(3.5, max(-3.5, values[i, j])) for k, i in enumerate(order) for j in (0, 1) if k * 3 // 7 == 0]
+    assert small[0, 0] == (pytest.approx(np.mean(own)), len(own)) and len(small) == 6
+
+
+def test_records_in_order_and_filtered_genomes(spark):
+    rows = spark.createDataFrame([("a", 1, 5), ("a", 3, 4), ("b", 2, 9), ("a", 2, 7)], "id string, at int, v int")
+    assert {tuple(r) for r in ordered.one_each(rows, ["id"], "at").select("id", "v").collect()} == {("a", 4), ("b", 9)}
+    assert {tuple(r) for r in ordered.one_each(rows, ["id"], "at", last=False).select("id", "v").collect()} == {("a", 5), ("b", 9)}
+    old = spark.createDataFrame([("b", 1), ("c", 1)], "id string, v int")
+    assert {tuple(r) for r in records.replaced(old, rows, ["id"], "at").collect()} == {("a", 4), ("b", 9), ("c", 1)}
+    assert {tuple(r) for r in records.kept_first(old, rows, ["id"], "at").collect()} == {("a", 5), ("b", 1), ("c", 1)}
+    genes = spark.createDataFrame([("G1", "1", 1, 5), ("G2", "1", 7, 9), ("G3", "2", 1, 2)], "id string, chrom string, start long, end long")
+    aliases = spark.createDataFrame([("al", "G1"), ("bl", "G3")], "alias string, id string")
+    notes = spark.createDataFrame([("G1", "x"), ("G2", "y")], "id string, desc string")
+    tables = {"genes": genes, "aliases": aliases, "annotations": notes, "gene_attrs": spark.createDataFrame([("G2", "k", "v")], "id string, key string, val string"), "chromosomes": spark.createDataFrame([("1", 9)], "id string, length long")}
+    some = records.genome_of(tables, spark.createDataFrame([("al",), ("g2",), ("none",)], "gene string"))
+    assert {k: t.count() for k, t in some.items()} == {"genes": 2, "aliases": 1, "annotations": 2, "gene_attrs": 1, "chromosomes": 1}
+    assert {k: t.count() for k, t in records.genome_of(tables).items()} == {"genes": 3, "aliases": 2, "annotations": 2, "gene_attrs": 1, "chromosomes": 1}
+    g1 = spark.createDataFrame([("g1",)], "gene string")
+    assert [r.alias for r in records.remove_aliases(aliases, g1).collect()] == ["bl"] and records.remove_aliases(aliases).count() == 0
+    assert [r.desc for r in records.remove_annotations(notes, g1).collect()] == ["y"] and records.remove_annotations(notes).count() == 0
+    assert jobs.refgen_summary(tables)["genes with aliases"] == 2
+    assert jobs.ontology_summary(spark.range(3), spark.createDataFrame([("t", "a"), ("t", "b"), ("u", "a")], "term string, gene string")) == {"terms": 3, "genes": 2, "smallest": 1, "mean size": 1.5, "largest": 2}
+
+
+def test_last_gene_of_an_id_wins(spark, tmp_path):
+    (tmp_path / "g.gff").write_text("".join(f"1\tx\tgene\t{k * 10 + 1}\t{k * 10 + 5}\t.\t+\t.\tID={'a' if k % 2 else 'b'}\n" for k in range(20)))
+    genes, _, _ = readers.genome_from_gff(readers.read_gff(spark, str(tmp_path / "g.gff")))
+    assert {(r.id, r.start) for r in genes.collect()} == {("A", 191), ("B", 181)}
+
+
+def test_a_gene_with_itself_and_parent_snps(spark):
+    edges = spark.createDataFrame([("a", "b", 0.5, 1.2, 7.0, True)], "gene_a string, gene_b string, r double, score double, distance double, significant boolean")
+    row = coexpression.coexpression(edges, "b", "b", 0.1, 0.5).first()
+    assert (row.gene_a, row.gene_b, row.distance, row.significant) == ("b", "b", 0.0, False) and row.score == pytest.approx((math.atanh(coexpression.CLIP) - 0.1) / 0.5)
+    assert coexpression.coexpression(edges, "q", "q").count() == 0 and coexpression.coexpression(edges, "b", "a").count() == 1
+    snps = spark.createDataFrame([("t", "s1", "1", 100, 100, {"numIterations": "3"}), ("t", "s2", "1", 110, 110, {"numIterations": "9"}), ("t", "s3", "1", 900, 900, {"numIterations": "1"})], "term string, id string, chrom string, start long, end long, attr map<string,string>")
+    genes = spark.createDataFrame([("A", "1", 105, 108), ("B", "1", 905, 950)], "id string, chrom string, start long, end long")
+    out = jobs.parent_snp_info(snps, {"net": genes}, [20, 1], [1]).collect()
+    assert {(r.cob, r.gene, r.parent_locus) for r in out if r.window_size == 20} == {("net", "A", "s2"), ("net", "B", "s3")}
+
+
+def test_catalog_keeps_the_table_until_the_new_one_is_whole(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path))
+    catalog.save("T", "x", "", {"t": spark.range(3)})
+    kept = catalog.load("T", "x", "t")
+    catalog.save("T", "x", "", {"t": kept.union(spark.range(2))}, force=True)  # reads what it replaces
+    assert catalog.load("T", "x", "t").count() == 5 and kept.count() == 3
+    bad = spark.range(4).select(F.raise_error(F.lit("lost")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        catalog.save("T", "x", "", {"t": bad}, force=True)
+    assert catalog.load("T", "x", "t").count() == 5
