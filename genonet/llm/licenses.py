@@ -275,7 +275,11 @@ def _detected(text: Column, present: Column) -> Column:
 
 
 def _resolved(spans: Column) -> Column:
-    """Numbers of the rules that keep a span, after suppression; one pass over the sorted spans."""
+    """Numbers of the rules that keep a span, after suppression; one pass over the spans by start, longest first.
+
+    A span inside the one that holds falls; one that reaches over its end takes its place if its priority is better,
+    else it falls. What a span replaced or kept out does not come back where that span is replaced later.
+    """
     priority = F.array(*[F.lit(p) for _, p, _, _ in rules()])
     ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("n"), F.get(priority, x["k"]).alias("p"), x["k"].alias("k"))))
     start = F.struct(F.lit(-1).alias("e"), F.lit(9).alias("p"), F.lit(-1).alias("k"), F.array().cast("array<int>").alias("out"))
