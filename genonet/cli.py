@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import re
 
 from pyspark.sql import SparkSession
@@ -17,6 +18,7 @@ from genonet.sources.shared import materialised
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="genonet")
+    p.add_argument("--config", help="a JSON file with values for flags, by name")
     p.add_argument("--catalog", default="genonet-data")
     sub = p.add_subparsers(dest="command", required=True)
 
@@ -89,7 +91,12 @@ def _overlap(catalog: Catalog, a: argparse.Namespace) -> None:
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
-    a = parser().parse_args(args)
+    p = parser()
+    a = p.parse_args(args)
+    if a.config:
+        with open(a.config) as f:
+            p.set_defaults(**json.load(f))
+        a = p.parse_args(args)
     spark = spark or SparkSession.builder.appName("genonet").getOrCreate()
     catalog = Catalog(spark, a.catalog)
     if a.command == "build-refgen":

@@ -17,12 +17,20 @@ def log_factorials(spark: SparkSession, n: int) -> DataFrame:
     return spark.createDataFrame([(values,)], "lf array<double>")
 
 
-def hypergeom_sf(common: Column, universe: Column, marked: Column, drawn: Column, lf: Column) -> Column:
+def log_factorial(n: Column) -> Column:
+    """log(n!) in closed form: exact up to 19, Stirling's series from there (under 1e-15 off)."""
+    small = F.array(*[F.lit(math.lgamma(k + 1)) for k in range(20)])
+    x = n.cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(x * (2 * math.pi)) + F.lit(1.0) / (12 * x) - F.lit(1.0) / (360 * x * x * x) + F.lit(1.0) / (1260 * F.pow(x, 5)) - F.lit(1.0) / (1680 * F.pow(x, 7))
+    return F.when(n < 20, F.get(small, n.cast("int"))).otherwise(series)
+
+
+def hypergeom_sf(common: Column, universe: Column, marked: Column, drawn: Column, lf: Column | None = None) -> Column:
     """P(X >= common) when ``drawn`` are taken from ``universe`` of which ``marked`` count.
 
-    lf is the log-factorial array. Terms run only over values that can occur; none gives 0.
+    lf is the log-factorial array; without it they come in closed form. Terms run only over values that can occur; none gives 0.
     """
-    at = lambda k: F.get(lf, k.cast("int"))
+    at = log_factorial if lf is None else lambda k: F.get(lf, k.cast("int"))
     choose = lambda n, k: at(n) - at(k) - at(n - k)
     low = F.greatest(common, marked + drawn - universe, F.lit(0)).cast("int")
     high = F.least(marked, drawn).cast("int")
@@ -71,7 +79,7 @@ def mann_whitney(rows: DataFrame, group: str, value: str) -> DataFrame:
     return total.withColumn("u", u).withColumn("z", z).select("n1", "n2", "u", "z")
 
 
-def dense_index(rows: DataFrame, *order: str) -> DataFrame:
+def dense_index(rows: DataFrame, *order: str | Column) -> DataFrame:
     """rows with ``idx``, dense from 0 in the given order, by ranges: each range is numbered by itself, after the sizes of those before."""
     from genonet.sources.shared import materialised
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genonet.functions.stats import dense_index, hypergeom_sf, log_factorials
+from genonet.functions.stats import dense_index, hypergeom_sf
 from genonet.sources.shared import materialised
 
 
@@ -119,8 +119,8 @@ def enrichment(term_loci: DataFrame, genes: DataFrame, pval_cutoff: float = 0.05
     terms = terms_containing(term_loci, genes, low, high)
     common = term_loci.join(genes.select("gene").distinct(), "gene", "left_semi").groupBy("term").agg(F.countDistinct("gene").alias("num_common"), F.array_sort(F.collect_set("gene")).alias("genes"))
     tested = terms.count()
-    rows = terms.join(common, "term").crossJoin(F.broadcast(log_factorials(term_loci.sparkSession, universe + drawn)))  # one row
-    p = hypergeom_sf(F.col("num_common"), F.lit(universe), F.col("size"), F.lit(min(drawn, universe)), F.col("lf"))
+    rows = terms.join(common, "term")
+    p = hypergeom_sf(F.col("num_common"), F.lit(universe), F.col("size"), F.lit(min(drawn, universe)))
     rows = rows.withColumn("pval", p).where((F.col("pval") <= pval_cutoff) & (F.col("num_common") >= min_overlap))
     return rows.select(
         "term", "pval", F.lit(tested).alias("terms_tested"), "num_common", F.lit(universe).alias("num_universe"), F.col("size").alias("source_term_size"),
@@ -134,9 +134,8 @@ def ontology_enrichment(source: DataFrame, target: DataFrame, pval_cutoff: float
     a = source.join(term_sizes(source, low, high), "term").select("gene", F.col("term").alias("source_term"), F.col("size").alias("source_size")).distinct()
     b = target.join(term_sizes(target) if any_target else term_sizes(target, low, high), "term").select("gene", F.col("term").alias("target_term"), F.col("size").alias("target_size")).distinct()
     both = a.join(b, "gene").groupBy("source_term", "target_term", "source_size", "target_size").agg(F.count(F.lit(1)).alias("num_common"))
-    rows = both.crossJoin(F.broadcast(log_factorials(source.sparkSession, universe)))  # one row
-    p = hypergeom_sf(F.col("num_common"), F.lit(universe), F.col("source_size"), F.least("target_size", F.lit(universe)), F.col("lf"))
-    return rows.withColumn("pval", p).where(F.col("pval") <= pval_cutoff).drop("lf")
+    p = hypergeom_sf(F.col("num_common"), F.lit(universe), F.col("source_size"), F.least("target_size", F.lit(universe)))
+    return both.withColumn("pval", p).where(F.col("pval") <= pval_cutoff)
 
 
 def adjacency(left: DataFrame, right: DataFrame, universe: int) -> DataFrame:

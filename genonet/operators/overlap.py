@@ -53,7 +53,7 @@ def bootstrap_candidates(sizes: DataFrame, genes: DataFrame, iterations: int, se
     if not total:
         raise ValueError("no genes to draw from")
     open_ = sizes.where("n > 0").select(*by, "locus", "n", F.explode(F.sequence(F.lit(first), F.lit(first + iterations - 1))).alias("iter"))
-    done = None
+    done: list[DataFrame] = []  # what each round adds; nothing is written twice
     for k in range(most):
         draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(k), *by, "iter", "locus"), F.lit(total))
         drawn = open_.withColumn("idx", draw).join(index.select("idx", "before"), "idx")
@@ -62,15 +62,16 @@ def bootstrap_candidates(sizes: DataFrame, genes: DataFrame, iterations: int, se
         # a locus waits if a gene of its block is taken, by those done before or by an earlier locus of this round
         rival = block.groupBy(*keys, "g").agg(F.min("locus").alias("winner"))
         lost = block.join(rival, [*keys, "g"]).where("locus <> winner").select(*keys, "locus")
-        if done is not None:
-            lost = lost.union(block.join(done.select(*keys, "g"), [*keys, "g"], "left_semi").select(*keys, "locus"))
+        if done:
+            taken = reduce(DataFrame.unionByName, done).select(*keys, "g")
+            lost = lost.union(block.join(taken, [*keys, "g"], "left_semi").select(*keys, "locus"))
         fine = block if k == most - 1 else block.join(lost.distinct(), [*keys, "locus"], "left_anti")
-        done = materialised(fine if done is None else done.unionByName(fine))
-        open_ = materialised(open_.join(fine.select(*keys, "locus").distinct(), [*keys, "locus"], "left_anti"))
+        done.append(materialised(fine))
+        open_ = materialised(open_.join(done[-1].select(*keys, "locus").distinct(), [*keys, "locus"], "left_anti"))
         if open_.isEmpty():
             break
     one = Window.partitionBy(*keys, "g").orderBy("locus")
-    return done.withColumn("_n", F.row_number().over(one)).where("_n = 1").join(index.select(F.col("idx").alias("g"), "gene"), "g").select(*keys, F.col("locus").alias("parent_locus"), "gene")
+    return reduce(DataFrame.unionByName, done).withColumn("_n", F.row_number().over(one)).where("_n = 1").join(index.select(F.col("idx").alias("g"), "gene"), "g").select(*keys, F.col("locus").alias("parent_locus"), "gene")
 
 
 def sets_subnetwork(edges: DataFrame, sets: DataFrame, by: list[str]) -> DataFrame:

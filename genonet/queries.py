@@ -24,6 +24,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 Z, WINDOW, FLANK = 2.0, 20_000, 2
+#: Terms here are shares of a table, so that their sizes have no bound but the table's.
+EVERY = 1 << 30
 
 
 def query(sql: str | None = None):
@@ -547,17 +549,17 @@ def hyper_sql(x: str, u: str, m: str, d: str) -> str:
     return _HYPER.format(x=x, u=u, m=m, d=d, a=_LF.format(n=m, k="i"), b=_LF.format(n=f"({u} - {m})", k=f"({d} - i)"), c=_LF.format(n=u, k=d))
 
 
-@query(f"WITH {LABELS}, q AS (SELECT term, count(*) AS m, count(*) FILTER (WHERE gene IN (SELECT vec_id FROM embeddings WHERE label = 0)) AS x FROM mods GROUP BY 1), z AS (SELECT *, (SELECT count(*) FROM embeddings) AS u, (SELECT count(*) FROM embeddings WHERE label = 0) AS d FROM q WHERE x > 0 AND m BETWEEN 2 AND 300) SELECT term, round({hyper_sql('x', 'u', 'm', 'd')}, 6) AS pval, x AS num_common, m AS source_term_size FROM z")
+@query(f"WITH {LABELS}, q AS (SELECT term, count(*) AS m, count(*) FILTER (WHERE gene IN (SELECT vec_id FROM embeddings WHERE label = 0)) AS x FROM mods GROUP BY 1), z AS (SELECT *, (SELECT count(*) FROM embeddings) AS u, (SELECT count(*) FROM embeddings WHERE label = 0) AS d FROM q WHERE x > 0 AND m >= 2) SELECT term, round({hyper_sql('x', 'u', 'm', 'd')}, 6) AS pval, x AS num_common, m AS source_term_size FROM z")
 def enrichment(spark, at):
-    return ontology.enrichment(modulus(spark, at), listed(spark, at), pval_cutoff=1.0).select("term", r6("pval", "pval"), "num_common", F.col("source_term_size"))
+    return ontology.enrichment(modulus(spark, at), listed(spark, at), pval_cutoff=1.0, high=EVERY).select("term", r6("pval", "pval"), "num_common", F.col("source_term_size"))
 
 
-_PAIRS = f"WITH {LABELS}, a AS (SELECT *, count(*) OVER (PARTITION BY term) AS m FROM labels_t), b AS (SELECT *, count(*) OVER (PARTITION BY term) AS d FROM mods), j AS (SELECT a.term AS source_term, b.term AS target_term, m, d, count(*) AS x, (SELECT count(*) FROM embeddings) AS u FROM a JOIN b ON a.gene = b.gene WHERE m BETWEEN 2 AND 300 AND d BETWEEN 2 AND 300 GROUP BY 1, 2, 3, 4), p AS (SELECT *, {hyper_sql('x', 'u', 'm', 'd')} AS pval FROM j)"
+_PAIRS = f"WITH {LABELS}, a AS (SELECT *, count(*) OVER (PARTITION BY term) AS m FROM labels_t), b AS (SELECT *, count(*) OVER (PARTITION BY term) AS d FROM mods), j AS (SELECT a.term AS source_term, b.term AS target_term, m, d, count(*) AS x, (SELECT count(*) FROM embeddings) AS u FROM a JOIN b ON a.gene = b.gene WHERE m >= 2 AND d >= 2 GROUP BY 1, 2, 3, 4), p AS (SELECT *, {hyper_sql('x', 'u', 'm', 'd')} AS pval FROM j)"
 
 
 @query(f"{_PAIRS} SELECT source_term, target_term, x AS num_common, round(pval, 6) AS pval FROM p WHERE pval <= 0.3")
 def ontology_enrichment(spark, at):
-    return ontology.ontology_enrichment(labels(spark, at), modulus(spark, at), pval_cutoff=0.3).select("source_term", "target_term", "num_common", r6("pval", "pval"))
+    return ontology.ontology_enrichment(labels(spark, at), modulus(spark, at), pval_cutoff=0.3, high=EVERY).select("source_term", "target_term", "num_common", r6("pval", "pval"))
 
 
 @query(f"{_PAIRS} SELECT source_term, target_term, x AS num_common, round(pval, 6) AS pval, pval <= 0.05 / (10 * 13) AS bonferroni FROM p")
@@ -587,7 +589,7 @@ def term_matrix(spark, at):
 @query(f"{_PAIRS} SELECT source_term AS term, round(min(pval), 6) AS pval, string_agg(target_term, ',' ORDER BY target_term) AS label FROM p WHERE pval <= 0.3 GROUP BY 1")
 def enriched_terms(spark, at):
     """Every list of ``modulus`` against every label, one node for each label that any of them enriches."""
-    return ontology.enriched_terms(labels(spark, at), modulus(spark, at), pval_cutoff=0.3).select("term", r6("pval", "pval"), "label")
+    return ontology.enriched_terms(labels(spark, at), modulus(spark, at), pval_cutoff=0.3, high=EVERY).select("term", r6("pval", "pval"), "label")
 
 
 # ---- overlap ----

@@ -13,6 +13,17 @@ from genonet.sources.shared import latest, write_version
 FIELDS = "name string, type string, description string, tables array<string>, params string, added timestamp"
 
 
+#: Tables of a new, empty dataset of each kind.
+SCHEMAS = {
+    "RefGen": {"genes": "id string, chrom string, start long, end long", "gene_attrs": "id string, key string, val string", "chromosomes": "id string, length long", "aliases": "alias string, id string", "annotations": "id string, desc string"},
+    "Expr": {"expr": "gene string, accession string, value double", "qc_gene": "gene string, pass_all boolean", "qc_accession": "accession string, pass_all boolean"},
+    "COB": {"expr": "gene string, accession string, value double", "genes": "id string, chrom string, start long, end long", "edges": "gene_a string, gene_b string, r double, score double, distance double, significant boolean", "degree": "gene string, degree long", "qc_gene": "gene string, pass_all boolean", "qc_accession": "accession string, pass_all boolean"},
+    "Ontology": {"terms": "id string, desc string", "term_loci": "term string, gene string"},
+    "GOnt": {"terms": "id string, name string, desc string", "rels": "child string, parent string", "alts": "alt string, main string", "term_loci": "term string, gene string"},
+    "GWAS": {"snps": "term string, id string, chrom string, start long, end long, window long, attr map<string,string>"},
+}
+
+
 class DatasetExistsError(ValueError):
     """A dataset of this name and type is there already."""
 
@@ -47,6 +58,10 @@ class Catalog:
         entry = self.spark.createDataFrame([(description, sorted(tables), json.dumps(params or {}))], "description string, tables array<string>, params string").withColumn("added", F.current_timestamp())
         entry.coalesce(1).write.mode("overwrite").parquet(self._entry(kind, name))
 
+    def create(self, kind: str, name: str, description: str, force: bool = False) -> None:
+        """A dataset of the kind with empty tables; with ``force`` in place of one that is there."""
+        self.save(kind, name, description, {t: self.spark.createDataFrame([], schema) for t, schema in SCHEMAS[kind].items()}, force=force)
+
     def params(self, kind: str, name: str) -> dict:
         return json.loads(self.spark.read.parquet(self._entry(kind, name)).first()["params"])
 

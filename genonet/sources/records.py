@@ -108,3 +108,62 @@ def annotations_of(genes: DataFrame, annotations: DataFrame) -> DataFrame:
 def random_terms(terms: DataFrame, n: int = 1, seed: int = 1) -> DataFrame:
     """n terms, the same for the same seed."""
     return terms.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n)
+
+
+def chromosome(chromosomes: DataFrame, name: str) -> DataFrame:
+    """The chromosome's row; one that is not there raises."""
+    row = chromosomes.where(F.col("id") == str(name))
+    if row.isEmpty():
+        raise ValueError(f"no chromosome {name}")
+    return row
+
+
+def with_attrs(rows: DataFrame, attrs: DataFrame, key: str = "id") -> DataFrame:
+    """rows with their attributes (key, key and val) as a map ``attr``, empty for none; of a key's values the largest stays."""
+    one = attrs.groupBy(F.col(key).alias("_id"), "key").agg(F.max("val").alias("val"))
+    maps = one.groupBy("_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "val")))).alias("attr"))
+    out = rows.join(maps, F.col(key) == F.col("_id"), "left").drop("_id")
+    return out.withColumn("attr", F.coalesce("attr", F.create_map().cast(maps.schema["attr"].dataType)))
+
+
+def as_record(loci: DataFrame, fields: tuple[str, ...] = ("id", "chrom", "start", "end")) -> DataFrame:
+    """Each locus as one map of texts, ``record``: its own fields, and its attributes where they do not clash with these."""
+    own = F.create_map(*[x for c in fields for x in (F.lit(c), F.col(c).cast("string"))])
+    attr = F.map_filter("attr", lambda k, _: ~k.isin(*fields)) if "attr" in loci.columns else F.create_map().cast("map<string,string>")
+    return loci.select(F.map_concat(own, F.coalesce(attr, F.create_map().cast("map<string,string>"))).alias("record"))
+
+
+def from_record(records: DataFrame) -> DataFrame:
+    """Loci (id, chrom, start, end, attr) of maps of texts; whatever is no field is an attribute. A missing end is the start."""
+    get = lambda c: F.col("record")[c]
+    attr = F.map_filter("record", lambda k, _: ~k.isin("id", "chrom", "start", "end"))
+    return records.select(get("id").alias("id"), get("chrom").alias("chrom"), get("start").cast("long").alias("start"), F.coalesce(get("end"), get("start")).cast("long").alias("end"), attr.alias("attr"))
+
+
+def add_loci(term_loci: DataFrame, term: str, genes: DataFrame) -> DataFrame:
+    """term_loci with the genes (gene) in the term as well, each once."""
+    return term_loci.unionByName(genes.select(F.lit(term).alias("term"), "gene")).distinct()
+
+
+def copy_term(terms: DataFrame, term_loci: DataFrame, old: str, new: str, desc: str | None = None, genes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """terms and term_loci with a copy of a term under another id, with the old one's genes and the given ones; an id that is there raises."""
+    own = terms.where(F.col("id") == old)
+    if own.isEmpty():
+        raise ValueError(f"no term {old}")
+    row = own.withColumn("id", F.lit(new))
+    if desc is not None and "desc" in terms.columns:
+        row = row.withColumn("desc", F.lit(desc))
+    loci = term_loci.where(F.col("term") == old).withColumn("term", F.lit(new))
+    if genes is not None:
+        loci = add_loci(loci, new, genes)
+    return inserted(terms, row, ["id"]), term_loci.unionByName(loci.distinct())
+
+
+def add_parents(rels: DataFrame, term: str, parents: list[str]) -> DataFrame:
+    """rels with is_a links of a term, each once."""
+    return rels.unionByName(rels.sparkSession.createDataFrame([(term, p) for p in parents], "child string, parent string")).distinct()
+
+
+def add_alts(alts: DataFrame, term: str, others: list[str]) -> DataFrame:
+    """alts with other ids of a term; an id that stands for another term already raises."""
+    return inserted(alts, alts.sparkSession.createDataFrame([(a, term) for a in others], "alt string, main string").join(alts, ["alt", "main"], "left_anti"), ["alt"])

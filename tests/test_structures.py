@@ -13,7 +13,7 @@ from genonet.operators import coexpression, density, expression, graph, hierarch
 from genonet.operators import overlap as ov
 from genonet.plans import jobs
 from genonet.sources import readers, records, writers
-from genonet.sources.catalog import Catalog
+from genonet.sources.catalog import SCHEMAS, Catalog, GeneAbsentError
 
 
 def merged(edges):
@@ -303,3 +303,45 @@ def test_catalog_keeps_the_table_until_the_new_one_is_whole(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         catalog.save("T", "x", "", {"t": bad}, force=True)
     assert catalog.load("T", "x", "t").count() == 5
+
+
+def test_log_factorials_in_closed_form(spark):
+    rows = spark.createDataFrame([(k,) for k in [*range(60), 1000, 10**6, 10**9]], "k long").select("k", stats.log_factorial(F.col("k")).alias("v")).collect()
+    for r in rows:
+        assert r.v == pytest.approx(math.lgamma(r.k + 1), rel=1e-14, abs=1e-14)
+    p = spark.range(1).select(stats.hypergeom_sf(F.lit(3), F.lit(10**7), F.lit(2000), F.lit(5000)).alias("p")).first().p
+    assert p == pytest.approx(0.0802, abs=1e-3)  # Poisson of mean 1: 1 - 5 / (2 e)
+
+
+def test_small_records(spark, tmp_path):
+    chromosomes = spark.createDataFrame([("1", 9)], "id string, length long")
+    assert records.chromosome(chromosomes, 1).first().length == 9
+    with pytest.raises(ValueError, match="no chromosome"):
+        records.chromosome(chromosomes, "2")
+    genes = spark.createDataFrame([("A", "1", 5, 9), ("B", "1", 7, 7)], "id string, chrom string, start long, end long")
+    attrs = spark.createDataFrame([("A", "strand", "+"), ("A", "id", "clash"), ("A", "strand", "-")], "id string, key string, val string")
+    full = records.with_attrs(genes, attrs)
+    assert {r.id: dict(r.attr) for r in full.collect()} == {"A": {"strand": "-", "id": "clash"}, "B": {}}
+    maps = records.as_record(full)
+    assert sorted(r.record["id"] for r in maps.collect()) == ["A", "B"]
+    back = {r.id: r for r in records.from_record(maps).collect()}
+    assert (back["A"].start, back["A"].end, dict(back["A"].attr)) == (5, 9, {"strand": "-"}) and back["B"].end == 7
+    terms, own = spark.createDataFrame([("t", "first")], "id string, desc string"), spark.createDataFrame([("t", "A")], "term string, gene string")
+    more = spark.createDataFrame([("A",), ("B",)], "gene string")
+    assert sorted(tuple(r) for r in records.add_loci(own, "t", more).collect()) == [("t", "A"), ("t", "B")]
+    new, loci = records.copy_term(terms, own, "t", "u", "second", more)
+    assert sorted(tuple(r) for r in new.collect()) == [("t", "first"), ("u", "second")] and sorted(tuple(r) for r in loci.collect()) == [("t", "A"), ("u", "A"), ("u", "B")]
+    with pytest.raises(ValueError, match="no term"):
+        records.copy_term(terms, own, "x", "u")
+    rels, alts = spark.createDataFrame([("c", "p")], "child string, parent string"), spark.createDataFrame([("x", "c")], "alt string, main string")
+    assert records.add_parents(rels, "c", ["p", "q"]).count() == 2 and records.add_alts(alts, "c", ["x", "y"]).count() == 2
+    with pytest.raises(records.RecordExistsError):
+        records.add_alts(alts, "p", ["x"])
+    expr = spark.createDataFrame([("g", "a", 1.0), ("g", "b", 3.0), ("h", "a", 2.0)], "gene string, accession string, value double")
+    assert expression.shape(expr) == (2, 2) and {tuple(r) for r in expression.profile(expr, "g").collect()} == {("a", 1.0), ("b", 3.0)}
+    with pytest.raises(GeneAbsentError):
+        expression.profile(expr, "nosuch")
+    catalog = Catalog(spark, str(tmp_path))
+    for kind in SCHEMAS:
+        catalog.create(kind, "empty", "nothing yet")
+        assert {t: catalog.load(kind, "empty", t).count() for t in catalog.tables(kind, "empty")} == dict.fromkeys(SCHEMAS[kind], 0)
