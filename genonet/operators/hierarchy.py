@@ -24,13 +24,13 @@ from genonet.sources.shared import materialised
 
 
 def followed(pointers: DataFrame) -> DataFrame:
-    """node and part, the end of the pointers (node, next) of a forest whose only cycles are two nodes that point at each other; of these the smaller is the end.
+    """node and part, the end of the pointers (node, next) of a forest in which every node has one and whose only cycles are two nodes that point at each other; of these the smaller is the end.
 
     Pointers double their reach each round; those that have arrived drop out.
     """
     back = pointers.select(F.col("node").alias("next"), F.col("next").alias("after"))
     mutual = (F.col("after") == F.col("node")) & (F.col("node") < F.col("next"))
-    open_ = materialised(pointers.join(back, "next", "left").select("node", F.when(mutual | F.col("after").isNull(), F.when(mutual, F.col("node")).otherwise(F.col("next"))).otherwise(F.col("next")).alias("next")))
+    open_ = materialised(pointers.join(back, "next").select("node", F.when(mutual, F.col("node")).otherwise(F.col("next")).alias("next")))
     known = open_.where("node = next")  # the ends
     done = [known.select("node", F.col("next").alias("part"))]
     open_ = open_.where("node <> next")

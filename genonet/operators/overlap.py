@@ -22,9 +22,9 @@ def gene_index(genes: DataFrame) -> DataFrame:
 
 
 def random_genes(genes: DataFrame, n: int, iterations: int, seed: int = 1) -> DataFrame:
-    """iter and gene: n genes without replacement for each iteration, the same for the same seed."""
+    """iter and gene: n genes without replacement for each iteration, those whose digest with seed and iteration comes first: the same for the same seed, in any engine."""
     drawn = genes.select("gene").distinct().withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    order = Window.partitionBy("iter").orderBy(F.xxhash64(F.lit(seed), "iter", "gene"), "gene")
+    order = Window.partitionBy("iter").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "iter", F.col("gene").cast("string"))), "gene")
     return drawn.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).select("iter", "gene")
 
 

@@ -412,9 +412,17 @@ def sparse_matrix(spark, at):
     return writers.sparse_matrix(network(spark, at).where("significant"), index).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), r6("score", "score"))
 
 
-@query()
+def markov_sql(rounds: int = 30) -> str:
+    """m30: the matrix after so many rounds, of which those after it has settled change nothing."""
+    scaled = "SELECT c, r, w / sum(w) OVER (PARTITION BY c) AS w FROM "
+    start = f"full_m AS (SELECT gene AS c, neighbor AS r, score AS w FROM sym WHERE sig UNION ALL SELECT DISTINCT gene, gene, 1.0 FROM sym WHERE sig), m0 AS MATERIALIZED ({scaled} full_m)"
+    step = "m{n} AS MATERIALIZED (" + scaled + "(SELECT * FROM (SELECT c, r, w * w AS w FROM (SELECT a.c, b.r, sum(a.w * b.w) AS w FROM m{k} a JOIN m{k} b ON a.r = b.c GROUP BY 1, 2)) WHERE w >= 1e-4))"
+    return ", ".join([start, *(step.format(n=k + 1, k=k) for k in range(rounds))])
+
+
+@query(f"WITH RECURSIVE {NET}, {markov_sql()}, lk AS (SELECT c AS a, r AS b FROM m30 UNION SELECT r, c FROM m30), reach(a, b) AS (SELECT a, a FROM lk UNION SELECT x.a, lk.b FROM reach x JOIN lk ON x.b = lk.a), lab AS (SELECT a AS gene, min(b) AS comp FROM reach GROUP BY 1), sz AS (SELECT comp, count(*) AS size FROM lab GROUP BY 1), num AS (SELECT *, row_number() OVER (ORDER BY size DESC, comp) - 1 AS cluster FROM sz) SELECT gene, cluster, size FROM lab JOIN num USING (comp)")
 def markov_clusters(spark, at):
-    return graph.markov_clusters(network(spark, at))
+    return graph.markov_clusters(network(spark, at)).select("gene", F.col("cluster").cast("long").alias("cluster"), "size")
 
 
 def widest_sql(rounds: int = 9) -> str:
@@ -773,9 +781,9 @@ def from_ids(spark, at):
     return records.from_ids(names, genes(spark, at), own).select("name", "gene")
 
 
-@query()
+@query(f"WITH {GENES} SELECT iter, gene FROM (SELECT i AS iter, id AS gene, row_number() OVER (PARTITION BY i ORDER BY md5('1:' || i || ':' || id), id) AS n FROM genes, range(20) r(i)) WHERE n <= 10")
 def random_gene_sets(spark, at):
-    return overlap.random_genes(genes(spark, at).select(F.col("id").alias("gene")), 10, 20)
+    return overlap.random_genes(genes(spark, at).select(F.col("id").alias("gene")), 10, 20).select(F.col("iter").cast("long").alias("iter"), "gene")
 
 
 @query()
