@@ -54,8 +54,8 @@ CHUNK = 1 << 20
 BATCH = 256
 ID_BITS = 1 << 26
 MAX_BITS = 1 << 13
-#: Bits for a shingle, and at most, of the bitmaps of the last pass.
-WIDE, WIDEST = 16, 1 << 17
+#: Pairs for a row of a chunk of a tile, over which the last pass takes wide bitmaps; their bits for a shingle, and at most.
+CROWDED, WIDE, WIDEST = 8, 16, 1 << 17
 
 _Q = [np.uint64(q) for q in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 SIGS = "doc_id long, n long, d1 long, d2 long, keys array<long>, prefix array<long>, bits binary"
@@ -325,7 +325,7 @@ def _owned(i: np.ndarray, j: np.ndarray, k: np.ndarray, keys: list[np.ndarray |
     return np.array([(a := below(x)) is None or (b := below(y)) is None or a.isdisjoint(b) for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
 
 
-def _tile_pairs(postings: DataFrame, bits: DataFrame, trees: int | None = None) -> DataFrame:
+def _tile_pairs(postings: DataFrame, bits: DataFrame, trees: int | None = None, wide: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Pairs (a, b) out of the tiles of postings (k, comp, doc_id, n); bits has doc_id and its bitmap.
 
     A tile is a shingle and a size band, with the next band beside it. Where it has more than
@@ -337,6 +337,9 @@ def _tile_pairs(postings: DataFrame, bits: DataFrame, trees: int | None = None)
     trees: hand on no more than a spanning forest of each chunk's components (fewer pairs than
     rows), likeliest pairs first for 0, in another order for each other number. None: every pair,
     out of one tile each, which the documents' lists of shingles decide.
+
+    wide: makes wide bitmaps (doc_id, n, bits) of documents (a). Chunks in which the bitmaps let more than CROWDED pairs a
+    row pass hand on none; they come again with wide bitmaps, which the other chunks never carry.
     """
     banded = postings.withColumn("own", _band(F.col("n"))).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") - 1)))
     size = written(banded.groupBy("k", "band").agg(
@@ -359,10 +362,20 @@ def _tile_pairs(postings: DataFrame, bits: DataFrame, trees: int | None = None)
     )
     tile = ["k", "band", "c1", "c2"]
 
-    def pairs(table: pa.Table, tiles: np.ndarray) -> pa.RecordBatch:
+    names = ["a", "b", *tile]
+    kind = "a long, b long, k long, band int, c1 int, c2 int"
+
+    def pairs(table: pa.Table, tiles: np.ndarray, crowded: bool) -> pa.RecordBatch:
+        """Pairs (a, b, nulls) and, where asked for, crowded chunks (nulls, their keys)."""
         group = np.concatenate(([0], np.cumsum((tiles[1:] != tiles[:-1]).any(1)))) if len(tiles) else np.zeros(0, np.int64)
         t = {c: table.column(c).to_numpy() for c in ("doc_id", "comp", "n", "side", "main")}
         i, j, like = _bound_pairs(group, t["doc_id"], t["comp"], t["n"], table.column("bits").to_pylist(), t["side"], t["main"])
+        again = np.zeros((0, 4), np.int64)
+        if crowded:
+            over = np.bincount(group[i], minlength=group[-1] + 1) > CROWDED * np.bincount(group)
+            again = tiles[np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))][over]
+            free = ~over[group[i]]
+            i, j = i[free], j[free]
         if trees is None:
             some = _owned(i, j, tiles[:, 0], [None if x.as_py() is None else x.values.to_numpy() for x in table.column("ks")])
         else:
@@ -371,23 +384,39 @@ def _tile_pairs(postings: DataFrame, bits: DataFrame, trees: int | None = None)
             likely = np.zeros(len(i), np.int64) if trees else ((1 << 20) * (2 - like)).astype(np.int64)
             some = forest(group[i], t["comp"][i], t["comp"][j], (likely << 40) + order.astype(np.int64))
         found = np.unique(np.sort(np.stack((t["doc_id"][i[some]], t["doc_id"][j[some]]), axis=1), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in cut(batches, TILE_ROWS):
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            tiles = np.stack([table.column(c).to_numpy() for c in tile], axis=1)
-            whole = int(np.flatnonzero((tiles != tiles[-1]).any(1)).max(initial=-1)) + 1  # the last tile may go on
-            rest = table.slice(whole)
-            if whole:
-                yield pairs(table.slice(0, whole), tiles[:whole])
-        if rest is not None and rest.num_rows:
-            yield pairs(rest, np.stack([rest.column(c).to_numpy() for c in tile], axis=1))
+        n, m = len(found), len(again)
+        own = [pa.concat_arrays([pa.array(found[:, c], pa.int64()), pa.nulls(m, pa.int64())]) for c in (0, 1)]
+        keys = [pa.concat_arrays([pa.nulls(n, x), pa.array(again[:, c], x)]) for c, x in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
+        return pa.RecordBatch.from_arrays([*own, *keys], names=names)
 
-    return _bounded(dealt.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(run, "a long, b long").distinct(), bits)
+    def met(rows: DataFrame, crowded: bool) -> DataFrame:
+        @tidy
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rest = None
+            for batch in cut(batches, TILE_ROWS):
+                table = pa.Table.from_batches([batch])
+                table = table if rest is None else pa.concat_tables([rest, table])
+                tiles = np.stack([table.column(c).to_numpy() for c in tile], axis=1)
+                whole = int(np.flatnonzero((tiles != tiles[-1]).any(1)).max(initial=-1)) + 1  # the last tile may go on
+                rest = table.slice(whole)
+                if whole:
+                    yield pairs(table.slice(0, whole), tiles[:whole], crowded)
+            if rest is not None and rest.num_rows:
+                yield pairs(rest, np.stack([rest.column(c).to_numpy() for c in tile], axis=1), crowded)
+
+        return rows.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(run, kind)
+
+    if wide is None:
+        return _bounded(met(dealt, False).select("a", "b").distinct(), bits)
+    first = written(met(dealt, True))
+    out = _bounded(first.where("a is not null").select("a", "b").distinct(), bits)
+    again = written(first.where("a is null").select(*tile).distinct())
+    if again.isEmpty():
+        return out
+    rows = written(dealt.join(again, tile, "left_semi").drop("bits"))
+    maps = written(wide(rows.select(F.col("doc_id").alias("a")).distinct()))
+    rows = rows.join(maps.select(F.col("doc_id").alias("bit_id"), "bits"), F.col("doc_id") == F.col("bit_id")).select(*dealt.columns)
+    return out.unionByName(_bounded(met(rows, False).select("a", "b").distinct(), maps)).distinct()
 
 
 def _bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
@@ -435,21 +464,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             postings = _spread_on(postings, found)
             if postings.isEmpty():
                 break
-            if trees is None:
-                bits = _wide_bits(docs, postings)
-            links = links.unionByName(_links(docs, _tile_pairs(postings, bits, trees)))
+            wide = (lambda ids: _wide_bits(docs, ids)) if trees is None else None
+            links = links.unionByName(_links(docs, _tile_pairs(postings, bits, trees, wide)))
             found = components(links)
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("comp", "rep").alias("component"))
     out = sigs.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def _wide_bits(docs: DataFrame, postings: DataFrame) -> DataFrame:
-    """doc_id, n and a wide bitmap of the documents of the postings.
+def _wide_bits(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, n and a wide bitmap of the documents of ``ids`` (a).
 
-    What is left for the last pass are documents that share much without a link. A bitmap of two bits a shingle
-    hides two in five of the shingles that only one side has, and so lets a pair of 0.70 pass; one of 16 hides
-    one in sixteen, and refutes pairs of up to 0.73 inside the tile, before any text moves.
+    A bitmap of two bits a shingle hides two in five of the shingles that only one side has, and so lets a pair
+    of 0.70 pass; one of 16 hides one in sixteen, and refutes pairs of up to 0.73.
     """
     @tidy
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,8 +484,8 @@ def _wide_bits(docs: DataFrame, postings: DataFrame) -> DataFrame:
             sets = list(shingle_sets(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s, WIDE, WIDEST) if len(s) else b"" for s in sets], pa.binary())], names=["doc_id", "n", "bits"])
 
-    ids = written(postings.select(F.col("doc_id").alias("a")).distinct())
-    wide = written(_texts(docs, ids, ["a", "ta"], again, "doc_id long, n long, bits binary").where("n > 0"))
+    ids = written(ids)
+    wide = _texts(docs, ids, ["a", "ta"], again, "doc_id long, n long, bits binary").where("n > 0")
     return wide.join(ids, F.col("doc_id") == F.col("a"), "left_semi")
 
 
