@@ -55,7 +55,7 @@ BATCH = 256
 ID_BITS = 1 << 26
 MAX_BITS = 1 << 13
 #: Pairs for a row of a chunk of a tile, over which the last pass takes wide bitmaps; their bits for a shingle, and at most.
-CROWDED, WIDE, WIDEST = 8, 16, 1 << 17
+CROWDED, WIDE, WIDEST = 32, 16, 1 << 17
 
 _Q = [np.uint64(q) for q in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 SIGS = "doc_id long, n long, d1 long, d2 long, keys array<long>, prefix array<long>, bits binary"
