@@ -1,3 +1,4 @@
+import functools
 import math
 import re
 import struct
@@ -92,3 +93,59 @@ def test_verdicts_of_a_whole_table_from_plain_counts(spark):
             assert (q.score is None) == (score[i] is None) and (q.score is None or abs(q.score - score[i]) < 1e-9)
             assert q.kept == (not brute(texts[i])[-1] and score[i] >= threshold), i
         assert 0 < sum(q.kept for q in got.values()) < len(got)
+
+
+def test_every_trusted_document_counts(spark):
+    """Of all documents with quality 1, whatever their number, each counts for the target and for the threshold."""
+    n = 21_000
+    body = lambda i: " ".join(f"w{(i + j) % 97}" for j in range(60))
+    texts = {i: f"{body(i)} own{i % 40}" if i < n else body(i).replace("w", "v") for i in range(n + 300)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i < n)) for i in texts], "doc_id long, quality int")
+    ids = {r.t_id: r.half for r in quality.trusted_ids(labels).collect()}
+    assert ids == {i: xx(i) & 1 for i in range(n)}
+
+    @functools.cache
+    def grams(text):
+        w = text.split(" ")
+        return [xx(a) % (1 << 14) for a in w] + [xx(b, xx(a)) % (1 << 14) for a, b in zip(w, w[1:], strict=False)]
+
+    own = {i: grams(t) for i, t in texts.items()}
+    raw, halves = Counter(), (Counter(), Counter())
+    for i, g in own.items():
+        raw.update(g)
+        if i in ids:
+            halves[ids[i]].update(g)
+
+    def weighed(target):
+        size = [sum(c.values()) + (1 << 14) for c in (target, raw)]
+        return {b: math.log((target[b] + 1) / size[0]) - math.log((raw[b] + 1) / size[1]) for b in range(1 << 14)}
+
+    full, by_half = weighed(halves[0] + halves[1]), [weighed(h) for h in halves]
+    held = [sum(by_half[1 - ids[i]][b] for b in own[i]) / len(own[i]) for i in ids]
+    model = quality.Ratio(docs, labels)
+    assert max(abs(model.weights[b] - full[b]) for b in full) < 1e-9
+    assert abs(model.threshold - (np.quantile(held, quality.QUANTILE) - quality.SLACK)) < 1e-9
+    rows = quality.report(docs, labels).collect()
+    assert all(r.kept == (sum(full[b] for b in own[r.doc_id]) / len(own[r.doc_id]) >= model.threshold) for r in rows)
+    assert len(rows) == len(texts) and {r.kept for r in rows} == {True, False}
+
+
+def test_quantile_of_few_and_equal_values(spark):
+    for values in ([], [3.0], [1.0, 2.0], [2.0, 2.0, 2.0], [float(i * i % 17) for i in range(60)]):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        for q in (0.0, 0.002, 0.3, 0.5, 1.0):
+            got = quality.quantile_of(df, q)
+            assert got is None if not values else abs(got - np.quantile(values, q)) < 1e-9
+
+
+def test_halves_are_exact_behind_a_full_bitmap(spark, monkeypatch):
+    """A bitmap that rules out few or none leaves the halves as they are; null and repeated ids keep their rows."""
+    docs = spark.createDataFrame([(i if i % 50 else None, f"t{i}") for i in range(3000)] + [(7, "again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(4000)], "doc_id long, quality int")
+    want = sorted([(f"t{i}", xx(i) & 1 if i % 50 and i % 3 == 1 else None) for i in range(3000)] + [("again", xx(7) & 1)])
+    for bits in (quality.FILTER_BITS, 1 << 6, 1):
+        monkeypatch.setattr(quality, "FILTER_BITS", bits)
+        others, tried = quality.halved(docs, quality.trusted_ids(labels))
+        assert sorted((r.text, r.half) for r in others.unionByName(tried).collect()) == want
+        assert (others.count() == 60) == (bits < 1 << 15)
