@@ -2,7 +2,8 @@
 
 The store of known lines is a set of runs, each a table of 128-bit line hashes and the document
 that keeps the line, bucketed and sorted by hash, its files in the shared folder. Documents come in
-batches of ascending doc_id. A batch's line hashes are merge-joined with the runs, which are read
+batches of ascending doc_id. Texts are split and hashed once, into a table of line hashes that the
+batches are cut from; texts are read again only to leave lines out. A batch's line hashes are merge-joined with the runs, which are read
 as they lie, without an exchange or a sort; what no run holds becomes a new run of level 0. When a level has ``fanout`` runs they are merged into one of the
 next level, so that a batch joins a number of runs that grows with the logarithm of the batches.
 Runs never share a hash, as each holds only what the earlier ones lacked.
@@ -157,15 +158,16 @@ def _cuts(docs: DataFrame, batches: int) -> list[int]:
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """doc_id, t (hash of the row's text) and gone, the sorted numbers of the lines that go."""
+    lines = written(keyed_lines(docs, min_chars))  # once: a batch is read up to three times
     runs, cuts, found = LineRuns(docs.sparkSession, fanout), _cuts(docs, batches), None
     try:
         for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-            batch = docs
+            batch = lines
             if low is not None:
                 batch = batch.where(F.col("doc_id") > low)
             if high is not None:
                 batch = batch.where(F.col("doc_id") <= high)
-            gone = runs.take(keyed_lines(batch, min_chars))
+            gone = runs.take(batch)
             found = gone if found is None else found.unionByName(gone)
     finally:
         runs.close()

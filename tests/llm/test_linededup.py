@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from genonet.llm import linededup
 
@@ -85,3 +86,18 @@ def test_a_failure_leaves_no_tables(spark, monkeypatch):
         linededup.drop_lines(docs)
     assert not [d for d in spark.catalog.listDatabases() if d.name.startswith("genonet_runs")]
     assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"
+
+
+def test_texts_are_hashed_once(spark):
+    """However many batches there are and whether or not lines are hot, every text is split and hashed in one pass."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    rows = [(k, f"own line number {k}\na line that comes again {k % 9}\nthe line in every document") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text", F.udf(read, "string")("text"))
+    gone = linededup.dropped_lines(docs, batches=3)
+    assert seen.value == 60
+    assert sum(len(r.gone) for r in gone.collect()) == 51 + 59
