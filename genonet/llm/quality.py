@@ -171,10 +171,14 @@ def _literal(values: list[float]) -> Column:
 
 def mean_weight(words: Column, pairs: Column, values: Column) -> Column:
     """The mean of values, one for each bucket, over a text's words and pairs; null without words."""
-    def mean(b: Column, v: Column) -> Column:
-        return F.when(F.size(b) > 0, F.aggregate(b, F.lit(0.0), lambda s, x: s + v[x]) / F.size(b))
+    last = F.lit(BUCKETS - 1)
+
+    def mean(v: Column) -> Column:
+        of_words = F.aggregate(words, F.lit(0.0), lambda s, w: s + v[F.xxhash64(w).bitwiseAND(last)])
+        total = F.aggregate(pairs, of_words, lambda s, h: s + v[h.bitwiseAND(last)])
+        return F.when(F.size(words) > 0, total / (F.size(words) + F.size(pairs)))
 
-    return let(buckets(words, pairs), lambda b: let(values, lambda v: mean(b, v)))
+    return let(values, mean)
 
 
 def quantile_of(values: DataFrame, q: float) -> float | None:
