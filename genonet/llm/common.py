@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,8 @@ NON_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
 _own: dict[str, str] = {}
+#: Folders made inside the innermost passing() block.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -33,7 +36,52 @@ def scratch_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _own.setdefault("dir", tempfile.mkdtemp(prefix="genonet-"))
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/genonet-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/genonet-{uuid.uuid4().hex}"
+    if (mine := _passing.get()) is not None:
+        mine.append(path)
+    return path
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    p = context._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Scratch folders made inside go at the end, also after a failure. Gives lasting(), which writes a table that stays.
+
+    What comes out must not read what goes: hand on plain values, or a table by lasting().
+    """
+    outer, mine = _passing.get(), []
+    token = _passing.set(mine)
+
+    def lasting(df: DataFrame) -> DataFrame:
+        inner = _passing.set(outer)
+        try:
+            return written(df)
+        finally:
+            _passing.reset(inner)
+
+    try:
+        yield lasting
+    finally:
+        _passing.reset(token)
+        for path in mine:
+            drop_folder(spark, path)
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries made and run inside drop their shuffle files as they end, not when the driver happens to collect its garbage; the session's own setting comes back after."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    own = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
 
 
 @contextlib.contextmanager
@@ -52,7 +100,7 @@ def written(df: DataFrame, path: str | None = None, mode: str = "errorifexists")
     """Writes a table to the shared folder and reads it back, which cuts the lineage."""
     path = path or scratch_dir(df.sparkSession)
     give_back()  # the driver's Python waits beside its JVM, too
-    with short_batches(df.sparkSession):
+    with short_batches(df.sparkSession), shuffles_dropped(df.sparkSession):
         df.write.mode(mode).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -33,6 +33,7 @@ Extra columns are ignored by near_duplicates() and passed through by keep_one().
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hash_words, mix, short_batches, text_buffers, tidy, written
+from .common import cut, hash_words, mix, passing, short_batches, shuffles_dropped, text_buffers, tidy, written
 
 WORDS = 5
 SKETCH = 1 << 16
@@ -153,17 +154,30 @@ def _comparable(a: Column, b: Column) -> Column:
     return 4 * F.least(a, b) >= 3 * F.greatest(a, b)
 
 
-def _bitmap(bits: DataFrame) -> np.ndarray:
+class Bitmap:
+    """ID_BITS bits in words of 64. Broadcasts lie as files on the driver and every executor, and most bits are 0: it is pickled compressed."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
+
+    def __reduce__(self) -> tuple:
+        return _unpacked, (zlib.compress(self.words.tobytes(), 1),)
+
+    def has(self, bits: np.ndarray) -> np.ndarray:
+        return ((self.words[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
+def _unpacked(data: bytes) -> Bitmap:
+    return Bitmap(np.frombuffer(zlib.decompress(data), np.uint64))
+
+
+def _bitmap(bits: DataFrame) -> Bitmap:
     """ID_BITS bits, of which those numbered in column ``bit`` are set."""
     words = bits.select(F.shiftright("bit", 6).alias("w"), F.col("bit").bitwiseAND(F.lit(63)).cast("int").alias("k"))
     rows = words.groupBy("w").agg(F.expr("bit_or(shiftleft(1L, k))").alias("m")).toArrow()  # ID_BITS / 64 rows at most
     out = np.zeros(ID_BITS // 64, np.int64)
     out[rows.column("w").to_numpy()] = rows.column("m").to_numpy()
-    return out.view(np.uint64)
-
-
-def _in_bitmap(bits: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    return ((bitmap[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+    return Bitmap(out.view(np.uint64))
 
 
 def _id_bit(c: str) -> Column:
@@ -184,7 +198,7 @@ def _texts(docs: DataFrame, ids: DataFrame, names: list[str], then: Callable | N
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            here = pa.array(_in_bitmap(batch.column(2).to_numpy(), sent.value))
+            here = pa.array(sent.value.has(batch.column(2).to_numpy()))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(here), batch.column(1).filter(here)], names=names)
 
     @tidy
@@ -223,16 +237,17 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node and comp, the smallest node reachable, of every node of the links (a, b). Labels and labels' labels until nothing changes."""
-    edges = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).where("u <> v").distinct())
-    labels = written(edges.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("comp")).withColumnRenamed("u", "node"))
-    while True:
-        near = edges.join(labels.select(F.col("node").alias("v"), "comp"), "v").groupBy("u").agg(F.min("comp").alias("other"))
-        step = labels.join(near, labels.node == near.u).select("node", "comp", F.least("comp", "other").alias("new"))
-        root = labels.select(F.col("node").alias("r"), F.col("comp").alias("rc"))
-        step = written(step.join(root, F.col("new") == F.col("r"), "left").select("node", "comp", F.least("new", F.coalesce("rc", "new")).alias("new")))
-        labels = step.select("node", F.col("new").alias("comp"))
-        if step.where("new <> comp").isEmpty():
-            return labels
+    with passing(links.sparkSession) as lasting:
+        edges = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).where("u <> v").distinct())
+        labels = written(edges.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("comp")).withColumnRenamed("u", "node"))
+        while True:
+            near = edges.join(labels.select(F.col("node").alias("v"), "comp"), "v").groupBy("u").agg(F.min("comp").alias("other"))
+            step = labels.join(near, labels.node == near.u).select("node", "comp", F.least("comp", "other").alias("new"))
+            root = labels.select(F.col("node").alias("r"), F.col("comp").alias("rc"))
+            step = written(step.join(root, F.col("new") == F.col("r"), "left").select("node", "comp", F.least("new", F.coalesce("rc", "new")).alias("new")))
+            labels = step.select("node", F.col("new").alias("comp"))
+            if step.where("new <> comp").isEmpty():
+                return lasting(labels)
 
 
 def _first_pairs(reps: DataFrame) -> DataFrame:
@@ -440,36 +455,37 @@ def _bounded(pairs: DataFrame, bits: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    docs = docs.select("doc_id", "text")
-    rank = _sketch(docs)
-    sigs = written(_signatures(docs, rank))
-    filled = sigs.where("n > 0 and doc_id is not null")
-    classes = written(filled.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
-    key = (F.col("doc_id") == F.col("rep")) & (F.col("n") == F.col("rn")) & (F.col("d1") == F.col("r1")) & (F.col("d2") == F.col("r2"))
-    reps = filled.join(classes.select("rep", F.col("n").alias("rn"), F.col("d1").alias("r1"), F.col("d2").alias("r2")), key, "left_semi")
-    links = _links(docs, _first_pairs(reps)).unionByName(_repeated(filled, classes))
-    found = components(links)
-    copies = filled.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).where("doc_id <> rep").select("doc_id", F.lit(None).cast("long").alias("comp"))
-    marks = written(found.select(F.col("node").alias("doc_id"), "comp").unionByName(copies.distinct()))
-    labelled = _labelled(filled.select("doc_id", "n", "prefix"), marks)
-    spread = labelled.select("comp", F.explode("prefix").alias("k")).groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    spread = written(spread.select("k"))
-    if not spread.isEmpty():
-        postings, bits = _postings(docs, filled, marks, spread, rank), filled.select("doc_id", "n", "bits")
-        # again along stars first: what is left for the tiles are shingles that unlike documents share
-        links = links.unionByName(_links(docs, _bounded(_star_pairs(postings), bits)))
+    with passing(docs.sparkSession) as lasting, shuffles_dropped(docs.sparkSession):
+        docs = docs.select("doc_id", "text")
+        rank = _sketch(docs)
+        sigs = written(_signatures(docs, rank))
+        filled = sigs.where("n > 0 and doc_id is not null")
+        classes = written(filled.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
+        key = (F.col("doc_id") == F.col("rep")) & (F.col("n") == F.col("rn")) & (F.col("d1") == F.col("r1")) & (F.col("d2") == F.col("r2"))
+        reps = filled.join(classes.select("rep", F.col("n").alias("rn"), F.col("d1").alias("r1"), F.col("d2").alias("r2")), key, "left_semi")
+        links = _links(docs, _first_pairs(reps)).unionByName(_repeated(filled, classes))
         found = components(links)
-        # then along spanning forests inside tiles, so that a group of copies hands on as many pairs as rows; last, all that is left
-        for trees in (*range(FORESTS), None):
-            postings = _spread_on(postings, found)
-            if postings.isEmpty():
-                break
-            wide = (lambda ids: _wide_bits(docs, ids)) if trees is None else None
-            links = links.unionByName(_links(docs, _tile_pairs(postings, bits, trees, wide)))
+        copies = filled.select("doc_id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"]).where("doc_id <> rep").select("doc_id", F.lit(None).cast("long").alias("comp"))
+        marks = written(found.select(F.col("node").alias("doc_id"), "comp").unionByName(copies.distinct()))
+        labelled = _labelled(filled.select("doc_id", "n", "prefix"), marks)
+        spread = labelled.select("comp", F.explode("prefix").alias("k")).groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        spread = written(spread.select("k"))
+        if not spread.isEmpty():
+            postings, bits = _postings(docs, filled, marks, spread, rank), filled.select("doc_id", "n", "bits")
+            # again along stars first: what is left for the tiles are shingles that unlike documents share
+            links = links.unionByName(_links(docs, _bounded(_star_pairs(postings), bits)))
             found = components(links)
-    named = classes.join(found, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("comp", "rep").alias("component"))
-    out = sigs.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
+            # then along spanning forests inside tiles, so that a group of copies hands on as many pairs as rows; last, all that is left
+            for trees in (*range(FORESTS), None):
+                postings = _spread_on(postings, found)
+                if postings.isEmpty():
+                    break
+                wide = (lambda ids: _wide_bits(docs, ids)) if trees is None else None
+                links = links.unionByName(_links(docs, _tile_pairs(postings, bits, trees, wide)))
+                found = components(links)
+        named = classes.join(found, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("comp", "rep").alias("component"))
+        out = sigs.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
+        return lasting(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id")).alias("component_id")))
 
 
 def _wide_bits(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -506,7 +522,7 @@ def _labelled(sigs: DataFrame, marks: DataFrame) -> DataFrame:
     def part(wanted: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                here = pa.array(_in_bitmap(batch.column(3).to_numpy(), sent.value) == wanted)
+                here = pa.array(sent.value.has(batch.column(3).to_numpy()) == wanted)
                 yield pa.RecordBatch.from_arrays([c.filter(here) for c in batch.columns[:3]], names=batch.schema.names[:3])
 
         return sigs.select("doc_id", "n", "prefix", _id_bit("doc_id")).mapInArrow(run, "doc_id long, n long, prefix array<long>")
@@ -530,7 +546,7 @@ def _postings(docs: DataFrame, sigs: DataFrame, marks: DataFrame, spread: DataFr
         for batch in batches:
             lists = batch.column(1)
             row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            some = np.unique(row[_in_bitmap(lists.flatten().to_numpy() & (ID_BITS - 1), moved.value)])
+            some = np.unique(row[moved.value.has(lists.flatten().to_numpy() & (ID_BITS - 1))])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some))], names=["a"])
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -538,7 +554,7 @@ def _postings(docs: DataFrame, sigs: DataFrame, marks: DataFrame, spread: DataFr
             parts, size = [], []
             for s in shingle_sets(batch.column(1)):
                 s = ordered(s, ranks.value)
-                n, last = len(s), _in_bitmap((s & np.uint64(ID_BITS - 1)).astype(np.int64), moved.value)
+                n, last = len(s), moved.value.has((s & np.uint64(ID_BITS - 1)).astype(np.int64))
                 length = n - (3 * n + 3) // 4 + 1 if n else 0
                 new = np.concatenate((np.flatnonzero(~last), np.flatnonzero(last)))[:length]
                 parts.append(s[new[last[new] | (new >= length)]])  # moved ones, and what was behind the first prefix
@@ -554,7 +570,7 @@ def _postings(docs: DataFrame, sigs: DataFrame, marks: DataFrame, spread: DataFr
             lists = batch.column(2)
             k = lists.flatten().to_numpy()
             bit = k & (ID_BITS - 1)
-            here = _in_bitmap(bit, wanted.value) & ~_in_bitmap(bit, moved.value)
+            here = wanted.value.has(bit) & ~moved.value.has(bit)
             size = np.bincount(np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[here], minlength=len(lists))
             kept = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(k[here]))
             some = pa.array(size > 0)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, scratch_dir, written
+from .common import ascii_lower, passing, scratch_dir, shuffles_dropped, written
 
 MIN_CHARS = 10
 BATCHES = 4
@@ -91,7 +91,8 @@ class LineRuns:
         name, self.count = f"{self.home}.run_{uuid.uuid4().hex}", self.count + 1
         rows = run.select(*[F.col(f.name) for f in RUN]).repartition(self.buckets, "h1", "h2")
         self.paths[name] = f"{self.root}/run-{self.count:05d}"
-        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.paths[name]).saveAsTable(name)
+        with shuffles_dropped(self.spark):
+            rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.paths[name]).saveAsTable(name)
         return name
 
     def add(self, run: DataFrame) -> None:
@@ -158,20 +159,21 @@ def _cuts(docs: DataFrame, batches: int) -> list[int]:
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """doc_id, t (hash of the row's text) and gone, the sorted numbers of the lines that go."""
-    lines = written(keyed_lines(docs, min_chars))  # once: a batch is read up to three times
-    runs, cuts, found = LineRuns(docs.sparkSession, fanout), _cuts(docs, batches), None
-    try:
-        for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-            batch = lines
-            if low is not None:
-                batch = batch.where(F.col("doc_id") > low)
-            if high is not None:
-                batch = batch.where(F.col("doc_id") <= high)
-            gone = runs.take(batch)
-            found = gone if found is None else found.unionByName(gone)
-    finally:
-        runs.close()
-    return found.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
+    with passing(docs.sparkSession) as lasting:
+        lines = written(keyed_lines(docs, min_chars))  # once: a batch is read up to three times
+        runs, cuts, found = LineRuns(docs.sparkSession, fanout), _cuts(docs, batches), None
+        try:
+            for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+                batch = lines
+                if low is not None:
+                    batch = batch.where(F.col("doc_id") > low)
+                if high is not None:
+                    batch = batch.where(F.col("doc_id") <= high)
+                gone = runs.take(batch)
+                found = gone if found is None else found.unionByName(gone)
+        finally:
+            runs.close()
+        return lasting(found.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("line_no")).alias("gone")))
 
 
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT, counts: tuple[str, str] | None = None) -> DataFrame:

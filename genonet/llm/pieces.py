@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _P, _P_INV, _power, cut, give_back, let, mix, short_batches, text_buffers, tidy, written
+from .common import _P, _P_INV, _power, cut, give_back, let, mix, passing, short_batches, text_buffers, tidy, written
 from .tokencount import SPACE, model_path
 
 KNOWN = 1 << 22
@@ -388,4 +388,5 @@ def report(docs: DataFrame, path: str | None = None, known: int | None = None) -
         sums = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
         return pa.RecordBatch.from_arrays([doc, pa.array([max(0, len(t) - 1) for t in raw], pa.int64()), pa.array(map(len, ids), pa.int64()), pa.array(sums, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_bytes", "n_pieces", "ids_crc32", "round_trip"])
 
-    return written(_encoded(docs, path or model_path(), known, finish, "doc_id long, n_bytes long, n_pieces long, ids_crc32 long, round_trip boolean"))
+    with passing(docs.sparkSession) as lasting:
+        return lasting(_encoded(docs, path or model_path(), known, finish, "doc_id long, n_bytes long, n_pieces long, ids_crc32 long, round_trip boolean"))
