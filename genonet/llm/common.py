@@ -230,7 +230,7 @@ def hash_words(data: np.ndarray, bounds: np.ndarray, alnum: bool = True, flag: n
     if n == 0:
         e = np.zeros(0, np.int64)
         return e, e, e.astype(np.uint64), e
-    flag = ((_ALNUM if alnum else _PRINTED) if flag is None else flag)[data]
+    flag = ((_ALNUM if alnum else _PRINTED) if flag is None else flag).take(data, mode="clip")
     cut = np.zeros(n + 1, bool)
     cut[bounds] = True
     if cuts is not None:
@@ -243,7 +243,7 @@ def hash_words(data: np.ndarray, bounds: np.ndarray, alnum: bool = True, flag: n
     np.cumsum(_VALUE[data] * _power("p", _P, n)[:n], dtype=np.uint64, out=total[1:])
     h = (total[ends] - total[starts]) * _power("i", _P_INV, n + 1)[starts]
     h = mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-    return starts, ends, h, np.searchsorted(bounds, starts, side="right") - 1
+    return starts, ends, h, np.repeat(np.arange(len(bounds) - 1), np.diff(np.searchsorted(starts, bounds)))
 
 
 def text_buffers(column, limit: int = 4 << 20):

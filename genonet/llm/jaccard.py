@@ -62,26 +62,45 @@ _Q = [np.uint64(q) for q in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 SIGS = "doc_id long, n long, d1 long, d2 long, keys array<long>, prefix array<long>, bits binary"
 
 
-def shingle_sets(column) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def flat_sets(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sorted distinct shingle hashes of texts end to end, text k's at at[k]:at[k+1], for one run of texts after the other."""
     for _, rows, data, bounds in text_buffers(column, CHUNK):
         _, _, h, text = hash_words(data, bounds, alnum=False)
         size = np.bincount(text, minlength=rows)
-        first = np.concatenate(([0], np.cumsum(size)))
+        first = np.cumsum(size) - size
         m = max(len(h) - WORDS + 1, 0)
-        s = np.zeros(m, np.uint64)
+        s = np.zeros(len(h), np.uint64)
         for k, q in enumerate(_Q):
-            s += h[k : k + m] * q
+            s[:m] += h[k : k + m] * q
         s = mix(s)
-        for k in range(rows):
-            n = int(size[k])
-            if n >= WORDS:
-                yield np.unique(s[first[k] : first[k + 1] - WORDS + 1])
-            elif n:
-                own = h[first[k] : first[k + 1]]
-                yield mix(np.array([sum(int(x) * int(q) for x, q in zip(own, _Q, strict=False)) + n & 0xFFFFFFFFFFFFFFFF], np.uint64))
-            else:
-                yield np.zeros(0, np.uint64)
+        for k in np.flatnonzero((size > 0) & (size < WORDS)).tolist():
+            own = h[first[k] : first[k] + size[k]]
+            s[first[k]] = mix(np.array([sum(int(x) * int(q) for x, q in zip(own, _Q, strict=False)) + len(own) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0]
+        count = np.where(size < WORDS, np.minimum(size, 1), size - WORDS + 1)  # the words behind start no shingle
+        _sort_each(s, first, first + count)
+        new = np.ones(len(s), bool)
+        new[1:] = s[1:] != s[:-1]
+        new[first[size > 0]] = True
+        new &= _places(size) < np.repeat(count, size)
+        yield s[new], np.concatenate(([0], np.cumsum(np.bincount(text[new], minlength=rows))))
+
+
+def _sort_each(s: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        s[a:b].sort()
+
+
+def _places(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of lists that lie end to end."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def shingle_sets(column) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    for s, at in flat_sets(column):
+        bounds = at.tolist()
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            yield s[a:b]
 
 
 def _sketch(docs: DataFrame) -> np.ndarray:
@@ -90,9 +109,8 @@ def _sketch(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(SKETCH, np.int64)
         for batch in cut(batches, BATCH):
-            sets = list(shingle_sets(batch.column(0)))
-            if sets:
-                count += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            for s, _ in flat_sets(batch.column(0)):
+                count += np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], names=["b", "n"])
 
@@ -106,23 +124,36 @@ def _sketch(docs: DataFrame) -> np.ndarray:
     return rank
 
 
-def ordered(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Renames shingles one to one so that their numbers follow the order, and sorts them."""
-    return np.sort((rank[(s & np.uint64(SKETCH - 1)).astype(np.int64)] << np.uint64(48)) | (s >> np.uint64(16)))
+def ordered(s: np.ndarray, at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Renames shingles one to one so that their numbers follow the order, and sorts each text's."""
+    out = (rank[(s & np.uint64(SKETCH - 1)).astype(np.int64)] << np.uint64(48)) | (s >> np.uint64(16))
+    _sort_each(out, at[:-1], at[1:])
+    return out
+
+
+def signatures(mixed: np.ndarray, at: np.ndarray, per: int = 2, most: int = MAX_BITS) -> pa.Array:
+    """For each text a bitmap of about ``per`` bits for each shingle, a power of two wide; mixed: mix() of the shingles."""
+    size = np.diff(at)
+    width = np.clip(1 << np.frexp(np.maximum(per * size - 1, 0))[1].astype(np.int64), 64, most) * (size > 0)
+    to = np.cumsum(width)
+    bits = np.zeros(width.sum(), np.uint8)
+    bits[(mixed & np.repeat(width - 1, size).astype(np.uint64)).astype(np.int64) + np.repeat(to - width, size)] = 1
+    offsets = np.concatenate(([0], to // 8)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.packbits(bits, bitorder="little"))])
 
 
 def signature(s: np.ndarray, per: int = 2, most: int = MAX_BITS) -> bytes:
-    """A bitmap of about ``per`` bits for each shingle, a power of two wide."""
-    width = min(most, max(64, 1 << int(per * len(s) - 1).bit_length()))
-    bits = np.zeros(width, np.uint8)
-    bits[(mix(s) & np.uint64(width - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    """The bitmap of one set."""
+    return signatures(mix(s), np.array([0, len(s)]), per, most)[0].as_py()
+
+
+def _lists(flat: np.ndarray, size: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(flat.view(np.int64)))
 
 
-def _lists(values: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
-    flat = np.concatenate(values) if values else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+def _prefix(n: np.ndarray) -> np.ndarray:
+    """How many shingles of a set of n make up its prefix."""
+    return (n - (3 * n + 3) // 4 + 1) * (n > 0)
 
 
 def _signatures(docs: DataFrame, rank: np.ndarray) -> DataFrame:
@@ -131,16 +162,24 @@ def _signatures(docs: DataFrame, rank: np.ndarray) -> DataFrame:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cut(batches, BATCH):
-            sets = [ordered(s, sent.value) for s in shingle_sets(batch.column(1))]
-            size = [len(s) for s in sets]
-            prefix = [s[: n - (3 * n + 3) // 4 + 1] if n else s for s, n in zip(sets, size, strict=True)]
-            with np.errstate(over="ignore"):
-                d1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                d2 = np.array([np.bitwise_xor.reduce(mix(s * _Q[1])) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(d1), pa.array(d2), _lists([p[:KEYS] for p in prefix]), _lists(prefix), pa.array([signature(s) if len(s) else b"" for s in sets], pa.binary())],
-                names=["doc_id", "n", "d1", "d2", "keys", "prefix", "bits"],
-            )
+            row = 0
+            for s, at in flat_sets(batch.column(1)):
+                s, size = ordered(s, at, sent.value), np.diff(at)
+                mixed, some = mix(s), size > 0
+                d1, d2 = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
+                if some.any():
+                    d1[some] = np.add.reduceat(mixed, at[:-1][some])
+                    d2[some] = np.bitwise_xor.reduceat(mix(s * _Q[1]), at[:-1][some])
+                place, prefix = _places(size), _prefix(size)
+                keys = np.minimum(prefix, KEYS)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(row, len(size)), pa.array(size, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
+                        _lists(s[place < np.repeat(keys, size)], keys), _lists(s[place < np.repeat(prefix, size)], prefix), signatures(mixed, at),
+                    ],
+                    names=["doc_id", "n", "d1", "d2", "keys", "prefix", "bits"],
+                )
+                row += len(size)
 
     return docs.select("doc_id", "text").mapInArrow(run, SIGS)
 
@@ -328,6 +367,19 @@ def forest(group: np.ndarray, a: np.ndarray, b: np.ndarray, rank: np.ndarray) ->
     return out
 
 
+def _each(lists: pa.ListArray) -> list[np.ndarray | None]:
+    """The values of each list; None for null."""
+    flat, bounds = lists.values.to_numpy(), lists.offsets.to_numpy().tolist()
+    return [flat[a:b] if there else None for a, b, there in zip(bounds[:-1], bounds[1:], lists.is_valid().to_pylist(), strict=True)]
+
+
+def _distinct(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The distinct pairs (the smaller first), in order."""
+    pairs = np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    return pairs[np.concatenate((np.ones(min(len(pairs), 1), bool), (pairs[1:] != pairs[:-1]).any(1)))]
+
+
 def _owned(i: np.ndarray, j: np.ndarray, k: np.ndarray, keys: list[np.ndarray | None]) -> np.ndarray:
     """Whether the tile's shingle is the smallest that both rows stand under; unknown (too many to send) counts as yes."""
     sets: dict[int, frozenset | None] = {}
@@ -392,13 +444,13 @@ def _tile_pairs(postings: DataFrame, bits: DataFrame, trees: int | None = None,
             free = ~over[group[i]]
             i, j = i[free], j[free]
         if trees is None:
-            some = _owned(i, j, tiles[:, 0], [None if x.as_py() is None else x.values.to_numpy() for x in table.column("ks")])
+            some = _owned(i, j, tiles[:, 0], _each(table.column("ks").combine_chunks()))
         else:
             low, high = (f(t["doc_id"][i], t["doc_id"][j]) for f in (np.minimum, np.maximum))
             order = mix(low.astype(np.uint64) * _Q[0] + high.astype(np.uint64) * _Q[1] + np.uint64(trees)) >> np.uint64(24)
             likely = np.zeros(len(i), np.int64) if trees else ((1 << 20) * (2 - like)).astype(np.int64)
             some = forest(group[i], t["comp"][i], t["comp"][j], (likely << 40) + order.astype(np.int64))
-        found = np.unique(np.sort(np.stack((t["doc_id"][i[some]], t["doc_id"][j[some]]), axis=1), axis=1), axis=0)
+        found = _distinct(t["doc_id"][i[some]], t["doc_id"][j[some]])
         n, m = len(found), len(again)
         own = [pa.concat_arrays([pa.array(found[:, c], pa.int64()), pa.nulls(m, pa.int64())]) for c in (0, 1)]
         keys = [pa.concat_arrays([pa.nulls(n, x), pa.array(again[:, c], x)]) for c, x in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
@@ -497,8 +549,11 @@ def _wide_bits(docs: DataFrame, ids: DataFrame) -> DataFrame:
     @tidy
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cut(batches, BATCH):
-            sets = list(shingle_sets(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s, WIDE, WIDEST) if len(s) else b"" for s in sets], pa.binary())], names=["doc_id", "n", "bits"])
+            row = 0
+            for s, at in flat_sets(batch.column(1)):
+                size = np.diff(at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(size)), pa.array(size, pa.int64()), signatures(mix(s), at, WIDE, WIDEST)], names=["doc_id", "n", "bits"])
+                row += len(size)
 
     ids = written(ids)
     wide = _texts(docs, ids, ["a", "ta"], again, "doc_id long, n long, bits binary").where("n > 0")
@@ -551,15 +606,19 @@ def _postings(docs: DataFrame, sigs: DataFrame, marks: DataFrame, spread: DataFr
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in cut(batches, BATCH):
-            parts, size = [], []
-            for s in shingle_sets(batch.column(1)):
-                s = ordered(s, ranks.value)
-                n, last = len(s), moved.value.has((s & np.uint64(ID_BITS - 1)).astype(np.int64))
-                length = n - (3 * n + 3) // 4 + 1 if n else 0
-                new = np.concatenate((np.flatnonzero(~last), np.flatnonzero(last)))[:length]
-                parts.append(s[new[last[new] | (new >= length)]])  # moved ones, and what was behind the first prefix
-                size.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), _lists(parts)], names=["doc_id", "n", "prefix"])
+            row = 0
+            for s, at in flat_sets(batch.column(1)):
+                s, n = ordered(s, at, ranks.value), np.diff(at)
+                last = moved.value.has((s & np.uint64(ID_BITS - 1)).astype(np.int64))
+                before = np.concatenate(([0], np.cumsum(last)))  # moved ones
+                moves = np.diff(before[at])
+                place, length = _places(n), np.repeat(_prefix(n), n)
+                ahead = before[:-1] - np.repeat(before[at[:-1]], n)
+                new = np.where(last, np.repeat(n - moves, n) + ahead, place - ahead) < length
+                new &= last | (place >= length)  # moved ones, and what was behind the first prefix
+                count = np.diff(np.concatenate(([0], np.cumsum(new)))[at])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(n)), pa.array(n, pa.int64()), _lists(s[new], count)], names=["doc_id", "n", "prefix"])
+                row += len(n)
 
     ids = written(sigs.select("doc_id", "prefix").mapInArrow(touched, "a long"))
     remade = written(_texts(docs, ids, ["a", "ta"], again, "doc_id long, n long, prefix array<long>"))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from genonet.llm import jaccard
 
@@ -164,3 +165,37 @@ def test_near_misses_do_not_hand_on_their_pairs(spark):
     assert got == {i: top for i, _, top in brute(rows)}
     assert got[1050] == 50 and got[7] == 7
     assert sum(handed) < 20 * len(rows), handed
+
+
+def test_runs_of_texts_are_hashed_at_once(monkeypatch):
+    """Sets, orders and bitmaps of many texts are those of each by itself, by a number of calls that does not grow with the texts."""
+    rng = random.Random(11)
+    texts = [None, "", "  ", "a", "a b c d", "a b c d e", "a a a a a a a a"]
+    texts += [" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(5, 40))) for _ in range(300)]
+    calls, mix, unique = [], jaccard.mix, np.unique
+    monkeypatch.setattr(jaccard, "mix", lambda h: calls.append(1) or mix(h))
+    monkeypatch.setattr(np, "unique", lambda *a, **b: calls.append(1) or unique(*a, **b))
+    sets = list(jaccard.shingle_sets(pa.array(texts)))
+    assert len(calls) < 20
+    monkeypatch.undo()
+    assert [len(s) for s in sets] == [n for _, n, _ in brute(list(enumerate(texts)))]
+    for s, t in zip(sets, texts, strict=True):
+        (own,) = jaccard.shingle_sets(pa.array([t], pa.string()))
+        assert (np.diff(s.astype(object)) > 0).all() and s.tolist() == own.tolist()
+    at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    rank = np.random.default_rng(1).permutation(jaccard.SKETCH).astype(np.uint64)
+    flat = jaccard.ordered(np.concatenate(sets), at, rank)
+    for k, s in enumerate(sets):
+        assert flat[at[k] : at[k + 1]].tolist() == sorted(int(rank[int(x) % jaccard.SKETCH]) << 48 | int(x) >> 16 for x in s)
+    bits = jaccard.signatures(mix(flat), at, 16, 1 << 17).to_pylist()
+    for k, b in enumerate(bits):
+        width, s = 8 * len(b), mix(flat[at[k] : at[k + 1]])
+        assert width == (max(64, 1 << (16 * len(s) - 1).bit_length()) if len(s) else 0)
+        assert int.from_bytes(b, "little") == sum(1 << x for x in {int(h) % width for h in s})
+
+
+def test_lists_and_pairs_of_a_tile():
+    lists = pa.array([[0], [3, 1], None, [], [5]], pa.list_(pa.int64())).slice(1)
+    assert [None if x is None else x.tolist() for x in jaccard._each(lists)] == [[3, 1], None, [], [5]]
+    assert jaccard._distinct(np.array([5, 1, 5, 2, 1]), np.array([1, 5, 2, 5, 0])).tolist() == [[0, 1], [1, 5], [2, 5]]
+    assert jaccard._distinct(np.zeros(0, np.int64), np.zeros(0, np.int64)).shape == (0, 2)
