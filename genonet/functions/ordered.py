@@ -42,9 +42,9 @@ def nearest(rows: DataFrame, known: DataFrame, key: str, name: str = "nearest")
     ends = dealt.groupBy("_range").agg(F.min("_known").alias("_first"), F.max("_known").alias("_last"))
     order = Window.orderBy("_range")  # a row for each range
     carried = ends.select(F.col("_range").alias("_r"), F.max("_last").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_from_before"), F.min("_first").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_from_after"))
-    inside = Window.partitionBy("_range").orderBy(key)
-    last = F.max("_known").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    later = F.min("_known").over(inside.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    inside, back = (Window.partitionBy("_range").orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc(key), F.desc(key)))
+    # backwards, as a frame that ends with the partition is gone through again for every row
+    last, later = F.max("_known").over(inside), F.min("_known").over(back)
     found = dealt.withColumns({"_last": last, "_next": later}).where("_mine").join(F.broadcast(carried), F.col("_range") == F.col("_r"))
     low, high = F.coalesce("_last", "_from_before"), F.coalesce("_next", "_from_after")
     best = F.when(low.isNull() | (high - F.col(key) < F.col(key) - low), high).otherwise(low)
